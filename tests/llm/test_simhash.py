@@ -1,0 +1,115 @@
+import random
+import re
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from tidemark.llm import simhash
+
+SCHEMA = "doc_id long, text string, fp string, component_id int"
+
+
+def plain_fingerprint(text):
+    text = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+    words = re.findall("[^\x20\x09-\x0d]+", text)
+    if not words:
+        return 0
+    shingles = [" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))]
+    hashes = [xxhash.xxh64(s.encode(), seed=42).intdigest() for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def plain_components(rows, radius=4):
+    fps = [plain_fingerprint(t) for _, t in rows]
+    name = list(range(len(rows)))
+
+    def root(i):
+        while name[i] != i:
+            i = name[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= radius:
+                name[root(i)] = root(j)
+    groups = {}
+    for i, (doc, _) in enumerate(rows):
+        groups.setdefault(root(i), []).append(doc)
+    return sorted(
+        (
+            (doc, f"{fps[i]:016x}", min((d for d in groups[root(i)] if d is not None), default=None))
+            for i, (doc, _) in enumerate(rows)
+        ),
+        key=str,
+    )
+
+
+def corpus():
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abÉßz") for _ in range(rng.randint(1, 4)))
+    rows = [(0, None), (1, ""), (2, " \t\n"), (3, "one"), (4, "ONE"), (5, "a b c"), (None, "A b c d"), (5, "a b c"), (7, "x " * 30_000)]
+    for i in range(40):
+        base = [word() for _ in range(rng.randint(2, 300))]
+        rows.append((100 + 10 * i, " ".join(base)))
+        for j in range(rng.randint(0, 4)):
+            edited = list(base)
+            edited[rng.randrange(len(edited))] = word()
+            rows.append((101 + 10 * i + j, "  ".join(edited)))
+    return rows
+
+
+def test_matches_brute_force(spark):
+    rows = corpus()
+    docs = spark.createDataFrame([(d, t, "clash", 1) for d, t in rows], SCHEMA)
+    found = simhash.near_duplicates(docs)
+    assert found.columns == ["doc_id", "fingerprint", "component_id"]
+    assert sorted(map(tuple, found.collect()), key=str) == plain_components(rows)
+
+
+def test_empty_table(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    assert simhash.near_duplicates(docs).collect() == []
+    assert simhash.deduplicated(docs).collect() == []
+
+
+def test_common_keys_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "KEY_ROWS", 3)
+    rows = corpus()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = simhash.near_duplicates(docs)
+    assert sorted(map(tuple, found.collect()), key=str) == plain_components(rows)
+
+
+def test_one_row_of_each_group_stays(spark):
+    rows = [r for r in corpus() if r[0] is not None]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").distinct()
+    kept = {r["doc_id"] for r in simhash.deduplicated(docs).collect()}
+    assert kept == {c for _, _, c in plain_components(rows)}
+
+
+@pytest.mark.parametrize("radius", range(8))
+def test_bit_sliced_links_join_what_all_pairs_join(radius):
+    rng = np.random.default_rng(radius)
+    fps = np.unique(rng.integers(0, 1 << 63, 20, dtype=np.uint64)[rng.integers(0, 20, 300)] ^ (np.uint64(1) << rng.integers(0, 64, 300).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 300).astype(np.uint64)))
+    a, b = simhash.links(np.zeros(len(fps), np.int64), fps, np.zeros(len(fps), int), radius)
+    assert all(int(x ^ y).bit_count() <= radius for x, y in zip(a, b))
+
+    def labels(pairs):
+        name = {x: x for x in fps.tolist()}
+        for x, y in pairs:
+            old, new = name[x], name[y]
+            name = {k: new if v == old else v for k, v in name.items()}
+        groups = {}
+        for k, v in name.items():
+            groups.setdefault(v, set()).add(k)
+        return sorted(map(sorted, groups.values()))
+
+    every = [(x, y) for x in fps.tolist() for y in fps.tolist() if x < y and (x ^ y).bit_count() <= radius]
+    assert labels(zip(a.tolist(), b.tolist())) == labels(every)
+
+
+def test_hash_is_the_engines_own(spark):
+    text = "some words of été"
+    assert spark.range(1).select(F.xxhash64(F.lit(text))).first()[0] % 2**64 == plain_fingerprint(text)
