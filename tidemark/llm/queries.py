@@ -4,15 +4,28 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import simhash
+from tidemark.llm import packing, simhash, storage, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every document, packed into sequences of at most 2048 tokens."""
+    return packing.packed(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place and checksum, read back from the files that were written."""
+    folder = storage.scratch(spark, "token-files")
+    token_files.write(_table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"))
+    return token_files.read(spark, folder)
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
@@ -20,7 +33,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to query, in the order of the operators' numbers."""
-    return {f.__name__: f for f in (op10_simhash_near_dedup,)}
+    return {f.__name__: f for f in (op3_vector_packing, op9_token_files, op10_simhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -246,10 +246,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that name their component, one of each; all columns stay.
+    """The rows of ``docs`` whose id names their component, so one document of each; all columns stay.
 
-    Rows that repeat an id are told apart by nothing else, so of such rows with one text the first of a fixed order stays.
+    Rows that share an id are one document to this stage: they stay or go together.
     """
     found = near_duplicates(docs, id_col, text_col)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["_kept"]), "left_semi")
+    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(storage.small(storage.written(gone, "simhash-gone")), docs[id_col].eqNullSafe(F.col("_gone")), "left_anti")
