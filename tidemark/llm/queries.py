@@ -6,19 +6,36 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import packing, simhash, storage, token_files
+from tidemark.llm import packing, secrets, sharding, simhash, storage, token_counts, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every document, by a cache that is empty at first."""
+    return token_counts.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), storage.scratch(spark, "token-cache"))
+
+
 def op3_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of every document, packed into sequences of at most 2048 tokens."""
     return packing.packed(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document, by a ledger that is empty at first."""
+    found = secrets.secret_spans(_table(spark, sf_dir, "documents"), storage.scratch(spark, "secret-ledger"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
+def op7_bounded_load_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and place of every document, on a ring of eight shards."""
+    return sharding.sharded(_table(spark, sf_dir, "documents"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place and checksum, read back from the files that were written."""
     folder = storage.scratch(spark, "token-files")
@@ -33,7 +50,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to query, in the order of the operators' numbers."""
-    return {f.__name__: f for f in (op3_vector_packing, op9_token_files, op10_simhash_near_dedup)}
+    return {f.__name__: f for f in (op1_token_counts, op3_vector_packing, op4_secret_ledger, op7_bounded_load_ring, op9_token_files, op10_simhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of a side table that may be broadcast; a row of such tables is under 200 bytes.
-BROADCAST_ROWS = 100_000
+BROADCAST_ROWS = 20_000
 #: Bytes and rows that one Arrow batch may hold on its way to a Python worker.
 BATCH_BYTES, BATCH_ROWS = 8 << 20, 2_000
 
