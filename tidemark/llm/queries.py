@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontamination, packing, secrets, sharding, simhash, storage, token_counts, token_files
+from tidemark.llm import decontamination, language_id, packing, secrets, sharding, simhash, storage, token_counts, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,18 @@ def op7_bounded_load_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(_table(spark, sf_dir, "documents"))
 
 
+def op8_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, and whether it stays."""
+    return language_id.identified(_table(spark, sf_dir, "documents"), language_id.of_documents())
+
+
+def pages_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every page by its text, markup, address suffix and host."""
+    pages = _table(spark, sf_dir, "pages")
+    found = language_id.identified(pages.withColumn("text", language_id.page_text(F.col("html"))), language_id.of_pages(), "page_id")
+    return found.withColumnRenamed("doc_id", "page_id")
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place and checksum, read back from the files that were written."""
     folder = storage.scratch(spark, "token-files")
@@ -55,7 +67,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to query, in the order of the operators' numbers."""
-    return {f.__name__: f for f in (op1_token_counts, op3_vector_packing, op4_secret_ledger, op5_template_decontamination, op7_bounded_load_ring, op9_token_files, op10_simhash_near_dedup)}
+    return {f.__name__: f for f in (op1_token_counts, op3_vector_packing, op4_secret_ledger, op5_template_decontamination, op7_bounded_load_ring, op8_language_fusion, op9_token_files, op10_simhash_near_dedup, pages_language)}
 
 
 def oracle_sql() -> dict[str, str]:
