@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontamination, language_id, packing, secrets, sharding, simhash, storage, token_counts, token_files
+from tidemark.llm import decontamination, language_id, packing, pii, secrets, sharding, simhash, storage, token_counts, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,12 @@ def op5_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminations(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op6_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    found = pii.personal_spans(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 def op7_bounded_load_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard and place of every document, on a ring of eight shards."""
     return sharding.sharded(_table(spark, sf_dir, "documents"))
@@ -67,7 +73,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to query, in the order of the operators' numbers."""
-    return {f.__name__: f for f in (op1_token_counts, op3_vector_packing, op4_secret_ledger, op5_template_decontamination, op7_bounded_load_ring, op8_language_fusion, op9_token_files, op10_simhash_near_dedup, pages_language)}
+    return {f.__name__: f for f in (op1_token_counts, op3_vector_packing, op4_secret_ledger, op5_template_decontamination, op6_weak_supervision_pii, op7_bounded_load_ring, op8_language_fusion, op9_token_files, op10_simhash_near_dedup, pages_language)}
 
 
 def oracle_sql() -> dict[str, str]:
