@@ -12,7 +12,7 @@ behind a count of their rows, and joined by shuffle beyond it.
 
 A row is rejected if its text has no letters, if its trigrams are less likely under the best language
 than under none (all trigrams alike), or if the fused posterior of the best language is below
-``CONFIDENCE``. Where no language is declared often enough to be counted, every row with letters stays.
+``CONFIDENCE``. Where no language is declared at all, every row with letters stays.
 
 Defined cases: a null or empty text has no letters; a null declaration, suffix or host is no evidence; equal
 posteriors go to the first language in alphabetical order; null ids and repeated rows are kept row by row; an empty table
@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 from tidemark.llm import storage
 
 #: Hash buckets of trigrams, languages at most, and rows that a language needs to be counted.
-BUCKETS, LANGUAGES, LEAST_ROWS = 1 << 14, 64, 20
+BUCKETS, LANGUAGES, LEAST_ROWS = 1 << 14, 64, 1
 #: Weight of an overlapping trigram, of the smoothing in the text models, of the level above, and the least posterior.
 TRIGRAM_WEIGHT, SMOOTHING, LEVEL_WEIGHT, CONFIDENCE = 1 / 3, 0.5, 5.0, 0.5
 
