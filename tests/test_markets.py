@@ -1,0 +1,72 @@
+import datetime as dt
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from tidemark import schemas
+from tidemark.operators import markets
+from tidemark.plans import runs
+
+RAW = "conditionId string, slug string, question string, description string, tags array<struct<id:string,label:string,slug:string>>, startDate string, endDate string, resolutionDate string, clobTokenIds string, volume string, winner string, found_by string"
+NOW = "2030-01-01"
+
+
+def raw(cid="c1", tags=("nba", "nba-finals"), start="2024-08-01T00:00:00Z", end="2025-06-30T00:00:00Z", ids='["y","n"]', volume="50000", winner="Yes", found_by="nba", slug="s"):
+    return (cid, slug, "q?", None, [(str(i), t.title(), t) for i, t in enumerate(tags)], start, end, "", ids, volume, winner, found_by)
+
+
+def parse(spark, *rows):
+    df = spark.createDataFrame(list(rows), RAW)
+    return markets.parsed(df.withColumn("category", F.lit("nba")), F.lit(NOW).cast("timestamp")).orderBy("market_id").collect()
+
+
+def test_parse(spark):
+    a, b, c = parse(spark, raw(), raw("c2", ("single-game",), start=None, ids="", winner="yes", slug=""), raw("c3", (), ids="{", volume="x", end="bad", winner="NO"))
+    assert (a["market_type"], a["is_primary_sample"], a["resolved_outcome"], a["yes_token_id"], a["no_token_id"]) == ("championship", True, "YES", "y", "n")
+    assert a["tags"] == ["nba", "nba-finals"] and a["total_volume_usdc"] == 50000.0 and a["description"] == "" and a["_error"] is None
+    assert (b["market_type"], b["is_primary_sample"], b["resolved_outcome"], b["slug"], b["yes_token_id"]) == ("single_game", False, "INVALID", "c2", "")
+    assert b["created_at"] == dt.datetime(2030, 1, 1) and c["resolved_outcome"] == "NO"
+    assert c["_error"] == "endDate,clobTokenIds,volume"
+
+
+@pytest.mark.parametrize("tags, kind", [(["Super-Bowl"], "championship"), (["super-bowl-ads"], "other"), (["postseason"], "season_long"), (["NBA-Playoffs", "x"], "playoff_series"), (["conference"], "conference"), (["single_game"], "single_game"), ([], "other"), (["season", "semi-final"], "championship")])
+def test_cascade(spark, tags, kind):
+    df = spark.createDataFrame([(tags,)], "tags array<string>")
+    assert df.select(markets.market_type(F.col("tags"))).first()[0] == kind
+
+
+def test_categories_and_filter_bounds(spark):
+    rows = [raw("c1", found_by="nba"), raw("c1", found_by="nfl"), raw("c2", found_by="nba", volume="9999.99"), raw("c3", found_by="nope"), raw("c4", found_by="nfl", end="2024-08-31T00:00:00Z", volume="10000"), raw("c5", found_by="nfl", end="2024-08-30T23:59:59Z")]
+    made, bad = runs.universe(spark.createDataFrame(rows, RAW), {"nfl": ["nfl"], "nba": ["nba"]}, F.lit(NOW).cast("timestamp"))
+    assert sorted((r["market_id"], r["category"]) for r in made.collect()) == [("c1", "nfl"), ("c4", "nfl")]
+    assert made.schema == schemas.MARKET or made.columns == schemas.MARKET.names
+    assert bad.count() == 0
+
+
+def plain_links(rows):
+    """Every pair in order; the first parent stays."""
+    out = {}
+    for i, (m, cat, s, e) in enumerate(rows):
+        out[m] = None
+        for j, (n, c2, s2, e2) in enumerate(rows):
+            d, d2 = e - s, e2 - s2
+            if i != j and cat == c2 and d > 0 and (d < d2 or (d == d2 and i > j)) and max(0, min(e, e2) - max(s, s2)) / d > 0.5:
+                out[m] = n
+                break
+    return out
+
+
+def test_links_match_all_pairs(spark):
+    rng = random.Random(3)
+    rows = [(f"m{i:03d}", rng.choice("ab"), s := rng.randint(-50, 400) * 1000, s + rng.choice([0, -5000, 50_000, 100_000, rng.randint(1, 900) * 777])) for i in range(250)]
+    rows += [("x0", "h", 0, 100), ("x1", "h", 50, 250), ("x2", "h", 49, 249), ("x3", "h", 0, 100)]
+    df = spark.createDataFrame([(m, c, dt.datetime.fromtimestamp(s, dt.UTC), dt.datetime.fromtimestamp(e, dt.UTC), None) for m, c, s, e in rows], "market_id string, category string, created_at timestamp, end_at timestamp, parent_event_id string")
+    got = {r["market_id"]: r["parent_event_id"] for r in markets.linked(df).collect()}
+    assert got == plain_links(rows)
+    assert got["x0"] == "x2" and got["x3"] == "x0"
+
+
+def test_report(spark):
+    df = spark.createDataFrame([("a", True), ("a", False), ("a", False), ("b", True)], "category string, is_primary_sample boolean")
+    assert sorted(map(tuple, markets.category_report(df).collect())) == [("a", 3, 1, 2), ("b", 1, 1, 0)]

@@ -1,0 +1,62 @@
+import math
+
+import pytest
+from pyspark.sql import functions as F
+
+from tidemark import schemas
+from tidemark.functions import numbers
+from tidemark.operators import trades
+
+FIELDS = "transactionHash string, logIndex string, timestamp string, makerAssetId string, takerAssetId string, makerAmountFilled string, takerAmountFilled string, market_id string, yes_token_id string"
+
+
+def fill(maker, taker, maker_amount, taker_amount, n="1"):
+    return ("0xt", n, "100", maker, taker, str(maker_amount), str(taker_amount), "m", "YeS")
+
+
+def normal(spark, *fills):
+    return trades.normalized(spark.createDataFrame(list(fills), FIELDS)).orderBy("log_index").collect()
+
+
+def test_yes_and_no_fills(spark):
+    rows = normal(spark, fill("YES", trades.USDC, 1_000_000, 600_000, "1"), fill("NO", trades.USDC.upper().replace("0X", "0x"), 1_000_000, 400_000, "2"), fill(trades.USDC, "yes", 250_000, 1_000_000, "3"), fill(trades.USDC, "third", 100_000, 1_000_000, "4"))
+    assert [round(r["price_raw"], 9) for r in rows] == [0.6, 0.6, 0.25, 0.9]
+    assert [r["side"] for r in rows] == ["YES_BUY", "YES_SELL", "YES_SELL", "YES_BUY"]
+    assert all(abs(r["log_odds"] - math.log(r["price_raw"] / (1 - r["price_raw"]))) < 1e-12 for r in rows)
+    assert [r["size_usdc"] for r in rows] == [0.6, 0.4, 0.25, 0.1] and rows[0]["token_id"] == "yes"
+    bad = schemas.with_violations(trades.normalized(spark.createDataFrame([fill("YES", trades.USDC, 1, 5)], FIELDS)), "trade")
+    assert bad.where(F.size("violations") > 0).count() == 0
+
+
+def test_dropped_fills_and_large_amounts(spark):
+    assert normal(spark, fill("YES", trades.USDC, 0, 600_000), fill("YES", "NO", 5, 5), fill("YES", trades.USDC, "x", 5), fill("YES", trades.USDC, "9" * 39, 5)) == []
+    big = normal(spark, fill("YES", trades.USDC, 2 * 10**36, 10**36))
+    assert big[0]["price_raw"] == 0.5 and big[0]["size_usdc"] == 1e30
+
+
+def test_log_odds_are_clipped(spark):
+    got = spark.createDataFrame([(0.5,), (0.0,), (0.001,), (1.0,), (None,)], "p double").select(numbers.log_odds(F.col("p"))).collect()
+    values = [r[0] for r in got]
+    assert values[0] == 0 and values[1] == values[2] == pytest.approx(math.log(0.001 / 0.999)) and values[3] == pytest.approx(-values[1]) and values[4] is None
+
+
+def test_first_of_each_and_distinct_fills(spark):
+    rows = spark.createDataFrame([("a", "1", 1, 0, "x"), ("a", "1", 0, 1, "y"), ("a", "2", 1, 1, "z"), (None, "1", 0, 0, "w"), (None, "1", 0, 1, "v")], "transactionHash string, logIndex string, token_rank int, side_rank int, what string")
+    assert sorted(r["what"] for r in trades.distinct_fills(rows).collect()) == ["w", "y", "z"]
+    assert trades.distinct_fills(rows.limit(0)).collect() == []
+
+
+def test_tokens_counts_and_unknown_markets(spark):
+    own = spark.createDataFrame([("m", "c", True, "y", "n", None, None), ("k", "c", True, "", None, None, None), ("o", "c", False, "a", "b", None, None)], "market_id string, category string, is_primary_sample boolean, yes_token_id string, no_token_id string, created_at timestamp, end_at timestamp")
+    assert sorted((r["market_id"], r["token_id"], r["token_rank"]) for r in trades.tokens(own).collect()) == [("m", "n", 1), ("m", "y", 0)]
+    rows = spark.createDataFrame([("m",), ("m",), ("m",), ("zz",)], "market_id string")
+    assert [tuple(r) for r in trades.unknown(rows, own).collect()] == [("zz", 1)]
+    assert trades.known(rows, own).count() == 3
+    report = trades.count_report(trades.per_market(rows, own), ["category"]).collect()
+    assert [tuple(r) for r in report] == [("c", 3, 3, 0.0)]
+
+
+def test_order(spark):
+    rows = spark.createDataFrame([("m", 2, 0, "a"), ("m", 1, 5, "b"), ("m", 1, 2, "c")], "market_id string, ts_s long, log_index long, tx_hash string")
+    assert [r["tx_hash"] for r in trades.in_order(rows).collect()] == ["c", "b", "a"]
+    assert {r["tx_hash"]: r["place"] for r in trades.numbered(rows).collect()} == {"c": 1, "b": 2, "a": 3}

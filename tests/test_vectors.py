@@ -1,0 +1,72 @@
+import random
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from tidemark.operators import tuples, vectors
+
+
+def encoder():
+    """A deterministic stand-in for a sentence encoder."""
+    def encode(texts):
+        return np.stack([np.random.default_rng(sum(t.encode()) + len(t)).normal(size=8) for t in texts])
+
+    return encode
+
+
+def test_encoding_is_incremental(spark):
+    articles = spark.createDataFrame([("a", "title", None), ("b", None, "lede"), ("c", "x", "y")], "article_id string, title string, lede string")
+    old = spark.createDataFrame([("a", [0.0] * 8), ("gone", [1.0] * 8)], "article_id string, embedding array<float>")
+    found = {r["article_id"]: r["embedding"] for r in vectors.embedded_articles(articles, old, encoder).collect()}
+    assert set(found) == {"a", "b", "c", "gone"} and found["a"] == [0.0] * 8
+    assert abs(np.linalg.norm(found["b"]) - 1) < 1e-2
+    assert np.array_equal(np.float16(found["b"]).astype(np.float32), np.float32(found["b"]))
+    assert vectors.embedded_articles(articles, None, encoder).count() == 3
+    marks = spark.createDataFrame([("m", "q", "d")], "market_id string, question string, description string")
+    assert len(vectors.embedded_markets(marks, encoder).first()["embedding"]) == 8
+
+
+def test_half_precision_bytes(spark):
+    df = spark.createDataFrame([("a", [0.5, -2.0, 0.1]), ("b", None)], "article_id string, embedding array<float>")
+    packed = vectors.pack_half(df)
+    assert bytes(packed.where("article_id = 'a'").first()["embedding"]) == np.array([0.5, -2, 0.1], "<f2").tobytes()
+    back = {r[0]: r[1] for r in vectors.unpack_half(packed).collect()}
+    assert back["b"] is None and np.allclose(back["a"], np.float16([0.5, -2, 0.1]))
+
+
+def test_nearest_matches_all_pairs(spark, monkeypatch):
+    rng = random.Random(1)
+    rows = [(i, [rng.choice([-1.0, 0.5, 2.0]) for _ in range(3)], rng.randint(0, 50)) for i in range(90)]
+    corpus = spark.createDataFrame(rows, "id long, vector array<float>, at long").repartition(4)
+    asked = spark.createDataFrame([(i, v, 10, 40) for i, v, _ in rows[::9]] + [(99, [0.0, 0.0, 0.0], 60, 70)], "query_id long, vector array<float>, lo long, hi long")
+    for block in (2048, 4):
+        monkeypatch.setattr(vectors, "QUERY_BLOCK", block)
+        for window in (False, True):
+            want = []
+            for q, v, lo, hi in asked.collect():
+                near = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w, at in rows if not window or lo <= at <= hi)[:7]
+                want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(near)]
+            got = [tuple(r) for r in vectors.nearest(asked, corpus, 7, window).collect()]
+            assert sorted(got) == sorted((q, n, i, s + 0.0) for q, n, i, s in want)
+    assert vectors.nearest(asked, corpus, 500).count() == 11 * 90
+    assert vectors.nearest(asked, corpus.limit(0), 5).count() == 0 and vectors.nearest(asked.limit(0), corpus, 5).count() == 0
+
+
+def test_rows_are_numbered(spark):
+    ids = [f"a{i:03d}" for i in range(120)]
+    df = spark.createDataFrame([(i,) for i in reversed(ids)], "article_id string").repartition(5)
+    assert [tuple(r) for r in vectors.numbered(df).orderBy("faiss_row").collect()] == list(enumerate(ids))
+
+
+def test_tuples(spark):
+    markets = spark.createDataFrame([("m",), ("k",)], "market_id string")
+    trades = spark.createDataFrame([("m", 2, 0, "b"), ("m", 1, 0, "a")], "market_id string, ts_s long, log_index long, tx_hash string")
+    bars = spark.createDataFrame([("m", 60)], "market_id string, ts_min long")
+    events = spark.createDataFrame([("e2", "m", 5, True, ["x", "y"]), ("e1", "m", 3, False, ["x"])], "event_id string, market_id string, canonical_ts long, included_in_hawkes_likelihood boolean, member_article_ids array<string>")
+    articles = spark.createDataFrame([("x", True)], "article_id string, text_available boolean")
+    found = {r["market_id"]: r for r in tuples.tuples(markets, trades, bars, events, articles).collect()}
+    m, k = found["m"], found["k"]
+    assert [t["ts_s"] for t in m["trades"]] == [1, 2] and [e["event_id"] for e in m["news_events"]] == ["e1", "e2"]
+    assert (m["trade_count"], m["news_event_count"], m["hawkes_eligible_event_count"], m["has_full_text_pct"], m["passes_feasibility_gate"]) == (2, 2, 1, 50.0, None)
+    assert (k["trades"], k["trade_count"], k["bars_1min"], k["has_full_text_pct"]) == ([], 0, [], 0.0)
+    assert tuples.tuples(markets, trades, bars, events).select(F.sum("has_full_text_pct")).first()[0] == 0

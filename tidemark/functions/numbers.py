@@ -22,8 +22,8 @@ def log_odds(price: Column) -> Column:
 
 
 def amount(text: Column) -> Column:
-    """A token amount from its digits, exact up to 38 of them; null beyond or if it is no number."""
-    return text.try_cast("decimal(38,0)")
+    """A token amount as the double nearest to its up to 38 digits; null beyond or if it is no number. Short ones skip decimals."""
+    return F.when(F.length(text) <= 18, text.try_cast("long").cast("double")).otherwise(text.try_cast("decimal(38,0)").cast("double"))
 
 
 def floor_to(seconds: Column, width: int) -> Column:

@@ -62,7 +62,8 @@ def any_of(terms: Iterable[str]) -> str:
 
 def tag_names(tags: Column) -> Column:
     """The slug, else the label, of each tag struct."""
-    return F.transform(F.coalesce(tags, F.array().cast("array<struct<slug:string,label:string>>")), lambda t: F.coalesce(F.nullif(t["slug"], F.lit("")), t["label"], F.lit("")))
+    names = F.transform(tags, lambda t: F.coalesce(F.nullif(t["slug"], F.lit("")), t["label"], F.lit("")))
+    return F.coalesce(names, F.array().cast("array<string>"))
 
 
 def from_json_list(text: Column) -> Column:

@@ -50,20 +50,18 @@ def gkg_articles(gkg: DataFrame) -> DataFrame:
 
 
 def rss_articles(feeds: DataFrame) -> DataFrame:
-    """Articles from feeds ``(feed_url, source, xml)``; undated items have day precision and no time.
+    """Articles from feeds ``(feed_url, source, xml)``, of items or entries; undated ones have day precision and no time.
 
-    Reads the items' parts by path, so an item without a part has a null there.
+    Each item is parsed on its own, so an item without a part has a null there.
     """
-    def part(name: str) -> Column:
-        return F.expr(f"transform(sequence(1, n), i -> element_at(xpath(xml, concat('//item[', i, ']/{name}/text()')), 1))")
-
-    counted = feeds.withColumn("n", F.xpath_int("xml", F.lit("count(//item)"))).where("n > 0")
-    zipped = F.arrays_zip(*(part(x).alias(y) for x, y in (("link", "link"), ("title", "title"), ("description", "summary"), ("pubDate", "date"), ("guid", "guid"))))
-    items = counted.select("feed_url", "source", F.posexplode(zipped).alias("pos", "x")).select("feed_url", "source", "pos", "x.*")
-    when = times.rss(F.col("date"))
+    items = feeds.select("feed_url", "source", F.explode(F.regexp_extract_all("xml", F.lit(r"(?s)<(item|entry)\b.*?</\1\s*>"), F.lit(0))).alias("x"))
+    part = lambda *paths: F.coalesce(*(F.nullif(texts.stripped(F.xpath_string("x", F.lit(f"/*/{p}"))), F.lit("")) for p in paths))
+    parts = {"link": ("link", "link/@href"), "title": ("title",), "summary": ("description", "summary"), "date": ("pubDate", "published", "updated"), "guid": ("guid", "id")}
+    items = items.select("feed_url", "source", *(part(*paths).alias(name) for name, paths in parts.items()))
+    when = F.coalesce(times.rss(F.col("date")), times.iso(F.col("date")))
     about = F.to_json(F.struct("feed_url", F.coalesce("guid", F.lit("")).alias("entry_id")))
     precision = F.when(when.isNull(), "day").otherwise("minute")
-    return _article(items, url=F.trim("link"), source=F.col("source"), published_at=when, timestamp_precision=precision, title=F.coalesce("title", "link"), lede=texts.lede(F.col("summary")), raw_metadata_json=about)
+    return _article(items, url=F.col("link"), source=F.col("source"), published_at=when, timestamp_precision=precision, title=F.coalesce("title", "link"), lede=texts.lede(F.col("summary")), raw_metadata_json=about)
 
 
 def espn_articles(items: DataFrame, start: str, end: str, end_inclusive: bool = False) -> DataFrame:

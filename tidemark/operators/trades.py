@@ -26,8 +26,8 @@ def normalized(fills: DataFrame) -> DataFrame:
         (maker == USDC).alias("_by_maker"),
     ).where("_maker <> 0 and _taker <> 0 and (_by_taker or _by_maker)")
     token = F.when(F.col("_by_taker"), maker).otherwise(taker)
-    usdc = F.when(F.col("_by_taker"), F.col("_taker")).otherwise(F.col("_maker")).cast("double")
-    tokens = F.when(F.col("_by_taker"), F.col("_maker")).otherwise(F.col("_taker")).cast("double")
+    usdc = F.when(F.col("_by_taker"), F.col("_taker")).otherwise(F.col("_maker"))
+    tokens = F.when(F.col("_by_taker"), F.col("_maker")).otherwise(F.col("_taker"))
     yes = token == F.lower("yes_token_id")
     price = numbers.clipped(F.when(yes, usdc / tokens).otherwise(1 - usdc / tokens))
     bought = yes == F.col("_by_taker")

@@ -90,18 +90,15 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int, window: bool = False)
     found = None
     for part in range(parts):
         block = queries.select(*want).where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part).collect()  # about QUERY_BLOCK rows
-        names = np.array([r["query_id"] for r in block])
-        vectors = np.array([r["vector"] for r in block], float).reshape(len(block), -1)
+        names, vectors = np.array([r["query_id"] for r in block]), np.array([r["vector"] for r in block], float)
         bounds = np.array([(r["lo"], r["hi"]) for r in block]) if window else None
 
         def scan(batches: Iterator[pa.RecordBatch], names=names, vectors=vectors, bounds=bounds) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for at in range(0, batch.num_rows, STRIP):
+                for at in range(0, batch.num_rows if len(names) else 0, STRIP):
                     strip = batch.slice(at, STRIP)
                     ids = strip.column(0).to_numpy(zero_copy_only=False)
                     rows = strip.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(ids), -1)
-                    if not len(names):
-                        continue
                     scores = _inner(vectors, rows)
                     if bounds is not None:
                         when = strip.column(2).to_numpy(zero_copy_only=False)

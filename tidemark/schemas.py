@@ -64,7 +64,7 @@ RULES = {
     },
     "trade": lambda: {
         "price": _broken((F.col("price_raw") > 0) & (F.col("price_raw") < 1)),
-        "log_odds": _broken(F.abs(F.col("log_odds") - F.ln(F.col("price_raw") / (1 - F.col("price_raw")))) <= 1e-6),
+        "log_odds": _broken(F.abs(F.col("log_odds") - F.ln(F.try_divide("price_raw", 1 - F.col("price_raw")))) <= 1e-6),
         "side": _broken(F.col("side").isin(*SIDES)),
     },
     "article": lambda: {
