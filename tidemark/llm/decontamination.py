@@ -57,44 +57,45 @@ _GLUED = re.compile(r"(?<=\d)(?=[^\W\d_]|[%°])")
 _OUTER = re.compile(r"^[^\w%°+-]+|[^\w%°]+$")
 _PRIME, _PLACES = np.uint64(0x9E3779B97F4A7C15), np.array([b"<number>", b"<unit>", b"<name>"])
 _HOLDER = np.array([0, *(xxhash.xxh64_intdigest(bytes(x)) for x in _PLACES)], np.uint64)
-_ENDS = ".!?:;…"
+_ENDS, _CLOSERS = ".!?:;…", "\"')]}»”"
 
 
 class Words:
-    """Word to (hash, kind, may be a name, ends a sentence, stays) through a bounded table."""
+    """Word to its hash and facts through a bounded table; a fact byte holds the kind and whether it may be a name, ends a sentence, stays."""
 
     def __init__(self) -> None:
         self.table: dict[str, int] = {}
-        self.facts: list[tuple] = []
+        self.hashes, self.facts = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.uint8)
 
     def number(self, word: str) -> int:
-        """The word's row in the table."""
-        core = _OUTER.sub("", word) or ("%" if "%" in word else "")
+        """The row of a word that isn't in the table yet."""
+        if word.isalpha():
+            core = word
+        elif word[:-1].isalpha() and word[-1] in ".,;:!?":
+            core = word[:-1]
+        else:
+            core = _OUTER.sub("", word) or ("%" if "%" in word else "")
         low = core.lower()
-        kind = NUMBER if _NUMBER.match(core) or low in NUMBER_WORDS else UNIT if low in UNITS else WORD
+        kind = UNIT if low in UNITS else NUMBER if low in NUMBER_WORDS or not core.isalpha() and _NUMBER.match(core) else WORD
         named = kind == WORD and core[:1].isupper() and core[1:] != core[1:].upper()
-        self.facts.append((xxhash.xxh64_intdigest(low.encode("utf-8", "surrogatepass")), kind, named, word.rstrip("\"')]}»”")[-1:] in _ENDS, bool(core)))
-        self.table[word] = row = len(self.facts) - 1
+        ends = word[-1] in _ENDS or word[-1] in _CLOSERS and word.rstrip(_CLOSERS)[-1:] in _ENDS
+        row = self.table[word] = len(self.table)
+        if row == len(self.hashes):
+            self.hashes, self.facts = (np.concatenate([c, np.zeros_like(c)]) for c in (self.hashes, self.facts))
+        self.hashes[row] = xxhash.xxh64_intdigest(low.encode("utf-8", "surrogatepass"))
+        self.facts[row] = kind | named << 2 | ends << 3 | bool(core) << 4
         return row
 
     def rows(self, words: list[str]) -> np.ndarray:
         """The words' rows."""
         if len(self.table) > KEPT_WORDS:
             self.table.clear()
-            self.facts.clear()
-            self._arrays = None
         get, number = self.table.get, self.number
         return np.array([number(w) if (r := get(w)) is None else r for w in words], np.int64)
 
-    _arrays: list[np.ndarray] | None = None
 
-    def arrays(self) -> list[np.ndarray]:
-        """The facts as columns."""
-        if self._arrays is None or len(self._arrays[0]) < len(self.facts):
-            grown = list(zip(*self.facts[0 if self._arrays is None else len(self._arrays[0]) :]))
-            new = [np.array(x, t) for x, t in zip(grown, (np.uint64, np.int8, bool, bool, bool))]
-            self._arrays = new if self._arrays is None else [np.concatenate(x) for x in zip(self._arrays, new)]
-        return self._arrays
+#: The table of a worker; it lives on between tasks.
+_WORDS = Words()
 
 
 class Template:
@@ -107,7 +108,8 @@ class Template:
         if not len(rows):
             self.tokens, self.kinds, self.values = np.zeros(0, np.uint64), np.zeros(0, np.int8), np.zeros(0, np.uint64)
             return
-        hashes, kinds, named, ends, stays = (x[rows] for x in words.arrays())
+        hashes, facts = words.hashes[rows], words.facts[rows]
+        kinds, named, ends, stays = (facts & 3).astype(np.int8), (facts & 4) > 0, (facts & 8) > 0, (facts & 16) > 0
         first = np.concatenate([[True], ends[:-1]])
         kinds = np.where(named & ~first, NAME, kinds)
         hashes, kinds = hashes[stays], kinds[stays]
@@ -138,7 +140,7 @@ class Index:
     """The windows of a block of benchmark items."""
 
     def __init__(self, items: list[tuple[int | None, str | None]], window: int, similarity: float) -> None:
-        words, self.similarity = Words(), similarity
+        words, self.similarity = _WORDS, similarity
         self.items, at = [], defaultdict(list)
         for item_id, text in items:
             template = Template(text, words)
@@ -163,7 +165,9 @@ class Index:
         for size in self.sizes:
             hashes, _ = template.windows(size)
             maybe = np.flatnonzero(self.bits[size][(hashes >> np.uint64(44)).astype(np.int64)])
-            for p in maybe[np.isin(hashes[maybe], self.hashes[size])].tolist():
+            own = self.hashes[size]
+            place = np.minimum(np.searchsorted(own, hashes[maybe]), len(own) - 1)
+            for p in maybe[own[place] == hashes[maybe]].tolist():
                 for item, q in self.at[size, int(hashes[p])]:
                     near[item].append((p, q, size))
         found = []
@@ -219,9 +223,8 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     for block in _blocks(benchmark, item_id_col, item_text_col, window, similarity):
 
         def scan(batches: Iterator[pa.RecordBatch], index: Index = block) -> Iterator[pa.RecordBatch]:
-            words = Words()
             for batch in batches:
-                found = [(doc, *m) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for m in index.matches(text, words)]
+                found = [(doc, *m) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for m in index.matches(text, _WORDS)]
                 if found:
                     kinds = [batch.column(0).type, pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found), kinds)], [x.split()[0] for x in MATCHES.split(", ")])
@@ -238,9 +241,8 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text"
     for block in _blocks(benchmark, item_id_col, item_text_col, window, similarity):
 
         def keep(batches: Iterator[pa.RecordBatch], index: Index = block) -> Iterator[pa.RecordBatch]:
-            words = Words()
             for batch in batches:
-                yield batch.filter(pa.array([not index.matches(text, words) for text in batch.column(at).to_pylist()], pa.bool_()))
+                yield batch.filter(pa.array([not index.matches(text, _WORDS) for text in batch.column(at).to_pylist()], pa.bool_()))
 
         docs = docs.mapInArrow(keep, docs.schema)
     return docs
