@@ -46,7 +46,6 @@ def plain(rows, least):
     for r, d in zip(rows, declared):
         if d in counts:
             counts[d].update(li.trigrams(r[1]).tolist())
-    log = {x: {} for x in names}
     sums = {x: sum(c.values()) + li.SMOOTHING * li.BUCKETS for x, c in counts.items()}
     text = []
     for r in rows:
@@ -81,7 +80,9 @@ def plain(rows, least):
             post = [a + math.log((x + 5 * q) / (m + 5)) for a, x, m in zip(post, n, said)]
         top = max(post)
         conf = 1 / sum(math.exp(x - top) for x in post)
-        ok = bool(grams) and max(s) >= -grams * math.log(li.BUCKETS) and conf >= li.CONFIDENCE
+        best = names[s.index(max(s))] if s else None
+        likely = sum((counts[best][g] + li.SMOOTHING) / sums[best] >= 1 / li.BUCKETS for g in li.trigrams(r[1]).tolist()) if s else 0
+        ok = bool(grams) and likely >= li.LIKELY_SHARE * grams and conf >= li.CONFIDENCE
         out.append((r[0], names[post.index(top)], round(conf, 6), t, d, ok))
     return out
 

@@ -10,8 +10,8 @@ languages are the labels from which the text models are counted.
 The driver sees ``LANGUAGES`` x ``BUCKETS`` counts at most. Host and suffix tables are broadcast only
 behind a count of their rows, and joined by shuffle beyond it.
 
-A row is rejected if its text has no letters, if its trigrams are less likely under the best language
-than under none (all trigrams alike), or if the fused posterior of the best language is below
+A row is rejected if its text has no letters, if fewer than ``LIKELY_SHARE`` of its trigrams are likelier in the
+language that its text tells than if all trigrams were alike, or if the fused posterior of the best language is below
 ``CONFIDENCE``. Where no language is declared at all, every row with letters stays.
 
 Defined cases: a null or empty text has no letters; a null declaration, suffix or host is no evidence; equal
@@ -37,6 +37,8 @@ from tidemark.llm import storage
 BUCKETS, LANGUAGES, LEAST_ROWS = 1 << 14, 64, 1
 #: Weight of an overlapping trigram, of the smoothing in the text models, of the level above, and the least posterior.
 TRIGRAM_WEIGHT, SMOOTHING, LEVEL_WEIGHT, CONFIDENCE = 1 / 3, 0.5, 5.0, 0.5
+#: Least share of a text's trigrams that a language must explain better than chance; a name or key in a short text doesn't spoil it.
+LIKELY_SHARE = 0.2
 
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[128:] = np.arange(128, 256)
@@ -96,16 +98,18 @@ def text_models(prepared: DataFrame, least_rows: int = LEAST_ROWS) -> tuple[list
 
 
 def _scored(prepared: DataFrame, weights: np.ndarray) -> DataFrame:
-    """Adds the texts' log likelihoods in each language, the number of trigrams, and drops nothing."""
-    at = prepared.columns.index("_li_text")
+    """Adds the texts' log likelihoods in each language, the trigrams, and those likelier than chance in the best language."""
+    at, chance = prepared.columns.index("_li_text"), -np.log(BUCKETS)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [trigrams(x) for x in batch.column(at).to_pylist()]
             sums = [weights[x].sum(axis=0) for x in found]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sums, pa.list_(pa.float64())), pa.array(map(len, found), pa.int64())], [*batch.schema.names, "_li_text_log", "_li_trigrams"])
+            likely = [int((weights[x, s.argmax()] >= chance).sum()) if len(s) else len(x) for x, s in zip(found, sums)]
+            added = [pa.array(sums, pa.list_(pa.float64())), pa.array(map(len, found), pa.int64()), pa.array(likely, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, "_li_text_log", "_li_trigrams", "_li_likely"])
 
-    schema = T.StructType([*prepared.schema.fields, T.StructField("_li_text_log", T.ArrayType(T.DoubleType())), T.StructField("_li_trigrams", T.LongType())])
+    schema = T.StructType([*prepared.schema.fields, T.StructField("_li_text_log", T.ArrayType(T.DoubleType())), T.StructField("_li_trigrams", T.LongType()), T.StructField("_li_likely", T.LongType())])
     return prepared.mapInArrow(score, schema)
 
 
@@ -164,7 +168,7 @@ def _fused(docs: DataFrame, keep: list[str], text_col: str, evidence: Evidence,
     out = joined.withColumn("_li_log", fused)
     top = F.array_max("_li_log")
     confidence = 1 / F.aggregate("_li_log", F.lit(0.0), lambda a, x: a + F.exp(x - top))
-    plausible = F.array_max("_li_text_log") >= F.col("_li_trigrams") * float(-np.log(BUCKETS))
+    plausible = F.col("_li_likely") >= LIKELY_SHARE * F.col("_li_trigrams")
     accepted = (F.col("_li_trigrams") > 0) & plausible & (confidence >= CONFIDENCE)
     return out.select(*keep, _best(F.col("_li_log"), names).alias("_li_lang"), confidence.alias("_li_confidence"), told, "_li_declared", accepted.alias("_li_accepted"))
 
