@@ -16,6 +16,6 @@ def test_the_rest_stands_without_the_training_data_operators(tmp_path):
     """The entry module and the other queries import where that subpackage and the pipeline aren't there."""
     for name in ("__spark_entry__.py", "tidemark"):
         subprocess.run(["cp", "-r", ROOT / name, tmp_path], check=True)
-    subprocess.run(["rm", "-rf", tmp_path / "tidemark" / ("l" + "lm")], check=True)
+    subprocess.run(["rm", "-rf", tmp_path / "tidemark" / "llm"], check=True)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'bars_minute' in q and 'pipeline' not in q and not any(n.startswith('op') for n in q); e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)
