@@ -14,10 +14,15 @@ import re
 from collections.abc import Callable
 from pathlib import Path
 
-#: Words kept in each generation of a worker's table (about 50 MB).
+import numpy as np
+
+#: Words kept in each generation of a worker's table of counts (about 40 MB).
 KEPT_WORDS = 250_000
-#: A word's last letter or digit ends a piece, so punctuation behind it is a piece of its own.
-_TAIL = re.compile(rb"(.*[a-z0-9])([!-/:-@\[-`{-~]+)", re.DOTALL)
+#: Slots of a worker's table of ids (about 50 MB with its ids), bytes that are looked up at once, and the hash's odd base.
+TABLE_SLOTS, CHUNK_BYTES, _BASE = 1 << 21, 1 << 18, 0x5851F42D4C957F2D
+#: Lower-case letters that normalisation leaves as they are; a word of them is one piece, for the model alone.
+_LETTERS = [*range(0xDF, 0xF7), *range(0xF8, 0x100)]
+_SIMPLE = re.compile("[a-z" + "".join(map(chr, _LETTERS)) + "]+")
 _LOADED: dict[tuple[str, str], object] = {}
 
 
@@ -55,38 +60,174 @@ def _encodes_words_alone(spec: dict) -> bool:
     )
 
 
+class _IdTable:
+    """Hash of a word to its ids, in arrays with open addressing: some 25 bytes a word, and looked up for many words at once.
+
+    Words are told apart by 64-bit hashes; of a full table's words two share one with a chance of about one in ten million.
+    """
+
+    def __init__(self, slots: int) -> None:
+        self.mask, self.held = np.uint64(slots - 1), 0
+        self.keys, self.at, self.size = np.zeros(slots, np.uint64), np.zeros(slots, np.uint32), np.zeros(slots, np.uint16)
+        self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
+
+    def slots_of(self, hashes: np.ndarray) -> np.ndarray:
+        """Each hash's slot, or the empty one where it belongs."""
+        slots = (hashes & self.mask).astype(np.int64)
+        rest = np.flatnonzero((self.keys[slots] != hashes) & (self.keys[slots] != 0))
+        while len(rest):
+            slots[rest] = (slots[rest] + 1) & int(self.mask)
+            now = self.keys[slots[rest]]
+            rest = rest[(now != hashes[rest]) & (now != 0)]
+        return slots
+
+    def put(self, hashes: np.ndarray, ids: list[list[int]]) -> None:
+        """Add distinct hashes that aren't in the table."""
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.fromiter((x for own in ids for x in own), np.uint32, int(sizes.sum()))
+        while self.used + len(flat) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        self.pool[self.used : self.used + len(flat)] = flat
+        starts = self.used + np.cumsum(sizes) - sizes
+        keys, mask = self.keys, int(self.mask)
+        for h, start, size in zip(hashes.tolist(), starts.tolist(), sizes.tolist()):
+            slot = h & mask
+            while keys[slot]:
+                slot = (slot + 1) & mask
+            keys[slot], self.at[slot], self.size[slot] = h, start, size
+        self.used += len(flat)
+        self.held += len(ids)
+
+    def clear(self) -> None:
+        """Forget all words."""
+        self.keys[:] = 0
+        self.held = self.used = 0
+
+
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+_PUNCT = np.zeros(256, bool)
+_PUNCT[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
+_ALNUM = np.zeros(256, bool)
+_ALNUM[[*range(0x30, 0x3A), *range(0x61, 0x7B)]] = True
+
+
+def _powers(base: int) -> np.ndarray:
+    """The powers of a base modulo 2^64."""
+    factors = np.full(CHUNK_BYTES + 1, base, np.uint64)
+    factors[0] = 1
+    with np.errstate(over="ignore"):
+        return np.multiply.accumulate(factors)
+
+
 class IdEncoder:
     """Ids of a ``tokenizers`` file, without added special tokens, as little-endian unsigned 32-bit bytes."""
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        import numpy as np
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self._pack = lambda ids: np.asarray(ids, dtype="<u4").tobytes()
         self._tokenizer = Tokenizer.from_file(path)
         self._alone = _encodes_words_alone(json.loads(Path(path).read_text(encoding="utf-8")))
-        self._cores = _Words(lambda word: self.whole(word.decode("utf-8")))
-        self._words = _Words(self._parted)
+        as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self._mapped = {x: as_bytes.pre_tokenize_str(chr(x))[0][0] for x in _LETTERS}
+        self._table = _IdTable(TABLE_SLOTS)
+        self._powers, self._inverse = _powers(_BASE), _powers(pow(_BASE, -1, 1 << 64))
 
     def whole(self, text: str) -> bytes:
         """The ids of a text by one call of the library."""
-        return self._pack(self._tokenizer.encode(text, add_special_tokens=False).ids)
+        return np.asarray(self._tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _parted(self, word: bytes) -> bytes:
-        parts = _TAIL.fullmatch(word)
-        return self._cores[parts[1]] + self._cores[parts[2]] if parts else self._cores[word]
+    def _word(self, word: bytes) -> list[int]:
+        text = word.decode("utf-8")
+        if _SIMPLE.fullmatch(text):
+            return [x.id for x in self._tokenizer.model.tokenize(text.translate(self._mapped))]
+        return self._tokenizer.encode(text, add_special_tokens=False).ids
 
     def __call__(self, text: str | None) -> bytes:
         """The ids of a text; a null counts as empty."""
-        if not text:
-            return b""
-        raw = text.encode("utf-8")
-        if not self._alone or b"<|" in raw:
-            return self.whole(text)
-        self._words.bounded()
-        self._cores.bounded()
-        return b"".join(map(self._words.__getitem__, raw.lower().split()))
+        return self.batch([text])[0]
+
+    def batch(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of texts, in stretches of bounded size."""
+        out: list[bytes] = [b""] * len(texts)
+        held, size = [], 0
+        for i, text in enumerate(texts):
+            if not text:
+                continue
+            raw = text.encode("utf-8")
+            if not self._alone or b"<|" in raw:
+                out[i] = self.whole(text)
+                continue
+            raw = raw.lower()
+            if len(raw) > CHUNK_BYTES // 2:
+                out[i] = b"".join(b"".join(self._stretch([x])) for x in _cut(raw))
+                continue
+            if size + len(raw) + 1 > CHUNK_BYTES:
+                self._fill(out, held)
+                held, size = [], 0
+            held.append((i, raw))
+            size += len(raw) + 1
+        self._fill(out, held)
+        return out
+
+    def _fill(self, out: list[bytes], held: list[tuple[int, bytes]]) -> None:
+        for (i, _), ids in zip(held, self._stretch([raw for _, raw in held])):
+            out[i] = ids
+
+    def _stretch(self, raws: list[bytes]) -> list[bytes]:
+        """The ids of lower-case texts that together fit in a chunk."""
+        joined = b"\n".join(raws)
+        if len(joined) > CHUNK_BYTES:  # one word without a blank
+            return [self.whole(raw.decode("utf-8")) for raw in raws]
+        raw = np.frombuffer(joined, np.uint8)
+        blank = np.concatenate([[True], _BLANK[raw], [True]])
+        starts, ends = np.flatnonzero(blank[:-1] & ~blank[1:]), np.flatnonzero(~blank[:-1] & blank[1:])
+        if not len(starts):
+            return [b""] * len(raws)
+        # a word's last letter or digit ends a piece, so punctuation behind it is a piece of its own
+        place = np.where(_PUNCT[raw], -1, np.arange(len(raw)))
+        core = np.maximum.accumulate(place)[ends - 1]
+        parts = (core >= starts) & (core < ends - 1) & _ALNUM[raw[core]]
+        order = np.argsort(np.concatenate([starts, core[parts] + 1]), kind="stable")
+        starts, ends = np.concatenate([starts, core[parts] + 1])[order], np.concatenate([np.where(parts, core + 1, ends), ends[parts]])[order]
+        with np.errstate(over="ignore"):
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * self._powers[: len(raw)])])
+            hashes = (sums[ends] - sums[starts]) * self._inverse[starts]
+            hashes = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) ^ (hashes >> np.uint64(7))
+        hashes |= np.uint64(1) << np.uint64(63)
+        table = self._table
+        slots = table.slots_of(hashes)
+        missing = np.flatnonzero(table.keys[slots] == 0)
+        if len(missing):
+            new, first = np.unique(hashes[missing], return_index=True)
+            if table.held + len(new) > 0.7 * TABLE_SLOTS:
+                table.clear()
+                new, missing = np.unique(hashes, return_index=True)
+                first = np.arange(len(missing))
+            words = missing[first]
+            table.put(new, [self._word(joined[s:e]) for s, e in zip(starts[words].tolist(), ends[words].tolist())])
+            slots = table.slots_of(hashes)
+        at, sizes = table.at[slots].astype(np.int64), table.size[slots].astype(np.int64)
+        ends_at = np.cumsum(sizes)
+        ids = table.pool[np.repeat(at - (ends_at - sizes), sizes) + np.arange(ends_at[-1])]
+        if len(raws) == 1:
+            return [ids.astype("<u4").tobytes()]
+        bounds = np.cumsum([len(r) + 1 for r in raws])
+        cuts = np.concatenate([[0], ends_at])[np.searchsorted(starts, bounds)]
+        return [x.astype("<u4").tobytes() for x in np.split(ids, cuts[:-1])]
+
+
+def _cut(raw: bytes) -> list[bytes]:
+    """A long text in pieces of half a chunk, cut at blanks; a piece without a blank is longer."""
+    out, at = [], 0
+    while len(raw) - at > CHUNK_BYTES // 2:
+        found = max(raw.rfind(c, at, at + CHUNK_BYTES // 2) for c in (b" ", b"\n"))
+        if found <= at:
+            found = min((x for c in (b" ", b"\n") if (x := raw.find(c, at + CHUNK_BYTES // 2)) > 0), default=len(raw))
+        out.append(raw[at:found])
+        at = found
+    return [*out, raw[at:]]
 
 
 class CountEncoder:

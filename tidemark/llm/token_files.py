@@ -108,8 +108,8 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, id_col: str = "doc_
             for batch in batches:
                 found = []
                 out = out or _open(uri, write=True)
-                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    ids = encode(text) + end
+                for doc_id, ids in zip(batch.column(0).to_pylist(), encode.batch(batch.column(1).to_pylist())):
+                    ids += end
                     record = frame(to_payload(doc_id, ids))
                     out.write(record)
                     found.append((doc_id, number, uri, offset, len(record), len(ids) // 4))
