@@ -31,9 +31,20 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+_MADE: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that no other call uses."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path in the shared folder that no other call uses. It stays, for results that are read later, until ``release``."""
+    _MADE.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+def release(spark: SparkSession) -> None:
+    """Delete what this process wrote to the shared folder; only once no result of it is read any more."""
+    while _MADE:
+        where = spark._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
