@@ -146,8 +146,9 @@ def packed(
 
         for batch in batches:
             kinds[:] = [batch.column(0).type]
-            for doc, text, first in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                packer.add(doc, encode(text) + end, first)
+            docs, texts, firsts = (batch.column(i).to_pylist() for i in range(3))
+            for doc, ids, first in zip(docs, encode.batch(texts), firsts):
+                packer.add(doc, ids + end, first)
             yield from out()
         packer.pack()
         yield from out()
