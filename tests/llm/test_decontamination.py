@@ -92,3 +92,29 @@ def test_common_passage_and_empty_tables(spark):
     assert set(found(spark, docs)) == {(d, i) for d in range(200) for i in (2, 6)}
     assert found(spark, []) == {}
     assert found(spark, docs, []) == {}
+
+
+def test_names_at_any_place_and_in_any_case(spark):
+    items = [
+        (1, "Tom has 5 apples. Tom buys 7 more apples at the market. How many apples does Tom have now?"),
+        (2, "What is the capital of France?"),
+        (3, "Who wrote Hamlet?"),
+    ]
+    changed = items[0][1].replace("Tom", "Anna").replace("5", "31").replace("7", "12")
+    docs = [
+        (1, changed),
+        (2, f"Here is a quiz {changed}"),
+        (3, f"A Quiz {changed}"),
+        (4, "Trivia - What is the capital of France?"),
+        (5, "what is the capital of france"),
+        (6, "WHAT IS THE CAPITAL OF FRANCE"),
+        (7, "Trivia - What is the capital of Spain?"),
+        (8, "Trivia - Who wrote Hamlet?"),
+        (9, "and who wrote hamlet"),
+        (10, "Trivia - Who wrote Macbeth?"),
+        (11, "Bob wrote Macbeth. They say Ann wrote Hamlet"),
+        (12, "Anna has 5 apples. Bob buys 7 more apples at the market. How many apples does Carl have now?"),
+        (13, "what is the capital of spain"),
+    ]
+    expected = {(1, 1), (2, 1), (3, 1), (4, 2), (5, 2), (6, 2), (7, 2), (8, 3), (9, 3), (10, 3)}
+    assert set(found(spark, docs, items)) == expected

@@ -8,8 +8,11 @@ each other: one value of the item must stand for one value of the document throu
 doesn't count. A document is contaminated by an item if ``SIMILARITY`` of the item's windows are found
 so, be the slots' values the item's own or new ones (a re-parameterised question).
 
+Whether a capitalised word is a name can't be told where a sentence begins, and case and sentence ends differ
+between copies. So windows are hashed in three typings (``Template``), and a window is found if it is in any.
+
 Windows of fewer than two plain words say too little and count on neither side, unless an item has no
-others; an item shorter than a window is one window. The benchmark's windows are joined on the map side: they
+others; an item shorter than a window is one window. A sentence's first word typed as a name counts as plain if it is the item's own. The benchmark's windows are joined on the map side: they
 go to the tasks in blocks of bounded size, as many as the benchmark needs, and documents aren't shuffled.
 
 Defined cases: null or empty texts and items match nothing; null ids and repeated rows are kept row by row; empty
@@ -19,8 +22,9 @@ tables give no matches; extra columns are left out of matches and kept by the fi
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +41,7 @@ BLOCK_CHARS = 8 << 20
 KEPT_WORDS = 300_000
 
 WORD, NUMBER, UNIT, NAME = range(4)
+INSIDE, CAPITAL, LITERAL = range(3)
 #: Numbers and units as words, in the corpus's four languages.
 NUMBER_WORDS = frozenset(
     "zero one two three four five six seven eight nine ten eleven twelve twenty thirty forty fifty hundred thousand million "
@@ -98,108 +103,177 @@ class Words:
 _WORDS = Words()
 
 
+class View(NamedTuple):
+    """A text's template tokens in one typing: hashes, kinds, what placeholders stand for, places of their first words, last words, and names that begin a sentence."""
+
+    tokens: np.ndarray
+    kinds: np.ndarray
+    values: np.ndarray
+    starts: np.ndarray
+    lasts: np.ndarray
+    opens: np.ndarray
+
+    def windows(self, size: int) -> np.ndarray:
+        """Hash of each window of ``size`` tokens."""
+        n = len(self.tokens) - size + 1
+        if n < 1:
+            return np.zeros(0, np.uint64)
+        whole = self.tokens[:n].copy()
+        with np.errstate(over="ignore"):
+            for i in range(1, size):
+                whole *= _PRIME
+                whole += self.tokens[i : i + n]
+            whole *= _PRIME
+        return whole ^ (whole << np.uint64(32))
+
+    def plain(self, size: int) -> np.ndarray:
+        """Number of plain words of each window of ``size`` tokens."""
+        sums = np.concatenate([[0], np.cumsum(self.kinds == WORD)])
+        return sums[size:] - sums[:-size]
+
+
 class Template:
-    """A text's template tokens: hashes, kinds, and the hashes of what the placeholders stand for."""
+    """A text's template tokens in three typings of its capitalised words.
+
+    ``INSIDE``: names but for a sentence's first word; ``CAPITAL``: names wherever they stand; ``LITERAL``: plain words.
+    """
 
     def __init__(self, text: str | None, words: Words) -> None:
         text = text or ""
         found = (_GLUED.sub(" ", text) if any(map(str.isdigit, set(text))) else text).split()
         rows = words.rows(found)
-        if not len(rows):
-            self.tokens, self.kinds, self.values = np.zeros(0, np.uint64), np.zeros(0, np.int8), np.zeros(0, np.uint64)
-            return
         hashes, facts = words.hashes[rows], words.facts[rows]
         kinds, named, ends, stays = (facts & 3).astype(np.int8), (facts & 4) > 0, (facts & 8) > 0, (facts & 16) > 0
-        first = np.concatenate([[True], ends[:-1]])
-        kinds = np.where(named & ~first, NAME, kinds)
-        hashes, kinds = hashes[stays], kinds[stays]
-        if (names := kinds == NAME).any():  # a run of names is one, with the values of all
-            lead = ~(names & np.concatenate([[False], names[:-1]]))
-            starts = np.flatnonzero(lead)
-            with np.errstate(over="ignore"):
-                mixed = hashes * (np.arange(len(hashes), dtype=np.uint64) - np.repeat(starts, np.diff([*starts, len(hashes)])).astype(np.uint64) + np.uint64(1)) * _PRIME
-                hashes = np.where(names[starts], np.add.reduceat(mixed, starts), hashes[starts])
-            kinds = kinds[starts]
-        self.values, self.kinds = hashes, kinds
-        self.tokens = np.where(kinds == WORD, hashes, _HOLDER[kinds])
-
-    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """Hash and number of plain words of each window of ``size`` tokens."""
-        n = len(self.tokens) - size + 1
-        if n < 1:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        whole, plain = np.full(n, np.uint64(size)), np.zeros(n, np.int64)
+        first = np.concatenate([[True], ends[:-1]])[: len(rows)]
+        if not stays.all():
+            hashes, kinds, named, first = hashes[stays], kinds[stays], named[stays], first[stays]
+        literal = View(np.where(kinds == WORD, hashes, _HOLDER[kinds]), kinds, hashes, np.arange(len(hashes)), hashes, np.zeros(len(hashes), bool))
+        if named.any():
+            opening = named & first
+            inside = self._view(hashes, kinds, named & ~first, first, np.zeros(len(hashes), bool))
+            self.views = [inside, self._view(hashes, kinds, named, first, opening) if opening.any() else inside, literal]
+        else:
+            self.views = [literal, literal, literal]
+
+    @staticmethod
+    def _view(hashes: np.ndarray, kinds: np.ndarray, names: np.ndarray, first: np.ndarray, opens: np.ndarray) -> View:
+        """A run of names in a sentence is one, with the values of all."""
+        starts = np.flatnonzero(~names | first | ~np.concatenate([[False], names[:-1]]))
+        kinds = np.where(names, NAME, kinds)[starts]
         with np.errstate(over="ignore"):
-            for i in range(size):
-                whole = (whole ^ (whole >> np.uint64(29))) * _PRIME + self.tokens[i : i + n]
-                plain += self.kinds[i : i + n] == WORD
-        return whole, plain
+            mixed = hashes * (np.arange(len(hashes), dtype=np.uint64) - np.repeat(starts, np.diff([*starts, len(hashes)])).astype(np.uint64) + np.uint64(1)) * _PRIME
+            values = np.where(names[starts], np.add.reduceat(mixed, starts), hashes[starts])
+        return View(np.where(kinds == WORD, values, _HOLDER[kinds]), kinds, values, starts, hashes[np.append(starts[1:], len(hashes)) - 1], opens[starts])
+
+
+class Item(NamedTuple):
+    """A benchmark item, how many of its windows count, and the plain words that a window needs."""
+
+    item_id: int | None
+    template: Template
+    total: int
+    need: int
 
 
 class Index:
-    """The windows of a block of benchmark items."""
+    """The windows of a block of benchmark items in every typing, as arrays in the order of their hashes."""
 
     def __init__(self, items: list[tuple[int | None, str | None]], window: int, similarity: float) -> None:
         words, self.similarity = _WORDS, similarity
-        self.items, at = [], defaultdict(list)
+        self.items: list[Item] = []
+        at: dict[int, list[tuple[np.ndarray, np.ndarray]]] = defaultdict(list)
         for item_id, text in items:
             template = Template(text, words)
-            if not len(template.tokens):
+            base = template.views[INSIDE]
+            if not len(base.tokens):
                 continue
-            size = min(window, len(template.tokens))
-            hashes, plain = template.windows(size)
-            said = plain >= min(PLAIN_WORDS, plain.max())
-            for q in np.flatnonzero(said):
-                at[size, int(hashes[q])].append((len(self.items), int(q)))
-            self.items.append((item_id, template, int(said.sum())))
-        self.at = dict(at)
-        self.sizes = sorted({size for size, _ in at})
-        self.hashes = {s: np.array(sorted(h for size, h in at if size == s), np.uint64) for s in self.sizes}
-        self.bits = {s: np.zeros(1 << 20, bool) for s in self.sizes}
+            plain = base.plain(min(window, len(base.tokens)))
+            need = min(PLAIN_WORDS, int(plain.max()))
+            said = np.flatnonzero(plain >= need)
+            for typing, view in enumerate(template.views):
+                size = min(window, len(view.tokens))
+                hashes = view.windows(size)
+                # the window that holds the counted one: from the token with its first word on, or the last
+                own = np.minimum(np.searchsorted(view.starts, base.starts[said], "right") - 1, len(hashes) - 1)
+                at[size].append((hashes[own], np.stack([np.full(len(own), typing), np.full(len(own), len(self.items)), said, own]).T.astype(np.int32)))
+            self.items.append(Item(item_id, template, len(said), need))
+        self.window, self.sizes = window, sorted(at)
+        self.hashes, self.entries, self.bits = {}, {}, {}
         for s in self.sizes:
-            self.bits[s][(self.hashes[s] >> np.uint64(44)).astype(np.int64)] = True
+            hashes, entries = (np.concatenate(x) for x in zip(*at[s]))
+            order = np.argsort(hashes, kind="stable")
+            self.hashes[s], self.entries[s], self.bits[s] = hashes[order], entries[order], np.zeros(1 << 20, bool)
+            self.bits[s][(hashes >> np.uint64(44)).astype(np.int64)] = True
+
+    def _hits(self, view: View, size: int) -> list[tuple[int, list[list[int]]]]:
+        """A view's windows that items have, with their entries."""
+        hashes, own = view.windows(size), self.hashes[size]
+        maybe = np.flatnonzero(self.bits[size][(hashes >> np.uint64(44)).astype(np.int64)])
+        low, high = (np.searchsorted(own, hashes[maybe], side) for side in ("left", "right"))
+        return [(int(maybe[i]), self.entries[size][low[i] : high[i]].tolist()) for i in np.flatnonzero(low < high).tolist()]
 
     def matches(self, text: str | None, words: Words) -> list[tuple]:
         """``(item_id, coverage, windows, slots, changed slots)`` of the items that contaminate a text."""
         template, near = Template(text, words), defaultdict(list)
         for size in self.sizes:
-            hashes, _ = template.windows(size)
-            maybe = np.flatnonzero(self.bits[size][(hashes >> np.uint64(44)).astype(np.int64)])
-            own = self.hashes[size]
-            place = np.minimum(np.searchsorted(own, hashes[maybe]), len(own) - 1)
-            for p in maybe[own[place] == hashes[maybe]].tolist():
-                for item, q in self.at[size, int(hashes[p])]:
-                    near[item].append((p, q, size))
+            hits: list[tuple[int, list[list[int]]]] = []
+            for typing, view in enumerate(template.views):
+                if not typing or view is not template.views[typing - 1]:
+                    hits = self._hits(view, size)
+                for p, entries in hits:
+                    for own, item, k, q in entries:
+                        if own == typing:
+                            near[item].append((p, typing, k, q, size))
         found = []
-        for item, pairs in near.items():
-            item_id, own, total = self.items[item]
-            if len({q for _, q, _ in pairs}) < self.similarity * total:
+        for number, hits in near.items():
+            item = self.items[number]
+            if len({k for _, _, k, _, _ in hits}) < self.similarity * item.total:
                 continue
-            best, cluster = (0, 0, 0), []
-            for pair in [*sorted(pairs), None]:
-                if cluster and (pair is None or pair[0] - cluster[-1][0] > len(own.tokens)):
-                    best = max(best, self._consistent(template, own, cluster))
+            best, cluster, base = (0, 0, 0), [], template.views[INSIDE].starts
+            place = [int(np.searchsorted(base, template.views[typing].starts[p], "right")) for p, typing, *_ in hits]
+            last = 0
+            for at, hit in [*sorted(zip(place, hits)), (0, None)]:
+                if cluster and (hit is None or at - last > len(item.template.views[INSIDE].tokens)):
+                    best = max(best, self._consistent(template, item, cluster))
                     cluster = []
-                cluster.append(pair)
-            if best[0] >= self.similarity * total:
-                found.append((item_id, best[0] / total, best[0], best[1], best[2]))
+                cluster.append(hit)
+                last = at
+            if best[0] >= self.similarity * item.total:
+                found.append((item.item_id, best[0] / item.total, best[0], best[1], best[2]))
         return found
 
-    @staticmethod
-    def _consistent(template: Template, own: Template, pairs: list[tuple[int, int, int]]) -> tuple[int, int, int]:
+    def _slots(self, template: Template, item: Item, hit: tuple[int, ...]) -> list[tuple] | None:
+        """The item's slots in a window with what stands for them; none if the window says too little or differs behind it."""
+        p, typing, k, q, size = hit
+        own, other = item.template.views[typing], template.views[typing]
+        if typing == LITERAL:  # a counted window with names in it has more words
+            base = item.template.views[INSIDE]
+            end = min(k + self.window, len(base.starts))
+            size = max(size, int([*base.starts, len(own.tokens)][end]) - q)
+            if not np.array_equal(own.tokens[q : q + size], other.tokens[p : p + size]):
+                return None
+        elif typing == CAPITAL:
+            same = own.opens[q : q + size] & (own.lasts[q : q + size] == other.lasts[p : p + size])
+            if (same | (own.kinds[q : q + size] == WORD)).sum() < item.need:
+                return None
+        return [((int(own.kinds[q + i]), int(own.values[q + i])), int(other.values[p + i])) for i in range(size) if own.kinds[q + i] != WORD]
+
+    def _consistent(self, template: Template, item: Item, hits: list[tuple[int, ...]]) -> tuple[int, int, int]:
         """How many of the item's windows agree on what each slot's value stands for; slots, and slots of another value."""
         stands: dict[tuple[int, int], int] = {}
         counted = set()
         lines = defaultdict(list)
-        for p, q, size in pairs:
-            lines[p - q].append((p, q, size))
-        for line in sorted(lines.values(), key=lambda x: (-len(x), x)):
-            for p, q, size in line:
-                slots = [((int(own.kinds[q + i]), int(own.values[q + i])), int(template.values[p + i])) for i in range(size) if own.kinds[q + i] != WORD]
-                fresh: dict[tuple[int, int], int] = {}
-                if all(stands.get(k, fresh.setdefault(k, v)) == v and fresh.get(k, v) == v for k, v in slots):
-                    stands |= fresh
-                    counted.add(q)
+        for hit in hits:
+            if (slots := self._slots(template, item, hit)) is not None:
+                lines[hit[1], hit[0] - hit[3]].append((hit[0], hit[2], slots))
+        votes = Counter(x for line in lines.values() for _, _, slots in line for x in set(slots))
+        most = {k: v for (k, v), _ in reversed(votes.most_common())}
+        ordered = [x for _, line in sorted(lines.items(), key=lambda x: (-len(x[1]), x[0])) for x in line]
+        for _, k, slots in sorted(ordered, key=lambda x: any(most[s] != v for s, v in x[2])):
+            fresh: dict[tuple[int, int], int] = {}
+            if k not in counted and all(stands.get(s, fresh.setdefault(s, v)) == v and fresh.get(s, v) == v for s, v in slots):
+                stands |= fresh
+                counted.add(k)
         return len(counted), len(stands), sum(k[1] != v for k, v in stands.items())
 
 
