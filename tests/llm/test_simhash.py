@@ -89,6 +89,18 @@ def test_one_row_of_each_group_stays(spark):
     assert kept == {c for _, _, c in plain_components(rows)}
 
 
+def test_one_physical_row_of_each_group_stays(spark):
+    texts = [" ".join(f"w{i}x{j}" for j in range(30)) for i in range(6)]
+    rows = [(1, texts[0], 1), (None, texts[0], 2), (None, texts[1], 3), (None, texts[2], 4), (None, texts[2], 5)]
+    rows += [(7, texts[3], 6), (7, texts[0], 7), (8, texts[4], 8), (8, texts[4], 9), (None, texts[5], 10), (None, None, 11), (None, "", 12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row int").repartition(3)
+    kept = simhash.deduplicated(docs)
+    assert kept.columns == docs.columns
+    kept = sorted(r["row"] for r in kept.collect())
+    groups = [{1, 2, 7}, {3}, {4, 5}, {6}, {8, 9}, {10}, {11, 12}]
+    assert len(kept) == len(groups) and all(len(g & set(kept)) == 1 for g in groups) and 1 in kept
+
+
 @pytest.mark.parametrize("radius", range(8))
 def test_bit_sliced_links_join_what_all_pairs_join(radius):
     rng = np.random.default_rng(radius)

@@ -246,10 +246,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id names their component, so one document of each; all columns stay.
+    """One row of ``docs`` of each component, with all columns: that of the least id, of ids the least text hash; null ids come last.
 
-    Rows that share an id are one document to this stage: they stay or go together.
+    Rows are told apart by id and text, so neither a null nor a repeated id takes other rows along; of rows equal in both one stays.
     """
-    found = near_duplicates(docs, id_col, text_col)
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(storage.small(storage.written(gone, "simhash-gone")), docs[id_col].eqNullSafe(F.col("_gone")), "left_anti")
+    text, own = F.col(text_col).cast("string"), F.col(id_col)
+    row = F.struct(own.isNull().alias("missing"), own.alias("id"), F.xxhash64(text).alias("digest"), F.hash(text).alias("check"))
+    rows = docs.withColumn("_dedup_row", row)
+    found = near_duplicates(rows, "_dedup_row", text_col)
+    marks = found.groupBy("doc_id", (F.col("doc_id") != F.col("component_id")).alias("_dedup_gone")).count().where("_dedup_gone OR count > 1")
+    marks = storage.written(marks.select(F.col("doc_id").alias("_dedup_mark"), "_dedup_gone"), "simhash-marks")
+
+    def joined(some: DataFrame, how: str) -> DataFrame:
+        same = [rows["_dedup_row"][x].eqNullSafe(some["_dedup_mark"][x]) for x in ("id", "digest", "check")]
+        return rows.join(storage.small(some), same, how)
+
+    kept = joined(marks, "left_anti")
+    repeated = marks.where("NOT _dedup_gone")
+    if not repeated.isEmpty():
+        kept = kept.unionByName(joined(repeated, "left_semi").dropDuplicates(["_dedup_row"]))
+    return kept.select(docs.columns)
