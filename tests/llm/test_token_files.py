@@ -23,6 +23,15 @@ def test_word_tables_give_what_the_libraries_give(text):
     assert counts(text) == (counts._count(text) if text else 0)
 
 
+@pytest.mark.parametrize("text", ["0123456789" * 12_000, "0123456789" * 20_000, "".join(chr(0x4E00 + i * 7 % 20_000) for i in range(42_000))])
+def test_one_long_word_of_many_ids(monkeypatch, text):
+    monkeypatch.setattr(encoding, "TABLE_IDS", 1 << 16)
+    ids = encoding.ids_of(PATH)
+    whole = ids.whole(text)
+    assert len(whole) > 4 * 65_535
+    assert ids(text) == whole and ids(f"a b {text[:99_999]} c") == ids.whole(f"a b {text[:99_999]} c") and ids("a b") == ids.whole("a b")
+
+
 def test_round_trip_and_offsets(spark):
     rng = random.Random(5)
     texts = [(None, "null id"), (3, None), (3, ""), (-7, "long " * 30_000), (5, "same"), (5, "same"), (9, "<|startoftext|> x")]

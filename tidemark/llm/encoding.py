@@ -18,8 +18,8 @@ import numpy as np
 
 #: Words kept in each generation of a worker's table of counts (about 40 MB).
 KEPT_WORDS = 250_000
-#: Slots of a worker's table of ids (about 50 MB with its ids), bytes that are looked up at once, and the hash's odd base.
-TABLE_SLOTS, CHUNK_BYTES, _BASE = 1 << 21, 1 << 18, 0x5851F42D4C957F2D
+#: Slots of a worker's table of ids (about 60 MB with its ids), ids at which it is emptied, bytes that are looked up at once, and the hash's odd base.
+TABLE_SLOTS, TABLE_IDS, CHUNK_BYTES, _BASE = 1 << 21, 1 << 23, 1 << 18, 0x5851F42D4C957F2D
 #: Lower-case letters that normalisation leaves as they are; a word of them is one piece, for the model alone.
 _LETTERS = [*range(0xDF, 0xF7), *range(0xF8, 0x100)]
 _SIMPLE = re.compile("[a-z" + "".join(map(chr, _LETTERS)) + "]+")
@@ -68,7 +68,7 @@ class _IdTable:
 
     def __init__(self, slots: int) -> None:
         self.mask, self.held = np.uint64(slots - 1), 0
-        self.keys, self.at, self.size = np.zeros(slots, np.uint64), np.zeros(slots, np.uint32), np.zeros(slots, np.uint16)
+        self.keys, self.at, self.size = np.zeros(slots, np.uint64), np.zeros(slots, np.uint32), np.zeros(slots, np.uint32)
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
 
     def slots_of(self, hashes: np.ndarray) -> np.ndarray:
@@ -201,7 +201,7 @@ class IdEncoder:
         missing = np.flatnonzero(table.keys[slots] == 0)
         if len(missing):
             new, first = np.unique(hashes[missing], return_index=True)
-            if table.held + len(new) > 0.7 * TABLE_SLOTS:
+            if table.held + len(new) > 0.7 * TABLE_SLOTS or table.used > TABLE_IDS:
                 table.clear()
                 new, missing = np.unique(hashes, return_index=True)
                 first = np.arange(len(missing))
