@@ -118,3 +118,24 @@ def test_page_evidence(spark):
     rows = pages.select(e.declared.alias("d"), e.suffix.alias("s"), e.host.alias("h"), F.trim(li.page_text(F.col("html"))).alias("t")).collect()
     assert rows[0]["d"] == "pt-BR" and rows[0]["h"] == "www.a.example.ORG" and rows[0]["t"].split() == ["ol", "mundo"]
     assert rows[1]["t"] is None
+
+
+@pytest.mark.parametrize("dense", [1, 2])
+def test_rare_languages_match_row_by_row_model(spark, monkeypatch, dense):
+    monkeypatch.setattr(li, "LANGUAGES", dense)
+    test_matches_row_by_row_model(spark)
+
+
+def test_every_declared_language_stays(spark):
+    rng = random.Random(4)
+    signs = [chr(x) for x in (*range(0x61, 0x7B), *range(0xE0, 0xF7), *range(0x3B1, 0x3CA), *range(0x430, 0x450))]
+    rows = []
+    for i in range(80):
+        own = rng.sample(signs, 8)
+        for _ in range(2 if i > 60 else 4):
+            text = " ".join("".join(rng.choice(own) for _ in range(rng.randint(2, 7))) for _ in range(60))
+            rows.append((len(rows), text, f"{chr(97 + i // 26)}{chr(97 + i % 26)}", None, f"h{i % 9}.example", "c"))
+    docs = spark.createDataFrame(rows, SCHEMA)
+    found = li.identified(docs, evidence()).collect()
+    assert all(r["accepted"] and r["lang"] == r["text_lang"] == r["declared"] for r in found) and len(found) == len(rows)
+    assert li.accepted(docs, evidence()).count() == len(rows)

@@ -7,7 +7,8 @@ from each suffix. Host: the languages of the host's texts, smoothed towards thos
 these towards those of all texts. All counts are grouped aggregations over every row; the declared
 languages are the labels from which the text models are counted.
 
-The driver sees ``LANGUAGES`` x ``BUCKETS`` counts at most. Host and suffix tables are broadcast only
+Every declared language has a model: the ``LANGUAGES`` most frequent a dense one, the others the buckets that they
+were seen with. The driver sees those counts. Host, suffix and declaration tables are broadcast only
 behind a count of their rows, and joined by shuffle beyond it.
 
 A row is rejected if its text has no letters, if fewer than ``LIKELY_SHARE`` of its trigrams are likelier in the
@@ -21,7 +22,6 @@ gives no rows; extra columns are left out of the report and kept by the filter.
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -33,8 +33,10 @@ from pyspark.sql import types as T
 
 from tidemark.llm import storage
 
-#: Hash buckets of trigrams, languages at most, and rows that a language needs to be counted.
+#: Hash buckets of trigrams, languages with a dense text model, and rows that a language needs to be counted.
 BUCKETS, LANGUAGES, LEAST_ROWS = 1 << 14, 64, 1
+#: Likelihoods in one batch, and numbers of a side table that may be broadcast.
+SCORES, BROADCAST_SCORES = 1 << 20, 1 << 21
 #: Weight of an overlapping trigram, of the smoothing in the text models, of the level above, and the least posterior.
 TRIGRAM_WEIGHT, SMOOTHING, LEVEL_WEIGHT, CONFIDENCE = 1 / 3, 0.5, 5.0, 0.5
 #: Least share of a text's trigrams that a language must explain better than chance; a name or key in a short text doesn't spoil it.
@@ -75,50 +77,135 @@ def _prepared(docs: DataFrame, text_col: str, evidence: Evidence) -> DataFrame:
     return docs.select("*", F.col(text_col).cast("string").alias("_li_text"), subtag(evidence.declared.cast("string")).alias("_li_declared"), blank(evidence.suffix).alias("_li_suffix"), blank(evidence.host).alias("_li_host"))
 
 
-def text_models(prepared: DataFrame, least_rows: int = LEAST_ROWS) -> tuple[list[str], np.ndarray]:
-    """The counted languages in alphabetical order, and log probabilities, one row for each bucket."""
+class Models(NamedTuple):
+    """Log probabilities of trigrams: a dense column for each common language, the seen buckets and one value for the rest.
+
+    ``common`` and ``rare`` are places in ``names``; rare entries lie by language, ``order`` sorts them by bucket.
+    """
+
+    names: list[str]
+    common: np.ndarray
+    dense: np.ndarray
+    rare: np.ndarray
+    unseen: np.ndarray
+    languages: np.ndarray
+    buckets: np.ndarray
+    logs: np.ndarray
+    order: np.ndarray
+    bounds: np.ndarray
+
+    def scores(self, grams: np.ndarray) -> tuple[np.ndarray, int]:
+        """A text's log likelihood in each language, and its trigrams that are likelier than chance in the best."""
+        if not self.names:
+            return np.zeros(0), len(grams)
+        chance, sums = -np.log(BUCKETS), np.zeros(len(self.names))
+        dense = self.dense[grams]
+        sums[self.common] = dense.sum(axis=0)
+        if not len(self.rare):
+            return sums, int((dense[:, sums.argmax()] >= chance).sum())
+        found, times = np.unique(grams, return_counts=True)
+        sizes = self.bounds[found + 1] - self.bounds[found]
+        at = self.order[np.repeat(self.bounds[found] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
+        own = self.languages[at]
+        sums[self.rare] = len(grams) * self.unseen + np.bincount(own, (self.logs[at] - self.unseen[own]) * np.repeat(times, sizes), len(self.rare))
+        best = int(sums.argmax())
+        if len(place := np.flatnonzero(self.common == best)):
+            return sums, int((dense[:, place[0]] >= chance).sum())
+        place = int(np.searchsorted(self.rare, best))
+        first, last = np.searchsorted(self.languages, [place, place + 1])
+        column = np.full(BUCKETS, self.unseen[place])
+        column[self.buckets[first:last]] = self.logs[first:last]
+        return sums, int((column[grams] >= chance).sum())
+
+
+def text_models(prepared: DataFrame, least_rows: int = LEAST_ROWS) -> Models:
+    """The models of all counted languages, in alphabetical order."""
     declared = prepared.groupBy("_li_declared").count().where(F.col("_li_declared").isNotNull() & (F.col("count") >= least_rows))
-    names = sorted(r[0] for r in declared.orderBy(F.desc("count"), "_li_declared").limit(LANGUAGES).collect())
-    if not names:
-        return [], np.zeros((BUCKETS, 0))
+    found = sorted(declared.collect(), key=lambda r: (-r["count"], r["_li_declared"]))
+    names = sorted(r["_li_declared"] for r in found)
+    number = {x: i for i, x in enumerate(names)}
+    common = np.array(sorted(number[r["_li_declared"]] for r in found[:LANGUAGES]), np.int64)
+    rare = np.setdiff1d(np.arange(len(names)), common)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((len(names), BUCKETS), np.int64)
-        for batch in batches:
-            for text, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                sums[names.index(name)] += np.bincount(trigrams(text), minlength=BUCKETS)
-        name, bucket = np.nonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(bucket), pa.array(sums[name, bucket])], ["name", "bucket", "n"])
+        sums: dict[int, np.ndarray] = {}
 
-    rows = prepared.where(F.col("_li_declared").isin(names)).select("_li_text", "_li_declared")
-    counts = np.full((len(names), BUCKETS), SMOOTHING)
-    for r in rows.mapInArrow(count, "name long, bucket long, n long").groupBy("name", "bucket").agg(F.sum("n").alias("n")).toLocalIterator():
-        counts[r["name"], r["bucket"]] += r["n"]
-    return names, np.log(counts / counts.sum(axis=1, keepdims=True)).T.copy()
+        def flush() -> Iterator[pa.RecordBatch]:
+            for name, counts in sums.items():
+                bucket = np.flatnonzero(counts)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(bucket), name)), pa.array(bucket), pa.array(counts[bucket])], ["name", "bucket", "n"])
+            sums.clear()
 
-
-def _scored(prepared: DataFrame, weights: np.ndarray) -> DataFrame:
+        for batch in batches:
+            for text, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if number[name] not in sums:
+                    if len(sums) >= LANGUAGES:
+                        yield from flush()
+                    sums[number[name]] = np.zeros(BUCKETS, np.int64)
+                sums[number[name]] += np.bincount(trigrams(text), minlength=BUCKETS)
+        yield from flush()
+
+    dense, entries = np.full((BUCKETS, len(common)), SMOOTHING), []
+    if names:
+        rows = prepared.join(F.broadcast(prepared.sparkSession.createDataFrame([(x,) for x in names], "_li_declared string")), "_li_declared", "left_semi").select("_li_text", "_li_declared")
+        place = {int(x): i for i, x in enumerate(common)} | {int(x): -1 - i for i, x in enumerate(rare)}
+        taken: list[tuple[int, int, int]] = []
+        for r in rows.mapInArrow(count, "name long, bucket long, n long").groupBy("name", "bucket").agg(F.sum("n").alias("n")).toLocalIterator():
+            if (at := place[r["name"]]) >= 0:
+                dense[r["bucket"], at] += r["n"]
+                continue
+            taken.append((-1 - at, r["bucket"], r["n"]))
+            if len(taken) >= 1 << 16:
+                entries.append(np.array(taken, np.int64))
+                taken.clear()
+        entries.append(np.array(taken, np.int64).reshape(-1, 3))
+    some = np.concatenate([np.zeros((0, 3), np.int64), *entries])
+    languages, buckets, n = some[np.lexsort((some[:, 1], some[:, 0]))].T
+    total = np.bincount(languages, n, len(rare)) + SMOOTHING * BUCKETS
+    order = np.argsort(buckets, kind="stable")
+    bounds = np.searchsorted(buckets[order], np.arange(BUCKETS + 1))
+    return Models(names, common, np.log(dense / dense.sum(axis=0)), rare, np.log(SMOOTHING / total), languages, buckets, np.log((n + SMOOTHING) / total[languages]), order, bounds)
+
+
+def _scored(prepared: DataFrame, models: Models) -> DataFrame:
     """Adds the texts' log likelihoods in each language, the trigrams, and those likelier than chance in the best language."""
-    at, chance = prepared.columns.index("_li_text"), -np.log(BUCKETS)
+    at = prepared.columns.index("_li_text")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [trigrams(x) for x in batch.column(at).to_pylist()]
-            sums = [weights[x].sum(axis=0) for x in found]
-            likely = [int((weights[x, s.argmax()] >= chance).sum()) if len(s) else len(x) for x, s in zip(found, sums)]
-            added = [pa.array(sums, pa.list_(pa.float64())), pa.array(map(len, found), pa.int64()), pa.array(likely, pa.int64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, "_li_text_log", "_li_trigrams", "_li_likely"])
+            for first in range(0, batch.num_rows, step := max(1, SCORES // max(1, len(models.names)))):
+                part = batch.slice(first, step)
+                grams = [trigrams(x) for x in part.column(at).to_pylist()]
+                sums, likely = zip(*map(models.scores, grams))
+                added = [pa.array(sums, pa.list_(pa.float64())), pa.array(map(len, grams), pa.int64()), pa.array(likely, pa.int64())]
+                yield pa.RecordBatch.from_arrays([*part.columns, *added], [*part.schema.names, "_li_text_log", "_li_trigrams", "_li_likely"])
 
     schema = T.StructType([*prepared.schema.fields, T.StructField("_li_text_log", T.ArrayType(T.DoubleType())), T.StructField("_li_trigrams", T.LongType()), T.StructField("_li_likely", T.LongType())])
     return prepared.mapInArrow(score, schema)
 
 
+def _floats(values: np.ndarray) -> Column:
+    """Numbers as one literal, however many."""
+    return F.split(F.lit(",".join(map(repr, map(float, values)))), ",").cast("array<double>")
+
+
+def _names(names: list[str]) -> Column:
+    return F.split(F.lit(",".join(names)), ",")
+
+
 def _best(scores: Column, names: list[str]) -> Column:
-    return F.element_at(F.array(*map(F.lit, names)), F.array_position(scores, F.array_max(scores)).cast("int"))
+    return F.element_at(_names(names), F.array_position(scores, F.array_max(scores)).cast("int"))
+
+
+def _vectors(counts: DataFrame, key: str, names: list[str]) -> DataFrame:
+    """``(key, n)``: the counts ``(key, _li_text_lang, n)`` as an array for each key."""
+    found = counts.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("_li_text_lang", F.col("n").cast("double")))).alias("n"))
+    return found.select(key, F.transform(_names(names), lambda x: F.coalesce(F.col("n")[x], F.lit(0.0))).alias("n"))
 
 
-def _counts(names: list[str]) -> Column:
-    return F.array(*(F.count_if(F.col("_li_text_lang") == x).cast("double") for x in names))
+def _small(df: DataFrame, names: list[str]) -> DataFrame:
+    """As ``storage.small``, for rows with a number for each language."""
+    return storage.small(df, min(storage.BROADCAST_ROWS, BROADCAST_SCORES // len(names)))
 
 
 def _shares(counts: Column, above: Column) -> Column:
@@ -131,40 +218,48 @@ def _fused(docs: DataFrame, keep: list[str], text_col: str, evidence: Evidence,
     spark = docs.sparkSession
     storage.bounded_batches(spark)
     prepared = _prepared(docs, text_col, evidence)
-    names, weights = text_models(prepared.select("_li_text", "_li_declared"), least_rows)
+    models = text_models(prepared.select("_li_text", "_li_declared"), least_rows)
+    names = models.names
     marks = ["_li_declared", "_li_suffix", "_li_host"]
-    rows = _scored(prepared.select(*(c for c in keep), "_li_text", *marks), weights).drop("_li_text")
+    rows = _scored(prepared.select(*(c for c in keep), "_li_text", *marks), models).drop("_li_text")
     if not names:
         none = F.lit(None).cast("string")
         return rows.select(*keep, none.alias("_li_lang"), F.lit(0.0).alias("_li_confidence"), none.alias("_li_text_lang"), "_li_declared", (F.col("_li_trigrams") > 0).alias("_li_accepted"))
     told = F.when(F.col("_li_trigrams") > 0, _best(F.col("_li_text_log"), names)).alias("_li_text_lang")
-    seen = storage.written(_scored(prepared.select("_li_text", *marks), weights).select(*marks, told).where("_li_text_lang is not null"), "language-seen")
-    every = np.array(seen.agg(*(F.count_if(F.col("_li_text_lang") == x) for x in names)).first(), float)
+    seen = storage.written(_scored(prepared.select("_li_text", *marks), models).select(*marks, told).where("_li_text_lang is not null"), "language-seen")
+    number = {x: i for i, x in enumerate(names)}
+    counts = lambda key: seen.where(F.col(key).isNotNull()).groupBy(key, "_li_text_lang").agg(F.count("*").alias("n"))
+    every = np.zeros(len(names))
+    for r in seen.groupBy("_li_text_lang").count().collect():
+        every[number[r["_li_text_lang"]]] = r["count"]
     overall = (every + 1) / (every.sum() + len(names))
-    floats = lambda xs: F.array(*(F.lit(float(x)) for x in xs))
 
-    by_name = {r["_li_declared"]: np.array(r["n"]) for r in seen.where(F.col("_li_declared").isin(names)).groupBy("_li_declared").agg(_counts(names).alias("n")).collect()}
+    by_name: dict[str, np.ndarray] = {}
+    for r in counts("_li_declared").toLocalIterator():
+        if r["_li_declared"] in number:
+            by_name.setdefault(r["_li_declared"], np.zeros(len(names)))[number[r["_li_text_lang"]]] = r["n"]
     said = sum(by_name.values(), np.zeros(len(names)))
-    log_declared = {d: np.log((n + LEVEL_WEIGHT * (n.sum() + 1) / (said.sum() + len(names))) / (said + LEVEL_WEIGHT)) for d, n in by_name.items()}
-    declared_log = functools.reduce(lambda c, x: F.when(F.col("_li_declared") == x[0], floats(x[1])).otherwise(c), sorted(log_declared.items()), floats(np.zeros(len(names))))
+    log_declared = [(d, np.log((n + LEVEL_WEIGHT * (n.sum() + 1) / (said.sum() + len(names))) / (said + LEVEL_WEIGHT)).tolist()) for d, n in by_name.items()]
+    declarations = spark.createDataFrame(log_declared, "_li_declared string, _li_declared_log array<double>")
 
     total = F.aggregate("n", F.lit(0.0), lambda a, x: a + x)
-    suffixes = seen.where("_li_suffix is not null").groupBy("_li_suffix").agg(_counts(names).alias("n"))
+    suffixes = _vectors(counts("_li_suffix"), "_li_suffix", names)
     share = (total + 1) / F.lit(float(every.sum()) + 1)
-    suffixes = suffixes.select("_li_suffix", F.zip_with("n", floats(every), lambda n, m: F.log((n + LEVEL_WEIGHT * share) / (m + LEVEL_WEIGHT))).alias("_li_suffix_log"))
+    suffixes = suffixes.select("_li_suffix", F.zip_with("n", _floats(every), lambda n, m: F.log((n + LEVEL_WEIGHT * share) / (m + LEVEL_WEIGHT))).alias("_li_suffix_log"))
 
     domain = F.regexp_extract("_li_host", r"([^.]*\.)?[^.]*$", 0)
-    hosts = storage.written(seen.where("_li_host is not null").groupBy("_li_host").agg(_counts(names).alias("n")).withColumn("domain", domain), "language-hosts")
-    domains = hosts.groupBy("domain").agg(F.array(*(F.sum(F.col("n")[i]) for i in range(len(names)))).alias("m"))
-    domains = domains.select("domain", _shares(F.col("m"), floats(overall)).alias("above"))
-    hosts = hosts.join(domains, "domain").select("_li_host", F.transform(_shares(F.col("n"), F.col("above")), lambda p: F.log(p)).alias("_li_host_log"))
-
-    joined = rows.join(storage.small(storage.written(hosts, "language-priors")), "_li_host", "left")
-    joined = joined.join(storage.small(storage.written(suffixes, "language-suffixes")), "_li_suffix", "left")
-    prior = F.coalesce("_li_host_log", floats(np.log(overall)))
+    by_host = storage.written(counts("_li_host").withColumn("domain", domain), "language-hosts")
+    domains = _vectors(by_host.groupBy("domain", "_li_text_lang").agg(F.sum("n").alias("n")), "domain", names).withColumnRenamed("n", "m")
+    domains = domains.select("domain", _shares(F.col("m"), _floats(overall)).alias("above"))
+    hosts = _vectors(by_host, "_li_host", names).withColumn("domain", domain).join(domains, "domain").select("_li_host", F.transform(_shares(F.col("n"), F.col("above")), lambda p: F.log(p)).alias("_li_host_log"))
+
+    joined = rows.join(_small(storage.written(hosts, "language-priors"), names), "_li_host", "left")
+    joined = joined.join(_small(storage.written(suffixes, "language-suffixes"), names), "_li_suffix", "left")
+    joined = joined.join(_small(storage.written(declarations, "language-declarations"), names), "_li_declared", "left")
+    prior = F.coalesce("_li_host_log", _floats(np.log(overall)))
     add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
     text = F.transform("_li_text_log", lambda x: x * TRIGRAM_WEIGHT)
-    fused = add(add(text, prior), add(F.coalesce("_li_suffix_log", floats(np.zeros(len(names)))), declared_log))
+    fused = add(add(text, prior), add(F.coalesce("_li_suffix_log", _floats(np.zeros(len(names)))), F.coalesce("_li_declared_log", _floats(np.zeros(len(names))))))
     out = joined.withColumn("_li_log", fused)
     top = F.array_max("_li_log")
     confidence = 1 / F.aggregate("_li_log", F.lit(0.0), lambda a, x: a + F.exp(x - top))
