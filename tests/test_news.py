@@ -52,11 +52,20 @@ def test_rss(spark):
     assert set(found) == {"http://x/1", "http://x/2", "http://x/3"}
     one, two, three = (found[f"http://x/{i}"] for i in (1, 2, 3))
     assert (one["published_at"], one["timestamp_precision"], one["title"]) == (dt.datetime(2024, 8, 1, 12, 30), "minute", "One")
-    assert one["lede"].split() == [f"w{i}" for i in range(150)] and json.loads(one["raw_metadata_json"]) == {"feed_url": "u", "entry_id": "g1"}
+    assert one["lede"].split() == [f"w{i}" for i in range(150)] and json.loads(one["raw_metadata_json"]) == {"feed_url": "u", "entry_id": "g1", "tags": []}
     assert (two["published_at"], two["timestamp_precision"], two["lede"]) == (None, "day", None)
     assert three["published_at"] == dt.datetime(2024, 8, 1, 23, 0) and three["title"] == "http://x/3" and three["lede"] is None
 
 
+def test_ill_formed_feeds_give_what_can_be_read(spark):
+    xml = "<rss><item><title>A&nbsp;&amp;&bad; <b>b</title><link>http://x/1</link><category>c &lt;1</category><category term='t2'/></item><item><link>http://x/2</link><title>cut" \
+        "<item><title/><link><![CDATA[ http://x/3 ]]></link></item><entry><link rel='a' href='http://x/4'/><id>i</id><updated>2024-08-01T00:00:00Z</updated></entry><item>"
+    found = {r["url"]: r for r in news.rss_articles(spark.createDataFrame([("u", "s", xml), ("v", "s", None), ("w", "s", "no feed")], RSS)).collect()}
+    assert set(found) == {f"http://x/{i}" for i in range(1, 5)}
+    assert found["http://x/1"]["title"] == "A &&bad; <b>b" and json.loads(found["http://x/1"]["raw_metadata_json"])["tags"] == ["t2", "c <1"]
+    assert found["http://x/4"]["timestamp_precision"] == "minute" and json.loads(found["http://x/4"]["raw_metadata_json"])["entry_id"] == "i"
+
+
 ITEMS = "sport string, page int, pos int, id long, published string, headline string, description string, links struct<web:struct<href:string>>, categories array<struct<description:string>>"
 
 

@@ -61,6 +61,11 @@ def test_market_pages():
     assert len(list(remote.market_pages(client, "http://m", "nba", True, "2024-08-01", None))) == 101
     assert seen[0] == {"tag": "nba", "closed": "true", "limit": 100, "offset": 0, "end_date_min": "2024-08-01"}
     assert list(remote.market_pages(client, "http://m", "bad", True, None, None)) == []
+    def down(method, url, data):
+        raise http.HttpError(500)
+
+    with pytest.raises(http.HttpError):  # an error that isn't the scan's end is no end
+        list(remote.market_pages(down, "http://m", "nba", True, None, None))
     assert remote.market(lambda m, u, d: {"u": u}, "http://m", "c") == {"u": "http://m/markets/c"}
 
 

@@ -49,17 +49,35 @@ def gkg_articles(gkg: DataFrame) -> DataFrame:
     return _article(gkg, url=url, source=text("SourceCommonName"), title=url, entities=names, themes=texts.split_list(F.col("V2Themes")), raw_metadata_json=about)
 
 
+#: XML's entities and the blank of HTML, the ampersand's last so that nothing is read twice.
+_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&(?:apos|#39|#x27);", "'"), ("&(?:nbsp|#160|#xA0);", " "), ("&(?:amp|#38);", "&"))
+
+
+def _plain(text: Column) -> Column:
+    """The text of an element's content: without CDATA marks, entities read, blanks at the ends gone; null if nothing is left."""
+    out = F.regexp_replace(text, r"(?s)<!\[CDATA\[(.*?)\]\]>", "$1")
+    for mark, value in _ENTITIES:
+        out = F.regexp_replace(out, mark, value)
+    return F.nullif(texts.stripped(out), F.lit(""))
+
+
 def rss_articles(feeds: DataFrame) -> DataFrame:
     """Articles from feeds ``(feed_url, source, xml)``, of items or entries; undated ones have day precision and no time.
 
-    Each item is parsed on its own, so an item without a part has a null there.
+    Parts are found by patterns, not by an XML parser: an item with unknown entities, open elements or stray marks still
+    gives what can be read, one without a part has a null there, and no item can fail the query.
     """
-    items = feeds.select("feed_url", "source", F.explode(F.regexp_extract_all("xml", F.lit(r"(?s)<(item|entry)\b.*?</\1\s*>"), F.lit(0))).alias("x"))
-    part = lambda *paths: F.coalesce(*(F.nullif(texts.stripped(F.xpath_string("x", F.lit(f"/*/{p}"))), F.lit("")) for p in paths))
-    parts = {"link": ("link", "link/@href"), "title": ("title",), "summary": ("description", "summary"), "date": ("pubDate", "published", "updated"), "guid": ("guid", "id")}
-    items = items.select("feed_url", "source", *(part(*paths).alias(name) for name, paths in parts.items()))
+    items = feeds.select("feed_url", "source", F.explode(F.regexp_extract_all("xml", F.lit(r"(?s)<(item|entry)\b.*?(?:</\1\s*>|(?=<\1\b)|\z)"), F.lit(0))).alias("x"))
+    inside = lambda name: _plain(F.regexp_extract("x", rf"(?is)<{name}\b(?:[^>]*[^/>])?>(.*?)</{name}\s*>", 1))
+    link = F.coalesce(inside("link"), _plain(F.regexp_extract("x", r"(?is)<link\b[^>]*?\bhref\s*=\s*[\"']([^\"']*)", 1)))
+    terms = F.concat(
+        F.regexp_extract_all("x", F.lit(r"(?is)<category\b[^>]*?\bterm\s*=\s*[\"']([^\"']*)"), F.lit(1)),
+        F.regexp_extract_all("x", F.lit(r"(?is)<category\b(?:[^>]*[^/>])?>(.*?)</category\s*>"), F.lit(1)),
+    )
+    parts = {"link": link, "title": inside("title"), "summary": F.coalesce(inside("description"), inside("summary")), "date": F.coalesce(*map(inside, ("pubDate", "published", "updated", "dc:date"))), "guid": F.coalesce(inside("guid"), inside("id"))}
+    items = items.select("feed_url", "source", *(c.alias(name) for name, c in parts.items()), F.transform(terms, lambda t: F.coalesce(_plain(t), F.lit(""))).alias("tags"))
     when = F.coalesce(times.rss(F.col("date")), times.iso(F.col("date")))
-    about = F.to_json(F.struct("feed_url", F.coalesce("guid", F.lit("")).alias("entry_id")))
+    about = F.to_json(F.struct("feed_url", F.coalesce("guid", F.lit("")).alias("entry_id"), "tags"))
     precision = F.when(when.isNull(), "day").otherwise("minute")
     return _article(items, url=F.col("link"), source=F.col("source"), published_at=when, timestamp_precision=precision, title=F.coalesce("title", "link"), lede=texts.lede(F.col("summary")), raw_metadata_json=about)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,8 +13,11 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import texts
 
-#: Texts that an encoder gets at once, and queries that a scan holds at once.
-ENCODE_BATCH, QUERY_BLOCK, STRIP = 64, 2_048, 1_024
+#: Fixed value: the default model's name.
+MODEL = "BAAI/bge-large-en-v1.5"
+_LOADED: dict[str, object] = {}
+#: Texts that an encoder gets at once; rows and queries that a task compares.
+ENCODE_BATCH, BLOCK, QUERY_BLOCK, STRIP = 64, 8_192, 2_048, 1_024
 
 
 def encoded(rows: DataFrame, make_encoder: Callable[[], Callable[[list[str]], np.ndarray]], id_col: str, text_col: str) -> DataFrame:
@@ -46,6 +50,33 @@ def embedded_markets(markets: DataFrame, make_encoder: Callable) -> DataFrame:
     return encoded(markets.select("market_id", texts.joined_text(F.col("question"), F.col("description")).alias("text")), make_encoder, "market_id", "text")
 
 
+def sentence_encoder(model: str = MODEL, device: str | None = None) -> Callable[[], Callable[[list[str]], np.ndarray]]:
+    """A maker of encoders for ``encoded`` out of the sentence-transformers library, where it is installed; a worker loads a model once."""
+
+    def make() -> Callable[[list[str]], np.ndarray]:
+        if model not in _LOADED:
+            from sentence_transformers import SentenceTransformer
+
+            _LOADED[model] = SentenceTransformer(model, device=device)
+        return lambda given: _LOADED[model].encode(given, batch_size=ENCODE_BATCH, normalize_embeddings=True, convert_to_numpy=True, show_progress_bar=False)
+
+    return make
+
+
+def hashed_encoder(dim: int = 256) -> Callable[[], Callable[[list[str]], np.ndarray]]:
+    """A maker of encoders that need no model: words counted in hashed places, with hashed signs."""
+
+    def encode(given: list[str]) -> np.ndarray:
+        out = np.zeros((len(given), dim))
+        for row, text in enumerate(given):
+            for word in text.lower().split():
+                place = zlib.crc32(word.encode("utf-8", "surrogatepass"))
+                out[row, place % dim] += 1 if place & 0x10000 else -1
+        return out
+
+    return lambda: encode
+
+
 def pack_half(vectors: DataFrame, col: str = "embedding") -> DataFrame:
     """Vectors as the raw bytes of half-precision numbers, for exchange with other tools."""
 
@@ -74,44 +105,62 @@ def _inner(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return total
 
 
+def _best_of(queries: pa.Table, rows: pa.Table, k: int, window: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(query_id, id, score)`` of the best k rows of each query; more where rows tie with the last."""
+    names, ids = queries["query_id"].to_numpy(), rows["id"].to_numpy()
+    matrix = lambda t: t["vector"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(t.num_rows, -1)
+    asked, own = matrix(queries), matrix(rows)
+    order = np.argsort(ids, kind="stable")
+    out = []
+    for at in range(0, len(names), STRIP):
+        scores = _inner(asked[at : at + STRIP], own[order])
+        if window:
+            when, low, high = rows["at"].to_numpy()[order], queries["lo"].to_numpy()[at : at + STRIP], queries["hi"].to_numpy()[at : at + STRIP]
+            scores = np.where((when >= low[:, None]) & (when <= high[:, None]), scores, -np.inf)
+        best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+        q, e = np.repeat(np.arange(len(scores)), best.shape[1]), best.ravel()
+        kept = scores[q, e] > -np.inf
+        out.append((names[at + q[kept]], ids[order[e[kept]]], scores[q, e][kept]))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
 def nearest(queries: DataFrame, corpus: DataFrame, k: int, window: bool = False) -> DataFrame:
     """``(query_id, rank, id, score)``: the k rows of largest inner product, in double precision; ties go to the smaller id.
 
     ``queries`` are ``(query_id, vector)``, ``corpus`` is ``(id, vector)``; with ``window`` the queries have ``lo`` and ``hi`` and the
-    corpus ``at``, and only rows between count. Queries go to the scan in blocks of ``QUERY_BLOCK``, each task keeps its own
-    best k, and only these are shuffled. Fewer rows than k give fewer results.
+    corpus ``at``, and only rows between count. Fewer rows than k give fewer results; null vectors take no part.
+
+    Queries and rows meet in tiles of about ``QUERY_BLOCK`` by ``BLOCK``, so a task holds no more than a tile and the driver nothing. With
+    a window, rows lie in strips of the widest window's width and a query meets the strips that it overlaps, three at most.
     """
-    spark = corpus.sparkSession
-    want = ["query_id", "vector", *(("lo", "hi") if window else ())]
-    have = ["id", "vector", *(("at",) if window else ())]
+    queries = queries.where("vector is not null").select("query_id", "vector", *(("lo", "hi") if window else ()))
+    corpus = corpus.where("vector is not null").select("id", "vector", *(("at",) if window else ()))
     parts = -(-queries.count() // QUERY_BLOCK) or 1
     kinds = {"query_id": queries.schema["query_id"].dataType.simpleString(), "id": corpus.schema["id"].dataType.simpleString()}
-    out_schema = f"query_id {kinds['query_id']}, id {kinds['id']}, score double"
-    found = None
-    for part in range(parts):
-        block = queries.select(*want).where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part).collect()  # about QUERY_BLOCK rows
-        names, vectors = np.array([r["query_id"] for r in block]), np.array([r["vector"] for r in block], float)
-        bounds = np.array([(r["lo"], r["hi"]) for r in block]) if window else None
-
-        def scan(batches: Iterator[pa.RecordBatch], names=names, vectors=vectors, bounds=bounds) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for at in range(0, batch.num_rows if len(names) else 0, STRIP):
-                    strip = batch.slice(at, STRIP)
-                    ids = strip.column(0).to_numpy(zero_copy_only=False)
-                    rows = strip.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(ids), -1)
-                    scores = _inner(vectors, rows)
-                    if bounds is not None:
-                        when = strip.column(2).to_numpy(zero_copy_only=False)
-                        scores = np.where((when >= bounds[:, :1]) & (when <= bounds[:, 1:]), scores, -np.inf)
-                    order = np.argsort(ids, kind="stable")
-                    best = order[np.argsort(-scores[:, order], axis=1, kind="stable")[:, :k]]
-                    q = np.repeat(np.arange(len(names)), best.shape[1])
-                    e = best.ravel()
-                    kept = scores[q, e] > -np.inf
-                    yield pa.RecordBatch.from_arrays([pa.array(names[q[kept]]), pa.array(ids[e[kept]]), pa.array(scores[q, e][kept])], ["query_id", "id", "score"])
-
-        some = corpus.select(*have).where("vector is not null").mapInArrow(scan, out_schema)
-        found = some if found is None else found.unionByName(some)
+    asked = queries.withColumn("part", F.pmod(F.xxhash64("query_id", F.lit("part")), F.lit(parts)).cast("int"))
+    spread = F.xxhash64("id", F.lit("block"))
+    if window:
+        widest = queries.agg(F.max(F.col("hi") - F.col("lo"))).first()[0]
+        width = max(1, (widest or 0) + 1)
+        asked = asked.where("hi >= lo").withColumn("strip", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor(F.col("hi") / width))))
+        rows = corpus.where("at is not null").withColumn("strip", F.floor(F.col("at") / width))
+        sizes = rows.groupBy("strip").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+        rows = rows.join(sizes, "strip").withColumn("block", F.pmod(spread, F.col("blocks")).cast("int"))
+        asked = asked.join(sizes, "strip").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        # a strip's rows go only to the parts of queries that ask for it
+        rows = rows.join(asked.select("strip", "part").distinct(), "strip")
+    else:
+        blocks = -(-corpus.count() // BLOCK) or 1
+        rows = corpus.withColumn("block", F.pmod(spread, F.lit(blocks)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    keys = [*(("strip",) if window else ()), "block", "part"]
+    rows, asked = (df.select(*(F.col(c).alias(c) for c in df.columns if c != "blocks")) for df in (rows, asked))  # sides of one origin
+
+    def tile(own: pa.Table, some: pa.Table) -> pa.Table:
+        found = _best_of(some, own, k, window) if own.num_rows and some.num_rows else ([], [], [])
+        return pa.table([pa.array(found[0], some["query_id"].type), pa.array(found[1], own["id"].type), pa.array(found[2], pa.float64())], ["query_id", "id", "score"])
+
+    found = rows.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(tile, f"query_id {kinds['query_id']}, id {kinds['id']}, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 

@@ -2,43 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import schemas
 from tidemark.functions import numbers, texts, times
 from tidemark.operators import bars, markets, news, pages, trades, tuples, vectors
+from tidemark.plans.registry import ORACLES, QUERIES, folder, query, r6, read
 from tidemark.sources import lake
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(oracle: str | None = None):
-    """Registers a query under its function's name."""
-
-    def put(f):
-        QUERIES[f.__name__] = f
-        if oracle:
-            ORACLES[f.__name__] = oracle
-        return f
-
-    return put
-
-
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A fixture table."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def r6(c: Column | str) -> Column:
-    """A double rounded for comparison, without a negative zero."""
-    return F.round(F.col(c) if isinstance(c, str) else c, 6) + F.lit(0.0)
-
-
 @query("""
 WITH f AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_returnflag, l_linestatus, l_tax,
     CAST(round(l_quantity) AS BIGINT) * 1000000 AS token_amt,
@@ -264,15 +236,23 @@ def page_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "pages").where(F.coalesce("url", F.lit("")) != "").select("page_id", texts.key_of(F.col("url")).alias("article_id"), F.regexp_extract("url", "://([^/?#]+)", 1).alias("host"))
 
 
+def _lengths():
+    """An encoder for fixtures: a text's length against one, a unit vector once normed."""
+    return lambda given: [[float(len(x)), 0.0] for x in given]
+
+
 @query("""
-SELECT vec_id, 'old' AS origin, round(CAST(embedding[1] AS DOUBLE), 6) AS first_value FROM embeddings WHERE vec_id % 3 = 0
-UNION ALL SELECT vec_id, 'new', round(CAST(embedding[1] AS DOUBLE), 6) FROM embeddings e WHERE NOT EXISTS (SELECT 1 FROM embeddings x WHERE x.vec_id = e.vec_id AND x.vec_id % 3 = 0)""")
+SELECT vec_id, vec_id % 3 = 0 AS was_there, CASE WHEN vec_id % 3 = 0 THEN round(CAST(embedding[1] AS DOUBLE), 6) ELSE 1.0 END AS first_value, CAST(CASE WHEN vec_id % 3 = 0 THEN len(embedding) ELSE 2 END AS INTEGER) AS dim FROM embeddings
+UNION ALL SELECT -1, true, 0.5, 1""")
 def incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Old embeddings, and those of rows that had none."""
-    every = read(spark, sf_dir, "embeddings").select("vec_id", F.get("embedding", 0).cast("double").alias("x"))
-    old = every.where("vec_id % 3 = 0").withColumn("origin", F.lit("old"))
-    new = every.join(old.select("vec_id"), "vec_id", "left_anti").withColumn("origin", F.lit("new"))
-    return old.unionByName(new).select("vec_id", "origin", F.round("x", 6).alias("first_value"))
+    """Old embeddings, one of an article that is gone among them, and new ones of articles that had none."""
+    every = read(spark, sf_dir, "embeddings")
+    gone = spark.range(1).select(F.lit("-1").alias("article_id"), F.array(F.lit(0.5)).cast("array<float>").alias("embedding"))
+    old = every.where("vec_id % 3 = 0").select(F.col("vec_id").cast("string").alias("article_id"), "embedding").unionByName(gone)
+    articles = every.select(F.col("vec_id").cast("string").alias("article_id"), F.col("label").cast("string").alias("title"), F.lit(None).cast("string").alias("lede"))
+    found = vectors.embedded_articles(articles, old, _lengths)
+    number = F.col("article_id").cast("long")
+    return found.select(number.alias("vec_id"), (number % 3 == 0).alias("_m"), "embedding").select("vec_id", (F.col("_m") | (F.col("vec_id") < 0)).alias("was_there"), F.round(F.get("embedding", 0).cast("double"), 6).alias("first_value"), F.size("embedding").alias("dim"))
 
 
 @query("""
@@ -310,17 +290,18 @@ def median_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT o_orderkey, strftime(o_orderdate, '%Y') AS year, strftime(o_orderdate, '%m') AS month, o_orderstatus AS category FROM orders
-WHERE strftime(o_orderdate, '%Y') = '1997' AND strftime(o_orderdate, '%m') = '08'""")
+SELECT o_orderkey AS ts_s, CAST(o_custkey AS VARCHAR) AS market_id, '1997' AS year, '08' AS month, CASE WHEN o_custkey % 2 = 0 THEN 'even' ELSE 'odd' END AS category
+FROM orders JOIN (SELECT o_custkey AS k, max(o_orderdate) AS e FROM orders GROUP BY 1) ON k = o_custkey WHERE strftime(e, '%Y-%m') = '1997-08'""")
 def partition_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders written in hive layout and one month of them read back, by directory."""
-    year, month = times.year_month(F.col("o_orderdate"))
-    rows = read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderstatus").alias("category"), year.alias("year"), month.alias("month"))
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{base.rstrip('/')}/tidemark-roundtrip-{uuid.uuid4().hex}"
-    lake.write(rows, path, lake.LAYOUT["trades"])
-    back = lake.table(spark, path, rows.schema, lake.LAYOUT["trades"])
-    return back.where(lake.partition_filter(year="1997", month="08")).select("o_orderkey", "year", "month", "category")
+    """Orders as trades of their customer, laid out by the end of the customer's life; one month of them read back, by directory."""
+    orders = read(spark, sf_dir, "orders")
+    rows = orders.select(F.col("o_custkey").cast("string").alias("market_id"), F.col("o_orderkey").alias("ts_s"))
+    own = orders.groupBy(F.col("o_custkey").cast("string").alias("market_id")).agg(F.max("o_orderdate").cast("timestamp").alias("end_at"))
+    own = own.withColumn("category", F.when(F.col("market_id").cast("long") % 2 == 0, "even").otherwise("odd"))
+    path = folder(spark, "trades")
+    lake.write_trades(rows, own, path)
+    back = lake.table(spark, path, schemas.TRADE, lake.LAYOUT["trades"])
+    return back.where(lake.partition_filter(year="1997", month="08")).select("ts_s", "market_id", "year", "month", "category")
 
 
 PASSTHROUGH = """
@@ -377,3 +358,6 @@ def nested_tuples(spark: SparkSession, sf_dir: str) -> DataFrame:
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One-minute bars over events."""
     return bars_minute(spark, sf_dir)
+
+
+from tidemark.plans import sink_queries, source_queries, stage_queries  # noqa: E402, F401  they register themselves

@@ -11,7 +11,7 @@ from pyspark.sql.types import StructType
 
 from tidemark import schemas
 from tidemark.functions import times
-from tidemark.operators import news
+from tidemark.operators import news, vectors
 
 #: Views, and the key that their path has in whatever section of the configuration.
 VIEWS = {"universe": "universe", "trades": "trades", "bars_1min": "bars_1min", "gdelt_gkg": "gdelt_gkg", "feed_articles": "feeds"}
@@ -108,6 +108,21 @@ def write_corpus(articles: DataFrame, path: str) -> None:
     write(news.corpus_partition(schemas.conform(articles, schemas.ARTICLE)), path, LAYOUT["corpus"])
 
 
+def write_embeddings(rows: DataFrame, path: str) -> None:
+    """Embeddings as half-precision bytes, in one table for all."""
+    write(vectors.pack_half(rows), path)
+
+
+def read_embeddings(spark: SparkSession, path: str, id_col: str = "article_id") -> DataFrame:
+    """``(id, embedding)`` from such a table; without files an empty one."""
+    return vectors.unpack_half(table(spark, path, StructType.fromDDL(f"{id_col} string, embedding binary")))
+
+
+def write_id_map(rows: DataFrame, path: str, id_col: str = "article_id") -> None:
+    """The side table ``(faiss_row, id)`` of an index over these embeddings."""
+    write(vectors.numbered(rows, id_col), path)
+
+
 def read_corpus(spark: SparkSession, unified: str, feeds: str, gkg: str) -> DataFrame:
     """The unified corpus if it was written, else feeds and knowledge-graph articles unified anew."""
     if has_files(spark, unified):

@@ -7,18 +7,26 @@ that fails gives a row with ``error`` under ``failures=keep`` and fails the quer
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from tidemark.sources.http import Client, HttpError, Retry, urllib_transport
+from tidemark.sources.http import Client, HttpError, ResponseCache, Retry, urllib_transport
+from tidemark.sources.http import cache_key as http_key
 
 #: Page sizes, the news and game services' addresses, and the kinds of a season's games. Other addresses are options.
 MARKETS_PAGE, FILLS_PAGE, NEWS_PAGE = 100, 1000, 100
 NEWS_URL, GAMES_URL = "https://site.api.espn.com/apis/site/v2/sports", "https://stats.nba.com/stats/leaguegamelog"
 SEASON_TYPES = ("Regular Season", "Playoffs")
+#: Fixed value: the status of an offset behind the last market.
+PAST_THE_END = 422
+#: Markets that one task looks up.
+LOOKUPS = 50
 #: The fields of a fill.
 FILL_FIELDS = "transactionHash logIndex blockNumber timestamp maker taker makerAssetId takerAssetId makerAmountFilled takerAmountFilled"
 
@@ -38,14 +46,19 @@ def fill_query(side: str) -> str:
 
 
 def market_pages(client: Callable, url: str, tag: str, closed: bool, start_after: str | None, end_before: str | None) -> Iterator[dict]:
-    """A tag's markets, page by page until a short one; an error status ends the scan. ``start_after`` bounds end dates, as the service takes it."""
+    """A tag's markets, page by page until a short one. ``start_after`` bounds end dates, as the service takes it.
+
+    The service answers ``PAST_THE_END`` to an offset behind its results, which ends the scan; any other error status is raised.
+    """
     offset = 0
     while True:
         data = {"tag": tag, "closed": str(closed).lower(), "limit": MARKETS_PAGE, "offset": offset}
         data |= {k: v for k, v in (("end_date_min", start_after), ("end_date_max", end_before)) if v}
         try:
             page = client("GET", f"{url}/markets", data)
-        except HttpError:
+        except HttpError as e:
+            if e.status != PAST_THE_END:
+                raise
             return
         yield from page
         if len(page) < MARKETS_PAGE:
@@ -98,16 +111,22 @@ def game_log(client: Callable, season: str, season_type: str) -> Iterator[dict]:
     yield {"headers": found["headers"], "rowSet": [[None if x is None else str(x) for x in row] for row in found["rowSet"]]}
 
 
+def slice_key(value: dict) -> str:
+    """A slice as text; keys are sorted."""
+    return json.dumps(value, sort_keys=True)
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options: dict, slices: list[dict], fetch: Callable, client_for: Callable) -> None:
         self.options, self.slices, self.fetch, self.client_for = options, slices, fetch, client_for
 
     def partitions(self) -> list[Slice]:
-        return [Slice(s) for s in self.slices]
+        only = json.loads(self.options["only"]) if "only" in self.options else None
+        return [Slice(s) for s in self.slices if only is None or slice_key(s) in only]
 
     def read(self, partition: Slice) -> Iterator[tuple]:
         client = self.client_for(len(self.slices))
-        key = json.dumps(partition.value, sort_keys=True)
+        key = slice_key(partition.value)
         try:
             for payload in self.fetch(client, partition.value):
                 yield key, json.dumps(payload), None
@@ -171,23 +190,92 @@ def news_client(slices: int, transport=urllib_transport) -> Client:
     return Client(transport, rate=1 / max(1, slices), burst=1, retry=Retry(1))
 
 
+def pages_client(slices: int, transport=urllib_transport) -> Client:
+    """The article pages' client: again after connection errors."""
+    return Client(transport, rate=50 / max(1, slices), burst=5, retry=Retry(2, 1, 5, (429, 503), on_connection=True))
+
+
 def feeds_client(slices: int, transport=urllib_transport) -> Client:
     """The feeds' client: five requests at once."""
     return Client(transport, rate=5, burst=5, retry=Retry(1))
 
 
+def _lookup_slices(options: dict) -> list[dict]:
+    ids = _listed(options, "ids")
+    return [{"url": options["url"], "ids": ids[at : at + LOOKUPS]} for at in range(0, len(ids), LOOKUPS)]
+
+
+#: Format to the slices of its options.
+_SLICES: dict[str, Callable[[dict], list[dict]]] = {
+    "remote_markets": _market_slices,
+    "remote_market": _lookup_slices,
+    "remote_fills": _fill_slices,
+    "remote_news": lambda o: [{"sport": x, "start": o["start"]} for x in _listed(o, "sports")],
+    "remote_games": lambda o: [{"season": x, "season_type": t} for x in _listed(o, "seasons") for t in SEASON_TYPES],
+    "remote_feeds": lambda o: json.loads(o["feeds"]),
+}
+
+
 def register(spark: SparkSession, markets=markets_client, fills=fills_client, news=news_client, feeds=feeds_client) -> None:
-    """Register the formats ``remote_markets``, ``remote_fills``, ``remote_news``, ``remote_games`` and ``remote_feeds``; each reads JSON payloads by slice.
+    """Register the formats ``remote_markets``, ``remote_market``, ``remote_fills``, ``remote_news``, ``remote_games`` and ``remote_feeds``; each reads JSON payloads by slice.
 
-    Options: ``url``, ``tags``, ``closed``, ``start_after``, ``end_before``; ``url``, ``tokens``, ``start``, ``end``, ``slice_seconds``; ``sports``,
-    ``start``; ``seasons``; ``feeds`` as JSON list of url and name. ``failures=keep`` turns a failed slice into a row.
+    Options: ``url``, ``tags``, ``closed``, ``start_after``, ``end_before``; ``url``, ``ids``; ``url``, ``tokens``, ``start``, ``end``, ``slice_seconds``;
+    ``sports``, ``start``; ``seasons``; ``feeds`` as JSON list of url and name. ``failures=keep`` turns a failed slice into a row.
     """
     sources = (
-        ("remote_markets", _market_slices, lambda c, s: market_pages(c, s["url"], s["tag"], s["closed"], s["start"], s["end"]), markets),
-        ("remote_fills", _fill_slices, lambda c, s: fill_pages(c, s["url"], s["token"], s["side"], s["start"], s["end"]), fills),
-        ("remote_news", lambda o: [{"sport": x, "start": o["start"]} for x in _listed(o, "sports")], lambda c, s: ({"page": p, "pos": n, "sport": s["sport"], "item": i} for p, n, i in news_pages(c, s["sport"], s["start"])), news),
-        ("remote_games", lambda o: [{"season": x, "season_type": t} for x in _listed(o, "seasons") for t in SEASON_TYPES], lambda c, s: game_log(c, s["season"], s["season_type"]), news),
-        ("remote_feeds", lambda o: json.loads(o["feeds"]), _feed_fetch, feeds),
+        ("remote_markets", lambda c, s: market_pages(c, s["url"], s["tag"], s["closed"], s["start"], s["end"]), markets),
+        ("remote_market", lambda c, s: (market(c, s["url"], x) for x in s["ids"]), markets),
+        ("remote_fills", lambda c, s: fill_pages(c, s["url"], s["token"], s["side"], s["start"], s["end"]), fills),
+        ("remote_news", lambda c, s: ({"page": p, "pos": n, "sport": s["sport"], "item": i} for p, n, i in news_pages(c, s["sport"], s["start"])), news),
+        ("remote_games", lambda c, s: game_log(c, s["season"], s["season_type"]), news),
+        ("remote_feeds", _feed_fetch, feeds),
     )
-    for title, slices_of, fetch, client_for in sources:
-        spark.dataSource.register(_source(title, slices_of, fetch, client_for))
+    for title, fetch, client_for in sources:
+        spark.dataSource.register(_source(title, _SLICES[title], fetch, client_for))
+
+
+def through_cache(spark: SparkSession, title: str, options: dict[str, str], cache: ResponseCache) -> DataFrame:
+    """``(slice, payload, error)`` of a registered format, with slices that the cache holds taken from there and new ones appended.
+
+    The driver lists the slices that its options name. A slice that failed (under ``failures=keep``) gives its error and isn't
+    kept, so the next run fetches it again.
+    """
+    keys = [slice_key(s) for s in _SLICES[title](options)]
+    wanted = spark.createDataFrame([(http_key(title, k), k) for k in keys], "key string, slice string")
+    missing = [r["slice"] for r in cache.missing(wanted).collect()]
+    failed = None
+    if missing:
+        landed = f"{cache.path}-landing/{uuid.uuid4().hex}"
+        spark.read.format(title).options(**options, only=json.dumps(missing)).load().write.parquet(landed)
+        fetched = spark.read.schema("slice string, payload string, error string").parquet(landed)
+        failed = fetched.where("error is not null")
+        good = wanted.where(F.col("slice").isin(missing)).join(failed.select("slice"), "slice", "left_anti")
+        bodies = good.join(fetched, "slice", "left").groupBy("key").agg(F.to_json(F.collect_list("payload")).alias("body"))  # one slice is what one task fetched
+        cache.put(bodies)
+    kept = cache.table().join(wanted, "key").select("slice", F.explode(F.from_json("body", "array<string>")).alias("payload"), F.lit(None).cast("string").alias("error"))
+    return kept if failed is None else kept.unionByName(failed)
+
+
+def fetched_pages(articles: DataFrame, cache: ResponseCache, client_for: Callable[[int], Client] | None = None, tasks: int = 10) -> DataFrame:
+    """``(url, html)`` of the distinct urls of ``articles``; pages come from the cache, missing ones are fetched once and kept.
+
+    ``tasks`` requests run at once. A page that can't be had is kept as an empty text, as one that was looked at, and is null here.
+    """
+    make = client_for or pages_client
+    urls = articles.select("url").where(F.coalesce("url", F.lit("")) != "").distinct()
+    keyed = urls.select("url", F.concat(F.lit("page:"), "url").alias("key"))
+
+    def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        client = make(tasks)
+        for batch in batches:
+            bodies = []
+            for url in batch["url"]:
+                try:
+                    body = client("GET", url, {})
+                    bodies.append(body.decode("utf-8", "replace") if isinstance(body, bytes) else str(body))
+                except (HttpError, OSError, ValueError):
+                    bodies.append("")
+            yield pd.DataFrame({"key": batch["key"], "body": bodies})
+
+    cache.put(cache.missing(keyed).repartition(tasks, "key").mapInPandas(fetch, "key string, body string"))
+    return cache.table().join(keyed, "key").select("url", F.nullif("body", F.lit("")).alias("html"))
