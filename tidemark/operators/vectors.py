@@ -131,30 +131,28 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int, window: bool = False)
     corpus ``at``, and only rows between count. Fewer rows than k give fewer results; null vectors take no part.
 
     Queries and rows meet in tiles of about ``QUERY_BLOCK`` by ``BLOCK``, so a task holds no more than a tile and the driver nothing. With
-    a window, rows lie in strips of the widest window's width and a query meets the strips that it overlaps, three at most.
+    a window, rows lie in strips of the widest window's width and a query meets the strips that it overlaps, two at most.
     """
     queries = queries.where("vector is not null").select("query_id", "vector", *(("lo", "hi") if window else ()))
     corpus = corpus.where("vector is not null").select("id", "vector", *(("at",) if window else ()))
-    parts = -(-queries.count() // QUERY_BLOCK) or 1
     kinds = {"query_id": queries.schema["query_id"].dataType.simpleString(), "id": corpus.schema["id"].dataType.simpleString()}
-    asked = queries.withColumn("part", F.pmod(F.xxhash64("query_id", F.lit("part")), F.lit(parts)).cast("int"))
-    spread = F.xxhash64("id", F.lit("block"))
+    count = lambda df, n, span: df.select(F.lit(n).alias("n"), F.lit(1 - n).alias("m"), span.cast("double").alias("span"))
+    most = count(corpus, 1, F.lit(None)).unionByName(count(queries, 0, F.col("hi") - F.col("lo") if window else F.lit(None))).agg(F.sum("n").alias("n"), F.sum("m").alias("m"), F.max("span").alias("span")).first()
     if window:
-        widest = queries.agg(F.max(F.col("hi") - F.col("lo"))).first()[0]
-        width = max(1, (widest or 0) + 1)
-        asked = asked.where("hi >= lo").withColumn("strip", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor(F.col("hi") / width))))
+        width = max(1, int(most["span"] or 0) + 1)
+        asked = queries.where("hi >= lo").withColumn("strip", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor(F.col("hi") / width))))
         rows = corpus.where("at is not null").withColumn("strip", F.floor(F.col("at") / width))
-        sizes = rows.groupBy("strip").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-        rows = rows.join(sizes, "strip").withColumn("block", F.pmod(spread, F.col("blocks")).cast("int"))
-        asked = asked.join(sizes, "strip").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        # a strip's rows go only to the parts of queries that ask for it
-        rows = rows.join(asked.select("strip", "part").distinct(), "strip")
+        if (most["n"] or 0) > BLOCK or (most["m"] or 0) > QUERY_BLOCK:  # the fullest strip tells into how many tiles strips are dealt
+            strips = rows.select("strip", F.lit(1).alias("n"), F.lit(0).alias("m")).unionByName(asked.select("strip", F.lit(0).alias("n"), F.lit(1).alias("m")))
+            most = strips.groupBy("strip").agg(F.sum("n").alias("n"), F.sum("m").alias("m")).agg(F.max("n").alias("n"), F.max("m").alias("m")).first()
     else:
-        blocks = -(-corpus.count() // BLOCK) or 1
-        rows = corpus.withColumn("block", F.pmod(spread, F.lit(blocks)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-        asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    keys = [*(("strip",) if window else ()), "block", "part"]
-    rows, asked = (df.select(*(F.col(c).alias(c) for c in df.columns if c != "blocks")) for df in (rows, asked))  # sides of one origin
+        asked, rows = (df.withColumn("strip", F.lit(0).cast("long")) for df in (queries, corpus))
+    blocks, parts = max(1, -(-(most["n"] or 0) // BLOCK)), max(1, -(-(most["m"] or 0) // QUERY_BLOCK))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1))) if n > 1 else F.lit(0)
+    place = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int") if n > 1 else F.lit(0)
+    rows = rows.withColumn("block", place("id", blocks)).withColumn("part", each(parts))
+    asked = asked.withColumn("part", place("query_id", parts)).withColumn("block", each(blocks))
+    keys = ["strip", "block", "part"]
 
     def tile(own: pa.Table, some: pa.Table) -> pa.Table:
         found = _best_of(some, own, k, window) if own.num_rows and some.num_rows else ([], [], [])
