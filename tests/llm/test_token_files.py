@@ -23,6 +23,29 @@ def test_word_tables_give_what_the_libraries_give(text):
     assert counts(text) == (counts._count(text) if text else 0)
 
 
+def _twins(bits):
+    """Two words that every polynomial hash modulo 2^64 with an odd base confounds."""
+    turns = [bin(i).count("1") % 2 for i in range(1 << bits)]
+    return "".join("ab"[t] for t in turns), "".join("ba"[t] for t in turns)
+
+
+def test_words_of_one_hash_are_told_apart():
+    one, two = _twins(10)
+    ids = encoding.ids_of(PATH)
+    text = f"{one} {two} x {two} {one}"
+    assert ids.whole(one) != ids.whole(two)
+    for given_text in (text, one, two, text):
+        assert ids(given_text) == ids.whole(given_text)
+    assert ids.batch([two, one, text]) == [ids.whole(x) for x in (two, one, text)]
+
+
+def test_long_words_are_counted_but_not_kept():
+    counts = encoding.counts_of(public_tokenizers.path("piece_bpe_32k.model"))
+    before = len(counts._words)
+    text = " ".join(f"{i}" + "x" * 200 for i in range(300))
+    assert counts(text) == counts._count(text) and len(counts._words) == before
+
+
 @pytest.mark.parametrize("text", ["0123456789" * 12_000, "0123456789" * 20_000, "".join(chr(0x4E00 + i * 7 % 20_000) for i in range(42_000))])
 def test_one_long_word_of_many_ids(monkeypatch, text):
     monkeypatch.setattr(encoding, "TABLE_IDS", 1 << 16)

@@ -16,10 +16,10 @@ from pathlib import Path
 
 import numpy as np
 
-#: Words kept in each generation of a worker's table of counts (about 40 MB).
-KEPT_WORDS = 250_000
-#: Slots of a worker's table of ids (about 60 MB with its ids), ids at which it is emptied, bytes that are looked up at once, and the hash's odd base.
-TABLE_SLOTS, TABLE_IDS, CHUNK_BYTES, _BASE = 1 << 21, 1 << 23, 1 << 18, 0x5851F42D4C957F2D
+#: Words kept in each generation of a worker's table of counts, and the characters of the longest word that is kept (under 50 MB a generation).
+KEPT_WORDS, KEPT_CHARS = 250_000, 64
+#: Slots of a worker's table of ids, ids and bytes of words at which it is emptied (some 90 MB in all), bytes that are looked up at once, and the hash's odd base.
+TABLE_SLOTS, TABLE_IDS, TABLE_BYTES, CHUNK_BYTES, _BASE = 1 << 20, 1 << 23, 1 << 24, 1 << 18, 0x5851F42D4C957F2D
 #: Lower-case letters that normalisation leaves as they are; a word of them is one piece, for the model alone.
 _LETTERS = [*range(0xDF, 0xF7), *range(0xF8, 0x100)]
 _SIMPLE = re.compile("[a-z" + "".join(map(chr, _LETTERS)) + "]+")
@@ -60,16 +60,24 @@ def _encodes_words_alone(spec: dict) -> bool:
     )
 
 
+def _grown(pool: np.ndarray, size: int) -> np.ndarray:
+    """The pool, or a longer copy that holds ``size`` values."""
+    return pool if size <= len(pool) else np.concatenate([pool, np.zeros(max(len(pool), size - len(pool)), pool.dtype)])
+
+
 class _IdTable:
-    """Hash of a word to its ids, in arrays with open addressing: some 25 bytes a word, and looked up for many words at once.
+    """Words to their ids, in arrays with open addressing: some 40 bytes a word, and looked up for many words at once.
 
-    Words are told apart by 64-bit hashes; of a full table's words two share one with a chance of about one in ten million.
+    Words are found by their 64-bit hashes and then held against the bytes that the table keeps of them, so words that share
+    a hash are told apart: the first holds the slot.
     """
 
     def __init__(self, slots: int) -> None:
         self.mask, self.held = np.uint64(slots - 1), 0
         self.keys, self.at, self.size = np.zeros(slots, np.uint64), np.zeros(slots, np.uint32), np.zeros(slots, np.uint32)
+        self.word_at, self.word_size = np.zeros(slots, np.uint32), np.zeros(slots, np.uint32)
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.words, self.words_used = np.zeros(1 << 16, np.uint8), 0
 
     def slots_of(self, hashes: np.ndarray) -> np.ndarray:
         """Each hash's slot, or the empty one where it belongs."""
@@ -81,27 +89,54 @@ class _IdTable:
             rest = rest[(now != hashes[rest]) & (now != 0)]
         return slots
 
-    def put(self, hashes: np.ndarray, ids: list[list[int]]) -> None:
-        """Add distinct hashes that aren't in the table."""
+    def added(self, ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+        """Where the pool holds some words' ids from now on, and how many."""
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
         flat = np.fromiter((x for own in ids for x in own), np.uint32, int(sizes.sum()))
-        while self.used + len(flat) > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        self.pool = _grown(self.pool, self.used + len(flat))
         self.pool[self.used : self.used + len(flat)] = flat
         starts = self.used + np.cumsum(sizes) - sizes
-        keys, mask = self.keys, int(self.mask)
-        for h, start, size in zip(hashes.tolist(), starts.tolist(), sizes.tolist()):
+        self.used += len(flat)
+        return starts, sizes
+
+    def put(self, hashes: np.ndarray, words: list[bytes], ids: list[list[int]]) -> None:
+        """Add words whose hashes are distinct and not in the table."""
+        starts, sizes = self.added(ids)
+        joined = np.frombuffer(b"".join(words), np.uint8)
+        self.words = _grown(self.words, self.words_used + len(joined))
+        self.words[self.words_used : self.words_used + len(joined)] = joined
+        keys, mask, place = self.keys, int(self.mask), self.words_used
+        for h, start, size, word in zip(hashes.tolist(), starts.tolist(), sizes.tolist(), words):
             slot = h & mask
             while keys[slot]:
                 slot = (slot + 1) & mask
             keys[slot], self.at[slot], self.size[slot] = h, start, size
-        self.used += len(flat)
+            self.word_at[slot], self.word_size[slot] = place, len(word)
+            place += len(word)
+        self.words_used = place
         self.held += len(ids)
 
+    def others(self, slots: np.ndarray, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Which words ``raw[start:end]`` aren't the ones that their slots hold."""
+        sizes = ends - starts
+        odd = self.word_size[slots] != sizes
+        same = np.flatnonzero(~odd)
+        if len(same):
+            own = sizes[same]
+            first = np.cumsum(own) - own
+            step = np.arange(int(own.sum())) - np.repeat(first, own)
+            differ = raw[np.repeat(starts[same], own) + step] != self.words[np.repeat(self.word_at[slots[same]].astype(np.int64), own) + step]
+            odd[same] = np.logical_or.reduceat(differ, first)
+        return np.flatnonzero(odd)
+
+    def full(self, more: int) -> bool:
+        """Whether so many more words are too many."""
+        return self.held + more > 0.7 * len(self.keys) or self.used > TABLE_IDS or self.words_used > TABLE_BYTES
+
     def clear(self) -> None:
         """Forget all words."""
         self.keys[:] = 0
-        self.held = self.used = 0
+        self.held = self.used = self.words_used = 0
 
 
 _BLANK = np.zeros(256, bool)
@@ -201,14 +236,17 @@ class IdEncoder:
         missing = np.flatnonzero(table.keys[slots] == 0)
         if len(missing):
             new, first = np.unique(hashes[missing], return_index=True)
-            if table.held + len(new) > 0.7 * TABLE_SLOTS or table.used > TABLE_IDS:
+            if table.full(len(new)):
                 table.clear()
                 new, missing = np.unique(hashes, return_index=True)
                 first = np.arange(len(missing))
-            words = missing[first]
-            table.put(new, [self._word(joined[s:e]) for s, e in zip(starts[words].tolist(), ends[words].tolist())])
+            chosen = missing[first]
+            words = [joined[s:e] for s, e in zip(starts[chosen].tolist(), ends[chosen].tolist())]
+            table.put(new, words, list(map(self._word, words)))
             slots = table.slots_of(hashes)
         at, sizes = table.at[slots].astype(np.int64), table.size[slots].astype(np.int64)
+        if len(odd := table.others(slots, raw, starts, ends)):
+            at[odd], sizes[odd] = table.added([self._word(joined[s:e]) for s, e in zip(starts[odd].tolist(), ends[odd].tolist())])
         ends_at = np.cumsum(sizes)
         ids = table.pool[np.repeat(at - (ends_at - sizes), sizes) + np.arange(ends_at[-1])]
         if len(raws) == 1:
@@ -256,7 +294,10 @@ class CountEncoder:
         if not self._alone or "  " in text or text[0] == " " or text[-1] == " " or self._mark in text:
             return self._count(text)
         self._words.bounded()
-        return sum(map(self._words.__getitem__, text.split(" ")))
+        words = text.split(" ")
+        if len(max(words, key=len)) <= KEPT_CHARS:
+            return sum(map(self._words.__getitem__, words))
+        return sum(self._words[w] if len(w) <= KEPT_CHARS else self._count(w) for w in words)
 
 
 def ids_of(path: str) -> IdEncoder:

@@ -8,8 +8,8 @@ A rule's matches are found leftmost and without overlap, then those that are too
 so a dropped match still hides what it covers. Positions come from the lengths of the matches and of
 the texts between them; they count code points and ends are exclusive.
 
-Defined cases: a null text is an empty blob without findings; null and repeated ids keep their rows; an
-empty table gives no rows; extra columns are left out.
+Defined cases: a null text is an empty blob without findings; a very long text is scanned whole; null and repeated ids keep
+their rows; an empty table gives no rows; extra columns are left out, whatever their names.
 """
 
 from __future__ import annotations

@@ -43,15 +43,28 @@ def scratch(spark: SparkSession, name: str) -> str:
 def release(spark: SparkSession) -> None:
     """Delete what this process wrote to the shared folder; only once no result of it is read any more."""
     while _MADE:
-        where = spark._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        _delete(spark, _MADE.pop())
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again: cuts the lineage and survives lost executors."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables that ``written`` gave, once nothing that is still to be computed reads them."""
+    for df in tables:
+        _MADE.remove(df._scratch_path)
+        _delete(df.sparkSession, df._scratch_path)
 
 
 def exists(spark: SparkSession, path: str) -> bool:

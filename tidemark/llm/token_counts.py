@@ -5,8 +5,8 @@ its digest is joined to the counts stored for the tokenizer's version, which is
 vocabulary file and of the library's name and release. Only distinct contents that the cache lacks are
 encoded, once each, and appended.
 
-Defined cases: a null or empty text has 0 bytes and 0 tokens; null and repeated ids keep their rows;
-an empty table gives no rows; extra columns are left out.
+Defined cases: a null or empty text has 0 bytes and 0 tokens; a very long text is counted whole, like others;
+null and repeated ids keep their rows; an empty table gives no rows; extra columns are left out, whatever their names.
 """
 
 from __future__ import annotations
