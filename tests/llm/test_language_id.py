@@ -82,7 +82,8 @@ def plain(rows, least):
         conf = 1 / sum(math.exp(x - top) for x in post)
         best = names[s.index(max(s))] if s else None
         likely = sum((counts[best][g] + li.SMOOTHING) / sums[best] >= 1 / li.BUCKETS for g in li.trigrams(r[1]).tolist()) if s else 0
-        ok = bool(grams) and likely >= li.LIKELY_SHARE * grams and conf >= li.CONFIDENCE
+        chance = sum((counts[best][b] + li.SMOOTHING) / sums[best] >= 1 / li.BUCKETS for b in range(li.BUCKETS)) / li.BUCKETS if s else 0
+        ok = bool(grams) and likely >= (li.LIKELY_SHARE + (1 - li.LIKELY_SHARE) * chance) * grams and conf >= li.CONFIDENCE
         out.append((r[0], names[post.index(top)], round(conf, 6), t, d, ok))
     return out
 
@@ -97,6 +98,34 @@ def test_matches_row_by_row_model(spark):
     assert sorted((str(r["doc_id"]), r["text"]) for r in kept.collect()) == sorted((str(r[0]), r[1]) for r, p in zip(rows, plain(rows, 10)) if p[5])
 
 
+def test_what_is_no_language_goes(spark):
+    rng = random.Random(6)
+    rows = [(i, words(rng, lang, 60), lang, None, f"h{i % 7}", "c") for i, lang in enumerate(rng.choice(list(LETTERS)) for _ in range(400))]
+    digits = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/"
+    junk = [
+        "".join(rng.choice(digits) for _ in range(4_000)), " ".join("".join(rng.choice("zxqjkvwy") for _ in range(12)) for _ in range(80)), "0 1 2 3 " * 400, "*** --- %%%", "", None,
+        " ".join("".join(chr(rng.randint(0x4E00, 0x9FFF)) for _ in range(6)) for _ in range(200)), "<<<>>>" * 500,
+    ]
+    rows += [(1_000 + i, text, rng.choice([None, "de", "fr"]), None, "h1", "c") for i, text in enumerate(junk)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    assert sorted(r["doc_id"] for r in li.accepted(docs, evidence()).collect()) == list(range(400))
+
+
+def test_clashing_names_and_few_columns(spark):
+    rng = random.Random(2)
+    given = [(words(rng, "de", 20), "de", i, "s") for i in range(20)] + [("..", "de", 99, "s")]
+    docs = spark.createDataFrame(given, "text string, lang string, _li_text_log int, kept string").withColumn("none", F.create_map(F.lit("a"), F.lit(1)))
+    of = li.Evidence(F.col("lang"), F.lit(None).cast("string"), F.lit(None).cast("string"))
+    kept = li.accepted(docs, of)
+    assert kept.columns == docs.columns and sorted(r["_li_text_log"] for r in kept.collect()) == list(range(20))
+    assert li.accepted(docs.select("text"), li.Evidence(*[F.lit(None).cast("string")] * 3)).count() == 20
+
+
+def test_evidence_by_shuffled_joins(spark, monkeypatch):
+    monkeypatch.setattr(li, "BROADCAST_SCORES", 0)
+    test_matches_row_by_row_model(spark)
+
+
 def test_held_out_accuracy(spark):
     rng = random.Random(9)
     rows = [(i, words(rng, lang, 30), lang if i % 2 else None, None, None, "c") for i, lang in enumerate(rng.choice(list(LETTERS)) for _ in range(300))]

@@ -11,13 +11,13 @@ Every declared language has a model: the ``LANGUAGES`` most frequent a dense one
 were seen with. The driver sees those counts. Host, suffix and declaration tables are broadcast only
 behind a count of their rows, and joined by shuffle beyond it.
 
-A row is rejected if its text has no letters, if fewer than ``LIKELY_SHARE`` of its trigrams are likelier in the
-language that its text tells than if all trigrams were alike, or if the fused posterior of the best language is below
-``CONFIDENCE``. Where no language is declared at all, every row with letters stays.
+A row is rejected if its text has no letters, if too few of its trigrams are likelier in the language that its text tells
+than if all trigrams were alike, or if the fused posterior of the best language is below ``CONFIDENCE``. Too few are fewer than what
+random trigrams would hit by chance in that language, and ``LIKELY_SHARE`` of the rest. Where no language is declared at all, every row with letters stays.
 
 Defined cases: a null or empty text has no letters; a null declaration, suffix or host is no evidence; equal
 posteriors go to the first language in alphabetical order; null ids and repeated rows are kept row by row; an empty table
-gives no rows; extra columns are left out of the report and kept by the filter.
+gives no rows; very long texts are scored whole; extra columns, whatever their names, are left out of the report and kept by the filter.
 """
 
 from __future__ import annotations
@@ -39,8 +39,8 @@ BUCKETS, LANGUAGES, LEAST_ROWS = 1 << 14, 64, 1
 SCORES, BROADCAST_SCORES = 1 << 20, 1 << 21
 #: Weight of an overlapping trigram, of the smoothing in the text models, of the level above, and the least posterior.
 TRIGRAM_WEIGHT, SMOOTHING, LEVEL_WEIGHT, CONFIDENCE = 1 / 3, 0.5, 5.0, 0.5
-#: Least share of a text's trigrams that a language must explain better than chance; a name or key in a short text doesn't spoil it.
-LIKELY_SHARE = 0.2
+#: Least share of trigrams, beyond chance, that a language must explain; a name or key in a short text doesn't spoil it.
+LIKELY_SHARE = 0.3
 
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[128:] = np.arange(128, 256)
@@ -72,9 +72,11 @@ def subtag(declared: Column) -> Column:
     return F.nullif(F.lower(F.regexp_extract(declared, r"^\s*([A-Za-z]{2,8})(?:$|[^A-Za-z])", 1)), F.lit(""))
 
 
-def _prepared(docs: DataFrame, text_col: str, evidence: Evidence) -> DataFrame:
+def _prepared(docs: DataFrame, keep: list[str], text_col: str, evidence: Evidence) -> DataFrame:
+    """``keep`` as fields ``c0``, ``c1`` ... of one column, so that no name clashes, and the text and marks of each row."""
     blank = lambda c: F.nullif(F.lower(F.trim(c.cast("string"))), F.lit(""))
-    return docs.select("*", F.col(text_col).cast("string").alias("_li_text"), subtag(evidence.declared.cast("string")).alias("_li_declared"), blank(evidence.suffix).alias("_li_suffix"), blank(evidence.host).alias("_li_host"))
+    kept = F.struct(F.lit(0).alias("none"), *(F.col(c).alias(f"c{i}") for i, c in enumerate(keep)))
+    return docs.select(kept.alias("kept"), F.col(text_col).cast("string").alias("_li_text"), subtag(evidence.declared.cast("string")).alias("_li_declared"), blank(evidence.suffix).alias("_li_suffix"), blank(evidence.host).alias("_li_host"))
 
 
 class Models(NamedTuple):
@@ -93,16 +95,17 @@ class Models(NamedTuple):
     logs: np.ndarray
     order: np.ndarray
     bounds: np.ndarray
+    shares: np.ndarray
 
-    def scores(self, grams: np.ndarray) -> tuple[np.ndarray, int]:
-        """A text's log likelihood in each language, and its trigrams that are likelier than chance in the best."""
+    def scores(self, grams: np.ndarray) -> tuple[np.ndarray, int, float]:
+        """A text's log likelihood in each language, its trigrams that are likelier than chance in the best, and the share of all buckets that are."""
         if not self.names:
-            return np.zeros(0), len(grams)
+            return np.zeros(0), len(grams), 0.0
         chance, sums = -np.log(BUCKETS), np.zeros(len(self.names))
         dense = self.dense[grams]
         sums[self.common] = dense.sum(axis=0)
         if not len(self.rare):
-            return sums, int((dense[:, sums.argmax()] >= chance).sum())
+            return sums, int((dense[:, sums.argmax()] >= chance).sum()), float(self.shares[sums.argmax()])
         found, times = np.unique(grams, return_counts=True)
         sizes = self.bounds[found + 1] - self.bounds[found]
         at = self.order[np.repeat(self.bounds[found] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
@@ -110,12 +113,12 @@ class Models(NamedTuple):
         sums[self.rare] = len(grams) * self.unseen + np.bincount(own, (self.logs[at] - self.unseen[own]) * np.repeat(times, sizes), len(self.rare))
         best = int(sums.argmax())
         if len(place := np.flatnonzero(self.common == best)):
-            return sums, int((dense[:, place[0]] >= chance).sum())
+            return sums, int((dense[:, place[0]] >= chance).sum()), float(self.shares[best])
         place = int(np.searchsorted(self.rare, best))
         first, last = np.searchsorted(self.languages, [place, place + 1])
         column = np.full(BUCKETS, self.unseen[place])
         column[self.buckets[first:last]] = self.logs[first:last]
-        return sums, int((column[grams] >= chance).sum())
+        return sums, int((column[grams] >= chance).sum()), float(self.shares[best])
 
 
 def text_models(prepared: DataFrame, least_rows: int = LEAST_ROWS) -> Models:
@@ -164,7 +167,10 @@ def text_models(prepared: DataFrame, least_rows: int = LEAST_ROWS) -> Models:
     total = np.bincount(languages, n, len(rare)) + SMOOTHING * BUCKETS
     order = np.argsort(buckets, kind="stable")
     bounds = np.searchsorted(buckets[order], np.arange(BUCKETS + 1))
-    return Models(names, common, np.log(dense / dense.sum(axis=0)), rare, np.log(SMOOTHING / total), languages, buckets, np.log((n + SMOOTHING) / total[languages]), order, bounds)
+    dense, unseen, logs, shares = np.log(dense / dense.sum(axis=0)), np.log(SMOOTHING / total), np.log((n + SMOOTHING) / total[languages]), np.zeros(len(names))
+    shares[common] = (dense >= -np.log(BUCKETS)).mean(axis=0)
+    shares[rare] = (np.bincount(languages, logs >= -np.log(BUCKETS), len(rare)) + (BUCKETS - np.bincount(languages, minlength=len(rare))) * (unseen >= -np.log(BUCKETS))) / BUCKETS
+    return Models(names, common, dense, rare, unseen, languages, buckets, logs, order, bounds, shares)
 
 
 def _scored(prepared: DataFrame, models: Models) -> DataFrame:
@@ -175,12 +181,18 @@ def _scored(prepared: DataFrame, models: Models) -> DataFrame:
         for batch in batches:
             for first in range(0, batch.num_rows, step := max(1, SCORES // max(1, len(models.names)))):
                 part = batch.slice(first, step)
-                grams = [trigrams(x) for x in part.column(at).to_pylist()]
-                sums, likely = zip(*map(models.scores, grams))
-                added = [pa.array(sums, pa.list_(pa.float64())), pa.array(map(len, grams), pa.int64()), pa.array(likely, pa.int64())]
-                yield pa.RecordBatch.from_arrays([*part.columns, *added], [*part.schema.names, "_li_text_log", "_li_trigrams", "_li_likely"])
-
-    schema = T.StructType([*prepared.schema.fields, T.StructField("_li_text_log", T.ArrayType(T.DoubleType())), T.StructField("_li_trigrams", T.LongType()), T.StructField("_li_likely", T.LongType())])
+                sums, sizes, likely, shares = [], [], [], []
+                for text in part.column(at):
+                    grams = trigrams(text.as_py())
+                    found, n, share = models.scores(grams)
+                    sums.append(found)
+                    sizes.append(len(grams))
+                    likely.append(n)
+                    shares.append(share)
+                added = [pa.array(sums, pa.list_(pa.float64())), pa.array(sizes, pa.int64()), pa.array(likely, pa.int64()), pa.array(shares, pa.float64())]
+                yield pa.RecordBatch.from_arrays([*part.columns, *added], [*part.schema.names, "_li_text_log", "_li_trigrams", "_li_likely", "_li_chance"])
+
+    schema = T.StructType([*prepared.schema.fields, T.StructField("_li_text_log", T.ArrayType(T.DoubleType())), T.StructField("_li_trigrams", T.LongType()), T.StructField("_li_likely", T.LongType()), T.StructField("_li_chance", T.DoubleType())])
     return prepared.mapInArrow(score, schema)
 
 
@@ -213,20 +225,35 @@ def _shares(counts: Column, above: Column) -> Column:
     return F.zip_with(counts, above, lambda n, p: (n + LEVEL_WEIGHT * p) / (total + LEVEL_WEIGHT))
 
 
-def _fused(docs: DataFrame, keep: list[str], text_col: str, evidence: Evidence, least_rows: int) -> DataFrame:
-    """``keep`` and ``_li_lang, _li_confidence, _li_text_lang, _li_declared, _li_accepted`` of each row."""
+def _with_evidence(rows: DataFrame, table: DataFrame, key: str, names: list[str]) -> DataFrame:
+    """``rows`` with a table's columns where their key has any; rows without a key are spread, not gathered in one task."""
+    table = storage.written(table, "language-evidence")
+    spread = F.pmod(F.xxhash64("_li_trigrams", "_li_likely", "_li_text_log"), F.lit(1 << 20)).cast("string")
+    left = rows.withColumns({"_li_none": F.col(key).isNull(), "_li_key": F.coalesce(key, spread)})
+    right = table.select(F.col(key).alias("_li_key"), F.lit(False).alias("_li_none"), *(c for c in table.columns if c != key))
+    return left.join(_small(right, names), ["_li_key", "_li_none"], "left").drop("_li_key", "_li_none")
+
+
+def _fused(docs: DataFrame, keep: list[str], text_col: str, evidence: Evidence, least_rows: int, texts: bool) -> tuple[DataFrame, list[Column]]:
+    """The rows with ``_li_lang, _li_confidence, _li_text_lang, _li_declared, _li_accepted``, and the columns of ``keep`` in them.
+
+    Texts go through Python twice: to count the models and to be scored. The scores are written, with the texts if the rows
+    that stay are wanted (``texts``), and all evidence is counted and joined on them.
+    """
     spark = docs.sparkSession
     storage.bounded_batches(spark)
-    prepared = _prepared(docs, text_col, evidence)
+    shared = texts and docs.schema[text_col].dataType == T.StringType()  # the text itself need not be kept twice
+    own = [c for c in keep if not (shared and c == text_col)]
+    prepared = _prepared(docs, own, text_col, evidence)
     models = text_models(prepared.select("_li_text", "_li_declared"), least_rows)
     names = models.names
-    marks = ["_li_declared", "_li_suffix", "_li_host"]
-    rows = _scored(prepared.select(*(c for c in keep), "_li_text", *marks), models).drop("_li_text")
+    columns = [F.col("_li_text").alias(c) if shared and c == text_col else F.col("kept")[f"c{own.index(c)}"].alias(c) for c in keep]
+    told = F.when(F.col("_li_trigrams") > 0, _best(F.col("_li_text_log"), names)) if names else F.lit(None).cast("string")
+    scored = _scored(prepared, models).withColumn("_li_text_lang", told)
+    rows = storage.written(scored if shared else scored.drop("_li_text"), "language-scores")
     if not names:
-        none = F.lit(None).cast("string")
-        return rows.select(*keep, none.alias("_li_lang"), F.lit(0.0).alias("_li_confidence"), none.alias("_li_text_lang"), "_li_declared", (F.col("_li_trigrams") > 0).alias("_li_accepted"))
-    told = F.when(F.col("_li_trigrams") > 0, _best(F.col("_li_text_log"), names)).alias("_li_text_lang")
-    seen = storage.written(_scored(prepared.select("_li_text", *marks), models).select(*marks, told).where("_li_text_lang is not null"), "language-seen")
+        return rows.withColumns({"_li_lang": F.lit(None).cast("string"), "_li_confidence": F.lit(0.0), "_li_accepted": F.col("_li_trigrams") > 0}), columns
+    seen = rows.where("_li_text_lang is not null")
     number = {x: i for i, x in enumerate(names)}
     counts = lambda key: seen.where(F.col(key).isNotNull()).groupBy(key, "_li_text_lang").agg(F.count("*").alias("n"))
     every = np.zeros(len(names))
@@ -253,9 +280,9 @@ def _fused(docs: DataFrame, keep: list[str], text_col: str, evidence: Evidence,
     domains = domains.select("domain", _shares(F.col("m"), _floats(overall)).alias("above"))
     hosts = _vectors(by_host, "_li_host", names).withColumn("domain", domain).join(domains, "domain").select("_li_host", F.transform(_shares(F.col("n"), F.col("above")), lambda p: F.log(p)).alias("_li_host_log"))
 
-    joined = rows.join(_small(storage.written(hosts, "language-priors"), names), "_li_host", "left")
-    joined = joined.join(_small(storage.written(suffixes, "language-suffixes"), names), "_li_suffix", "left")
-    joined = joined.join(_small(storage.written(declarations, "language-declarations"), names), "_li_declared", "left")
+    joined = rows
+    for table, key in ((hosts, "_li_host"), (suffixes, "_li_suffix"), (declarations, "_li_declared")):
+        joined = _with_evidence(joined, table, key, names)
     prior = F.coalesce("_li_host_log", _floats(np.log(overall)))
     add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
     text = F.transform("_li_text_log", lambda x: x * TRIGRAM_WEIGHT)
@@ -263,20 +290,21 @@ def _fused(docs: DataFrame, keep: list[str], text_col: str, evidence: Evidence,
     out = joined.withColumn("_li_log", fused)
     top = F.array_max("_li_log")
     confidence = 1 / F.aggregate("_li_log", F.lit(0.0), lambda a, x: a + F.exp(x - top))
-    plausible = F.col("_li_likely") >= LIKELY_SHARE * F.col("_li_trigrams")
+    plausible = F.col("_li_likely") >= (LIKELY_SHARE + (1 - LIKELY_SHARE) * F.col("_li_chance")) * F.col("_li_trigrams")
     accepted = (F.col("_li_trigrams") > 0) & plausible & (confidence >= CONFIDENCE)
-    return out.select(*keep, _best(F.col("_li_log"), names).alias("_li_lang"), confidence.alias("_li_confidence"), told, "_li_declared", accepted.alias("_li_accepted"))
+    return out.withColumns({"_li_lang": _best(F.col("_li_log"), names), "_li_confidence": confidence, "_li_accepted": accepted}), columns
 
 
 def identified(docs: DataFrame, evidence: Evidence, id_col: str = "doc_id", text_col: str = "text", least_rows: int = LEAST_ROWS) -> DataFrame:
     """``(doc_id, lang, confidence, text_lang, declared, accepted)`` of each row."""
-    found = _fused(docs.withColumn("_li_id", F.col(id_col)), ["_li_id"], text_col, evidence, least_rows)
-    return found.select(F.col("_li_id").alias("doc_id"), *(F.col(f"_li_{x}").alias(x) for x in ("lang", "confidence", "text_lang", "declared", "accepted")))
+    found, columns = _fused(docs, [id_col], text_col, evidence, least_rows, texts=False)
+    return found.select(columns[0].alias("doc_id"), *(F.col(f"_li_{x}").alias(x) for x in ("lang", "confidence", "text_lang", "declared", "accepted")))
 
 
 def accepted(docs: DataFrame, evidence: Evidence, text_col: str = "text", least_rows: int = LEAST_ROWS) -> DataFrame:
     """The rows of ``docs`` that aren't rejected, with all their columns."""
-    return _fused(docs, docs.columns, text_col, evidence, least_rows).where("_li_accepted").select(docs.columns)
+    found, columns = _fused(docs, docs.columns, text_col, evidence, least_rows, texts=True)
+    return found.where("_li_accepted").select(columns)
 
 
 def of_documents() -> Evidence:
