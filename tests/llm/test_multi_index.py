@@ -46,16 +46,34 @@ def test_ties_odd_rows_and_few_candidates(spark):
     same = [(i, [1.0, 0.0, 0.0]) for i in range(100, 160)]
     odd = [(None, [1.0, 0.0, 0.0]), (1, None), (2, [0.0, 0.0, 0.0]), (3, [nan, 1.0, 0.0]), (4, [inf, 1.0, 0.0]), (5, [None, 1.0, 0.0]), (6, [1.0, 0.0]), (100, [1.0, 0.0, 0.0]), (101, [0.5, 0.5, 0.0])]
     found = by_query(mi.neighbours(frame(spark, same + odd), k=20, every=20))
-    rest = [i for i in range(102, 160)]
+    rest = [i for i in range(101, 160)]
     assert set(found) == {100, 120, 140}
-    assert [i for _, i, _ in found[100]] == rest[:20]
-    assert [i for _, i, _ in found[120]] == [100, *[i for i in rest if i != 120]][:20]
+    # two rows have id 100: each is a query, and the other's neighbour
+    assert [i for _, i, _ in found[100]] == sorted([*[100, *rest[:19]]] * 2)
+    assert [i for _, i, _ in found[120]] == [100, 100, *[i for i in rest if i != 120]][:20]
     few = by_query(mi.neighbours(frame(spark, [(0, [1.0, 2.0]), (7, [3.0, 4.0]), (20, [1.0, 1.0])]), k=20, every=20))
     assert few == {0: [(1, 7, 11.0), (2, 20, 3.0)], 20: [(1, 7, 7.0), (2, 0, 3.0)]}
     assert by_query(mi.neighbours(frame(spark, [(0, [1.0])]), every=20)) == {}
     assert by_query(mi.neighbours(frame(spark, odd[1:5]))) == {} and by_query(mi.neighbours(frame(spark, []))) == {}
 
 
+def test_repeated_ids_and_lengths(spark):
+    rows = [(0, [1.0, 0.0]), (7, [0.5, 0.1]), (7, [0.9, 0.2]), (20, [0.0, 1.0]), (20, [1.0, 1.0, 1.0]), (8, [2.0, 0.0, 0.0]), (9, [1.0, 2.0, 3.0]), (40, [1.0, 2.0, 3.0])]
+    found = by_query(mi.neighbours(frame(spark, rows), k=2, every=20))
+    near = lambda q: [(r, i, round(s, 6)) for r, i, s in found[q]]
+    assert near(0) == [(1, 7, 0.9), (2, 7, 0.5)] and near(40) == [(1, 9, 14.0), (2, 20, 6.0)]
+    assert near(20) == [(1, 7, 0.2), (1, 9, 6.0), (2, 7, 0.1), (2, 40, 6.0)]
+
+
+def test_blocks_and_ranges_give_the_same(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    rows = [(int(i), v.tolist()) for i, v in enumerate(rng.normal(size=(600, 8)).astype(np.float32))]
+    whole = by_query(mi.neighbours(frame(spark, rows), k=6, every=5))
+    for name, value in (("BLOCK", 64), ("BLOCK_QUERIES", 9), ("STRIP", 5), ("RANGE", 7)):
+        monkeypatch.setattr(mi, name, value)
+    assert by_query(mi.neighbours(frame(spark, rows), k=6, every=5)) == whole
+
+
 def test_large_cells_are_split(spark, monkeypatch):
     monkeypatch.setattr(mi, "BLOCK", 8)
     monkeypatch.setattr(mi, "BLOCK_QUERIES", 2)

@@ -10,13 +10,16 @@ Calibration: for ``PROBES`` queries, chosen by hash, the true neighbours are fou
 of entries a walk passes before it meets each of them is read off the cells' counts; the budget is the
 ``TARGET`` quantile of those numbers. So the recall that is asked for is measured on the table itself, at every size.
 
-Entries are dealt out to blocks of about ``BLOCK`` by cell; a cell of more entries is split. A query goes to
-the blocks that its walk touches and is reranked there block by block; nothing larger than a block and a part of its queries is
-held by a task. The driver holds the sample and one count for each cell.
-
-Defined cases: null, zero, non-finite or null-holding vectors, those of another length than most, and rows with a null id take
-no part; of rows that share an id the least vector does; ties go to the smaller id; a query without other rows has no result; an empty table
-gives no rows; extra columns are left out.
+Each half has about as many centroids as the square root of a quarter of the entries, so cells stay small as the table grows, up to
+``MOST_CENTROIDS``. Entries are dealt out to blocks of about ``BLOCK`` by cell; a cell of more entries is split. A query
+goes to the blocks that its walk touches; a block with many queries is copied for each ``BLOCK_QUERIES`` of its own, and no
+other is. Within a block only the ranges of cells that a query's walk passed are scored. Nothing larger than a block and
+a part of its queries is held by a task. The driver holds the sample and a count for each cell and block.
+
+Defined cases: null, zero, non-finite or null-holding vectors and rows with a null id take no part; vectors are neighbours of
+vectors of their own length, with an index for each length; rows that share an id are entries and queries each, and only the query's own row is no
+neighbour of it; ties go to the smaller id; a query without other rows has no result; an empty table
+gives no rows; extra columns are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,9 +35,9 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import storage
 
-SAMPLE, PROBES, TARGET = 16_384, 64, 0.97
-MOST_CENTROIDS, KMEANS_ROUNDS = 256, 10
-BLOCK, BLOCK_QUERIES, STRIP = 8_192, 4_096, 256
+SAMPLE, PROBES, TARGET = 65_536, 128, 0.94
+MOST_CENTROIDS, KMEANS_ROUNDS = 2_048, 10
+BLOCK, BLOCK_QUERIES, STRIP, RANGE = 4_096, 4_096, 256, 256
 
 
 class MultiIndex(NamedTuple):
@@ -99,14 +102,13 @@ def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
     return np.asarray(flat.flatten(), dtype=np.float64).reshape(-1, dim)
 
 
-def taking_part(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> tuple[DataFrame, int]:
-    """``(id, vector)`` of the rows that take part, one for each id, and the vectors' length."""
+def taking_part(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> tuple[DataFrame, list[int]]:
+    """``(row, id, vector)`` of the rows that take part, each under a number of its own, and the lengths of their vectors."""
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector")).where("id is not null and vector is not null")
     finite = F.forall("vector", lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
     rows = rows.where(finite & F.exists("vector", lambda x: x != 0))
-    lengths = rows.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    dim = lengths[0]["n"] if lengths else 1
-    return storage.written(rows.where(F.size("vector") == dim).groupBy("id").agg(F.min("vector").alias("vector")), "index-vectors"), dim
+    rows = storage.written(rows.select(F.monotonically_increasing_id().alias("row"), "id", "vector"), "index-vectors")
+    return rows, sorted(r[0] for r in rows.select(F.size("vector")).distinct().collect())
 
 
 def _exact(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -117,52 +119,64 @@ def _exact(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return total
 
 
-def _top(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, entries: np.ndarray, seen: np.ndarray | None, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(query id, id, score)`` of the k best entries of each query; ``seen`` marks the entries of each that count."""
-    scores = queries @ entries.T
-    counts = query_ids[:, None] != ids[None, :]
-    if seen is not None:
-        counts &= seen
-    scores[~counts] = -np.inf
+class Rows(NamedTuple):
+    """Row numbers, ids and vectors."""
+
+    rows: np.ndarray
+    ids: np.ndarray
+    vectors: np.ndarray
+
+
+def _rows(table: pa.Table | pa.RecordBatch, dim: int) -> Rows:
+    return Rows(np.asarray(table.column(0)), np.asarray(table.column(1)), _matrix(table.column(2), dim))
+
+
+def _top(asked: Rows, own: Rows, scores: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """``FOUND`` of the k best entries of each query by their approximate scores; minus infinity is no candidate."""
+    counts = (asked.rows[:, None] != own.rows[None, :]) & (scores > -np.inf)
+    scores = np.where(counts, scores, -np.inf)
     if scores.shape[1] > k:
         bound = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
-        counts &= scores >= (bound - 1e-9 * (1 + np.abs(bound)))[:, None]
+        counts &= scores >= (bound - 1e-9 * (1 + np.where(np.isfinite(bound), np.abs(bound), 0)))[:, None]
     q, e = np.nonzero(counts)
-    exact = _exact(queries[q], entries[e])
-    order = np.lexsort((ids[e], -exact, q))
+    exact = _exact(asked.vectors[q], own.vectors[e])
+    order = np.lexsort((own.rows[e], own.ids[e], -exact, q))
     q, e, exact = q[order], e[order], exact[order]
-    place = np.arange(len(q)) - np.searchsorted(q, q, "left")
-    return query_ids[q[place < k]], ids[e[place < k]], exact[place < k]
+    first = np.arange(len(q)) - np.searchsorted(q, q, "left") < k
+    q, e = q[first], e[first]
+    return asked.rows[q], asked.ids[q], own.rows[e], own.ids[e], exact[first]
 
 
-FOUND = "query_id long, vec_id long, score double"
+FOUND = "query_row long, query_id long, row long, vec_id long, score double"
+_FOUND = [(x.split()[0], pa.float64() if x.endswith("double") else pa.int64()) for x in FOUND.split(", ")]
 
 
-def _batch(found: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["query_id", "vec_id", "score"])
+def _batch(found: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, (_, t) in zip(found, _FOUND)], [n for n, _ in _FOUND])
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "row")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def scanned(entries: DataFrame, probes: list[tuple[int, list[float]]], dim: int, k: int) -> DataFrame:
-    """The true neighbours of a few queries, by a scan of all entries ``(id, vector)``."""
-    names, queries = np.array([x for x, _ in probes], np.int64), np.array([v for _, v in probes], float).reshape(-1, dim)
+def scanned(entries: DataFrame, probes: list[tuple[int, int, list[float]]], dim: int, k: int) -> DataFrame:
+    """The true neighbours of a few queries ``(row, id, vector)``, by a scan of all entries."""
+    asked = Rows(np.array([r for r, _, _ in probes], np.int64), np.array([x for _, x, _ in probes], np.int64), np.array([v for *_, v in probes], float).reshape(-1, dim))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                yield _batch(_top(names, queries, np.asarray(batch.column(0)), _matrix(batch.column(1), dim), None, k))
+                own = _rows(batch, dim)
+                yield _batch(_top(asked, own, asked.vectors @ own.vectors.T, k))
 
-    return _best(entries.select("id", "vector").mapInArrow(scan, FOUND), k)
+    return _best(entries.select("row", "id", "vector").mapInArrow(scan, FOUND), k)
 
 
 def built(entries: DataFrame, dim: int, queries: DataFrame, k: int) -> tuple[MultiIndex, DataFrame]:
     """The index of the entries ``(id, vector)``, calibrated on some of the queries, and the entries with their cells."""
     spark, n = entries.sparkSession, entries.count()
-    sample = entries.orderBy(F.xxhash64("id", F.lit("sample")), "id").limit(SAMPLE).toArrow()
+    sample = entries.select("row", "vector").orderBy(F.xxhash64("row", F.lit("sample")), "row").limit(SAMPLE).toArrow()
     chosen = _matrix(sample.column("vector"), dim)
     centroids = int(min(MOST_CENTROIDS, max(1, 2 ** round(np.log2(max(1, n)) / 2 - 1))))
     half = dim // 2
@@ -172,11 +186,11 @@ def built(entries: DataFrame, dim: int, queries: DataFrame, k: int) -> tuple[Mul
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cells = bare.cells(_matrix(batch.column(1), dim)) if batch.num_rows else none
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells, pa.int32())], ["id", "vector", "cell"])
+            cells = bare.cells(_matrix(batch.column(2), dim)) if batch.num_rows else none
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells, pa.int32())], ["row", "id", "vector", "cell"])
 
     kind = entries.schema["vector"].dataType.simpleString()
-    placed = storage.written(entries.select("id", "vector").mapInArrow(assign, f"id long, vector {kind}, cell int"), "index-entries")
+    placed = storage.written(entries.select("row", "id", "vector").mapInArrow(assign, f"row long, id long, vector {kind}, cell int"), "index-entries")
     counts = np.zeros(len(left) * len(right), np.int64)
     for r in placed.groupBy("cell").count().collect():  # one row for each cell at most
         counts[r["cell"]] = r["count"]
@@ -184,34 +198,29 @@ def built(entries: DataFrame, dim: int, queries: DataFrame, k: int) -> tuple[Mul
     starts = np.concatenate([[0], np.cumsum(np.where(splits > 1, BLOCK * splits, counts))[:-1]])
     first = starts // BLOCK
     index = MultiIndex(left, right, counts, first, splits, 0)
-    probes = [(r["id"], r["vector"]) for r in queries.orderBy(F.xxhash64("id", F.lit("probe")), "id").limit(PROBES).collect()]
-    neighbours = scanned(placed, probes, dim, k).join(placed.select(F.col("id").alias("vec_id"), "cell"), "vec_id").select("query_id", "cell").collect() if probes else []
+    probes = [(r["row"], r["id"], r["vector"]) for r in queries.orderBy(F.xxhash64("row", F.lit("probe")), "row").limit(PROBES).collect()]
+    neighbours = scanned(placed, probes, dim, k).join(placed.select("row", "cell"), "row").select("query_row", "cell").collect() if probes else []
     passed, by_query = [], {}
     for r in neighbours:
-        by_query.setdefault(r["query_id"], []).append(r["cell"])
-    for query_id, vector in probes:
+        by_query.setdefault(r["query_row"], []).append(r["cell"])
+    for row, _, vector in probes:
         a, b = index.scores(np.array([vector], float))
         score = (a[0][:, None] + b[0][None, :]).ravel()
-        passed += [counts[score >= score[c] - 1e-12].sum() for c in by_query.get(query_id, [])]
+        passed += [counts[score >= score[c] - 1e-12].sum() for c in by_query.get(row, [])]
     budget = int(np.quantile(passed, TARGET, method="higher")) if passed else n
     return index._replace(budget=budget), placed
 
 
-def neighbours(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """``(query_id, rank, vec_id, score)``: the k nearest found of each row whose id is divisible by ``every``."""
-    spark = vectors.sparkSession
-    storage.bounded_batches(spark)
-    entries, dim = taking_part(vectors, id_col, vector_col)
-    if entries.isEmpty():
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    index, placed = built(entries, dim, entries.where(F.col("id") % every == 0), k)
-    queries = placed.where(F.col("id") % every == 0)
-    parts = -(-queries.count() // BLOCK_QUERIES) or 1
+def _indexed(entries: DataFrame, dim: int, k: int, every: int) -> DataFrame:
+    """``FOUND`` with ``rank`` of the queries among entries of one length."""
+    spark, is_query = entries.sparkSession, F.col("id") % every == 0
+    index, placed = built(entries, dim, entries.where(is_query), k)
     blocks = int((index.first + index.splits).max())
+    kind = placed.schema["vector"].dataType.simpleString()
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, right = index.scores(_matrix(batch.column(1), dim)) if batch.num_rows else (np.zeros((0, 0)),) * 2
+            left, right = index.scores(_matrix(batch.column(2), dim)) if batch.num_rows else (np.zeros((0, 0)),) * 2
             at, ends, goes = [], [], []
             for i in range(batch.num_rows):
                 end, cells = index.walk(left[i], right[i], k + 1)
@@ -224,33 +233,64 @@ def neighbours(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "
                 ends += [end] * len(touched)
                 goes += touched.tolist()
             rows = batch.take(pa.array(at, pa.int32()))
-            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(ends, pa.float64()), pa.array(goes, pa.int32())], ["id", "vector", "last", "block"])
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(ends, pa.float64()), pa.array(goes, pa.int32())], ["row", "id", "vector", "last", "block"])
 
-    kind = placed.schema["vector"].dataType.simpleString()
-    spread = queries.repartition(max(spark.sparkContext.defaultParallelism, blocks)).select("id", "vector").mapInArrow(walk, f"id long, vector {kind}, last double, block int")
-    spread = spread.withColumn("part", F.pmod(F.xxhash64("id", F.lit("part")), F.lit(parts)).cast("int"))
+    queries = placed.where(is_query).select("row", "id", "vector").repartition(max(spark.sparkContext.defaultParallelism, blocks))
+    spread = storage.written(queries.mapInArrow(walk, f"row long, id long, vector {kind}, last double, block int"), "index-walks")
+    # a block is copied once for every BLOCK_QUERIES queries that its own cells draw, and not at all for others
+    parts = np.zeros(blocks, np.int32)
+    for r in spread.groupBy("block").count().collect():  # one row for each block at most
+        parts[r["block"]] = -(-r["count"] // BLOCK_QUERIES)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cells, salt = np.asarray(batch.column(2)), np.asarray(batch.column(3))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array((index.first[cells] + salt % index.splits[cells]).astype(np.int32))], ["id", "vector", "cell", "block"])
+            cells, salt = np.asarray(batch.column(3)), np.asarray(batch.column(4))
+            block = index.first[cells] + salt % index.splits[cells]
+            copies = parts[block]
+            at = np.repeat(np.arange(len(block)), copies)
+            part = np.arange(len(at)) - np.repeat(np.cumsum(copies) - copies, copies)
+            rows = batch.take(pa.array(at, pa.int32()))
+            yield pa.RecordBatch.from_arrays([*rows.columns[:4], pa.array(block[at], pa.int32()), pa.array(part, pa.int32())], ["row", "id", "vector", "cell", "block", "part"])
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            part = np.asarray(batch.column(5)) % np.maximum(1, parts[np.asarray(batch.column(4))])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(part, pa.int32())], ["row", "id", "vector", "last", "block", "part"])
 
-    salt = F.pmod(F.xxhash64("id", F.lit("block")), F.lit(1 << 30)).alias("salt")
-    dealt = placed.select("id", "vector", "cell", salt).mapInArrow(deal, f"id long, vector {kind}, cell int, block int")
-    dealt = dealt.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    salt = lambda name: F.pmod(F.xxhash64("row", F.lit(name)), F.lit(1 << 30)).alias("salt")
+    dealt = placed.select("row", "id", "vector", "cell", salt("block")).mapInArrow(deal, f"row long, id long, vector {kind}, cell int, block int, part int")
+    asked = spread.select("row", "id", "vector", "last", "block", salt("part")).mapInArrow(ask, f"row long, id long, vector {kind}, last double, block int, part int")
 
     def rerank(entries: pa.Table, queries: pa.Table) -> pa.Table:
         out = []
         if entries.num_rows and queries.num_rows:
-            ids, own, cells = np.asarray(entries["id"]), _matrix(entries["vector"], dim), np.asarray(entries["cell"])
+            entries = entries.sort_by("cell")
+            own, cells = _rows(entries, dim), np.asarray(entries["cell"])
             a, b = np.divmod(cells, len(index.right))
             for at in range(0, queries.num_rows, STRIP):
                 some = queries.slice(at, STRIP)
-                asked, last = _matrix(some["vector"], dim), np.asarray(some["last"])
-                left, right = index.scores(asked)
-                seen = left[:, a] + right[:, b] >= (last - 1e-9)[:, None]
-                out.append(_batch(_top(np.asarray(some["id"]), asked, ids, own, seen, k)))
-        return pa.Table.from_batches(out, pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())]))
-
-    found = dealt.groupBy("block", "part").cogroup(spread.groupBy("block", "part")).applyInArrow(rerank, FOUND)
-    return _best(found, k)
+                strip, last = _rows(some, dim), np.asarray(some["last"])
+                left, right = index.scores(strip.vectors)
+                scores = np.full((len(last), len(cells)), -np.inf)
+                for low in range(0, len(cells), RANGE):  # cells lie together, so a range that a query's walk didn't touch costs it nothing
+                    high = min(low + RANGE, len(cells))
+                    seen = left[:, a[low:high]] + right[:, b[low:high]] >= (last - 1e-9)[:, None]
+                    q = np.flatnonzero(seen.any(axis=1))
+                    if len(q):
+                        scores[q, low:high] = np.where(seen[q], strip.vectors[q] @ own.vectors[low:high].T, -np.inf)
+                out.append(_batch(_top(strip, own, scores, k)))
+        return pa.Table.from_batches(out, pa.schema(_FOUND))
+
+    return _best(dealt.groupBy("block", "part").cogroup(asked.groupBy("block", "part")).applyInArrow(rerank, FOUND), k)
+
+
+def neighbours(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """``(query_id, rank, vec_id, score)``: the k nearest found of each row whose id is divisible by ``every``."""
+    spark = vectors.sparkSession
+    storage.bounded_batches(spark)
+    entries, lengths = taking_part(vectors, id_col, vector_col)
+    out = None
+    for dim in lengths:
+        found = _indexed(entries.where(F.size("vector") == dim), dim, k, every).select("query_id", "rank", "vec_id", "score")
+        out = found if out is None else out.unionByName(found)
+    return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double") if out is None else out
