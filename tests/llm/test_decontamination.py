@@ -69,9 +69,12 @@ def plain(items, docs, window=5, similarity=0.8):
     return out
 
 
-@pytest.mark.parametrize("block", [8 << 20, 300])
-def test_matches_all_pairs(spark, monkeypatch, block):
-    monkeypatch.setattr(dc, "BLOCK_CHARS", block)
+@pytest.mark.parametrize("chars", [4 << 20, 0])
+def test_matches_all_pairs(spark, monkeypatch, chars):
+    if not chars:  # nothing broadcast, a full bit table, one text at a time
+        for name, value in (("BROADCAST_CHARS", 0), ("CHUNK_CHARS", 1), ("LEAST_BITS", 6), ("MOST_BITS", 6)):
+            monkeypatch.setattr(dc, name, value)
+        monkeypatch.setattr(dc.storage, "small", lambda df, rows=0: df)
     rng = random.Random(2)
     items = [(i, filler(rng, rng.randint(3, 40))) for i in range(12)]
     docs = []
@@ -118,3 +121,47 @@ def test_names_at_any_place_and_in_any_case(spark):
     ]
     expected = {(1, 1), (2, 1), (3, 1), (4, 2), (5, 2), (6, 2), (7, 2), (8, 3), (9, 3), (10, 3)}
     assert set(found(spark, docs, items)) == expected
+
+
+def test_texts_of_a_chunk_stay_apart():
+    texts = ["Mary Jones", None, "Bob went home. - Ann", "", "Sue paid 5km to", "x " * 7, "- Carl"]
+    whole = dc.Template(texts, dc.Words())
+    for sizes in ([1], [2], [3, 5]):
+        apart = [(n, t, s, h) for n, x in enumerate(texts) for t, s, _, hashes in dc.Template(x, dc.Words()).hashed(sizes) for h in hashes.tolist()]
+        assert sorted(apart) == sorted((n, t, s, h) for t, s, own, hashes in whole.hashed(sizes) for n, h in zip(own.tolist(), hashes.tolist()))
+
+
+#: A question in each language with two numbers, a unit and a name, and clean prose with the same function words.
+QUESTIONS = {
+    1: "Ein Bauer namens {name} verkauft am Morgen {a} Kisten Äpfel auf dem Markt und am Nachmittag noch {b} weitere, wie viele Kisten hat {name} an diesem Tag verkauft?",
+    2: "Un train part de la gare à midi avec {name} et roule {a} {unit} avant de tourner vers le nord pendant {b} minutes, quand est-ce que {name} arrive?",
+    3: "En la tienda de la esquina {name} compra {a} manzanas rojas y luego regala {b} a sus primos, cuántas manzanas le quedan a {name} al final del día?",
+    4: "On a rainy evening {name} pours {a} {unit} of water into the tall blue tank and then drains {b} before lunch, how much water does {name} have left?",
+}
+CLEAN = [
+    "Der alte Müller ging am Morgen auf den Markt und sah dort viele Kisten, aber am Nachmittag war der Platz leer und das Wetter wurde schlecht.",
+    "Le train de la gare est parti avant midi et la pluie tombait sur le nord de la ville quand les voyageurs sont sortis avec leurs valises.",
+    "La tienda de la esquina vende manzanas rojas y el dueño regala dulces a los niños del barrio al final del día cuando cierra.",
+    "On a rainy evening the tall blue tank was full of water and nobody wanted to drain it before lunch because the pump was broken.",
+]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_reparameterised_questions_of_four_languages(spark, seed):
+    rng = random.Random(seed)
+    names = ["Anna", "Bruno", "Chloé", "Diego", "Erik", "Fátima", "Jürgen Maier", "Zoë"]
+    made = lambda q: QUESTIONS[q].format(name=rng.choice(names), a=rng.randint(2, 900), b=rng.randint(2, 900), unit=rng.choice(["km", "miles", "l", "gallons"]))
+    items = [(q, made(q)) for q in QUESTIONS]
+    docs = [(100 * q + i, f"{filler(rng, rng.randint(0, 30))}. {made(q)} {filler(rng, 20)}") for q in QUESTIONS for i in range(8)]
+    torn = [(1000 + q, QUESTIONS[q].replace("{name}", "Otto", 1).format(name="Ida", a=1, b=2, unit="km").replace("Ida", "Uwe", 0)) for q in QUESTIONS]
+    clean = [(2000 + i, f"{x} {filler(rng, 20)}") for i, x in enumerate(CLEAN)]
+    rows = found(spark, docs + clean + torn, items)
+    assert {k for k in rows if k[0] < 1000} == {(d, d // 100) for d, _ in docs}
+    assert not {d for d, _ in rows} & {d for d, _ in clean}
+    assert any(r["changed_slots"] for r in rows.values())
+
+
+def test_columns_of_any_name_stay(spark):
+    docs = spark.createDataFrame([(1, ITEMS[1][1], "a", 1), (2, "clean text here", "b", 2), (2, "clean text here", "b", 2), (None, None, "c", 3)], "doc_id long, text string, doc string, gone int")
+    kept = dc.decontaminated(docs, spark.createDataFrame(ITEMS, "item_id long, text string"))
+    assert kept.columns == docs.columns and sorted(map(tuple, kept.collect()), key=str) == [(2, "clean text here", "b", 2)] * 2 + [(None, None, "c", 3)]

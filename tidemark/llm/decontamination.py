@@ -12,11 +12,16 @@ Whether a capitalised word is a name can't be told where a sentence begins, and
 between copies. So windows are hashed in three typings (``Template``), and a window is found if it is in any.
 
 Windows of fewer than two plain words say too little and count on neither side, unless an item has no
-others; an item shorter than a window is one window. A sentence's first word typed as a name counts as plain if it is the item's own. The benchmark's windows are joined on the map side: they
-go to the tasks in blocks of bounded size, as many as the benchmark needs, and documents aren't shuffled.
+others; an item shorter than a window is one window. A sentence's first word typed as a name counts as plain if it is the item's own.
 
-Defined cases: null or empty texts and items match nothing; null ids and repeated rows are kept row by row; empty
-tables give no matches; extra columns are left out of matches and kept by the filter.
+Documents are scanned once, whatever the benchmark's size: of their windows those go on whose hash may be in the benchmark by
+a bit table of at most 2^``MOST_BITS`` bits. They are joined with the benchmark's windows by hash, and pairs of a document
+and an item with enough of its windows in common are then held against each other, slots and all, text by text. The
+join's sides are broadcast behind a check of their size, and dealt by hash else.
+
+Defined cases: null or empty texts and items match nothing; null ids and repeated rows are kept row by row, repeated items
+count once; very long texts are read whole; empty tables give no matches; extra columns, whatever their names, are left out of
+matches and kept by the filter.
 """
 
 from __future__ import annotations
@@ -29,14 +34,18 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import storage
 
 WINDOW, SIMILARITY, PLAIN_WORDS = 5, 0.8, 2
-#: Characters of benchmark text that go to the tasks at once.
-BLOCK_CHARS = 8 << 20
+#: Characters of documents that a task reads at once, and of items that may be broadcast.
+CHUNK_CHARS, BROADCAST_CHARS = 1 << 20, 4 << 20
+#: Bits of the table of the benchmark's hashes for each of its windows, and the table's least and most size as powers of two.
+BITS_EACH, LEAST_BITS, MOST_BITS = 64, 16, 27
+#: Items whose windows a worker keeps.
+KEPT_ITEMS = 2_000
 #: Words whose tokens a worker keeps.
 KEPT_WORDS = 300_000
 
@@ -58,6 +67,7 @@ UNITS = frozenset(
     "semana semanas mes meses año años".split()
 )
 _NUMBER = re.compile(r"[+-]?\d[\d.,:/-]*\Z")
+_DIGIT = re.compile(r"\d")
 _GLUED = re.compile(r"(?<=\d)(?=[^\W\d_]|[%°])")
 _OUTER = re.compile(r"^[^\w%°+-]+|[^\w%°]+$")
 _PRIME, _PLACES = np.uint64(0x9E3779B97F4A7C15), np.array([b"<number>", b"<unit>", b"<name>"])
@@ -138,23 +148,31 @@ class Template:
     ``INSIDE``: names but for a sentence's first word; ``CAPITAL``: names wherever they stand; ``LITERAL``: plain words.
     """
 
-    def __init__(self, text: str | None, words: Words) -> None:
-        text = text or ""
-        found = (_GLUED.sub(" ", text) if any(map(str.isdigit, set(text))) else text).split()
+    def __init__(self, text: str | list[str | None] | None, words: Words) -> None:
+        found, sizes = [], []
+        for one in text if isinstance(text, list) else [text]:
+            cut = (_GLUED.sub(" ", one) if _DIGIT.search(one) else one).split() if one else []
+            found += cut
+            sizes.append(len(cut))
         rows = words.rows(found)
+        #: The text that each token comes from; no run of names and no window spans two.
+        self.docs = np.repeat(np.arange(len(sizes)), sizes)
         hashes, facts = words.hashes[rows], words.facts[rows]
         kinds, named, ends, stays = (facts & 3).astype(np.int8), (facts & 4) > 0, (facts & 8) > 0, (facts & 16) > 0
-        first = np.concatenate([[True], ends[:-1]])[: len(rows)]
+        first = self._edges() | np.concatenate([[True], ends[:-1]])[: len(rows)]
         if not stays.all():
-            hashes, kinds, named, first = hashes[stays], kinds[stays], named[stays], first[stays]
+            hashes, kinds, named, first, self.docs = hashes[stays], kinds[stays], named[stays], first[stays], self.docs[stays]
         literal = View(np.where(kinds == WORD, hashes, _HOLDER[kinds]), kinds, hashes, np.arange(len(hashes)), hashes, np.zeros(len(hashes), bool))
         if named.any():
-            opening = named & first
-            inside = self._view(hashes, kinds, named & ~first, first, np.zeros(len(hashes), bool))
-            self.views = [inside, self._view(hashes, kinds, named, first, opening) if opening.any() else inside, literal]
+            opening, cuts = named & first, first | self._edges()
+            inside = self._view(hashes, kinds, named & ~first, cuts, np.zeros(len(hashes), bool))
+            self.views = [inside, self._view(hashes, kinds, named, cuts, opening) if opening.any() else inside, literal]
         else:
             self.views = [literal, literal, literal]
 
+    def _edges(self) -> np.ndarray:
+        return np.concatenate([[True], self.docs[1:] != self.docs[:-1]])[: len(self.docs)]
+
     @staticmethod
     def _view(hashes: np.ndarray, kinds: np.ndarray, names: np.ndarray, first: np.ndarray, opens: np.ndarray) -> View:
         """A run of names in a sentence is one, with the values of all."""
@@ -165,6 +183,15 @@ class Template:
             values = np.where(names[starts], np.add.reduceat(mixed, starts), hashes[starts])
         return View(np.where(kinds == WORD, values, _HOLDER[kinds]), kinds, values, starts, hashes[np.append(starts[1:], len(hashes)) - 1], opens[starts])
 
+    def hashed(self, sizes: list[int]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """``(typing, size, texts, hashes)`` of the windows within texts."""
+        for typing, view in enumerate(self.views):
+            docs = self.docs[view.starts]
+            for size in sizes:
+                hashes = view.windows(size)
+                own = np.flatnonzero(docs[: len(hashes)] == docs[size - 1 :]) if len(hashes) else np.zeros(0, np.int64)
+                yield typing, size, docs[own], hashes[own]
+
 
 class Item(NamedTuple):
     """A benchmark item, how many of its windows count, and the plain words that a window needs."""
@@ -176,7 +203,7 @@ class Item(NamedTuple):
 
 
 class Index:
-    """The windows of a block of benchmark items in every typing, as arrays in the order of their hashes."""
+    """The windows of some benchmark items in every typing, as arrays in the order of their hashes."""
 
     def __init__(self, items: list[tuple[int | None, str | None]], window: int, similarity: float) -> None:
         words, self.similarity = _WORDS, similarity
@@ -198,19 +225,17 @@ class Index:
                 at[size].append((hashes[own], np.stack([np.full(len(own), typing), np.full(len(own), len(self.items)), said, own]).T.astype(np.int32)))
             self.items.append(Item(item_id, template, len(said), need))
         self.window, self.sizes = window, sorted(at)
-        self.hashes, self.entries, self.bits = {}, {}, {}
+        self.hashes, self.entries = {}, {}
         for s in self.sizes:
             hashes, entries = (np.concatenate(x) for x in zip(*at[s]))
             order = np.argsort(hashes, kind="stable")
-            self.hashes[s], self.entries[s], self.bits[s] = hashes[order], entries[order], np.zeros(1 << 20, bool)
-            self.bits[s][(hashes >> np.uint64(44)).astype(np.int64)] = True
+            self.hashes[s], self.entries[s] = hashes[order], entries[order]
 
     def _hits(self, view: View, size: int) -> list[tuple[int, list[list[int]]]]:
         """A view's windows that items have, with their entries."""
         hashes, own = view.windows(size), self.hashes[size]
-        maybe = np.flatnonzero(self.bits[size][(hashes >> np.uint64(44)).astype(np.int64)])
-        low, high = (np.searchsorted(own, hashes[maybe], side) for side in ("left", "right"))
-        return [(int(maybe[i]), self.entries[size][low[i] : high[i]].tolist()) for i in np.flatnonzero(low < high).tolist()]
+        low, high = (np.searchsorted(own, hashes, side) for side in ("left", "right"))
+        return [(i, self.entries[size][low[i] : high[i]].tolist()) for i in np.flatnonzero(low < high).tolist()]
 
     def matches(self, text: str | None, words: Words) -> list[tuple]:
         """``(item_id, coverage, windows, slots, changed slots)`` of the items that contaminate a text."""
@@ -277,46 +302,142 @@ class Index:
         return len(counted), len(stands), sum(k[1] != v for k, v in stands.items())
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int, similarity: float) -> Iterator[Index]:
-    """The benchmark's windows in blocks that a task can hold."""
-    rows = benchmark.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text"))
-    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    number = -(-chars // BLOCK_CHARS) or 1
-    for k in range(number):
-        yield Index([tuple(r) for r in rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(number)) == k).toLocalIterator()], window, similarity)
+MATCHES = "item_id long, coverage double, windows long, slots long, changed_slots long"
+_KEY = ("id", "digest", "check")
 
 
-MATCHES = "doc_id {}, item_id long, coverage double, windows long, slots long, changed_slots long"
+def _key(id_col: str, text_col: str) -> Column:
+    """What tells rows apart: their id and two hashes of their text."""
+    text = F.col(text_col).cast("string")
+    return F.struct(F.col(id_col).alias("id"), F.xxhash64(text).alias("digest"), F.hash(text).alias("check"))
 
 
-def contaminations(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, similarity: float = SIMILARITY) -> DataFrame:
-    """A row for each document and item that contaminates it; clean documents have none."""
-    storage.bounded_batches(docs.sparkSession)
-    kind = docs.select(id_col).schema[0].dataType.simpleString()
-    rows, out = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")), None
-    for block in _blocks(benchmark, item_id_col, item_text_col, window, similarity):
+def _same(left: Column, right: Column) -> list[Column]:
+    return [left[c].eqNullSafe(right[c]) for c in _KEY]
 
-        def scan(batches: Iterator[pa.RecordBatch], index: Index = block) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                found = [(doc, *m) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for m in index.matches(text, _WORDS)]
-                if found:
-                    kinds = [batch.column(0).type, pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found), kinds)], [x.split()[0] for x in MATCHES.split(", ")])
 
-        some = rows.mapInArrow(scan, MATCHES.format(kind))
-        out = some if out is None else out.unionByName(some)
-    return out
+def item_windows(items: DataFrame, window: int, similarity: float) -> DataFrame:
+    """``(item, total, typing, size, hash, k)``: the windows ``k`` of the items ``(item, text)`` that count, in every typing."""
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32()]
 
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, rows = [], []
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                index = Index([(0, text)], window, similarity)
+                for size in index.sizes:
+                    entries = index.entries[size]
+                    at += [i] * len(entries)
+                    rows += zip([index.items[0].total] * len(entries), entries[:, 0].tolist(), [size] * len(entries), index.hashes[size].view(np.int64).tolist(), entries[:, 2].tolist())
+            columns = [pa.array(x, t) for x, t in zip(zip(*rows) if rows else [[]] * 5, kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *columns], ["item", "total", "typing", "size", "hash", "k"])
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of ``docs`` that no item contaminates, with all their columns."""
+    return items.select("item", "text").mapInArrow(cut, f"item {items.schema['item'].dataType.simpleString()}, total long, typing int, size int, hash long, k int")
+
+
+def _bit_table(windows: DataFrame) -> tuple[int, np.ndarray]:
+    """The power of two and the bits of a table that has the first bits of every window's hash."""
+    power = int(np.clip(np.ceil(np.log2(max(1, windows.count()) * BITS_EACH)), LEAST_BITS, MOST_BITS))
+    place = F.shiftrightunsigned("hash", 64 - power)
+    # one row for each 64 bits at most, whatever the benchmark
+    words = windows.groupBy(F.shiftrightunsigned(place, 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(64)).cast("int"))).alias("bits")).toArrow()
+    table = np.zeros(1 << power - 6, np.int64)
+    table[words["word"].to_numpy()] = words["bits"].to_numpy()
+    return power, np.unpackbits(table.view(np.uint8), bitorder="little").view(bool)
+
+
+def _chunks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+    """Stretches of texts of about ``CHUNK_CHARS``."""
+    first = size = 0
+    for i, text in enumerate(texts):
+        if size and size + len(text or "") > CHUNK_CHARS:
+            yield first, i
+            first, size = i, 0
+        size += len(text or "")
+    if first < len(texts):
+        yield first, len(texts)
+
+
+def _hits(docs: DataFrame, windows: DataFrame) -> DataFrame:
+    """``(doc, typing, size, hash)``: windows of the documents ``(doc, text)`` whose hash the benchmark may have."""
+    power, bits = _bit_table(windows)
+    sizes = sorted(r[0] for r in windows.select("size").distinct().collect())  # no more than a window has tokens
+    packed, shift = np.packbits(bits, bitorder="little").tobytes(), np.uint64(64 - power)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.unpackbits(np.frombuffer(packed, np.uint8), bitorder="little").view(bool)
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            for first, end in _chunks(texts):
+                found = [np.zeros((0, 4), np.int64)]
+                for typing, size, own, hashes in Template(texts[first:end], _WORDS).hashed(sizes):
+                    maybe = np.flatnonzero(table[(hashes >> shift).astype(np.int64)])
+                    found.append(np.stack([own[maybe] + first, np.full(len(maybe), typing), np.full(len(maybe), size), hashes[maybe].view(np.int64)], axis=1))
+                rows = np.unique(np.concatenate(found), axis=0)
+                if len(rows):
+                    columns = [batch.column(0).take(pa.array(rows[:, 0])), pa.array(rows[:, 1], pa.int32()), pa.array(rows[:, 2], pa.int32()), pa.array(rows[:, 3], pa.int64())]
+                    yield pa.RecordBatch.from_arrays(columns, ["doc", "typing", "size", "hash"])
+
+    return docs.select("doc", "text").mapInArrow(scan, f"doc {docs.schema['doc'].dataType.simpleString()}, typing int, size int, hash long")
+
+
+_ITEMS: dict[tuple, Index] = {}
+
+
+def _item(text: str, window: int, similarity: float) -> Index:
+    """An item's windows, kept by the worker."""
+    key = text, window, similarity
+    if key not in _ITEMS:
+        if len(_ITEMS) >= KEPT_ITEMS:
+            _ITEMS.clear()
+        _ITEMS[key] = Index([(0, text)], window, similarity)
+    return _ITEMS[key]
+
+
+def _matched(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_id_col: str, item_text_col: str, window: int, similarity: float) -> DataFrame:
+    """``(doc, item_id, coverage, windows, slots, changed_slots)`` of each row and item that contaminates it; doc is the row's key."""
     storage.bounded_batches(docs.sparkSession)
-    at = docs.columns.index(text_col)
-    for block in _blocks(benchmark, item_id_col, item_text_col, window, similarity):
+    doc, item = _key(id_col, text_col), _key(item_id_col, item_text_col)
+    rows = docs.select(doc.alias("doc"), F.col(text_col).cast("string").alias("text"))
+    items = benchmark.select(item.alias("item"), F.col(item_text_col).cast("string").alias("text")).where("text is not null").dropDuplicates(["item"])
+    items = storage.written(items, "decontamination-items")
+    windows = storage.written(item_windows(items, window, similarity), "decontamination-windows")
+    hits = _hits(rows, windows)
+    joined = hits.join(storage.small(windows), ["typing", "size", "hash"])
+    pairs = joined.groupBy("doc", "item").agg(F.count_distinct("k").alias("n"), F.max("total").alias("total")).where(F.col("n") >= similarity * F.col("total"))
+    pairs = storage.written(pairs.select(F.col("doc").alias("pair"), "item"), "decontamination-pairs")
+    chars = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    own = items.select(F.col("item").alias("own"), F.col("text").alias("item_text"))
+    found = rows.join(storage.small(pairs), _same(F.col("doc"), F.col("pair")))
+    found = found.join(F.broadcast(own) if chars <= BROADCAST_CHARS else own, _same(F.col("item"), F.col("own")))
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.float64(), *[pa.int64()] * 3]
+        for batch in batches:
+            at, told = [], []
+            for i, (text, own) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
+                for _, *match in _item(own, window, similarity).matches(text, _WORDS):
+                    at.append(i)
+                    told.append(match)
+            if at:
+                kept = [batch.column(c).take(pa.array(at, pa.int64())) for c in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*kept, *(pa.array(x, t) for x, t in zip(zip(*told), kinds))], ["doc", *(x.split()[0] for x in MATCHES.split(", "))])
+
+    out = found.select("doc", F.col("item.id").cast("long").alias("item_id"), "text", "item_text")
+    return out.mapInArrow(check, f"doc {rows.schema['doc'].dataType.simpleString()}, {MATCHES}")
+
+
+def contaminations(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, similarity: float = SIMILARITY) -> DataFrame:
+    """A row for each document and item that contaminates it; clean documents have none."""
+    found = _matched(docs, benchmark, id_col, text_col, item_id_col, item_text_col, window, similarity)
+    return found.select(F.col("doc.id").alias("doc_id"), *(x.split()[0] for x in MATCHES.split(", ")))
 
-        def keep(batches: Iterator[pa.RecordBatch], index: Index = block) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                yield batch.filter(pa.array([not index.matches(text, _WORDS) for text in batch.column(at).to_pylist()], pa.bool_()))
 
-        docs = docs.mapInArrow(keep, docs.schema)
-    return docs
+def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of ``docs`` that no item contaminates, with all their columns."""
+    found = _matched(docs, benchmark, id_col, text_col, item_id_col, item_text_col, window, similarity)
+    gone = storage.written(found.select(F.col("doc").alias("gone")).distinct(), "decontamination-gone")
+    kept = F.struct(*(F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)))
+    rows = docs.select(kept.alias("kept"), _key(id_col, text_col).alias("doc"))
+    rows = rows.join(storage.small(gone), _same(F.col("doc"), F.col("gone")), "left_anti")
+    return rows.select(*(F.col("kept")[f"c{i}"].alias(c) for i, c in enumerate(docs.columns)))
