@@ -76,6 +76,61 @@ def test_votes_separate_people_from_serial_numbers(spark):
     assert sum(found[i] == t for i, t in enumerate(truth)) / len(truth) > 0.97
 
 
+def planted(rng, n):
+    """Texts of one span each, and its kind where it is personal data."""
+    digits = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+    phone = lambda: f"({rng.randint(2, 9)}{rng.choice('02345')}{digits(1)}) {rng.randint(2, 9)}{digits(2)}-{digits(4)}"
+    ssn = lambda: f"{rng.randint(100, 650)}-{rng.randint(10, 99)}-{rng.randint(1000, 9999)}"
+    filler = lambda: " ".join(rng.choice("the of running under blue several table quiet".split()) for _ in range(rng.randint(0, 12)))
+    good = [
+        lambda: ("phone_local", f"you may call {phone()} tonight"), lambda: ("ssn", f"the SSN {ssn()} is on file"), lambda: ("email_written", f"mail bob{digits(2)} [at] gmail [dot] com please"),
+        lambda: ("person", f"regards from {rng.choice(['Maria', 'Stefan', 'Pierre'])} {rng.choice(['Kowalska', 'Lindner', 'Moreau'])} again"), lambda: ("iban", "pay to account DE89 3704 0044 0532 0130 00 now"),
+        lambda: ("phone_lost", f"call +1 (415) 555-{digits(4)} 93.184.216.34 {digits(9)} or so"),
+    ]
+    bad = [
+        lambda: f"see order {rng.randint(100, 199)}.{digits(3)}.{digits(4)} in part", lambda: f"invoice 000-{digits(2)}-{digits(4)} was paid", lambda: f"serial 9{digits(2)}-{digits(2)}-{digits(4)} broke",
+        lambda: f"value 9{digits(14)}{rng.choice('123')} seen", lambda: "section AB12 ABCD EFGH IJKL MNOP ends",
+    ]
+    out = []
+    for i in range(n):
+        kind, text = rng.choice(good)() if i % 2 else (None, rng.choice(bad)())
+        out.append((i, f"{filler()} {text} {filler()}", kind))
+    return out
+
+
+def test_proposals_are_kept_and_refused(spark):
+    rows = planted(random.Random(5), 1200)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id int, text string")
+    found = {r["doc_id"]: {x.split(":")[0] for x in r["spans"].split(",") if x} - set(pii.BASE) for r in pii.personal_spans(docs).collect()}
+    told = [(kind, found[i]) for i, _, kind in rows]
+    hits = sum(kind in got for kind, got in told if kind)
+    recall, precision = hits / sum(kind is not None for kind, _ in told), hits / max(1, sum(bool(got) for _, got in told))
+    assert recall > 0.9 and precision > 0.9, (recall, precision)
+    assert {k for k, _ in told if k} == {k for k, got in told if k in got}  # every kind is kept somewhere
+    proposed = sum(bool(pii.proposed_spans(t, pii.base_spans(t))) for _, t, kind in rows if not kind)
+    assert proposed > 300 and sum(bool(got) for kind, got in told if not kind) < 0.1 * proposed  # and most of the others were refused
+    redacted = {r["doc_id"]: r["text"] for r in pii.redacted(docs).collect()}
+    assert all((f"[{k.upper()}]" in redacted[i]) == (k in found[i]) for i, _, k in rows if k)
+
+
+def test_words_around_decide_where_votes_are_alike():
+    rng, spans = random.Random(3), []
+    for _ in range(400):
+        good = rng.random() < 0.5
+        text = f"xx {'kindly' if good else 'widget'} 212-555-{rng.randint(1000, 9999)} yy"
+        at = text.index("212")
+        spans.append((1 if good else 0, pii.features(text, "phone_local", at, at + 12, False)))
+    weights = pii.classifier({1: 0.9, 0: 0.1}, spans[:300])
+    assert all((weights[f].sum() > 0) == (p == 1) for p, f in spans[300:])
+
+
+def test_base_columns_are_the_sqls(spark):
+    from tests.oracle import compare
+    from tidemark.llm import queries
+
+    assert compare(queries.pii_base(spark, "/root/testdata/sf0.01"), queries.oracle_sql()["pii_base"], "/root/testdata/sf0.01") == ""
+
+
 def test_labelers_get_their_reliabilities():
     rng, counts = random.Random(2), {}
     for _ in range(20_000):
