@@ -78,3 +78,86 @@ def test_empty_table_and_null_ids(spark):
     assert packing.packed(spark.createDataFrame([], "doc_id long, text string"), PATH).collect() == []
     rows = packing.packed(spark.createDataFrame([(None, "a"), (None, None)], "doc_id long, text string"), PATH).collect()
     assert sorted((r["doc_id"], r["doc_tokens"]) for r in rows) == [(None, 1), (None, 2)]
+
+
+def plain_packed(items, tokens, segments, loss, least_cut):
+    """The same choices, one candidate at a time: ``(doc, start, length)`` by sequence."""
+    sequences, current = [], []
+    left = []
+    for doc, total, first in items:
+        start = 0
+        while (most := min(total - start, tokens, max(0, first - start) + loss)) < total - start:
+            sequences.append([(doc, start, most)])
+            start += most
+        if start < total:
+            left.append([doc, start, total, first])
+    bears = lambda x, n: max(0, x[1] + n - max(x[1], x[3]))
+    used = [0, 0, 0]
+    while left:
+        room = tokens - used[0], segments - used[1], loss - used[2]
+        best, score = None, -1.0
+        for x in left:
+            n = x[2] - x[1]
+            if n <= room[0] and room[1] and bears(x, n) <= room[2]:
+                dot = n * (room[0] / tokens**2) + bears(x, n) * (room[2] / loss**2)
+                if dot > score:
+                    best, score = x, dot
+        if best is not None:
+            n = best[2] - best[1]
+            current.append((best[0], best[1], n))
+            used = [used[0] + n, used[1] + 1, used[2] + bears(best, n)]
+            left.remove(best)
+            continue
+        longest = max(left, key=lambda x: x[2] - x[1])
+        most = min(longest[2] - longest[1], room[0], max(0, longest[3] - longest[1]) + room[2])
+        if room[1] and most >= least_cut:
+            current.append((longest[0], longest[1], most))
+            longest[1] += most
+        sequences.append(current)
+        current, used = [], [0, 0, 0]
+    return sorted(sorted(x) for x in [*sequences, current] if x)
+
+
+@pytest.mark.parametrize("seed, segments, loss", [(1, 100, 64), (2, 3, 64), (3, 6, 24), (4, 2, 10)])
+def test_choices_are_those_of_a_plain_packer(seed, segments, loss):
+    rng = random.Random(seed)
+    items = []
+    for i in range(250):
+        n = rng.choice([1, 3, 9, 30, 64, 200, rng.randint(1, 70)])
+        items.append((i, n, rng.choice([0, n // 3, n])))
+    packer = packing.Packer(64, segments, loss)
+    for doc, n, first in items:
+        packer.add(doc, bytes(4 * n), first)
+    packer.pack()
+    by_sequence = defaultdict(list)
+    for doc, start, length, _, _, sequence, _, _ in packer.drain():
+        by_sequence[sequence].append((doc, start, length))
+    assert sorted(map(sorted, by_sequence.values())) == plain_packed(items, 64, segments, loss, packing.LEAST_CUT)
+
+
+def test_short_texts_leave_no_padding(spark):
+    docs = spark.createDataFrame([(i, "one two") for i in range(4000)], "doc_id long, text string").coalesce(1)
+    rows = packing.packed(docs, PATH).collect()
+    assert sum(r["length"] for r in rows) / (2048 * len({r["sequence_id"] for r in rows})) > 0.95
+
+
+def test_examples_without_ids_are_kept(spark):
+    docs = spark.createDataFrame([(1, ""), (2, None), (3, "word"), (None, "")], "doc_id long, text string")
+    rows = {(r["doc_id"], r["length"], r["doc_tokens"], r["sequence_id"] is None) for r in packing.packed(docs, PATH, end_id=None).collect()}
+    assert rows == {(1, 0, 0, True), (2, 0, 0, True), (3, 1, 1, False), (None, 0, 0, True)}
+
+
+def test_conversations_keep_all_limits(spark):
+    from tidemark.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    turns = {(r["conv_id"], r["turn"]): r for r in spark.read.parquet(f"{sf}/conversations.parquet").collect()}
+    lengths, loss_from = {}, {}
+    for (conv, turn), r in turns.items():
+        if r["role"] == "assistant":
+            before = turns.get((conv, turn - 1))
+            prompt = plain_ids(before["text"])[:-1] if before and before["role"] == "user" else []
+            lengths[f"{conv}/{turn}"], loss_from[f"{conv}/{turn}"] = len(prompt) + len(plain_ids(r["text"])), len(prompt)
+    pieces = [tuple(r) for r in queries.conversation_packing(spark, sf).collect()]
+    assert any(0 < first for first in loss_from.values())
+    check(pieces, lengths, 2048, 12, 1280, loss_from)

@@ -11,8 +11,9 @@ Packing is local to the tasks that tokenize: nothing is shuffled, a task holds a
 ``BUFFER_TOKENS`` tokens and one text, and only its last sequence is left open. Sequence ids hold the
 task's number in their upper bits, so a task that runs again gives the same rows.
 
-Defined cases: a null or empty text is the end id alone; null and repeated ids are kept row by row;
-an empty table gives no rows; extra columns are left out.
+Defined cases: a null or empty text is the end id alone, and without an end id one piece of no length in no sequence; very long
+texts are cut at the limits; null and repeated ids are kept row by row; an empty table gives no rows; extra columns, whatever
+their names, are left out.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import storage
 from tidemark.llm.encoding import ids_of
 
-MAX_TOKENS, MAX_SEGMENTS, END_ID = 2_048, 128, 1
+MAX_TOKENS, END_ID = 2_048, 1
 #: Room that is worth cutting an example for.
 LEAST_CUT = 8
 #: Tokens and examples that wait in a task at once.
@@ -53,6 +54,9 @@ class Packer:
     def add(self, doc, ids: bytes, loss_from: int = 0) -> None:
         """One example: its name, its ids as 32-bit bytes, and the first position that bears loss."""
         total = len(ids) // 4
+        if not total:
+            self.placed.append((doc, 0, 0, 0, 0, None, None, 0))
+            return
         self.waiting.append([doc, ids, total, 0, max(0, min(loss_from, total))])
         self.held += total
         if self.held >= BUFFER_TOKENS or len(self.waiting) >= BUFFER_EXAMPLES:
@@ -118,25 +122,29 @@ def packed(
     tokenizer_path: str,
     id_col: str = "doc_id",
     text_col: str = "text",
+    prompt_col: str | None = None,
     loss_from_col: str | None = None,
     max_tokens: int = MAX_TOKENS,
-    max_segments: int = MAX_SEGMENTS,
+    max_segments: int | None = None,
     max_loss: int | None = None,
     end_id: int | None = END_ID,
 ) -> DataFrame:
     """One row for each piece of each document; pieces of one sequence_id lie gapless from offset 0.
 
-    ``loss_from_col`` holds the first token position that bears loss (null: 0, all bear it).
+    ``prompt_col`` holds a text whose ids come before the text's and bear no loss; ``loss_from_col`` instead the first token position
+    that bears it (null: 0, all do). Without ``max_segments`` and ``max_loss`` a sequence may have as many of them as tokens, so
+    short texts leave no padding.
     """
     storage.bounded_batches(docs.sparkSession)
     kind = docs.select(id_col).schema[0].dataType.simpleString()
     loss_from = F.col(loss_from_col).cast("long") if loss_from_col else F.lit(0).cast("long")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.coalesce(loss_from, F.lit(0)).alias("loss_from"))
+    prompt = F.col(prompt_col).cast("string") if prompt_col else F.lit(None).cast("string")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.coalesce(loss_from, F.lit(0)).alias("loss_from"), prompt.alias("prompt"))
     end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = ids_of(tokenizer_path)
-        packer = Packer(max_tokens, max_segments, max_loss or max_tokens, TaskContext.get().partitionId() << 40)
+        packer = Packer(max_tokens, max_segments or max_tokens, max_loss or max_tokens, TaskContext.get().partitionId() << 40)
         kinds: list[pa.DataType] = []
 
         def out() -> Iterator[pa.RecordBatch]:
@@ -147,8 +155,9 @@ def packed(
         for batch in batches:
             kinds[:] = [batch.column(0).type]
             docs, texts, firsts = (batch.column(i).to_pylist() for i in range(3))
-            for doc, ids, first in zip(docs, encode.batch(texts), firsts):
-                packer.add(doc, ids + end, first)
+            prompts = encode.batch(batch.column(3).to_pylist()) if prompt_col else [b""] * len(docs)
+            for doc, before, ids, first in zip(docs, prompts, encode.batch(texts), firsts):
+                packer.add(doc, before + ids + end, first + len(before) // 4)
             yield from out()
         packer.pack()
         yield from out()

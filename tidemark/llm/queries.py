@@ -31,6 +31,15 @@ def op3_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def conversation_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers with their prompts, which bear no loss, packed under all three limits by op3's operator."""
+    turns = _table(spark, sf_dir, "conversations")
+    prompts = turns.where("role = 'user'").select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("prompt"))
+    answers = turns.where("role = 'assistant'").join(prompts, ["conv_id", "turn"], "left")
+    rows = answers.select(F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("example"), "prompt", "text")
+    return packing.packed(rows, public_tokenizers.path("word_bpe_49k.json"), "example", prompt_col="prompt", max_segments=12, max_loss=1_280).withColumnRenamed("doc_id", "example")
+
+
 def op4_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document, by a ledger that is empty at first."""
     found = secrets.secret_spans(_table(spark, sf_dir, "documents"), storage.scratch(spark, "secret-ledger"))
@@ -84,7 +93,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to query, in the order of the operators' numbers."""
-    return {f.__name__: f for f in (op1_token_counts, op2_inverted_multi_index, op3_vector_packing, op4_secret_ledger, op5_template_decontamination, op6_weak_supervision_pii, op7_bounded_load_ring, op8_language_fusion, op9_token_files, op10_simhash_near_dedup, pages_language, pii_base)}
+    return {f.__name__: f for f in (op1_token_counts, op2_inverted_multi_index, op3_vector_packing, op4_secret_ledger, op5_template_decontamination, op6_weak_supervision_pii, op7_bounded_load_ring, op8_language_fusion, op9_token_files, op10_simhash_near_dedup, pages_language, pii_base, conversation_packing)}
 
 
 def _secrets_sql() -> str:
