@@ -1,6 +1,7 @@
+import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import public_tokenizers
 import pytest
@@ -15,7 +16,7 @@ SF = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="module")
 def stages(spark, tmp_path_factory):
-    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(120)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
     out = [docs.collect()]
     for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
         path = str(tmp_path_factory.mktemp("stage") / "out")
@@ -74,6 +75,41 @@ def test_every_id_is_packed_once(stages):
         assert at <= 2048
 
 
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
+PROSE = "the quiet river runs through seven green valleys while old men watch the slow boats drift toward a distant harbour"
+
+
+def odd_rows():
+    rng = random.Random(3)
+    words = PROSE.split()
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(30, 90))), "en", f"s{i % 3}", None) for i in range(60)]
+    rows += [(None, None, None, None, None), (7, "", "en", "s0", 0), (None, f"{PROSE} one", None, "s1", 9), (8, f"{PROSE} two words more", "en", None, None), (8, rows[0][1], "en", "s0", 1)]
+    rows += [rows[1], rows[1], (None, rows[2][1], "en", "s1", 3), (99, " ".join(rng.choice(words) for _ in range(60_000)), "en", "s2", None), (100, f"mail bob@x.com {PROSE}", "en", "s2", 1)]
+    return rows
+
+
+@pytest.mark.parametrize("stage", range(5))
+def test_stages_take_odd_rows_and_empty_tables(spark, stage):
+    docs = spark.createDataFrame(odd_rows(), COLUMNS)
+    function = corpus_pipeline.STAGES[stage][1]
+    empty = function(spark, docs.limit(0), SF)
+    assert empty.count() == 0 and (stage == 4 or empty.columns == docs.columns)
+    rows = [tuple(r) for r in function(spark, docs, SF).collect()]
+    given = odd_rows()
+    if stage == 0:
+        assert sorted(rows, key=str) == sorted((r for r in given if r[1]), key=str)
+    elif stage == 1:
+        kept = Counter(r[1] or "" for r in rows)
+        assert set(kept) == {r[1] or "" for r in given} and set(kept.values()) == {1}
+    elif stage == 2:
+        assert sorted(rows, key=str) == sorted(given, key=str)
+    elif stage == 3:
+        assert sorted((r[:1] + r[2:4] for r in rows), key=str) == sorted((r[:1] + r[2:4] for r in given), key=str)
+        assert [r[1] for r in rows if r[0] == 100] == [f"mail [EMAIL] {PROSE}"] and sum(r[1] is None for r in rows) == 1
+    else:
+        assert sum(r[2] for r in rows) == sum(len(Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")).encode(r[1] or "", add_special_tokens=False).ids) + 1 for r in given)
+
+
 def test_registered_with_the_rest(spark):
     import __spark_entry__
 

@@ -12,7 +12,8 @@ links a spanning forest is kept, and components are the fixed point of alternati
 
 Defined cases: a null, empty or blank text has fingerprint zero and is linked like any other; fewer
 words than a shingle make one shingle; repeated rows and null ids are kept, a null id is never the
-component's name unless the component has no other. Extra columns are left out.
+component's name unless the component has no other. Very long texts are hashed whole, in stretches. Extra columns, whatever their
+names, are left out, and kept by ``deduplicated``.
 """
 
 from __future__ import annotations
@@ -227,7 +228,10 @@ def components(edges: DataFrame) -> DataFrame:
     pairs = edges.where(F.col("a") != F.col("b")).select("a", "b")
     before = None
     while True:
-        pairs = storage.written(star(storage.written(star(pairs, large=True), "simhash-star"), large=False), "simhash-star")
+        large = storage.written(star(pairs, large=True), "simhash-star")
+        small = storage.written(star(large, large=False), "simhash-star")
+        storage.dropped(large, *([pairs] if before else []))
+        pairs = small
         if (now := state(pairs)) == before:
             break
         before = now
@@ -252,17 +256,17 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     text, own = F.col(text_col).cast("string"), F.col(id_col)
     row = F.struct(own.isNull().alias("missing"), own.alias("id"), F.xxhash64(text).alias("digest"), F.hash(text).alias("check"))
-    rows = docs.withColumn("_dedup_row", row)
-    found = near_duplicates(rows, "_dedup_row", text_col)
-    marks = found.groupBy("doc_id", (F.col("doc_id") != F.col("component_id")).alias("_dedup_gone")).count().where("_dedup_gone OR count > 1")
-    marks = storage.written(marks.select(F.col("doc_id").alias("_dedup_mark"), "_dedup_gone"), "simhash-marks")
+    kept = F.struct(*(F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)))
+    rows = docs.select(row.alias("row"), kept.alias("kept"))
+    found = near_duplicates(docs.select(row.alias("row"), text.alias("text")), "row", "text")
+    marks = found.groupBy("doc_id", (F.col("doc_id") != F.col("component_id")).alias("gone")).count().where("gone OR count > 1")
+    marks = storage.written(marks.select(F.col("doc_id").alias("mark"), "gone"), "simhash-marks")
 
     def joined(some: DataFrame, how: str) -> DataFrame:
-        same = [rows["_dedup_row"][x].eqNullSafe(some["_dedup_mark"][x]) for x in ("id", "digest", "check")]
-        return rows.join(storage.small(some), same, how)
+        return rows.join(storage.small(some), [F.col("row")[x].eqNullSafe(F.col("mark")[x]) for x in ("id", "digest", "check")], how)
 
-    kept = joined(marks, "left_anti")
-    repeated = marks.where("NOT _dedup_gone")
+    out = joined(marks, "left_anti")
+    repeated = marks.where("NOT gone")
     if not repeated.isEmpty():
-        kept = kept.unionByName(joined(repeated, "left_semi").dropDuplicates(["_dedup_row"]))
-    return kept.select(docs.columns)
+        out = out.unionByName(joined(repeated, "left_semi").dropDuplicates(["row"]))
+    return out.select(*(F.col("kept")[f"c{i}"].alias(c) for i, c in enumerate(docs.columns)))
