@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as
 the next stage's documents; all but the last keep the columns of ``documents``.
+
+Defined cases: a null or empty text has no letters, so language ID rejects it; the stages behind it take such texts all the same (they
+are duplicates of each other, match no item, hold no personal data and are packed as their end id). Null and repeated ids are
+told apart by their texts, a null language or source is no evidence, very long texts are read whole, and an empty table passes
+every stage without rows.
 """
 
 from __future__ import annotations
