@@ -32,6 +32,8 @@ from tidemark.llm import storage
 SHINGLE_WORDS, RADIUS, SEED = 4, 4, 42
 #: Classes of one key that one task compares; larger keys are dealt out as pairs of parts.
 KEY_ROWS = 2_048
+#: Marks of rows that may be broadcast: numbers alone, under 100 bytes each, so under 16 MB; beyond it rows are joined by shuffle.
+MARK_ROWS = 160_000
 #: Rows that the comparison holds at once.
 BLOCK_ROWS = 1 << 16
 
@@ -263,7 +265,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     marks = storage.written(marks.select(F.col("doc_id").alias("mark"), "gone"), "simhash-marks")
 
     def joined(some: DataFrame, how: str) -> DataFrame:
-        return rows.join(storage.small(some), [F.col("row")[x].eqNullSafe(F.col("mark")[x]) for x in ("id", "digest", "check")], how)
+        return rows.join(storage.small(some, MARK_ROWS), [F.col("row")[x].eqNullSafe(F.col("mark")[x]) for x in ("id", "digest", "check")], how)
 
     out = joined(marks, "left_anti")
     repeated = marks.where("NOT gone")
