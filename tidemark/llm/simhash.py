@@ -32,8 +32,6 @@ from tidemark.llm import storage
 SHINGLE_WORDS, RADIUS, SEED = 4, 4, 42
 #: Classes of one key that one task compares; larger keys are dealt out as pairs of parts.
 KEY_ROWS = 2_048
-#: Marks of rows that may be broadcast: numbers alone, under 100 bytes each, so under 16 MB; beyond it rows are joined by shuffle.
-MARK_ROWS = 160_000
 #: Rows that the comparison holds at once.
 BLOCK_ROWS = 1 << 16
 
@@ -255,6 +253,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row of ``docs`` of each component, with all columns: that of the least id, of ids the least text hash; null ids come last.
 
     Rows are told apart by id and text, so neither a null nor a repeated id takes other rows along; of rows equal in both one stays.
+    The marks of rows grow with the rows, so they are never broadcast: texts move once by shuffle at every size, and each task hashes its marks.
     """
     text, own = F.col(text_col).cast("string"), F.col(id_col)
     row = F.struct(own.isNull().alias("missing"), own.alias("id"), F.xxhash64(text).alias("digest"), F.hash(text).alias("check"))
@@ -265,7 +264,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     marks = storage.written(marks.select(F.col("doc_id").alias("mark"), "gone"), "simhash-marks")
 
     def joined(some: DataFrame, how: str) -> DataFrame:
-        return rows.join(storage.small(some, MARK_ROWS), [F.col("row")[x].eqNullSafe(F.col("mark")[x]) for x in ("id", "digest", "check")], how)
+        return rows.join(some.hint("shuffle_hash"), [F.col("row")[x].eqNullSafe(F.col("mark")[x]) for x in ("id", "digest", "check")], how)
 
     out = joined(marks, "left_anti")
     repeated = marks.where("NOT gone")
