@@ -211,12 +211,16 @@ def class_links(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """``(node, root)`` for each node of the links ``(a, b)``; the root is a component's least node.
 
-    Large-star and small-star contraction in turn until the links no longer change, each round written to the shared folder.
+    Large-star and small-star contraction in turn until the links no longer change, each round written to the shared folder. The
+    least neighbours are written before they are joined: an aggregate beside a join keeps Spark from splitting a hot node's links.
     """
 
+    leasts: list[DataFrame] = []
+
     def star(pairs: DataFrame, large: bool) -> DataFrame:
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("least"))
+        least = storage.written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("least")), "simhash-least")
+        leasts.append(least)
         joined = both.join(least, "a")
         if large:
             out = joined.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("least").alias("b"))
@@ -230,7 +234,8 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         large = storage.written(star(pairs, large=True), "simhash-star")
         small = storage.written(star(large, large=False), "simhash-star")
-        storage.dropped(large, *([pairs] if before else []))
+        storage.dropped(large, *leasts, *([pairs] if before else []))
+        leasts.clear()
         pairs = small
         if (now := state(pairs)) == before:
             break
@@ -244,7 +249,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = storage.written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-classes")
     roots = storage.written(components(class_links(classes, radius)), "simhash-roots")
     rooted = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    names = storage.written(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-names")  # as in ``components``
     named = rooted.join(names, "root").select("fp", "component_id")
     return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
