@@ -27,6 +27,7 @@ matches and kept by the filter.
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -75,15 +76,14 @@ _HOLDER = np.array([0, *(xxhash.xxh64_intdigest(bytes(x)) for x in _PLACES)], np
 _ENDS, _CLOSERS = ".!?:;…", "\"')]}»”"
 
 
-class Words:
-    """Word to its hash and facts through a bounded table; a fact byte holds the kind and whether it may be a name, ends a sentence, stays."""
+class Words(dict[str, int]):
+    """Word to its row of hashes and facts, bounded; a fact byte holds the kind and whether it may be a name, ends a sentence, stays."""
 
     def __init__(self) -> None:
-        self.table: dict[str, int] = {}
-        self.hashes, self.facts = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.uint8)
+        super().__init__()
+        self.hashes, self.facts = array("Q"), bytearray()
 
-    def number(self, word: str) -> int:
-        """The row of a word that isn't in the table yet."""
+    def __missing__(self, word: str) -> int:
         if word.isalpha():
             core = word
         elif word[:-1].isalpha() and word[-1] in ".,;:!?":
@@ -94,19 +94,18 @@ class Words:
         kind = UNIT if low in UNITS else NUMBER if low in NUMBER_WORDS or not core.isalpha() and _NUMBER.match(core) else WORD
         named = kind == WORD and core[:1].isupper() and core[1:] != core[1:].upper()
         ends = word[-1] in _ENDS or word[-1] in _CLOSERS and word.rstrip(_CLOSERS)[-1:] in _ENDS
-        row = self.table[word] = len(self.table)
-        if row == len(self.hashes):
-            self.hashes, self.facts = (np.concatenate([c, np.zeros_like(c)]) for c in (self.hashes, self.facts))
-        self.hashes[row] = xxhash.xxh64_intdigest(low.encode("utf-8", "surrogatepass"))
-        self.facts[row] = kind | named << 2 | ends << 3 | bool(core) << 4
+        row = self[word] = len(self)
+        self.hashes.append(xxhash.xxh64_intdigest(low.encode("utf-8", "surrogatepass")))
+        self.facts.append(kind | named << 2 | ends << 3 | bool(core) << 4)
         return row
 
-    def rows(self, words: list[str]) -> np.ndarray:
-        """The words' rows."""
-        if len(self.table) > KEPT_WORDS:
-            self.table.clear()
-        get, number = self.table.get, self.number
-        return np.array([number(w) if (r := get(w)) is None else r for w in words], np.int64)
+    def known(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The words' hashes and facts."""
+        if len(self) > KEPT_WORDS:
+            self.clear()
+            self.hashes, self.facts = array("Q"), bytearray()
+        rows = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        return np.frombuffer(self.hashes, np.uint64)[rows], np.frombuffer(self.facts, np.uint8)[rows]
 
 
 #: The table of a worker; it lives on between tasks.
@@ -154,12 +153,11 @@ class Template:
             cut = (_GLUED.sub(" ", one) if _DIGIT.search(one) else one).split() if one else []
             found += cut
             sizes.append(len(cut))
-        rows = words.rows(found)
+        hashes, facts = words.known(found)
         #: The text that each token comes from; no run of names and no window spans two.
         self.docs = np.repeat(np.arange(len(sizes)), sizes)
-        hashes, facts = words.hashes[rows], words.facts[rows]
         kinds, named, ends, stays = (facts & 3).astype(np.int8), (facts & 4) > 0, (facts & 8) > 0, (facts & 16) > 0
-        first = self._edges() | np.concatenate([[True], ends[:-1]])[: len(rows)]
+        first = self._edges() | np.concatenate([[True], ends[:-1]])[: len(found)]
         if not stays.all():
             hashes, kinds, named, first, self.docs = hashes[stays], kinds[stays], named[stays], first[stays], self.docs[stays]
         literal = View(np.where(kinds == WORD, hashes, _HOLDER[kinds]), kinds, hashes, np.arange(len(hashes)), hashes, np.zeros(len(hashes), bool))
