@@ -406,7 +406,7 @@ def _matched(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str,
     pairs = storage.written(pairs.select(F.col("doc").alias("pair"), "item"), "decontamination-pairs")
     chars = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     own = items.select(F.col("item").alias("own"), F.col("text").alias("item_text"))
-    found = rows.join(storage.small(pairs, beyond="shuffle_hash"), _same(F.col("doc"), F.col("pair")))
+    found = rows.join(storage.beside_texts(pairs), _same(F.col("doc"), F.col("pair")))
     found = found.join(F.broadcast(own) if chars <= BROADCAST_CHARS else own, _same(F.col("item"), F.col("own")))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -437,5 +437,5 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     gone = storage.written(found.select(F.col("doc").alias("gone")).distinct(), "decontamination-gone")
     kept = F.struct(*(F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)))
     rows = docs.select(kept.alias("kept"), _key(id_col, text_col).alias("doc"))
-    rows = rows.join(storage.small(gone, beyond="shuffle_hash"), _same(F.col("doc"), F.col("gone")), "left_anti")
+    rows = rows.join(storage.beside_texts(gone), _same(F.col("doc"), F.col("gone")), "left_anti")
     return rows.select(*(F.col("kept")[f"c{i}"].alias(c) for i, c in enumerate(docs.columns)))

@@ -69,7 +69,7 @@ def looked_up(docs: DataFrame, path: str, version: str, schema: str, compute: Ca
     before = known(spark, path, version, schema, prefixes).join(storage.small(wanted.select("digest")), "digest", "left_semi")
     before = storage.written(before.groupBy("digest").agg(*(F.max(c).alias(c) for c in before.columns[1:])), "ledger-known")
     missing = wanted.join(storage.small(before.select("digest")), "digest", "left_anti")
-    there = storage.small(missing, beyond="shuffle_hash")
+    there = storage.beside_texts(missing)
     contents = docs.select(F.col(id_col).alias("id"), digest(text).alias("digest"), text.alias("text"))
     contents = contents.join(there.withColumnRenamed("digest", "wanted"), (F.col("digest") == F.col("wanted")) & F.col("id").eqNullSafe(F.col("holder")), "left_semi")
     batch = f"{path}/version={version}/batch={uuid.uuid4().hex}"

@@ -79,11 +79,12 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS, beyond: str | None = None) -> DataFrame:
-    """``df`` with a broadcast hint if a count proves that it has at most so many rows; else for a shuffled join, with the hint ``beyond``.
-
-    Beside whole texts ``beyond`` is ``shuffle_hash``: tasks then hash the side table's rows and needn't sort the texts.
-    """
-    if df.limit(rows + 1).count() <= rows:
-        return F.broadcast(df)
-    return df.hint(beyond) if beyond else df
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` with a broadcast hint if a count proves that it has at most so many rows; else unhinted, for a shuffled join."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def beside_texts(df: DataFrame) -> DataFrame:
+    """As ``small``, for a side table of whole texts: beyond the bound tasks hash its rows and needn't sort the texts."""
+    there = small(df)
+    return there if there is not df else df.hint("shuffle_hash")
