@@ -1,0 +1,84 @@
+import collections
+import random
+import re
+
+import duckdb
+import numpy as np
+from pyspark.sql import functions as F
+
+from tests.oracle import compare
+from tidemark.llm import divergence, queries
+
+SCHEMA = "doc_id long, text string, lang string, source string"
+SF = "/root/testdata/sf0.001"
+
+
+def plain(rows):
+    """The audit by whole tables of counts."""
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    counts, docs = collections.defaultdict(collections.Counter), collections.defaultdict(collections.Counter)
+    for _, text, lang, source in rows:
+        found = [x.translate(lower) for x in re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", text or "")]
+        counts[lang or "", source or ""].update(found)
+        docs[lang or ""].update(set(found))
+    out = []
+    for (lang, source), own in counts.items():
+        kept = [t for t, n in docs[lang].items() if n >= 3]
+        share = lambda c: (lambda n: {t: 1 + 10**9 * (c[t] + 1) // (n + len(kept)) for t in kept})(sum(c[t] for t in kept))
+        p = share(own)
+        pair = [(sum((p[t] - q[t]) ** 2 // q[t] for t in kept), s) for (x, s), other in counts.items() if x == lang and s != source for q in [share(other)]]
+        q = share(sum((c for (x, _), c in counts.items() if x == lang), collections.Counter()))
+        term = [((p[t] - q[t]) ** 2 // q[t], t) for t in kept if own[t] and p[t] > q[t]]
+        for part, found, most in (("pair", pair, None), ("term", term, 200)):
+            out += [(lang, source, part, item, value, i) for i, (value, item) in enumerate(sorted(found, key=lambda x: (-x[0], x[1].encode()))[:most], 1)]
+    return sorted(out)
+
+
+def told(df):
+    return sorted(tuple(r) for r in df.select("lang", "source", "part", "item", "value", "rank").collect())
+
+
+def some(n=400, sources=9, words=300):
+    rng = random.Random(3)
+    stock = [f"{rng.choice(['Wort', 'été', 'x', 'ß', '漢'])}{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(words)]
+    rows = [(i, " ".join(rng.choices(stock, k=rng.randint(0, 40))).replace("a", rng.choice("aA")) + rng.choice(["", "!", "1 2", "\t"]), rng.choice(["en", "de", None]), rng.choice([None, *(f"s{j}" for j in range(sources))])) for i in range(n)]
+    return [*rows, (None, None, "en", "empty"), (1, "", "fr", "a"), (1, "", "fr", "b"), (2, "one Two", "fr", "b"), (3, "Many " * 50_000, "de", "s1"), *[(7, "again again", "en", "s2")] * 3]
+
+
+def test_against_whole_tables(spark):
+    rows = some()
+    df = spark.createDataFrame(rows, SCHEMA).repartition(6).withColumn("term", F.lit(1)).withColumn("n", F.lit(2))
+    assert told(divergence.audit(df)) == plain(rows)
+
+
+def test_small_tiles(spark, monkeypatch):
+    """Blocks, spans and chunks that the sources and the vocabulary don't fit into, and counts sent on early."""
+    monkeypatch.setattr(divergence, "HELD", 50)
+    rows = some(sources=14)
+    assert told(divergence.audit(spark.createDataFrame(rows, SCHEMA).repartition(3), chunk=7, chunks=3, block=4)) == plain(rows)
+
+
+def test_frequencies_are_exact():
+    rng = random.Random(1)
+    for _ in range(200):
+        total = rng.choice([rng.randint(1, 10**4), rng.randint(1, 10**15)])
+        kept, counts = rng.randint(1, 10**6), np.array([0, rng.randint(0, total), total])
+        assert divergence._frequencies(counts, total, kept).tolist() == [1 + 10**9 * (c + 1) // (total + kept) for c in counts.tolist()]
+
+
+def test_frequency_columns_are_exact(spark):
+    df = spark.createDataFrame([(10**15, 10**15, 7), (0, 0, 1), (123456789012, 999999999999, 54321)], "c long, t long, v long")
+    assert [r[0] for r in df.select(divergence.frequency(F.col("c"), F.col("t"), F.col("v"))).collect()] == [1 + 10**9 * (c + 1) // (t + v) for c, t, v in df.collect()]
+
+
+def test_empty(spark):
+    assert divergence.audit(spark.createDataFrame([], SCHEMA)).count() == 0
+    assert divergence.audit(spark.createDataFrame([(1, None, None, None)], SCHEMA)).count() == 0
+
+
+def test_query_and_sql(spark):
+    df = queries.op12_source_divergence(spark, SF)
+    rows = duckdb.sql(f"SELECT doc_id, text, lang, source FROM '{SF}/documents.parquet'").fetchall()
+    assert told(df) == plain(rows)
+    assert compare(df, queries.oracle_sql()["op12_source_divergence"], SF) == ""
+    assert dict(df.dtypes) == {"lang": "string", "source": "string", "part": "string", "item": "string", "value": "bigint", "rank": "int"}

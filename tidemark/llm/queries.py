@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontamination, language_id, multi_index, packing, pii, prefix_trie, secrets, sharding, simhash, storage, token_counts, token_files
+from tidemark.llm import decontamination, divergence, language_id, multi_index, packing, pii, prefix_trie, secrets, sharding, simhash, storage, token_counts, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -96,9 +96,14 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(_table(spark, sf_dir, "conversations"))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances between the sources of each language, and the terms that tell a source from its language."""
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to query, in the order of the operators' numbers."""
-    return {f.__name__: f for f in (op1_token_counts, op2_inverted_multi_index, op3_vector_packing, op4_secret_ledger, op5_template_decontamination, op6_weak_supervision_pii, op7_bounded_load_ring, op8_language_fusion, op9_token_files, op10_simhash_near_dedup, op11_prefix_trie, pages_language, pii_base, conversation_packing)}
+    return {f.__name__: f for f in (op1_token_counts, op2_inverted_multi_index, op3_vector_packing, op4_secret_ledger, op5_template_decontamination, op6_weak_supervision_pii, op7_bounded_load_ring, op8_language_fusion, op9_token_files, op10_simhash_near_dedup, op11_prefix_trie, op12_source_divergence, pages_language, pii_base, conversation_packing)}
 
 
 def _secrets_sql() -> str:
@@ -145,6 +150,26 @@ a AS (SELECT doc_id, {counts}, string_agg(kind || ':' || s || ':' || (s + l), ',
 SELECT d.doc_id, {', '.join(f'coalesce(n_{k}, 0) AS n_{k}' for k, _, _ in kinds)}, sha256(coalesce(b, '')) AS base_sha256 FROM documents d LEFT JOIN a ON d.doc_id = a.doc_id"""
 
 
+def _divergence_sql() -> str:
+    """The audit in SQL: frequencies of every kept term in every group, compared pair by pair."""
+    upper = divergence._UPPER.decode()
+    p, value = "1 + (1000000000::HUGEINT * ({n} + 1)) // ({total} + v)", "CAST(((p - q) * (p - q)) // q AS BIGINT)"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS x FROM documents),
+o AS (SELECT doc, lang, source, unnest(regexp_extract_all(translate(x, '{upper}', '{upper.lower()}'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS ln FROM o GROUP BY 1, 2 HAVING count(DISTINCT doc) >= 3),
+s AS (SELECT lang, count(*) AS v, sum(ln) AS lt FROM k GROUP BY 1),
+c AS (SELECT lang, source, term, count(*) AS n FROM o JOIN k USING (lang, term) GROUP BY 1, 2, 3),
+g AS (SELECT lang, source, coalesce(sum(n), 0) AS t FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN c USING (lang, source) GROUP BY 1, 2),
+f AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, {p.format(n="coalesce(c.n, 0)", total="g.t")} AS p, {p.format(n="k.ln", total="s.lt")} AS q
+    FROM g JOIN k ON g.lang = k.lang JOIN s ON g.lang = s.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+a AS (SELECT x.lang, x.source, y.source AS item, sum(CAST(((x.p - y.p) * (x.p - y.p)) // y.p AS BIGINT)) AS value FROM f x JOIN f y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY 1, 2, 3),
+r AS (SELECT x.lang, x.source, 'pair' AS part, y.source AS item, CAST(coalesce(a.value, 0) AS BIGINT) AS value
+    FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source LEFT JOIN a ON a.lang = x.lang AND a.source = x.source AND a.item = y.source
+    UNION ALL SELECT lang, source, 'term', term, {value} FROM f WHERE n > 0 AND p > q)
+SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM r) WHERE part = 'pair' OR rank <= 200"""
+
+
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for the queries that SQL can express; the others are held against brute force in the tests."""
-    return {"op4_secret_ledger": _secrets_sql(), "pii_base": _pii_sql()}
+    return {"op4_secret_ledger": _secrets_sql(), "pii_base": _pii_sql(), "op12_source_divergence": _divergence_sql()}
