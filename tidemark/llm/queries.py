@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontamination, divergence, language_id, multi_index, packing, pii, prefix_trie, secrets, sharding, simhash, storage, token_counts, token_files
+from tidemark.llm import decontamination, divergence, language_id, multi_index, packing, pii, prefix_trie, quality, secrets, sharding, simhash, storage, token_counts, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -101,9 +101,19 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(_table(spark, sf_dir, "documents"))
 
 
+def op13_robust_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of every document, and whether it stays."""
+    return quality.judged(_table(spark, sf_dir, "documents"))
+
+
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts and plain limits of op13's operator alone, which SQL can express; the estimates are iterated."""
+    return op13_robust_quality(spark, sf_dir).drop("kept", "distance")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to query, in the order of the operators' numbers."""
-    return {f.__name__: f for f in (op1_token_counts, op2_inverted_multi_index, op3_vector_packing, op4_secret_ledger, op5_template_decontamination, op6_weak_supervision_pii, op7_bounded_load_ring, op8_language_fusion, op9_token_files, op10_simhash_near_dedup, op11_prefix_trie, op12_source_divergence, pages_language, pii_base, conversation_packing)}
+    return {f.__name__: f for f in (op1_token_counts, op2_inverted_multi_index, op3_vector_packing, op4_secret_ledger, op5_template_decontamination, op6_weak_supervision_pii, op7_bounded_load_ring, op8_language_fusion, op9_token_files, op10_simhash_near_dedup, op11_prefix_trie, op12_source_divergence, op13_robust_quality, quality_base, pages_language, pii_base, conversation_packing)}
 
 
 def _secrets_sql() -> str:
@@ -170,6 +180,19 @@ r AS (SELECT x.lang, x.source, 'pair' AS part, y.source AS item, CAST(coalesce(a
 SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM r) WHERE part = 'pair' OR rank <= 200"""
 
 
+def _quality_sql() -> str:
+    """The base counts in SQL; windows are numbered words joined with those behind them."""
+    return r"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS x FROM documents),
+w AS (SELECT r, doc_id, x, regexp_extract_all(x, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(x, chr(10)), lambda y: regexp_matches(y, '[^\x20\x09-\x0D]')) AS l FROM t),
+i AS (SELECT r, unnest(range(1, len(w) - 6)) AS i, w FROM w), g AS (SELECT r, i, array_to_string(w[i:i + 7], ' ') AS g FROM i),
+d AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM g) WHERE n > 1),
+c AS (SELECT r, count(DISTINCT k) AS n FROM (SELECT r, unnest(range(i, i + 8)) AS k FROM d) GROUP BY 1),
+o AS (SELECT doc_id, len(w) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda y: length(y))), 0) AS BIGINT) AS word_chars, length(x) - length(regexp_replace(x, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+    len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words FROM w LEFT JOIN c USING (r))
+SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM o"""
+
+
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for the queries that SQL can express; the others are held against brute force in the tests."""
-    return {"op4_secret_ledger": _secrets_sql(), "pii_base": _pii_sql(), "op12_source_divergence": _divergence_sql()}
+    return {"op4_secret_ledger": _secrets_sql(), "pii_base": _pii_sql(), "op12_source_divergence": _divergence_sql(), "quality_base": _quality_sql()}
