@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -64,3 +65,17 @@ def test_empty_table(spark):
 
 def test_digest_of_base(spark):
     assert spark.range(1).select(F.sha2(F.lit("hex:0:16"), 256)).first()[0] == hashlib.sha256(b"hex:0:16").hexdigest()
+
+
+def test_very_many_matches_in_one_text(spark):
+    """A million matches in one text: time grows with the matches, and each lies where it should."""
+    seconds = []
+    for n in (100_000, 1_000_000):
+        text = "0123456789abcdef " * n
+        start = time.perf_counter()
+        found = secrets.scanned(spark.createDataFrame([(b"x", text)], "digest binary, text string")).collect()[0]
+        seconds.append(time.perf_counter() - start)
+        assert found["n_hex"] == n
+        last = found["base"].rsplit(",", 2)[1:]
+        assert last == [f"hex:{17 * i}:{17 * i + 16}" for i in (n - 2, n - 1)]
+    assert seconds[1] < 25 * seconds[0] + 20
