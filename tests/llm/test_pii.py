@@ -1,6 +1,9 @@
 import random
 import re
 
+import pytest
+from pyspark.sql import functions as F
+
 from tidemark.llm import pii
 
 PLAIN = {
@@ -139,6 +142,7 @@ def test_labelers_get_their_reliabilities():
             number = 3 * number + (2 if (rng.random() < good) == real else 0)
         counts[number] = counts.get(number, 0) + 1
     _, given = pii.reliabilities(counts)
+    given = given["email"]
     learned = [(given[1][j][2] + given[0][j][0]) / 2 for j in range(5)]
     assert all(abs(a - b) < 0.04 for a, b in zip(learned, (0.95, 0.9, 0.85, 0.6, 0.5)))
 
@@ -149,3 +153,46 @@ def test_redaction_takes_effect(spark):
     found = pii.redacted(docs)
     assert found.columns == docs.columns
     assert sorted(map(tuple, found.collect()), key=str) == sorted([(1, "mail [EMAIL] now", "en", 16), (2, None, "en", 0), (3, "clean", "en", 5), (None, "[IP] and [CARD]", "en", 15)], key=str)
+
+
+def test_reliabilities_differ_by_family():
+    """A labeler that is right on one kind and wrong on another gets two reliabilities; the classes' shares differ as well."""
+    rng, counts = random.Random(9), {}
+    for kind, share, rates in (("email_written", 0.9, (0.95, 0.9, 0.9, 0.9, 0.1)), ("phone_local", 0.2, (0.95, 0.9, 0.9, 0.1, 0.9))):
+        for _ in range(10_000):
+            real, number = rng.random() < share, pii.KINDS.index(kind)
+            for good in rates:
+                number = 3 * number + (2 if (rng.random() < good) == real else 0)
+            counts[number] = counts.get(number, 0) + 1
+    posteriors, given = pii.reliabilities(counts)
+    learned = {f: [(given[f][1][j][2] + given[f][0][j][0]) / 2 for j in range(5)] for f in given}
+    assert all(abs(a - b) < 0.08 for f, want in (("email", (0.95, 0.9, 0.9, 0.9, 0.1)), ("phone", (0.95, 0.9, 0.9, 0.1, 0.9))) for a, b in zip(learned[f], want)), learned
+    share = lambda f: sum(counts[p] * q for p, q in posteriors.items() if pii._FAMILY[pii.KINDS[pii.unpacked(p)[0]]] == f) / 10_000
+    assert abs(share("email") - 0.9) < 0.03 and abs(share("phone") - 0.2) < 0.03
+
+
+def test_repeats_do_not_crowd_the_sample(spark, monkeypatch):
+    """Fifteen kinds of span, most of them thousands of times: all are in a sample of twenty."""
+    monkeypatch.setattr(pii, "SAMPLE", 20)
+    rows = [("email", 1, [0, i]) for i in range(15) for _ in range(2_000 if i % 3 else 1)]
+    found = spark.createDataFrame(rows, "kind string, pattern int, features array<int>")
+    scanned = found.select(F.array(F.struct("kind", "pattern", "features")).alias("found"))
+    seen = {}
+    monkeypatch.setattr(pii, "classifier", lambda posteriors, spans, counts: seen.update(spans=spans, counts=counts))
+    pii.trained(scanned)
+    assert sorted(f[1] for _, f in seen["spans"]) == list(range(15)) and sorted(set(seen["counts"])) == [1, 2_000]
+
+
+def test_gazetteers_from_a_table(spark):
+    table = spark.createDataFrame([("given", "Xaver"), ("given", "xaver"), ("given", None), ("providers", "mailhaus")], "list string, entry string")
+    lists = pii.Gazetteers.of(table)
+    assert lists.given == {"xaver"} and lists.providers == {"mailhaus"} and lists.suffixes == pii.LISTS.suffixes
+    text = "regards from Xaver Lindner and Maria Moreau"
+    assert [text[s:e] for k, s, e in pii.proposed_spans(text, [], lists)] == ["Xaver Lindner"]
+    many = lists._replace(given=frozenset(f"name{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)) | {"xaver"})
+    assert pii.proposed_spans(text, [], many) == pii.proposed_spans(text, [], lists)
+    for bad in ([("names", "x")],):
+        with pytest.raises(ValueError):
+            pii.Gazetteers.of(spark.createDataFrame(bad, "list string, entry string"))
+    docs = spark.createDataFrame([(1, f"mr {text[13:26]}")], "doc_id long, text string")
+    assert len(pii.personal_spans(docs, lists=lists).collect()) == 1

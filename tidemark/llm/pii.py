@@ -7,9 +7,9 @@ run of digits, and card-like numbers with a wrong check digit. On every span, ba
 or not at all: strict regular expressions, gazetteers (mail providers and top-level domains, area codes, card
 issuers, given names), the words before the span, its shape, and other personal data close by.
 
-Votes are counted by pattern over all documents; expectation-maximisation (one reliability for each labeler and class)
-turns the counts into posteriors. A logistic span classifier is trained on the posteriors of at most ``SAMPLE`` base spans
-and as many proposed ones, chosen by hash. Its features are the kind, the votes, the span's shape and the hashed words around it, so it
+Votes are counted by pattern over all documents; expectation-maximisation (a reliability for each family of kinds, labeler and class)
+turns the counts into posteriors. A logistic span classifier is trained on the posteriors of base and proposed spans: of at most ``SAMPLE``
+distinct vectors of features of either sort, chosen by hash, each with the number of spans that have it, so repeats crowd nothing out. Its features are the kind, the votes, the span's shape and the hashed words around it, so it
 tells spans apart that get the same votes. It decides on every proposed span.
 
 The driver sees one count for each pattern of votes, a few thousand at most, and the sample, whatever the corpus.
@@ -25,6 +25,7 @@ import itertools
 import re
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,8 @@ LABELERS = ("regex", "gazetteer", "context", "shape", "company")
 EM_ROUNDS, TRAIN_ROUNDS, THRESHOLD = 50, 300, 0.5
 #: Spans of either sort that the classifier is trained on, and places of its hashed words.
 SAMPLE, PLACES = 10_000, 512
+#: Entries that a gazetteer may have, and pseudo-counts by which a family's reliabilities lean on those of all kinds.
+LISTED, LEANING = 100_000, 20.0
 
 #: The base patterns, as given, with runs that can't be shorter made possessive.
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -77,6 +80,27 @@ _GIVEN = frozenset(
     "hans peter klaus jürgen stefan andreas sabine petra ursula monika karin julia lena lukas felix pierre jean jacques michel philippe marie nathalie isabelle sophie camille chloé "
     "josé juan antonio manuel francisco carlos miguel carmen ana isabel dolores pilar lucía sofía diego".split()
 )
+
+
+class Gazetteers(NamedTuple):
+    """The lists that propose and vote; workers get them whole, so each is bounded by ``LISTED`` entries."""
+
+    suffixes: frozenset[str] = _SUFFIXES
+    providers: frozenset[str] = _PROVIDERS
+    given: frozenset[str] = _GIVEN
+
+    @classmethod
+    def of(cls, table: DataFrame) -> Gazetteers:
+        """From a table ``(list, entry)``, list being a field's name; lists that the table lacks stay as they are. Entries count in lower case, nulls don't."""
+        rows = table.where("entry is not null").select("list", F.lower("entry").alias("entry")).distinct().groupBy("list").agg(F.count("*").alias("n"), F.slice(F.collect_list("entry"), 1, LISTED + 1).alias("entries")).collect()
+        if unknown := {r["list"] for r in rows} - set(cls._fields):
+            raise ValueError(f"no such list: {sorted(map(str, unknown))}")
+        if large := [r["list"] for r in rows if r["n"] > LISTED]:
+            raise ValueError(f"more than {LISTED} entries: {large}")
+        return cls(**{r["list"]: frozenset(r["entries"]) for r in rows})
+
+
+LISTS = Gazetteers()
 _FAMILY = {"email": "email", "email_written": "email", "phone": "phone", "phone_local": "phone", "phone_lost": "phone", "card": "card", "card_lost": "card", "card_like": "card", "ip": "ip", "ssn": "ssn", "iban": "iban", "person": "person"}
 _WORDS = re.compile(r"[^\W_]+(?:-[^\W_]+)?")
 
@@ -114,22 +138,29 @@ def base_spans(text: str | None) -> list[tuple[str, int, int]]:
     return out
 
 
-def _people(text: str) -> Iterator[tuple[int, int]]:
+def _people(text: str, lists: Gazetteers = LISTS) -> Iterator[tuple[int, int]]:
     """Runs of two or three capitalised words of which one is a given name."""
     for m in _PROPOSALS["person"].finditer(text):
         words = m[0].split(" ")
-        if all(w[1:].islower() for w in words) and any(w.lower() in _GIVEN for w in words):
+        if all(w[1:].islower() for w in words) and any(w.lower() in lists.given for w in words):
             yield m.span()
 
 
-def proposed_spans(text: str | None, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+def _capitals(text: str, lists: Gazetteers) -> bool:
+    """Whether a given name may be in the text: some are looked for, many are looked up."""
+    if len(lists.given) <= 200:
+        lower = text.lower()
+        return any(name in lower for name in lists.given)
+    return any(w.lower() in lists.given for w in _WORDS.findall(text) if w[0].isupper())
+
+
+def proposed_spans(text: str | None, base: list[tuple[str, int, int]], lists: Gazetteers = LISTS) -> list[tuple[str, int, int]]:
     """Further spans that don't touch base ones, by kind and start."""
     text = text or ""
     kinds = (["email_written"] if _WRITTEN.search(text) else []) + (["phone_local", "ssn", "iban"] if re.search("[0-9]", text) else [])
     found = [(kind, *m.span()) for kind in kinds for m in _PROPOSALS[kind].finditer(text)]
-    lower = text.lower()
-    if any(name in lower for name in _GIVEN):
-        found += [("person", *x) for x in _people(text)]
+    if _capitals(text, lists):
+        found += [("person", *x) for x in _people(text, lists)]
     if kinds:
         for m in _PROPOSALS["card_lost"].finditer(text):
             good = _luhn(_digits(m[0]))
@@ -184,11 +215,11 @@ def _strict(kind: str, span: str, digits: str, around: str) -> int:
     return 1 if kind == "ssn" and "." not in around else 0
 
 
-def _listed(kind: str, span: str, digits: str) -> int:
+def _listed(kind: str, span: str, digits: str, lists: Gazetteers) -> int:
     """The gazetteers' vote."""
     if kind in ("email", "email_written"):
         labels = re.split(r"\W+", span.lower().rstrip(")] "))
-        return 1 if labels[-1] in _SUFFIXES or _PROVIDERS & set(labels) else -1
+        return 1 if labels[-1] in lists.suffixes or lists.providers & set(labels) else -1
     if kind in ("phone", "phone_local", "phone_lost"):
         area, office = digits[-10:-7], digits[-7:-4]
         return 1 if len(digits) < 10 or area[:1] >= "2" and area[1:] != "11" and office[:1] >= "2" else -1
@@ -196,7 +227,7 @@ def _listed(kind: str, span: str, digits: str) -> int:
         return -1 if digits[:3] in ("000", "666") or digits[0] == "9" or digits[3:5] == "00" or digits[5:] == "0000" else 1
     if kind in ("card", "card_lost", "card_like"):
         return 1 if _issued(digits) else -1
-    return 1 if kind == "person" and span.split(" ")[0].lower() in _GIVEN else 0
+    return 1 if kind == "person" and span.split(" ")[0].lower() in lists.given else 0
 
 
 def _shaped(kind: str, span: str, digits: str) -> int:
@@ -214,12 +245,12 @@ def _before(text: str, start: int) -> list[str]:
     return [w.lower() for w in _WORDS.findall(text[max(0, start - 40) : start])][-4:]
 
 
-def votes(text: str, kind: str, start: int, end: int, near: bool) -> tuple[int, ...]:
+def votes(text: str, kind: str, start: int, end: int, near: bool, lists: Gazetteers = LISTS) -> tuple[int, ...]:
     """Each labeler's vote on a span: 1 for, -1 against, 0 none."""
     span, before = text[start:end], set(_before(text, start))
     digits, around = _digits(span), text[max(0, start - 1) : start].ljust(1) + text[end : end + 1]
     context = 1 if before & _FOR[_FAMILY[kind]] else -1 if before & _AGAINST else 0
-    return _strict(kind, span, digits, around), _listed(kind, span, digits), context, _shaped(kind, span, digits), 1 if near else 0
+    return _strict(kind, span, digits, around), _listed(kind, span, digits, lists), context, _shaped(kind, span, digits), 1 if near else 0
 
 
 #: Places of the features: one that is always set, kinds, votes, lengths, first digits, hashed words.
@@ -231,22 +262,22 @@ _AT_WORD = _AT_DIGIT + 11
 FEATURES = _AT_WORD + PLACES
 
 
-def features(text: str, kind: str, start: int, end: int, near: bool) -> list[int]:
+def features(text: str, kind: str, start: int, end: int, near: bool, lists: Gazetteers = LISTS) -> list[int]:
     """The places of a span's features, each once."""
     span = text[start:end]
     digits = _digits(span)
     out = {0, _AT_KIND + KINDS.index(kind), _AT_LENGTH + min(7, len(span) // 4), _AT_DIGIT + (int(digits[0]) if digits else 10)}
-    out |= {_AT_VOTE + 3 * i + v + 1 for i, v in enumerate(votes(text, kind, start, end, near))}
+    out |= {_AT_VOTE + 3 * i + v + 1 for i, v in enumerate(votes(text, kind, start, end, near, lists))}
     after = [w.lower() for w in _WORDS.findall(text[end : end + 30])][:2]
     for side, words in (("<", _before(text, start)), (">", after)):
         out |= {_AT_WORD + zlib.crc32(f"{_FAMILY[kind]}{side}{re.sub('[0-9]', '0', w)}".encode("utf-8", "surrogatepass")) % PLACES for w in words}
     return sorted(out)
 
 
-def pattern_of(text: str, span: tuple[str, int, int], near: bool) -> int:
+def pattern_of(text: str, span: tuple[str, int, int], near: bool, lists: Gazetteers = LISTS) -> int:
     """A span's kind and votes as one number."""
     number = KINDS.index(span[0])
-    for v in votes(text, *span, near):
+    for v in votes(text, *span, near, lists):
         number = 3 * number + v + 1
     return number
 
@@ -260,27 +291,42 @@ def unpacked(number: int) -> tuple[int, list[int]]:
     return number, found[::-1]
 
 
-def reliabilities(counts: dict[int, int]) -> tuple[dict[int, float], np.ndarray]:
-    """Posterior of each pattern, and how likely each labeler casts each vote (class, labeler, vote), by EM over vote counts."""
-    patterns = sorted(counts)
-    if not patterns:
-        return {}, np.full((2, len(LABELERS), 3), 1 / 3)
-    cast = np.array([unpacked(p)[1] for p in patterns]) + 1
-    weight = np.array([counts[p] for p in patterns], float)
+def _expected(cast: np.ndarray, weight: np.ndarray, ahead: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Posteriors, class priors and reliabilities (class, labeler, vote) of patterns by EM; ``ahead`` are counts of classes and votes had beforehand."""
     post = np.clip(0.5 + 0.2 * (cast - 1).sum(axis=1), 0.05, 0.95)
-    given = None
     for _ in range(EM_ROUNDS):
         classes = np.stack([1 - post, post]) * weight
-        prior = (classes.sum(axis=1) + 1) / (weight.sum() + 2)
-        given = np.stack([[[c[cast[:, j] == v].sum() + 1 for v in range(3)] for j in range(len(LABELERS))] for c in classes])
+        prior = classes.sum(axis=1) + ahead[0]
+        prior /= prior.sum()
+        given = np.stack([[[c[cast[:, j] == v].sum() for v in range(3)] for j in range(len(LABELERS))] for c in classes]) + ahead[1]
         given /= given.sum(axis=2, keepdims=True)
         log = np.log(prior)[:, None] + np.log(given[:, np.arange(len(LABELERS)), cast]).sum(axis=2)
         post = 1 / (1 + np.exp(np.clip(log[0] - log[1], -500, 500)))
-    return dict(zip(patterns, post.tolist())), given
+    return post, prior, given
+
 
+def reliabilities(counts: dict[int, int]) -> tuple[dict[int, float], dict[str, np.ndarray]]:
+    """Posterior of each pattern, and for each family of kinds how likely each labeler casts each vote (class, labeler, vote), by EM over vote counts.
 
-def classifier(posteriors: dict[int, float], spans: list[tuple[int, list[int]]]) -> np.ndarray:
-    """Weights of the span classifier, trained on spans ``(pattern, features)`` by their patterns' posteriors."""
+    All patterns together give the reliabilities that each family's own lean on, by ``LEANING`` counts; a family with many spans goes by these alone.
+    """
+    patterns = sorted(counts)
+    if not patterns:
+        return {}, {}
+    cast = np.array([unpacked(p)[1] for p in patterns]) + 1
+    weight = np.array([counts[p] for p in patterns], float)
+    families = np.array([_FAMILY[KINDS[unpacked(p)[0]]] for p in patterns])
+    _, prior, given = _expected(cast, weight, (np.ones(2), np.ones((2, len(LABELERS), 3))))
+    posteriors, told = {}, {}
+    for family in sorted(set(families)):
+        own = families == family
+        post, _, told[family] = _expected(cast[own], weight[own], (LEANING * prior, LEANING * given))
+        posteriors |= dict(zip(np.array(patterns)[own].tolist(), post.tolist()))
+    return posteriors, told
+
+
+def classifier(posteriors: dict[int, float], spans: list[tuple[int, list[int]]], counts: list[int] | None = None) -> np.ndarray:
+    """Weights of the span classifier, trained on spans ``(pattern, features)`` by their patterns' posteriors; counts tell how often each span stands for itself."""
     weights = np.zeros(FEATURES + 1)
     if not spans:
         return weights[:-1]
@@ -288,25 +334,27 @@ def classifier(posteriors: dict[int, float], spans: list[tuple[int, list[int]]])
     for row, (_, own) in enumerate(spans):
         places[row, : len(own)] = own
     y = np.array([posteriors[p] for p, _ in spans])
+    share = np.ones(len(spans)) if counts is None else np.array(counts, float)
+    share /= share.sum()
     for _ in range(TRAIN_ROUNDS):
         miss = 1 / (1 + np.exp(-weights[places].sum(axis=1))) - y
-        step = np.bincount(places.ravel(), np.repeat(miss, places.shape[1]), FEATURES + 1) / len(spans)
+        step = np.bincount(places.ravel(), np.repeat(miss * share, places.shape[1]), FEATURES + 1)
         weights -= 1.0 * (step + 1e-4 * weights)
         weights[FEATURES] = 0
     return weights[:-1]
 
 
-def _scan(text: str | None) -> list[tuple[str, int, int, int, list[int]]]:
+def _scan(text: str | None, lists: Gazetteers = LISTS) -> list[tuple[str, int, int, int, list[int]]]:
     base = base_spans(text)
-    spans = base + proposed_spans(text, base)
-    return [(*s, pattern_of(text, s, near), features(text, *s, near)) for s, near in zip(spans, _near(spans))]
+    spans = base + proposed_spans(text, base, lists)
+    return [(*s, pattern_of(text, s, near, lists), features(text, *s, near, lists)) for s, near in zip(spans, _near(spans))]
 
 
 SPANS = "array<struct<kind:string,start:int,end:int,pattern:int,features:array<int>>>"
 _FIELDS = ("kind", "start", "end", "pattern", "features")
 
 
-def _scanned(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _scanned(docs: DataFrame, id_col: str, text_col: str, lists: Gazetteers) -> DataFrame:
     """``(doc_id, found)`` of each row, written to the shared folder."""
     storage.bounded_batches(docs.sparkSession)
     kind = docs.select(id_col).schema[0].dataType.simpleString()
@@ -314,7 +362,7 @@ def _scanned(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [[dict(zip(_FIELDS, s)) for s in _scan(x)] for x in batch.column(1).to_pylist()]
+            found = [[dict(zip(_FIELDS, s)) for s in _scan(x, lists)] for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, struct)], ["doc_id", "found"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(scan, f"doc_id {kind}, found {SPANS}")
@@ -327,15 +375,18 @@ def trained(scanned: DataFrame) -> np.ndarray:
     counts = {r["pattern"]: r["count"] for r in spans.groupBy("pattern").count().collect()}  # one row for each pattern of votes
     posteriors, _ = reliabilities(counts)
     chosen: list[tuple[int, list[int]]] = []
+    often: list[int] = []
+    distinct = spans.groupBy("kind", "pattern", "features").agg(F.count("*").alias("n"))
     for some in (F.col("kind").isin(*BASE), ~F.col("kind").isin(*BASE)):
-        order = F.xxhash64("pattern", "features")
-        chosen += [(r["pattern"], r["features"]) for r in spans.where(some).orderBy(order, "pattern", "features").limit(SAMPLE).collect()]
-    return classifier(posteriors, chosen)
+        rows = distinct.where(some).orderBy(F.xxhash64("pattern", "features"), "pattern", "features").limit(SAMPLE).collect()
+        chosen += [(r["pattern"], r["features"]) for r in rows]
+        often += [r["n"] for r in rows]
+    return classifier(posteriors, chosen, often)
 
 
-def personal_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def personal_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lists: Gazetteers = LISTS) -> DataFrame:
     """``(doc_id, n_email, n_ip, n_card, n_phone, base, spans)`` of each row; spans are kind:start:end by kind, then start."""
-    rows = _scanned(docs, id_col, text_col)
+    rows = _scanned(docs, id_col, text_col, lists)
     weights = F.split(F.lit(",".join(map(repr, map(float, trained(rows))))), ",").cast("array<double>")
     bar = float(np.log(THRESHOLD / (1 - THRESHOLD)))
     is_base = lambda s: s["kind"].isin(*BASE)
@@ -346,10 +397,10 @@ def personal_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return rows.select("doc_id", *map(count, BASE), joined(F.filter("found", is_base)).alias("base"), joined(every).alias("spans"))
 
 
-def redact(text: str | None, weights: np.ndarray) -> str | None:
+def redact(text: str | None, weights: np.ndarray, lists: Gazetteers = LISTS) -> str | None:
     """A text with its spans replaced by their kinds; of spans that overlap the union is replaced once."""
     bar = np.log(THRESHOLD / (1 - THRESHOLD))
-    spans = sorted((s, e, k) for k, s, e, _, own in _scan(text) if k in BASE or weights[own].sum() >= bar)
+    spans = sorted((s, e, k) for k, s, e, _, own in _scan(text, lists) if k in BASE or weights[own].sum() >= bar)
     if not spans:
         return text
     out, end = [], 0
@@ -360,16 +411,16 @@ def redact(text: str | None, weights: np.ndarray) -> str | None:
     return "".join(out) + text[end:]
 
 
-def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
+def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars", lists: Gazetteers = LISTS) -> DataFrame:
     """``docs`` with personal data replaced in the texts, and the texts' lengths set anew where that column exists."""
-    scanned = _scanned(docs, id_col, text_col)
+    scanned = _scanned(docs, id_col, text_col, lists)
     weights = trained(scanned)
     storage.dropped(scanned)
     at, text_type = docs.columns.index(text_col), docs.schema[text_col].dataType
 
     def replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = pa.array([redact(x, weights) for x in batch.column(at).to_pylist()], batch.column(at).type)
+            texts = pa.array([redact(x, weights, lists) for x in batch.column(at).to_pylist()], batch.column(at).type)
             yield batch.set_column(at, batch.schema.field(at), texts)
 
     out = docs.withColumn(text_col, F.col(text_col).cast(text_type)).mapInArrow(replace, docs.schema)
