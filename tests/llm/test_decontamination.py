@@ -165,3 +165,24 @@ def test_columns_of_any_name_stay(spark):
     docs = spark.createDataFrame([(1, ITEMS[1][1], "a", 1), (2, "clean text here", "b", 2), (2, "clean text here", "b", 2), (None, None, "c", 3)], "doc_id long, text string, doc string, gone int")
     kept = dc.decontaminated(docs, spark.createDataFrame(ITEMS, "item_id long, text string"))
     assert kept.columns == docs.columns and sorted(map(tuple, kept.collect()), key=str) == [(2, "clean text here", "b", 2)] * 2 + [(None, None, "c", 3)]
+
+
+def test_verbatim_copies_behind_capitalised_words(spark):
+    """A run of names that swallows the words before or behind the item changes no slot; another name does."""
+    items = [(1, "Mary Jones has 9 apples in the old basket near the green gate and waits for her friend Tom Brown")]
+    text = items[0][1]
+    docs = [(1, f"Lorem Ipsum {text} Dolor Sit."), (2, f"see Chapter {text}"), (3, text), (4, f"Lorem Ipsum {text.replace('Mary Jones', 'Anna Smith')}"), (5, text.replace("9", "14") + " Dolor"), (6, f"Lorem {text.replace('Tom Brown', 'Bob White')} Dolor")]
+    rows = found(spark, docs, items)
+    assert {d: (r["coverage"], r["changed_slots"]) for (d, _), r in rows.items()} == {1: (1.0, 0), 2: (1.0, 0), 3: (1.0, 0), 4: (1.0, 1), 5: (1.0, 1), 6: (1.0, 1)}
+
+
+def test_windows_that_many_items_share_bring_nobody_together(spark):
+    """Items that begin alike: a document with the common beginning alone meets none of them; those that are there are found."""
+    rng = random.Random(8)
+    common = "please answer the following question as well as you can and show every step of your work"
+    items = [(i, f"{common} {filler(rng, 12)}") for i in range(60)]
+    windows = dc.item_windows(spark.createDataFrame([(i, t) for i, t in items], "item int, text string"), dc.WINDOW, dc.SIMILARITY).cache()
+    chosen = dc.rarest(windows, dc.SIMILARITY)
+    assert chosen.select("item").distinct().count() == 60 and chosen.groupBy("hash", "typing").agg({"item": "count"}).agg({"count(item)": "max"}).first()[0] == 1
+    docs = [(d, f"{filler(rng, 20)} {common} {filler(rng, 20)}") for d in range(50)] + [(100 + i, f"{filler(rng, 5)} {t}") for i, t in items]
+    assert set(found(spark, docs, items)) == {(100 + i, i) for i, _ in items}

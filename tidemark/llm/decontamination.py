@@ -15,9 +15,8 @@ Windows of fewer than two plain words say too little and count on neither side,
 others; an item shorter than a window is one window. A sentence's first word typed as a name counts as plain if it is the item's own.
 
 Documents are scanned once, whatever the benchmark's size: of their windows those go on whose hash may be in the benchmark by
-a bit table of at most 2^``MOST_BITS`` bits. They are joined with the benchmark's windows by hash, and pairs of a document
-and an item with enough of its windows in common are then held against each other, slots and all, text by text. The
-join's sides are broadcast behind a check of their size, and dealt by hash else.
+two bits of a table of at most 2^``MOST_BITS`` bits. They are joined with each item's rarest windows by hash; of the pairs that met so, those
+with enough windows in common are held against each other, slots and all, text by text. Texts that no pair needs stay where they are.
 
 Defined cases: null or empty texts and items match nothing; null ids and repeated rows are kept row by row, repeated items
 count once; very long texts are read whole; empty tables give no matches; extra columns, whatever their names, are left out of
@@ -35,7 +34,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import storage
@@ -168,6 +167,11 @@ class Template:
         else:
             self.views = [literal, literal, literal]
 
+    def run(self, typing: int, at: int) -> np.ndarray:
+        """The hashes of the words that a token of a view is made of."""
+        starts, words = self.views[typing].starts, self.views[LITERAL].values
+        return words[starts[at] : starts[at + 1] if at + 1 < len(starts) else len(words)]
+
     def _edges(self) -> np.ndarray:
         return np.concatenate([[True], self.docs[1:] != self.docs[:-1]])[: len(self.docs)]
 
@@ -279,7 +283,17 @@ class Index:
             same = own.opens[q : q + size] & (own.lasts[q : q + size] == other.lasts[p : p + size])
             if (same | (own.kinds[q : q + size] == WORD)).sum() < item.need:
                 return None
-        return [((int(own.kinds[q + i]), int(own.values[q + i])), int(other.values[p + i])) for i in range(size) if own.kinds[q + i] != WORD]
+        return [((int(own.kinds[q + i]), int(own.values[q + i])), self._stands(template, item, typing, p + i, q + i)) for i in range(size) if own.kinds[q + i] != WORD]
+
+    @staticmethod
+    def _stands(template: Template, item: Item, typing: int, p: int, q: int) -> int:
+        """What stands in the document for the item's token; names that run on beyond the item's first or last one are the item's own."""
+        own, other = item.template.views[typing], template.views[typing]
+        if own.kinds[q] == NAME and own.values[q] != other.values[p] and (q == 0 or q == len(own.kinds) - 1):
+            words, run = item.template.run(typing, q), template.run(typing, p)
+            if len(words) < len(run) and (q == 0 and np.array_equal(words, run[-len(words) :]) or q and np.array_equal(words, run[: len(words)])):
+                return int(own.values[q])
+        return int(other.values[p])
 
     def _consistent(self, template: Template, item: Item, hits: list[tuple[int, ...]]) -> tuple[int, int, int]:
         """How many of the item's windows agree on what each slot's value stands for; slots, and slots of another value."""
@@ -334,9 +348,10 @@ def item_windows(items: DataFrame, window: int, similarity: float) -> DataFrame:
 
 
 def _bit_table(windows: DataFrame) -> tuple[int, np.ndarray]:
-    """The power of two and the bits of a table that has the first bits of every window's hash."""
+    """The power of two and the bits of a table that has two bits for every window's hash: at its first bits and at its last."""
     power = int(np.clip(np.ceil(np.log2(max(1, windows.count()) * BITS_EACH)), LEAST_BITS, MOST_BITS))
-    place = F.shiftrightunsigned("hash", 64 - power)
+    place = F.explode(F.array(F.shiftrightunsigned("hash", 64 - power), F.col("hash").bitwiseAND(F.lit((1 << power) - 1).cast("long"))))
+    windows, place = windows.select(place.alias("place")), F.col("place")
     # one row for each 64 bits at most, whatever the benchmark
     words = windows.groupBy(F.shiftrightunsigned(place, 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(64)).cast("int"))).alias("bits")).toArrow()
     table = np.zeros(1 << power - 6, np.int64)
@@ -360,7 +375,7 @@ def _hits(docs: DataFrame, windows: DataFrame) -> DataFrame:
     """``(doc, typing, size, hash)``: windows of the documents ``(doc, text)`` whose hash the benchmark may have."""
     power, bits = _bit_table(windows)
     sizes = sorted(r[0] for r in windows.select("size").distinct().collect())  # no more than a window has tokens
-    packed, shift = np.packbits(bits, bitorder="little").tobytes(), np.uint64(64 - power)
+    packed, shift, last = np.packbits(bits, bitorder="little").tobytes(), np.uint64(64 - power), np.uint64((1 << power) - 1)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.unpackbits(np.frombuffer(packed, np.uint8), bitorder="little").view(bool)
@@ -370,6 +385,7 @@ def _hits(docs: DataFrame, windows: DataFrame) -> DataFrame:
                 found = [np.zeros((0, 4), np.int64)]
                 for typing, size, own, hashes in Template(texts[first:end], _WORDS).hashed(sizes):
                     maybe = np.flatnonzero(table[(hashes >> shift).astype(np.int64)])
+                    maybe = maybe[table[(hashes[maybe] & last).astype(np.int64)]]
                     found.append(np.stack([own[maybe] + first, np.full(len(maybe), typing), np.full(len(maybe), size), hashes[maybe].view(np.int64)], axis=1))
                 rows = np.unique(np.concatenate(found), axis=0)
                 if len(rows):
@@ -379,6 +395,28 @@ def _hits(docs: DataFrame, windows: DataFrame) -> DataFrame:
     return docs.select("doc", "text").mapInArrow(scan, f"doc {docs.schema['doc'].dataType.simpleString()}, typing int, size int, hash long")
 
 
+def rarest(windows: DataFrame, similarity: float) -> DataFrame:
+    """Of each item the windows of which a contaminated document has one at least: one more than may be missing, those that the fewest items share."""
+    shared = windows.groupBy("typing", "size", "hash").agg(F.count_distinct("item").alias("items"))
+    often = windows.join(shared, ["typing", "size", "hash"]).groupBy("item", "k").agg(F.max("total").alias("total"), F.sum("items").alias("items"))
+    place = F.row_number().over(Window.partitionBy("item").orderBy("items", "k"))
+    chosen = often.withColumn("place", place).where(F.col("place") <= F.col("total") - F.ceil(similarity * F.col("total")) + 1)
+    return windows.join(chosen.select("item", "k"), ["item", "k"], "left_semi")
+
+
+def _pairs(hits: DataFrame, windows: DataFrame, similarity: float) -> DataFrame:
+    """``(pair, item)``: documents and items with enough windows in common.
+
+    Documents meet an item by its rarest windows alone, so a window that many items share brings nobody together that has no more in
+    common; all windows are then counted for the pairs that met.
+    """
+    key = ["typing", "size", "hash"]
+    met = hits.join(rarest(windows, similarity), key).select("doc", "item").distinct()
+    held = met.join(windows, "item").join(hits, ["doc", *key])
+    counts = held.groupBy("doc", "item").agg(F.count_distinct("k").alias("n"), F.max("total").alias("total"))
+    return counts.where(F.col("n") >= similarity * F.col("total")).select(F.col("doc").alias("pair"), "item")
+
+
 _ITEMS: dict[tuple, Index] = {}
 
 
@@ -400,13 +438,12 @@ def _matched(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str,
     items = benchmark.select(item.alias("item"), F.col(item_text_col).cast("string").alias("text")).where("text is not null").dropDuplicates(["item"])
     items = storage.written(items, "decontamination-items")
     windows = storage.written(item_windows(items, window, similarity), "decontamination-windows")
-    hits = _hits(rows, windows)
-    joined = hits.join(storage.small(windows), ["typing", "size", "hash"])
-    pairs = joined.groupBy("doc", "item").agg(F.count_distinct("k").alias("n"), F.max("total").alias("total")).where(F.col("n") >= similarity * F.col("total"))
-    pairs = storage.written(pairs.select(F.col("doc").alias("pair"), "item"), "decontamination-pairs")
+    hits = storage.written(_hits(rows, windows), "decontamination-hits")
+    pairs = storage.written(_pairs(hits, windows, similarity), "decontamination-pairs")
     chars = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     own = items.select(F.col("item").alias("own"), F.col("text").alias("item_text"))
-    found = rows.join(storage.beside_texts(pairs), _same(F.col("doc"), F.col("pair")))
+    likely, _ = storage.parted(rows, F.col("doc.digest"), pairs, F.col("pair.digest"))
+    found = likely.join(pairs.hint("shuffle_hash"), _same(F.col("doc"), F.col("pair")))
     found = found.join(F.broadcast(own) if chars <= BROADCAST_CHARS else own, _same(F.col("item"), F.col("own")))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -437,5 +474,6 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     gone = storage.written(found.select(F.col("doc").alias("gone")).distinct(), "decontamination-gone")
     kept = F.struct(*(F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)))
     rows = docs.select(kept.alias("kept"), _key(id_col, text_col).alias("doc"))
-    rows = rows.join(storage.beside_texts(gone), _same(F.col("doc"), F.col("gone")), "left_anti")
+    likely, clean = storage.parted(rows, F.col("doc.digest"), gone, F.col("gone.digest"))
+    rows = clean.unionByName(likely.join(gone.hint("shuffle_hash"), _same(F.col("doc"), F.col("gone")), "left_anti"))
     return rows.select(*(F.col("kept")[f"c{i}"].alias(c) for i, c in enumerate(docs.columns)))

@@ -10,11 +10,13 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of a side table that may be broadcast; a row of such tables is under 200 bytes.
 BROADCAST_ROWS = 20_000
+#: Bits of a key's hash by which rows are told apart before a shuffle: the broadcast has at most 2^20 rows of four bytes.
+PREFIX_BITS = 20
 #: Bytes and rows that one Arrow batch may hold on its way to a Python worker.
 BATCH_BYTES, BATCH_ROWS = 8 << 20, 2_000
 
@@ -84,6 +86,21 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def _prefix(key: Column) -> Column:
+    return F.shiftrightunsigned(key, 64 - PREFIX_BITS).cast("int")
+
+
+def parted(rows: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column) -> tuple[DataFrame, DataFrame]:
+    """Rows that may have a key of ``wanted``, and rows that have none, told apart without a shuffle.
+
+    Keys are uniform 64-bit hashes. Their first ``PREFIX_BITS`` bits are broadcast, so there are no more of them than that power of two, whatever
+    the tables; where few rows are wanted, few others share a prefix with them, and only these go on to a shuffled join.
+    """
+    prefixes = written(wanted.select(_prefix(wanted_key).alias("_prefix")).distinct(), "prefixes")
+    told = [rows.join(F.broadcast(prefixes), _prefix(key) == F.col("_prefix"), how) for how in ("left_semi", "left_anti")]
+    return told[0], told[1]
+
+
 def beside_texts(df: DataFrame) -> DataFrame:
     """As ``small``, for a side table of whole texts: beyond the bound tasks hash its rows and needn't sort the texts."""
     there = small(df)
