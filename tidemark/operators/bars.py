@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import numbers
+from tidemark.operators import ordered
 
 MINUTE = 60
 #: What orders trades of one second.
@@ -25,12 +26,27 @@ def ohlcv(trades: DataFrame, width: int = MINUTE) -> DataFrame:
     )
 
 
-def grid(markets: DataFrame, width: int = MINUTE) -> DataFrame:
-    """The buckets of each market ``(market_id, open_ts, close_ts)``: from the open's to the close, one at least."""
+#: Buckets without trades that a task makes out of one row.
+RUN = 4_096
+
+
+def _lives(markets: DataFrame, width: int) -> DataFrame:
+    """``(market_id, first, last)``: the buckets of each market ``(market_id, open_ts, close_ts)``, from the open's to the close, one at least."""
     first = numbers.floor_to(F.col("open_ts"), width)
     count = F.greatest(F.lit(1), F.ceil((F.col("close_ts") - first) / width)).cast("long")
-    last = first + (count - 1) * width
-    return markets.withColumn("ts_min", F.explode(F.sequence(first, last, F.lit(width).cast("long"))))
+    return markets.select("market_id", first.alias("first"), (first + (count - 1) * width).alias("last"))
+
+
+def _buckets(runs: DataFrame, width: int) -> DataFrame:
+    """``runs`` with a row for each bucket ``ts_min`` from ``start`` to ``end``, the end excluded.
+
+    Runs are cut to stretches of ``RUN`` buckets, and these dealt to all tasks, before they are exploded: the longest run is no task's alone.
+    """
+    step, parts = width * RUN, int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = runs.where("start < end").withColumn("_at", F.explode(F.sequence(F.col("start"), F.col("end") - 1, F.lit(step).cast("long"))))
+    cut = cut.repartition(parts, "market_id", "_at")
+    last = F.least(F.col("_at") + step, F.col("end")) - width
+    return cut.withColumn("ts_min", F.explode(F.sequence(F.col("_at"), last, F.lit(width).cast("long")))).drop("_at", "start", "end")
 
 
 def resampled(trades: DataFrame, markets: DataFrame, width: int = MINUTE) -> DataFrame:
@@ -38,15 +54,20 @@ def resampled(trades: DataFrame, markets: DataFrame, width: int = MINUTE) -> Dat
 
     A bucket without trades repeats the last close, before the first bar the log odds of the market's first trade, be
     it before the open, and 0 in a market without trades. Trades outside the grid count for nothing else.
-    Trades are reduced to bars before anything is ordered, so a hot market costs a window no more than its grid.
+
+    Only bars that have trades are ordered: each learns where the next one starts and stands for the empty buckets up to there. That is
+    a segmented scan, so neither a market's bars nor its grid have to fit into a task (``ordered.followed``, ``_buckets``).
     """
     own = ohlcv(trades, width)
-    first = own.groupBy("market_id").agg(F.min_by("open_lo", "ts_min").alias("_first"))
-    frame = grid(markets.select("market_id", "open_ts", "close_ts").join(first, "market_id", "left"), width)
-    joined = frame.select("market_id", "ts_min", "_first").join(own, ["market_id", "ts_min"], "left")
-    before = Window.partitionBy("market_id").orderBy("ts_min").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    carried = F.coalesce(F.last("close_lo", ignorenulls=True).over(before), "_first", F.lit(0.0))
-    prices = [F.coalesce(c, "_carried").alias(c) for c in ("open_lo", "high_lo", "low_lo", "close_lo")]
-    return joined.withColumn("_carried", carried).select(
-        "market_id", "ts_min", *prices, F.coalesce("volume_usdc", F.lit(0.0)).alias("volume_usdc"), F.coalesce("trade_count", F.lit(0)).alias("trade_count")
-    )
+    firsts = own.groupBy("market_id").agg(F.min_by("open_lo", "ts_min").alias("_first"))
+    lives = _lives(markets, width)
+    inside = own.join(lives, "market_id").where("ts_min BETWEEN first AND last").drop("first")
+    bars = ordered.followed(inside, ["market_id"], ["ts_min"], "ts_min", "_next")
+    prices = ["open_lo", "high_lo", "low_lo", "close_lo"]
+    kept = bars.select("market_id", "ts_min", *prices, "volume_usdc", "trade_count")
+    gaps = bars.select("market_id", (F.col("ts_min") + width).alias("start"), F.coalesce("_next", F.col("last") + width).alias("end"), F.col("close_lo").alias("_price"))
+    starts = inside.groupBy("market_id").agg(F.min("ts_min").alias("_start"))
+    heads = lives.join(starts, "market_id", "left").join(firsts, "market_id", "left")
+    heads = heads.select("market_id", F.col("first").alias("start"), F.coalesce("_start", F.col("last") + width).alias("end"), F.coalesce("_first", F.lit(0.0)).alias("_price"))
+    empty = _buckets(gaps.unionByName(heads), width)
+    return kept.unionByName(empty.select("market_id", "ts_min", *(F.col("_price").alias(c) for c in prices), F.lit(0.0).alias("volume_usdc"), F.lit(0).cast("long").alias("trade_count")))

@@ -39,9 +39,9 @@ def numbered(rows: DataFrame, keys: list[str], order: list[str], name: str = "pl
     """``rows`` with their place in their key's order, from 1."""
     dealt = spread(rows, keys, order)
     before = F.sum("_n").over(Window.partitionBy(*keys).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1))
-    edges = dealt.groupBy(*keys, PART).agg(F.count("*").alias("_n")).withColumn("_before", before).where("_before > 0")
-    own = dealt.withColumn("_own", F.row_number().over(_within(keys, order)))
-    return _joined(own, edges, keys, ["_before"]).withColumn(name, F.coalesce("_before", F.lit(0)) + F.col("_own")).drop(PART, TIE, "_own", "_before")
+    edges = dealt.groupBy(*keys, PART).agg(F.count("*").alias("_n")).withColumn("_o_before", before).where("_o_before > 0")
+    own = dealt.withColumn("_o_own", F.row_number().over(_within(keys, order)))
+    return _joined(own, edges, keys, ["_o_before"]).withColumn(name, F.coalesce("_o_before", F.lit(0)) + F.col("_o_own")).drop(PART, TIE, "_o_own", "_o_before")
 
 
 def carried(rows: DataFrame, keys: list[str], order: list[str], values: dict[str, Column]) -> DataFrame:
@@ -66,7 +66,7 @@ def followed(rows: DataFrame, keys: list[str], order: list[str], value: str, nam
     dealt = spread(rows, keys, order)
     place = F.struct(*order, TIE)
     behind = Window.partitionBy(*keys).orderBy(PART)
-    edges = dealt.groupBy(*keys, PART).agg(F.min_by(value, place).alias("_first")).withColumn("_later", F.lead("_first").over(behind)).withColumn("_more", F.lead(F.lit(True)).over(behind)).where("_more")
+    edges = dealt.groupBy(*keys, PART).agg(F.min_by(value, place).alias("_o_first")).withColumn("_o_later", F.lead("_o_first").over(behind)).withColumn("_o_more", F.lead(F.lit(True)).over(behind)).where("_o_more")
     window = _within(keys, order)
-    own = dealt.withColumn("_next", F.lead(value).over(window)).withColumn("_last", F.lead(F.lit(False), 1, True).over(window))
-    return _joined(own, edges, keys, ["_later"]).withColumn(name, F.when(F.col("_last"), F.col("_later")).otherwise(F.col("_next"))).drop(PART, TIE, "_next", "_last", "_later")
+    own = dealt.withColumn("_o_next", F.lead(value).over(window)).withColumn("_o_last", F.lead(F.lit(False), 1, True).over(window))
+    return _joined(own, edges, keys, ["_o_later"]).withColumn(name, F.when(F.col("_o_last"), F.col("_o_later")).otherwise(F.col("_o_next"))).drop(PART, TIE, "_o_next", "_o_last", "_o_later")

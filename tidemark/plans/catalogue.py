@@ -360,4 +360,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bars_minute(spark, sf_dir)
 
 
-from tidemark.plans import sink_queries, source_queries, stage_queries  # noqa: E402, F401  they register themselves
+from tidemark.plans import sink_queries, source_queries, stage_queries, time_queries  # noqa: E402, F401  they register themselves
