@@ -194,3 +194,34 @@ def test_rules(spark):
 def test_partition_keys(spark):
     row = spark.range(1).select(*times.number_year_month(F.lit(20240801)), *times.number_year_month(F.lit(0)), *times.year_month(F.lit(None).cast("timestamp"))).first()
     assert list(row) == ["2024", "08", "unknown", "unknown", "unknown", "unknown"]
+
+
+def test_recorded_answers_and_what_is_missing(spark, tmp_path):
+    """A recorded transport answers known requests, JSON or not, whatever the parameters' order; others get the status or the body that it was given."""
+    rows = [(http.cache_key("GET", "u", {"b": 1, "a": "x"}), '{"n": 1}'), (http.cache_key("GET", "page", {}), "<p>text</p>")]
+    rows += [(http.cache_key("GET", f"many/{i}", {}), f"[{i}]") for i in range(300)]
+    path = str(tmp_path / "answers")
+    http.record(spark.createDataFrame(rows, "key string, body string"), path)
+    ask = http.Recorded(path)
+    assert ask("GET", "u", {"a": "x", "b": 1}) == {"n": 1} and ask("GET", "page", {}) == b"<p>text</p>"
+    assert [ask("GET", f"many/{i}", {}) for i in range(0, 300, 50)] == [[i] for i in range(0, 300, 50)]
+    with pytest.raises(http.HttpError):
+        ask("GET", "other", {})
+    assert http.Recorded(str(tmp_path / "nothing"), {"x": []})("GET", "other", {}) == {"x": []}
+
+
+@pytest.mark.parametrize("status,again", [(404, False), (503, True), (429, True)])
+def test_pages_that_fail_for_now_are_fetched_again(spark, tmp_path, status, again):
+    """A page that isn't there is kept as looked at; one that failed for a passing error isn't, and the next run has it."""
+    articles = spark.createDataFrame([("good",), ("odd",), ("odd",), (None,), ("",)], "url string")
+    cache = http.ResponseCache(spark, str(tmp_path / "cache"))
+
+    def client(answers):
+        path = str(tmp_path / f"answers{len(answers)}")
+        http.record(spark.createDataFrame([(http.cache_key("GET", u, {}), b) for u, b in answers], "key string, body string"), path)
+        return lambda slices: http.Client(http.Recorded(path, status), rate=1e6, burst=1e6, retry=http.Retry(1))
+
+    first = remote.fetched_pages(articles, cache, client([("good", "<p>a</p>")]))
+    assert {r.url: r.html for r in first.collect()} == {"good": "<p>a</p>", "odd": None}
+    second = remote.fetched_pages(articles, cache, client([("good", "<p>b</p>"), ("odd", "<p>c</p>")]))
+    assert {r.url: r.html for r in second.collect()} == {"good": "<p>a</p>", "odd": "<p>c</p>" if again else None}

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import schemas
-from tidemark.functions import numbers, times
+from tidemark.functions import numbers, texts, times
 from tidemark.operators import markets, news, trades
 from tidemark.plans import runs
 from tidemark.plans.registry import query, r6, read
@@ -107,14 +107,31 @@ def corpus_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH o AS (SELECT o_custkey, epoch(o_orderdate)::BIGINT AS s, o_totalprice, o_orderkey FROM orders WHERE o_custkey % 50 = 1), m AS (SELECT o_custkey, min(s) AS a, max(s) AS e FROM o GROUP BY 1)
-SELECT CAST(o_custkey AS VARCHAR) AS market_id, greatest(1, CAST(ceil((e - floor(a / 86400) * 86400) / 86400) AS BIGINT)) AS bars,
-    (SELECT count(*) FROM o x WHERE x.o_custkey = m.o_custkey AND x.s < floor(m.a / 86400) * 86400 + 86400 * greatest(1, ceil((m.e - floor(m.a / 86400) * 86400) / 86400))) AS trades FROM m""")
+WITH o AS (SELECT o_custkey, epoch(o_orderdate)::BIGINT AS s FROM orders WHERE o_custkey % 3 <> 0), m AS (SELECT o_custkey, min(s) AS a, max(s) AS e FROM o GROUP BY 1),
+g AS (SELECT *, CAST(floor(a / 86400) AS BIGINT) * 86400 AS f, greatest(1, CAST(ceil((e - floor(a / 86400) * 86400) / 86400) AS BIGINT)) AS bars FROM m)
+SELECT CAST(g.o_custkey AS VARCHAR) AS market_id, any_value(bars) AS bars, count(*) FILTER (WHERE o.s < f + 86400 * bars) AS trades FROM g JOIN o USING (o_custkey) GROUP BY g.o_custkey""")
 def market_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily bars of markets' whole lives; markets without trades have none, trades of unknown markets count for nothing."""
+    """Daily bars of markets' whole lives; markets without trades have none, trades of every third customer, who is no market, count for nothing."""
     orders = read(spark, sf_dir, "orders")
-    own = orders.where("o_custkey % 50 = 1").groupBy(F.col("o_custkey").cast("string").alias("market_id")).agg(F.min("o_orderdate").cast("timestamp").alias("created_at"), F.max("o_orderdate").cast("timestamp").alias("end_at"))
+    own = orders.where("o_custkey % 3 <> 0").groupBy(F.col("o_custkey").cast("string").alias("market_id")).agg(F.min("o_orderdate").cast("timestamp").alias("created_at"), F.max("o_orderdate").cast("timestamp").alias("end_at"))
     idle = spark.range(3).select(F.concat(F.lit("idle"), F.col("id").cast("string")).alias("market_id"), F.lit("2024-01-01").cast("timestamp").alias("created_at"), F.lit("2024-01-09").cast("timestamp").alias("end_at"))
-    rows = orders.where("o_custkey % 50 < 3").select(F.col("o_custkey").cast("string").alias("market_id"), times.seconds(F.col("o_orderdate")).alias("ts_s"), F.col("o_orderkey").alias("log_index"), F.lit("").alias("tx_hash"), F.lit(0.5).alias("log_odds"), F.col("o_totalprice").alias("size_usdc"))
+    rows = orders.select(F.col("o_custkey").cast("string").alias("market_id"), times.seconds(F.col("o_orderdate")).alias("ts_s"), F.col("o_orderkey").alias("log_index"), F.lit("").alias("tx_hash"), F.lit(0.5).alias("log_odds"), F.col("o_totalprice").alias("size_usdc"))
     found = runs.market_bars(rows, own.unionByName(idle), 86_400)
     return found.groupBy("market_id").agg(F.count("*").alias("bars"), F.sum("trade_count").alias("trades"))
+
+
+@query("""
+WITH t AS (SELECT o_orderkey, o_orderdate AS d, CAST(year(o_orderdate) AS INTEGER) AS y FROM orders)
+SELECT o_orderkey, strftime(d, '%Y-%m-%d %H:%M:%S') AS iso, CASE WHEN o_orderkey % 2 = 0 THEN strftime(d, '%Y-%m-%d') || ' 08:15:00' END AS rss, strftime(d, '%Y-%m-%d') || ' 23:59:00' AS game_end,
+    y || '-' || substr(CAST(y + 1 AS VARCHAR), 3, 2) AS season, CASE WHEN o_orderkey % 3 = 0 THEN 'unknown' ELSE CAST(y AS VARCHAR) END AS number_year, CASE WHEN o_orderkey % 3 = 0 THEN 'unknown' ELSE strftime(d, '%m') END AS number_month,
+    '["' || o_orderkey || '","x"]' AS listed, CAST(2 AS INTEGER) AS list_size FROM t""")
+def source_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates in the sources' formats, bad ones among them, and lists in JSON."""
+    day = F.col("o_orderdate").cast("timestamp")
+    text = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+    mail = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.date_format(day, "EEE, d MMM yyyy"), F.lit(" 10:15:00 +0200"))).otherwise(F.lit("soon"))
+    number = F.when(F.col("o_orderkey") % 3 == 0, F.lit(0)).otherwise(F.date_format(day, "yyyyMMddHHmmss").cast("long"))
+    year, month = times.number_year_month(number)
+    listed = F.concat(F.lit('["'), F.col("o_orderkey").cast("string"), F.lit('","x"]'))
+    rows = read(spark, sf_dir, "orders")
+    return rows.select("o_orderkey", text(times.iso(F.date_format(day, "yyyy-MM-dd'T'HH:mm:ss'Z'"))).alias("iso"), text(times.rss(mail)).alias("rss"), text(times.game_end(F.date_format(day, "yyyy-MM-dd"))).alias("game_end"), texts.season(day).alias("season"), year.alias("number_year"), month.alias("number_month"), F.to_json(texts.from_json_list(listed)).alias("listed"), F.size(texts.from_json_list(listed)).alias("list_size"))

@@ -7,6 +7,7 @@ import time
 import urllib.error
 import urllib.parse
 import urllib.request
+import zlib
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
@@ -101,6 +102,41 @@ class Client:
         return self.retry.call(once, self.sleep)
 
 
+#: Parts that recorded answers are dealt to.
+_PARTS = 64
+
+
+def record(answers: DataFrame, path: str) -> None:
+    """Write answers ``(key, body)``, keyed by ``cache_key`` of method, url and data, as ``Recorded`` reads them."""
+    rows = answers.select("key", "body", (F.crc32(F.col("key").cast("binary")) % _PARTS).cast("int").alias("part"))
+    rows.repartition("part").sortWithinPartitions("key").write.partitionBy("part").parquet(path)
+
+
+class Recorded:
+    """A transport that answers from what was recorded under a path that all executors reach; nothing goes over the network.
+
+    Each request reads the rows of its key only. A request without an answer gets ``otherwise``: an error status, or a body.
+    """
+
+    def __init__(self, path: str, otherwise: object = 404) -> None:
+        self.path, self.otherwise = path, otherwise
+
+    def __call__(self, method: str, url: str, data: dict) -> object:
+        from pyarrow import dataset, fs
+
+        key = cache_key(method, url, data)
+        where, root = fs.FileSystem.from_uri(self.path) if "://" in self.path or self.path.startswith("file:") else (fs.LocalFileSystem(), self.path)
+        part = f"{root}/part={zlib.crc32(key.encode()) % _PARTS}"
+        found = []
+        if where.get_file_info(part).type == fs.FileType.Directory:
+            found = dataset.dataset(part, filesystem=where, format="parquet").to_table(columns=["body"], filter=dataset.field("key") == key)["body"].to_pylist()
+        if not found:
+            if isinstance(self.otherwise, int):
+                raise HttpError(self.otherwise)
+            return self.otherwise
+        return json.loads(found[0]) if found[0][:1] in "[{" else found[0].encode()
+
+
 CACHE = "key string, body string, fetched_at timestamp"
 
 
@@ -115,22 +151,28 @@ class ResponseCache:
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path
 
-    def table(self) -> DataFrame:
-        """All responses; of those with one key the first fetched."""
-        from tidemark.operators.trades import first_of_each
+    def _rows(self) -> DataFrame:
         from tidemark.sources.lake import has_files
 
-        rows = self.spark.read.schema(CACHE).parquet(self.path) if has_files(self.spark, self.path) else self.spark.createDataFrame([], CACHE)
+        return self.spark.read.schema(CACHE).parquet(self.path) if has_files(self.spark, self.path) else self.spark.createDataFrame([], CACHE)
+
+    def table(self, keys: DataFrame | None = None) -> DataFrame:
+        """Responses of the keys ``(key, ...)``, or all; of those with one key the first fetched. Bodies of other keys aren't read any further than the look at the key."""
+        from tidemark.operators.trades import first_of_each
+
+        rows = self._rows()
+        if keys is not None:
+            rows = rows.join(keys.select("key").distinct(), "key", "left_semi")
         return first_of_each(rows, ["key"], ["fetched_at", "body"])
 
     def get(self, key: str) -> str | None:
         """The response of one key."""
-        found = self.table().where(F.col("key") == F.lit(key)).select("body").first()
+        found = self._rows().where(F.col("key") == F.lit(key)).orderBy("fetched_at", "body").select("body").first()
         return found["body"] if found else None
 
     def missing(self, keys: DataFrame) -> DataFrame:
-        """The keys ``(key, ...)`` that have no response yet: what a run still has to fetch."""
-        return keys.join(self.table().select("key"), "key", "left_anti")
+        """The keys ``(key, ...)`` that have no response yet: what a run still has to fetch. Reads no bodies."""
+        return keys.join(self._rows().select("key"), "key", "left_anti")
 
     def put(self, rows: Iterable[tuple[str, str]] | DataFrame) -> None:
         """Append responses."""

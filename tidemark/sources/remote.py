@@ -25,6 +25,8 @@ NEWS_URL, GAMES_URL = "https://site.api.espn.com/apis/site/v2/sports", "https://
 SEASON_TYPES = ("Regular Season", "Playoffs")
 #: Fixed value: the status of an offset behind the last market.
 PAST_THE_END = 422
+#: Statuses that may be others the next time.
+PASSING = frozenset((408, 425, 429, 500, 502, 503, 504))
 #: Markets that one task looks up.
 LOOKUPS = 50
 #: The fields of a fill.
@@ -252,14 +254,15 @@ def through_cache(spark: SparkSession, title: str, options: dict[str, str], cach
         good = wanted.where(F.col("slice").isin(missing)).join(failed.select("slice"), "slice", "left_anti")
         bodies = good.join(fetched, "slice", "left").groupBy("key").agg(F.to_json(F.collect_list("payload")).alias("body"))  # one slice is what one task fetched
         cache.put(bodies)
-    kept = cache.table().join(wanted, "key").select("slice", F.explode(F.from_json("body", "array<string>")).alias("payload"), F.lit(None).cast("string").alias("error"))
+    kept = cache.table(wanted).join(wanted, "key").select("slice", F.explode(F.from_json("body", "array<string>")).alias("payload"), F.lit(None).cast("string").alias("error"))
     return kept if failed is None else kept.unionByName(failed)
 
 
 def fetched_pages(articles: DataFrame, cache: ResponseCache, client_for: Callable[[int], Client] | None = None, tasks: int = 10) -> DataFrame:
     """``(url, html)`` of the distinct urls of ``articles``; pages come from the cache, missing ones are fetched once and kept.
 
-    ``tasks`` requests run at once. A page that can't be had is kept as an empty text, as one that was looked at, and is null here.
+    ``tasks`` requests run at once. A page that can't be had by its nature (a status that trying again doesn't change) is kept as an empty text, as one that
+    was looked at, and is null here; one that failed for now (``PASSING``, a connection, a timeout) isn't kept, and is fetched again by the next run.
     """
     make = client_for or pages_client
     urls = articles.select("url").where(F.coalesce("url", F.lit("")) != "").distinct()
@@ -273,9 +276,13 @@ def fetched_pages(articles: DataFrame, cache: ResponseCache, client_for: Callabl
                 try:
                     body = client("GET", url, {})
                     bodies.append(body.decode("utf-8", "replace") if isinstance(body, bytes) else str(body))
-                except (HttpError, OSError, ValueError):
+                except HttpError as e:
+                    bodies.append(None if e.status in PASSING else "")
+                except OSError:
+                    bodies.append(None)
+                except ValueError:
                     bodies.append("")
-            yield pd.DataFrame({"key": batch["key"], "body": bodies})
+            yield pd.DataFrame({"key": batch["key"], "body": bodies}).dropna()
 
     cache.put(cache.missing(keyed).repartition(tasks, "key").mapInPandas(fetch, "key string, body string"))
-    return cache.table().join(keyed, "key").select("url", F.nullif("body", F.lit("")).alias("html"))
+    return keyed.join(cache.table(keyed), "key", "left").select("url", F.nullif("body", F.lit("")).alias("html"))
