@@ -136,10 +136,10 @@ def ranked_union(*sources: DataFrame) -> DataFrame:
     return out
 
 
-def distinct_articles(articles: DataFrame) -> DataFrame:
+def distinct_articles(articles: DataFrame, keep_rank: bool = False) -> DataFrame:
     """One row for each article, of the source of least ``src_rank``; ties by all other columns, so the result is fixed."""
     rest = [c for c in articles.columns if c not in ("article_id", "src_rank")]
-    return first_of_each(articles, ["article_id"], ["src_rank", F.to_json(F.struct(*rest))]).drop("src_rank")
+    return first_of_each(articles, ["article_id"], ["src_rank", F.to_json(F.struct(*rest))]).drop(*([] if keep_rank else ["src_rank"]))
 
 
 def unified(feeds: DataFrame, gkg: DataFrame) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import numbers
+from tidemark.operators import medians, ordered
 
 #: Fixed value: the collateral token's address.
 USDC = "0x2791bca1f2de4661ed88a30c99a7a9449aa84174"
@@ -82,15 +83,19 @@ def per_market(trades: DataFrame, markets: DataFrame) -> DataFrame:
 
 
 def count_report(counts: DataFrame, by: list[str]) -> DataFrame:
-    """Markets, trades and the median of trades a market in each group; the median of two middle values is their mean."""
-    return counts.groupBy(*by).agg(F.count("*").alias("markets"), F.sum("trade_count").alias("trades"), F.coalesce(F.median("trade_count"), F.lit(0.0)).alias("median_trades"))
+    """Markets, trades and the median of trades a market in each group; the median of two middle values is their mean, and found without a group in one task."""
+    sums = counts.groupBy(*by).agg(F.count("*").alias("markets"), F.sum("trade_count").alias("trades"))
+    middle = medians.exact_median(counts, by, "trade_count", "median_trades").select(*(F.col(c).alias(f"_by_{i}") for i, c in enumerate(by)), "median_trades")
+    same = [sums[c].eqNullSafe(F.col(f"_by_{i}")) for i, c in enumerate(by)]
+    return sums.join(middle, same).select(*by, "markets", "trades", F.coalesce("median_trades", F.lit(0.0)).alias("median_trades"))
 
 
 def in_order(trades: DataFrame) -> DataFrame:
-    """Trades sorted by time and log index within each market, for a sink."""
-    return trades.repartition("market_id").sortWithinPartitions("market_id", "ts_s", "log_index", "tx_hash")
+    """Trades sorted by time and log index within each market, for a sink; dealt by ranges of market and time, so a large market is several files that follow each other."""
+    order = ("market_id", "ts_s", "log_index", "tx_hash")
+    return trades.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
 def numbered(trades: DataFrame) -> DataFrame:
-    """Trades with their place in their market's order."""
-    return trades.withColumn("place", F.row_number().over(Window.partitionBy("market_id").orderBy("ts_s", "log_index", "tx_hash")))
+    """Trades with their place in their market's order; a market may be larger than a task."""
+    return ordered.numbered(trades, ["market_id"], ["ts_s", "log_index", "tx_hash"], "place")

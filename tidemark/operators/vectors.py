@@ -124,43 +124,52 @@ def _best_of(queries: pa.Table, rows: pa.Table, k: int, window: bool) -> tuple[n
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
+def tiled(asked: DataFrame, rows: DataFrame, k: int, window: bool = False) -> DataFrame:
+    """``(query_id, id, score)``: the best k rows of each tile for its queries. Queries and rows meet by ``strip``, which both have.
+
+    Each strip is dealt to tiles of about ``QUERY_BLOCK`` queries by ``BLOCK`` rows, as many as its own queries and rows need, so a full strip costs the
+    others nothing; strips that lack either vanish.
+    """
+    counts = rows.groupBy("strip").agg(F.count("*").alias("n")).join(asked.groupBy("strip").agg(F.count("*").alias("m")), "strip")
+    counts = counts.select("strip", F.ceil(F.col("n") / BLOCK).cast("int").alias("_blocks"), F.ceil(F.col("m") / QUERY_BLOCK).cast("int").alias("_parts"))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    place = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    rows = rows.join(counts, "strip").withColumn("block", place("id", "_blocks")).withColumn("part", each("_parts")).drop("_blocks", "_parts")
+    asked = asked.join(counts, "strip").withColumn("part", place("query_id", "_parts")).withColumn("block", each("_blocks")).drop("_blocks", "_parts")
+    keys = ["strip", "block", "part"]
+
+    def tile(own: pa.Table, some: pa.Table) -> pa.Table:
+        found = _best_of(some, own, k, window) if own.num_rows and some.num_rows else ([], [], [])
+        return pa.table([pa.array(found[0], some["query_id"].type), pa.array(found[1], own["id"].type), pa.array(found[2], pa.float64())], ["query_id", "id", "score"])
+
+    kinds = [asked.schema["query_id"].dataType.simpleString(), rows.schema["id"].dataType.simpleString()]
+    return rows.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(tile, f"query_id {kinds[0]}, id {kinds[1]}, score double")
+
+
+def ranked(found: DataFrame, k: int) -> DataFrame:
+    """``(query_id, rank, id, score)``: the best k of each query's ``(query_id, id, score)``; ties go to the smaller id."""
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+
+
 def nearest(queries: DataFrame, corpus: DataFrame, k: int, window: bool = False) -> DataFrame:
     """``(query_id, rank, id, score)``: the k rows of largest inner product, in double precision; ties go to the smaller id.
 
     ``queries`` are ``(query_id, vector)``, ``corpus`` is ``(id, vector)``; with ``window`` the queries have ``lo`` and ``hi`` and the
     corpus ``at``, and only rows between count. Fewer rows than k give fewer results; null vectors take no part.
 
-    Queries and rows meet in tiles of about ``QUERY_BLOCK`` by ``BLOCK``, so a task holds no more than a tile and the driver nothing. With
+    Queries and rows meet in tiles (``tiled``), so a task holds no more than a tile and the driver nothing. With
     a window, rows lie in strips of the widest window's width and a query meets the strips that it overlaps, two at most.
     """
     queries = queries.where("vector is not null").select("query_id", "vector", *(("lo", "hi") if window else ()))
     corpus = corpus.where("vector is not null").select("id", "vector", *(("at",) if window else ()))
-    kinds = {"query_id": queries.schema["query_id"].dataType.simpleString(), "id": corpus.schema["id"].dataType.simpleString()}
-    count = lambda df, n, span: df.select(F.lit(n).alias("n"), F.lit(1 - n).alias("m"), span.cast("double").alias("span"))
-    most = count(corpus, 1, F.lit(None)).unionByName(count(queries, 0, F.col("hi") - F.col("lo") if window else F.lit(None))).agg(F.sum("n").alias("n"), F.sum("m").alias("m"), F.max("span").alias("span")).first()
     if window:
-        width = max(1, int(most["span"] or 0) + 1)
+        width = max(1, int(queries.agg(F.max(F.col("hi") - F.col("lo")).cast("double")).first()[0] or 0) + 1)
         asked = queries.where("hi >= lo").withColumn("strip", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor(F.col("hi") / width))))
         rows = corpus.where("at is not null").withColumn("strip", F.floor(F.col("at") / width))
-        if (most["n"] or 0) > BLOCK or (most["m"] or 0) > QUERY_BLOCK:  # the fullest strip tells into how many tiles strips are dealt
-            strips = rows.select("strip", F.lit(1).alias("n"), F.lit(0).alias("m")).unionByName(asked.select("strip", F.lit(0).alias("n"), F.lit(1).alias("m")))
-            most = strips.groupBy("strip").agg(F.sum("n").alias("n"), F.sum("m").alias("m")).agg(F.max("n").alias("n"), F.max("m").alias("m")).first()
     else:
         asked, rows = (df.withColumn("strip", F.lit(0).cast("long")) for df in (queries, corpus))
-    blocks, parts = max(1, -(-(most["n"] or 0) // BLOCK)), max(1, -(-(most["m"] or 0) // QUERY_BLOCK))
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1))) if n > 1 else F.lit(0)
-    place = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int") if n > 1 else F.lit(0)
-    rows = rows.withColumn("block", place("id", blocks)).withColumn("part", each(parts))
-    asked = asked.withColumn("part", place("query_id", parts)).withColumn("block", each(blocks))
-    keys = ["strip", "block", "part"]
-
-    def tile(own: pa.Table, some: pa.Table) -> pa.Table:
-        found = _best_of(some, own, k, window) if own.num_rows and some.num_rows else ([], [], [])
-        return pa.table([pa.array(found[0], some["query_id"].type), pa.array(found[1], own["id"].type), pa.array(found[2], pa.float64())], ["query_id", "id", "score"])
-
-    found = rows.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(tile, f"query_id {kinds['query_id']}, id {kinds['id']}, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+    return ranked(tiled(asked, rows, k, window), k)
 
 
 def numbered(vectors: DataFrame, id_col: str = "article_id") -> DataFrame:

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import schemas
 from tidemark.functions import numbers, texts, times
-from tidemark.operators import markets, news, trades
+from tidemark.operators import markets, medians, news, pruned, trades
 from tidemark.plans import runs
-from tidemark.plans.registry import query, r6, read
+from tidemark.plans.registry import ORACLES, query, r6, read
+from tidemark.sources import corpus_state, lake, snapshots, staging
 
 
 @query("""
@@ -95,14 +98,20 @@ def overlap_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), r6(numbers.overlap_fraction(start, end, year, year + 86_400 * 365)).alias("share"))
 
 
+def _unified_sources(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Documents as articles of feeds and of the knowledge graph, which share some ids."""
+    rows = read(spark, sf_dir, "documents").withColumn("article_id", F.sha2((F.col("doc_id") % 600).cast("string"), 256))
+    feed = rows.where("doc_id % 5 < 3").select("article_id", F.lit("feed").alias("source"), F.timestamp_seconds(F.lit(1_700_000_000)).alias("published_at"), F.lit("minute").alias("timestamp_precision"))
+    graph = rows.where("doc_id % 5 >= 3").select("article_id", F.lit("gkg").alias("source"), F.lit("day").alias("timestamp_precision"))
+    return feed, graph
+
+
 @query("""
 WITH d AS (SELECT sha256(CAST(doc_id % 600 AS VARCHAR)) AS article_id, CASE WHEN doc_id % 5 < 3 THEN 0 ELSE 1 END AS r FROM documents)
 SELECT article_id, CASE WHEN min(r) = 0 THEN 'feed' ELSE 'gkg' END AS source, CASE WHEN min(r) = 0 THEN 'minute' ELSE 'day' END AS precision FROM d GROUP BY 1""")
 def corpus_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as articles of feeds and of the knowledge graph, unified: feeds win, one article of each id, no minute without a time."""
-    rows = read(spark, sf_dir, "documents").withColumn("article_id", F.sha2((F.col("doc_id") % 600).cast("string"), 256))
-    feed = rows.where("doc_id % 5 < 3").select("article_id", F.lit("feed").alias("source"), F.timestamp_seconds(F.lit(1_700_000_000)).alias("published_at"), F.lit("minute").alias("timestamp_precision"))
-    graph = rows.where("doc_id % 5 >= 3").select("article_id", F.lit("gkg").alias("source"), F.lit("day").alias("timestamp_precision"))
+    feed, graph = _unified_sources(spark, sf_dir)
     return news.unified(feed, graph).select("article_id", "source", F.col("timestamp_precision").alias("precision"))
 
 
@@ -135,3 +144,63 @@ def source_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = F.concat(F.lit('["'), F.col("o_orderkey").cast("string"), F.lit('","x"]'))
     rows = read(spark, sf_dir, "orders")
     return rows.select("o_orderkey", text(times.iso(F.date_format(day, "yyyy-MM-dd'T'HH:mm:ss'Z'"))).alias("iso"), text(times.rss(mail)).alias("rss"), text(times.game_end(F.date_format(day, "yyyy-MM-dd"))).alias("game_end"), texts.season(day).alias("season"), year.alias("number_year"), month.alias("number_month"), F.to_json(texts.from_json_list(listed)).alias("listed"), F.size(texts.from_json_list(listed)).alias("list_size"))
+
+
+@query(ORACLES["ip_topk"])
+def ip_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of ``ip_topk`` through an index of blocks whose bounds tell which ones need no look."""
+    every = read(spark, sf_dir, "embeddings")
+    index = pruned.build(every.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")))
+    found, _ = pruned.search(every.where("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), index, 10)
+    return found.select("query_id", "rank", "id", F.round("score", 6).alias("score"))
+
+
+@query("""
+WITH o AS (SELECT l_returnflag AS f, l_extendedprice AS v FROM lineitem UNION ALL SELECT 'all', l_extendedprice FROM lineitem)
+SELECT f AS flag, round(median(v), 6) AS middle FROM o GROUP BY 1""")
+def exact_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The median of lineitems' prices by flag, and in one group that holds all."""
+    line = read(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("flag"), F.col("l_extendedprice").alias("v"))
+    found = medians.exact_median(line.unionByName(line.withColumn("flag", F.lit("all"))), ["flag"], "v", "middle")
+    return found.select("flag", r6("middle").alias("middle"))
+
+
+@query("""
+SELECT v.version, count(*) AS rows, sum(e.vec_id) AS ids, sum(len(e.embedding)) AS numbers FROM embeddings e, (VALUES (1), (2), (3)) v(version)
+WHERE v.version = 3 OR e.label % 3 < v.version GROUP BY 1""")
+def embedding_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings appended by three runs, of which one died and was run again: what readers of each version see. The second and third read the table that they append to."""
+    every = read(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    table = snapshots.Snapshots(spark, staging.folder(spark, "embeddings"))
+    for label in range(3):
+        new = every.where(F.col("label") % 3 == label if label < 2 else F.lit(True)).join(table.read(every.schema).select("vec_id"), "vec_id", "left_anti").select(every.columns)
+        if label == 1:
+            table.staged(new)  # a run that died before its commit: its files belong to no version
+        table.append(new)
+    versions = [table.read(every.schema, v).withColumn("version", F.lit(v)) for v in table.versions()]
+    whole = versions[0].unionByName(versions[1]).unionByName(versions[2])
+    return whole.groupBy("version").agg(F.count("*").alias("rows"), F.sum("vec_id").alias("ids"), F.sum(F.size("embedding")).alias("numbers"))
+
+
+@query(ORACLES["corpus_unified"])
+def corpus_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus of ``corpus_unified`` out of three batches of documents, each of which touches the prefixes of its own ids only."""
+    feed, graph = _unified_sources(spark, sf_dir)
+    both = news.ranked_union(schemas.conform(feed, schemas.ARTICLE), schemas.conform(graph, schemas.ARTICLE))
+    batch = F.pmod(F.xxhash64("article_id", "src_rank"), F.lit(3))
+    state = corpus_state.CorpusState(spark, staging.folder(spark, "corpus"))
+    for n in range(3):
+        state.update(both.where(batch == n))
+    return state.articles().select("article_id", "source", F.col("timestamp_precision").alias("precision"))
+
+
+@query(ORACLES["known_trades"])
+def known_colocated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``known_trades`` over tables that lie by market: the joins move no row."""
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = lambda what: f"{what}_{uuid.uuid4().hex}"
+    own = read(spark, sf_dir, "customer").where("c_custkey % 4 <> 0").select(F.col("c_custkey").alias("market_id"), F.col("c_mktsegment").alias("category"), F.lit(None).cast("timestamp").alias("created_at"), F.lit(None).cast("timestamp").alias("end_at"))
+    rows = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("market_id"))
+    own, rows = (lake.write_colocated(df, name(what), staging.folder(spark, what), "market_id", parts) for df, what in ((own, "markets"), (rows, "trades")))
+    here = trades.known(rows.hint("merge"), own).groupBy("category").agg(F.count("*").alias("trades")).select("category", F.lit(True).alias("known"), "trades")
+    return here.unionByName(trades.unknown(rows.hint("merge"), own).select(F.col("market_id").cast("string").alias("category"), F.lit(False).alias("known"), F.col("trade_count").alias("trades")))

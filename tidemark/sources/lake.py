@@ -153,3 +153,12 @@ def partition_filter(**values: str) -> Column:
     for name, value in values.items():
         out = out & (F.col(name) == F.lit(value))
     return out
+
+
+def write_colocated(df: DataFrame, name: str, path: str, key: str, parts: int) -> DataFrame:
+    """Write a table dealt by a key to ``parts`` buckets and sorted within them, registered as ``name``; the table, read again.
+
+    Tables of one key and number of buckets are joined and grouped by that key without moving a row, at every later run that reads them.
+    """
+    df.repartition(parts, key).write.bucketBy(parts, key).sortBy(key).mode("overwrite").option("path", path).saveAsTable(name)
+    return df.sparkSession.table(name)
