@@ -168,3 +168,16 @@ def test_every_declared_language_stays(spark):
     found = li.identified(docs, evidence()).collect()
     assert all(r["accepted"] and r["lang"] == r["text_lang"] == r["declared"] for r in found) and len(found) == len(rows)
     assert li.accepted(docs, evidence()).count() == len(rows)
+
+
+def test_junk_declarations_share_one_model(spark, monkeypatch):
+    """Beyond the most languages all subtags are one: their rows keep what they declare and aren't rejected, the others are told as before."""
+    monkeypatch.setattr(li, "MOST_LANGUAGES", 2)
+    words = {"en": "the house and the river with that stone", "de": "das haus und der fluss mit dem stein"}
+    rows = [(i, " ".join([words[x]] * 4), x) for i, x in enumerate(["en", "de"] * 40)]
+    rows += [(100 + i, f"zqx vrk {'jjy wuu ' * 12} kpl", f"q{chr(97 + i)}") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("source", F.lit("s"))
+    found = {r.doc_id: r for r in li.identified(docs, li.of_documents()).collect()}
+    assert all(found[i].lang == x and found[i].declared == x and found[i].accepted for i, _, x in rows)
+    models = li.text_models(li._pooled(li._prepared(docs, [], "text", li.of_documents())))
+    assert models.names == ["*", "de", "en"]

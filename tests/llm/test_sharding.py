@@ -4,6 +4,8 @@ from collections import Counter
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from tidemark.llm import sharding
 
 
@@ -68,3 +70,12 @@ def test_growth_moves_few_rows():
     old, new = at(8), at(9)
     moved = sum(old[x] != new[x] for x in old) / len(old)
     assert 1 / 9 - 0.01 <= moved < 0.35
+
+
+def test_very_hot_repeats_are_written_out_by_many_tasks(spark):
+    """One row that is there a million times among a few others: stretches, not one array; every copy has a place of its own."""
+    counted = spark.createDataFrame([(1, 5, 7, 1_000_000), (2, 5, 7, 3), (None, 1, 0, 4_097)], "doc_id long, size long, text_crc32 long, count long")
+    rows = sharding._copies(counted)
+    assert {(r.doc_id, r.n, r.least, r.most) for r in rows.groupBy("doc_id").agg(F.count_distinct("copy").alias("n"), F.min("copy").alias("least"), F.max("copy").alias("most")).collect()} == {(1, 1_000_000, 1, 1_000_000), (2, 3, 1, 3), (None, 4_097, 1, 4_097)}
+    parts = [r.n for r in rows.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+    assert len(parts) > 1 and max(parts) < 0.6 * sum(parts)

@@ -7,6 +7,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from pyspark.sql import functions as F
+
 from tidemark.llm import encoding, storage, token_files
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -105,3 +107,13 @@ def test_wide_ids_and_damage():
         broken = record[:at] + bytes([record[at] ^ 1]) + record[at + 1 :]
         with pytest.raises(token_files.CorruptRecord):
             token_files.unframe(reader(broken))
+
+
+def test_shuffled_reads_open_a_file_once(spark, monkeypatch):
+    """Reads in random order give the records asked for, however often, and nulls among the ids."""
+    folder = storage.scratch(spark, "test-files")
+    token_files.write(spark.createDataFrame([(i if i else None, f"text number {i} " * (i % 7)) for i in range(60)], "doc_id long, text string").repartition(3), folder, PATH)
+    index = token_files.index(spark, folder)
+    want = {r.doc_id: r.n_tokens for r in index.collect()}
+    got = token_files.read_at(index.unionByName(index).orderBy(F.rand(3))).collect()
+    assert len(got) == 120 and all(len(r["ids"]) == want[r["doc_id"]] for r in got)

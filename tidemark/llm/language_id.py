@@ -35,6 +35,8 @@ from tidemark.llm import storage
 
 #: Hash buckets of trigrams, languages with a dense text model, and rows that a language needs to be counted.
 BUCKETS, LANGUAGES, LEAST_ROWS = 1 << 14, 64, 1
+#: Languages that have models of their own, and the name of the model of all others, which is no subtag.
+MOST_LANGUAGES, OTHER = 512, "*"
 #: Likelihoods in one batch, and numbers of a side table that may be broadcast.
 SCORES, BROADCAST_SCORES = 1 << 20, 1 << 21
 #: Weight of an overlapping trigram, of the smoothing in the text models, of the level above, and the least posterior.
@@ -79,6 +81,19 @@ def _prepared(docs: DataFrame, keep: list[str], text_col: str, evidence: Evidenc
     return docs.select(kept.alias("kept"), F.col(text_col).cast("string").alias("_li_text"), subtag(evidence.declared.cast("string")).alias("_li_declared"), blank(evidence.suffix).alias("_li_suffix"), blank(evidence.host).alias("_li_host"))
 
 
+def _pooled(prepared: DataFrame) -> DataFrame:
+    """The rows with what they declare in ``_li_said``, and all but the ``MOST_LANGUAGES`` languages that most rows declare as one, ``OTHER``.
+
+    Raw pages declare thousands of subtags that are no languages; so models and evidence stay as many as a worker holds. A row whose best language is the pooled one keeps its declaration.
+    """
+    counts = prepared.where("_li_declared is not null").groupBy("_li_declared").count()
+    told = [r["_li_declared"] for r in counts.orderBy(F.desc("count"), "_li_declared").limit(MOST_LANGUAGES + 1).collect()]
+    out = prepared.withColumn("_li_said", F.col("_li_declared"))
+    if len(told) <= MOST_LANGUAGES:
+        return out
+    return out.withColumn("_li_declared", F.when(F.col("_li_declared").isin(told[:MOST_LANGUAGES]), F.col("_li_declared")).when(F.col("_li_declared").isNotNull(), OTHER))
+
+
 class Models(NamedTuple):
     """Log probabilities of trigrams: a dense column for each common language, the seen buckets and one value for the rest.
 
@@ -124,7 +139,7 @@ class Models(NamedTuple):
 def text_models(prepared: DataFrame, least_rows: int = LEAST_ROWS) -> Models:
     """The models of all counted languages, in alphabetical order."""
     declared = prepared.groupBy("_li_declared").count().where(F.col("_li_declared").isNotNull() & (F.col("count") >= least_rows))
-    found = sorted(declared.collect(), key=lambda r: (-r["count"], r["_li_declared"]))
+    found = declared.orderBy(F.desc("count"), "_li_declared").limit(MOST_LANGUAGES + 1).collect()
     names = sorted(r["_li_declared"] for r in found)
     number = {x: i for i, x in enumerate(names)}
     common = np.array(sorted(number[r["_li_declared"]] for r in found[:LANGUAGES]), np.int64)
@@ -244,7 +259,7 @@ def _fused(docs: DataFrame, keep: list[str], text_col: str, evidence: Evidence,
     storage.bounded_batches(spark)
     shared = texts and docs.schema[text_col].dataType == T.StringType()  # the text itself need not be kept twice
     own = [c for c in keep if not (shared and c == text_col)]
-    prepared = _prepared(docs, own, text_col, evidence)
+    prepared = _pooled(_prepared(docs, own, text_col, evidence))
     models = text_models(prepared.select("_li_text", "_li_declared"), least_rows)
     names = models.names
     columns = [F.col("_li_text").alias(c) if shared and c == text_col else F.col("kept")[f"c{own.index(c)}"].alias(c) for c in keep]
@@ -292,13 +307,14 @@ def _fused(docs: DataFrame, keep: list[str], text_col: str, evidence: Evidence,
     confidence = 1 / F.aggregate("_li_log", F.lit(0.0), lambda a, x: a + F.exp(x - top))
     plausible = F.col("_li_likely") >= (LIKELY_SHARE + (1 - LIKELY_SHARE) * F.col("_li_chance")) * F.col("_li_trigrams")
     accepted = (F.col("_li_trigrams") > 0) & plausible & (confidence >= CONFIDENCE)
-    return out.withColumns({"_li_lang": _best(F.col("_li_log"), names), "_li_confidence": confidence, "_li_accepted": accepted}), columns
+    best = _best(F.col("_li_log"), names)
+    return out.withColumns({"_li_lang": F.when(best == OTHER, F.coalesce("_li_said", F.lit(OTHER))).otherwise(best), "_li_confidence": confidence, "_li_accepted": accepted | ((F.col("_li_trigrams") > 0) & (best == OTHER))}), columns
 
 
 def identified(docs: DataFrame, evidence: Evidence, id_col: str = "doc_id", text_col: str = "text", least_rows: int = LEAST_ROWS) -> DataFrame:
     """``(doc_id, lang, confidence, text_lang, declared, accepted)`` of each row."""
     found, columns = _fused(docs, [id_col], text_col, evidence, least_rows, texts=False)
-    return found.select(columns[0].alias("doc_id"), *(F.col(f"_li_{x}").alias(x) for x in ("lang", "confidence", "text_lang", "declared", "accepted")))
+    return found.select(columns[0].alias("doc_id"), *(F.col(f"_li_{x}").alias(y) for x, y in (("lang", "lang"), ("confidence", "confidence"), ("text_lang", "text_lang"), ("said", "declared"), ("accepted", "accepted"))))
 
 
 def accepted(docs: DataFrame, evidence: Evidence, text_col: str = "text", least_rows: int = LEAST_ROWS) -> DataFrame:

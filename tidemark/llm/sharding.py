@@ -7,7 +7,7 @@ law ``rows``), and only rows beyond a shard's bound leave the place that the rin
 
 The driver sees one count for each ring slot, a fixed number, and returns for each slot the shards of
 its ranks. Rows are ranked within slots, whose hashes are uniform whatever the ids; equal rows are
-counted first and then dealt out as numbered copies, so no id is hot.
+counted first and then dealt out as numbered copies, stretch by stretch, so no id is hot, be it a third of all rows.
 
 Defined cases: a null text has size 1 and the checksum of no bytes; null ids and repeated rows are
 placed like others; an empty table gives no rows; extra columns are left out.
@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from tidemark.llm import storage
 
 SLOTS, NODES = 1 << 14, 128
+#: Copies of one row that a task writes out at once.
+STRETCH = 4_096
 
 
 def ring(shards: int, nodes: int = NODES, slots: int = SLOTS) -> tuple[list[int], list[int]]:
@@ -62,12 +64,21 @@ def placed(counts: dict[int, int], shards: int, nodes: int = NODES, slots: int =
     return out
 
 
+def _copies(counted: DataFrame) -> DataFrame:
+    """Rows with a ``count`` as numbered copies; those of one row are cut to stretches of ``STRETCH``, which go to all tasks before they are written out."""
+    parts = int(counted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = counted.withColumn("first", F.explode(F.sequence(F.lit(1).cast("long"), F.col("count"), F.lit(STRETCH).cast("long"))))
+    cut = cut.repartition(parts, "doc_id", "size", "text_crc32", "first")
+    last = F.least(F.col("first") + STRETCH - 1, F.col("count"))
+    return cut.withColumn("copy", F.explode(F.sequence("first", last))).drop("count", "first")
+
+
 def sharded(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", nodes: int = NODES, slots: int = SLOTS) -> DataFrame:
     """``(doc_id, size, text_crc32, law, shard, slot, grown_shard)`` of each row; slot numbers a shard's rows from 0."""
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    rows = rows.groupBy("doc_id", "size", "text_crc32").count().withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("count")))).drop("count")
+    rows = _copies(rows.groupBy("doc_id", "size", "text_crc32").count())
     spot = F.xxhash64("doc_id", "size", "text_crc32", "copy")
     rows = storage.written(rows.withColumn("spot", spot).withColumn("ring_slot", F.pmod("spot", F.lit(slots)).cast("int")), "ring-rows")
     counts = {r["ring_slot"]: r["count"] for r in rows.groupBy("ring_slot").count().collect()}  # at most one row for each of the fixed slots

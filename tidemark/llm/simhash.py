@@ -195,12 +195,12 @@ def class_links(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
     keyed = storage.written(_keyed(classes, radius, _parts(classes.count())), "simhash-keys")
     common = keyed.groupBy("key").count().where(F.col("count") > KEY_ROWS).withColumn("deals", F.ceil(F.col("count") / KEY_ROWS).cast("int")).drop("count")
     common = storage.small(storage.written(common, "simhash-common"))
-    plain = keyed.join(common, "key", "left_anti").select("key", F.lit(0).alias("part"), "fp", F.lit(0).alias("side"))
+    plain = keyed.join(common, "key", "left_anti").select("key", F.lit(0).cast("long").alias("part"), "fp", F.lit(0).alias("side"))
     own = F.pmod(F.xxhash64("fp", F.lit("part")), F.col("deals")).cast("int")
     dealt = keyed.join(common, "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)))
     low, high = F.least("own", "other"), F.greatest("own", "other")
     side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
-    dealt = dealt.select("key", (low * F.col("deals") + high).cast("int").alias("part"), "fp", side.alias("side"))
+    dealt = dealt.select("key", (low.cast("long") * F.col("deals") + high).alias("part"), "fp", side.alias("side"))
     rows = plain.unionByName(dealt).repartition("key", "part").sortWithinPartitions("key", "part", "fp")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BLOCK_ROWS))
     found = storage.written(rows.mapInArrow(_compare(radius), "a long, b long").distinct(), "simhash-links")

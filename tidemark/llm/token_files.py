@@ -158,17 +158,30 @@ def _found(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def read_at(chosen: DataFrame) -> DataFrame:
-    """``(doc_id, ids)`` of chosen index rows, in any order, by their offsets: the shuffled reads of training."""
+    """``(doc_id, ids)`` of chosen index rows, in any order, by their offsets: the shuffled reads of training.
+
+    The rows of a file go to one task, which opens it once and reads on through ascending offsets; a file is what one task wrote. A record is held whole, so a very
+    long text's ids must fit into a worker.
+    """
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = []
-            for uri, offset in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                with _open(uri, write=False) as stream:
+        at, stream = None, None
+        try:
+            for batch in batches:
+                found = []
+                for uri, offset in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    if uri != at:
+                        if stream:
+                            stream.close()
+                        at, stream = uri, _open(uri, write=False)
                     stream.seek(offset)
                     doc_id, ids = from_payload(unframe(stream.read))
-                found.append((doc_id, np.frombuffer(ids, "<u4").astype(np.int64)))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.list_(pa.int64()))], ["doc_id", "ids"])
+                    found.append((doc_id, np.frombuffer(ids, "<u4").astype(np.int64)))
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.list_(pa.int64()))], ["doc_id", "ids"])
+        finally:
+            if stream:
+                stream.close()
 
-    return chosen.select("file", "offset").mapInArrow(load, "doc_id long, ids array<long>")
+    dealt = chosen.select("file", "offset").repartition("file").sortWithinPartitions("file", "offset")
+    return dealt.mapInArrow(load, "doc_id long, ids array<long>")
