@@ -146,3 +146,15 @@ def test_main_text_and_enrichment(spark):
     assert (found["1"]["lede"], found["1"]["text_available"]) == ("Head Para one", True)
     assert (found["2"]["body_text"], found["2"]["lede"]) == ("own", None) and found["3"]["lede"] == "kept" and found["3"]["body_text"]
     assert found["4"]["text_available"] is False and found["4"]["body_text"] is None
+
+
+def test_pages_without_an_article_go_to_the_second_extractor():
+    """Without an article the densest stretch of blocks is the text; link lists and short blocks around it stay out; where nothing is dense, the body."""
+    story = ["The first paragraph of the story tells at length what came about that day.", "Then <a href='x'>someone</a> said something, which is told here in a second paragraph."]
+    links = "".join(f"<li><a href='/{i}'>A link to some other story number {i} that is long</a></li>" for i in range(6))
+    page = f"<html><head><title>t</title></head><body><div>Menu</div><ul>{links}</ul><div><p>{story[0]}</p><p>{story[1]}</p></div><div>Share</div><ul>{links}</ul><footer>All rights reserved by whoever wrote this page.</footer></body></html>"
+    assert pages.article_text(page) is None
+    assert pages.main_text(page) == f"{story[0]}\nThen someone said something, which is told here in a second paragraph."
+    assert pages.main_text(f"<main>Short</main>{page}") == "Short"
+    assert pages.dense_text("<div>Menu</div><div>Short</div>") is None and pages.main_text("<div>Menu</div><div>Short</div>") == "Menu\nShort"
+    assert pages.main_text("<nav>only this</nav>") == "only this" and pages.main_text("<p></p>") is None

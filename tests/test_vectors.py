@@ -70,3 +70,28 @@ def test_tuples(spark):
     assert (m["trade_count"], m["news_event_count"], m["hawkes_eligible_event_count"], m["has_full_text_pct"], m["passes_feasibility_gate"]) == (2, 2, 1, 50.0, None)
     assert (k["trades"], k["trade_count"], k["bars_1min"], k["has_full_text_pct"]) == ([], 0, [], 0.0)
     assert tuples.tuples(markets, trades, bars, events).select(F.sum("has_full_text_pct")).first()[0] == 0
+
+
+def test_sentence_encoder_runs_in_workers(spark, tmp_path, monkeypatch):
+    """The adapter end to end, over a stand-in for the library in the workers: the model is loaded once a worker, asked in batches, and gives unit vectors."""
+    (tmp_path / "sentence_transformers.py").write_text(
+        "import numpy as np\n"
+        "LOADED = 0\n"
+        "class SentenceTransformer:\n"
+        "    def __init__(self, name, device=None):\n"
+        "        global LOADED\n"
+        "        LOADED += 1\n"
+        "        assert name == 'some/model' and device == 'cpu' and LOADED == 1\n"
+        "    def encode(self, texts, batch_size, normalize_embeddings, convert_to_numpy, show_progress_bar):\n"
+        "        assert isinstance(texts, list) and 0 < len(texts) <= batch_size and normalize_embeddings and convert_to_numpy\n"
+        "        rows = np.array([[len(t), t.count('a'), 1.0] for t in texts])\n"
+        "        return rows / np.linalg.norm(rows, axis=1, keepdims=True)\n"
+    )
+    spark.sparkContext.addPyFile(str(tmp_path / "sentence_transformers.py"))
+    articles = spark.createDataFrame([(str(i), "a" * (i % 7), "lede") for i in range(300)], "article_id string, title string, lede string").repartition(3)
+    found = {r["article_id"]: r["embedding"] for r in vectors.embedded_articles(articles, None, vectors.sentence_encoder("some/model", "cpu")).collect()}
+    assert len(found) == 300
+    for i in (0, 5, 299):
+        text = "a" * (i % 7) + " lede"
+        want = np.array([len(text), text.count("a"), 1.0])
+        assert np.allclose(found[str(i)], np.float16(want / np.linalg.norm(want)), atol=1e-3)

@@ -15,6 +15,8 @@ from tidemark.functions import texts
 _SILENT = frozenset(("script", "style", "noscript", "template", "svg", "head"))
 _BESIDE = frozenset(("nav", "footer", "header", "aside", "form"))
 _BLOCK = frozenset(("p", "div", "br", "li", "ul", "ol", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "table", "section", "article", "main", "blockquote", "pre"))
+#: Characters from which a block counts as running text.
+LEAST_BLOCK = 40
 _VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"))
 
 
@@ -57,14 +59,77 @@ def _lines(parts: list[str]) -> str | None:
     return "\n".join(x for x in lines if x) or None
 
 
+class _Blocks(_Reader):
+    """Collects the body's text block by block, with how much of each is link text."""
+
+    def __init__(self) -> None:
+        super().__init__(_BESIDE)
+        self.links, self.text, self.linked = 0, "", 0
+        self.blocks: list[tuple[str, int]] = []
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag in _BLOCK:
+            self.flush()
+        self.links += tag == "a"
+        super().handle_starttag(tag, attrs)
+
+    def handle_endtag(self, tag: str) -> None:
+        self.links -= tag == "a" and self.links > 0
+        super().handle_endtag(tag)
+        if tag in _BLOCK:
+            self.flush()
+
+    def _add(self, text: str) -> None:
+        if not self.open:
+            self.text += text
+            self.linked += len(text.strip()) if self.links else 0
+
+    def flush(self) -> None:
+        """End the block."""
+        if text := " ".join(self.text.split()):
+            self.blocks.append((text, min(len(text), self.linked)))
+        self.text, self.linked = "", 0
+
+
+def article_text(html: str) -> str | None:
+    """The first extractor: the text of a page's article or main element; null if there is none."""
+    reader = _Reader(_BESIDE)
+    reader.feed(html)
+    reader.close()
+    return _lines(reader.article)
+
+
+def dense_text(html: str) -> str | None:
+    """The second extractor, for pages that mark no article: the stretch of blocks that holds most running text.
+
+    A block of ``LEAST_BLOCK`` characters or more that isn't mostly links speaks for its stretch by its length outside of links, any other speaks against it
+    by ``LEAST_BLOCK``; the stretch of the largest sum is the text. Null if no block speaks for one.
+    """
+    reader = _Blocks()
+    reader.feed(html)
+    reader.close()
+    reader.flush()
+    best, total, first = (0, 0, 0), 0, 0
+    for i, (text, linked) in enumerate(reader.blocks):
+        good = len(text) >= LEAST_BLOCK and 2 * linked < len(text)
+        total += len(text) - linked if good else -LEAST_BLOCK
+        if total <= 0:
+            total, first = 0, i + 1
+        elif total > best[0]:
+            best = (total, first, i + 1)
+    return "\n".join(text for text, _ in reader.blocks[best[1] : best[2]]) or None
+
+
 def main_text(html: str | None) -> str | None:
-    """The text of a page's article, else of its body without navigation, else of all of it; null if there is none."""
+    """A page's main text by the first extractor that finds any: its article, else its densest stretch, else its body without navigation, else all of it; null if there is none."""
     if not html:
         return None
+    if found := article_text(html) or dense_text(html):
+        return found
     reader = _Reader(_BESIDE)
     reader.feed(html)
     reader.close()
-    if found := _lines(reader.article) or _lines(reader.whole):
+    if found := _lines(reader.whole):
         return found
     reader = _Reader(frozenset())
     reader.feed(html)

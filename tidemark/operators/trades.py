@@ -32,17 +32,19 @@ def normalized(fills: DataFrame) -> DataFrame:
     yes = token == F.lower("yes_token_id")
     price = numbers.clipped(F.when(yes, usdc / tokens).otherwise(1 - usdc / tokens))
     bought = yes == F.col("_by_taker")
-    return paid.select(
+    # a projection of its own: the price is read three times, and so worked out once
+    priced = paid.select(
         "market_id",
         token.alias("token_id"),
         F.col("timestamp").cast("long").alias("ts_s"),
         F.col("logIndex").cast("long").alias("log_index"),
         price.alias("price_raw"),
-        F.ln(price / (1 - price)).alias("log_odds"),
         (usdc / numbers.DOLLAR).alias("size_usdc"),
         F.when(bought, "YES_BUY").otherwise("YES_SELL").alias("side"),
         F.col("transactionHash").alias("tx_hash"),
     )
+    odds = F.ln(F.col("price_raw") / (1 - F.col("price_raw"))).alias("log_odds")
+    return priced.select("market_id", "token_id", "ts_s", "log_index", "price_raw", odds, "size_usdc", "side", "tx_hash")
 
 
 def first_of_each(rows: DataFrame, keys: list[str], order: list) -> DataFrame:

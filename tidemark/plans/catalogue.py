@@ -24,9 +24,9 @@ SELECT l_orderkey AS order_key, l_linenumber AS log_index, CASE WHEN is_yes THEN
 def fill_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fills out of lineitems: return flag A has the taker pay, R the maker, N has no collateral; status O is YES."""
     line = read(spark, sf_dir, "lineitem")
-    quantity = F.round("l_quantity").cast("long")
-    usdc = (quantity * 10_000 * 11 * F.round(100 * F.col("l_discount")).cast("long")).cast("string")
-    tokens = (quantity * 1_000_000).cast("string")
+    line = line.select("*", F.rint("l_quantity").cast("long").alias("_quantity"), F.rint(100 * F.col("l_discount")).cast("long").alias("_percent"))
+    usdc = (F.col("_quantity") * 10_000 * 11 * F.col("_percent")).cast("string")
+    tokens = (F.col("_quantity") * 1_000_000).cast("string")
     token = F.when(F.col("l_linestatus") == "O", "YES").otherwise("no")
     by_taker = F.col("l_returnflag") == "A"
     fills = line.select(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark import schemas
 from tidemark.functions import numbers, texts, times
-from tidemark.operators import markets, medians, news, pruned, trades
+from tidemark.operators import markets, medians, news, pruned, sketches, terms, trades
 from tidemark.plans import runs
 from tidemark.plans.registry import ORACLES, query, r6, read
 from tidemark.sources import corpus_state, lake, snapshots, staging
@@ -204,3 +204,30 @@ def known_colocated(spark: SparkSession, sf_dir: str) -> DataFrame:
     own, rows = (lake.write_colocated(df, name(what), staging.folder(spark, what), "market_id", parts) for df, what in ((own, "markets"), (rows, "trades")))
     here = trades.known(rows.hint("merge"), own).groupBy("category").agg(F.count("*").alias("trades")).select("category", F.lit(True).alias("known"), "trades")
     return here.unionByName(trades.unknown(rows.hint("merge"), own).select(F.col("market_id").cast("string").alias("category"), F.lit(False).alias("known"), F.col("trade_count").alias("trades")))
+
+
+@query("""
+SELECT strftime(o_orderdate, '%Y') AS year, count(*) AS rows, count(DISTINCT o_custkey) AS customers, true AS distinct_within, true AS median_within FROM orders GROUP BY 1""")
+def sketched_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers and median prices of each year out of the months' sketches, held against the rows: whether each estimate is within its stated error."""
+    rows = read(spark, sf_dir, "orders").withColumns({"year": F.date_format("o_orderdate", "yyyy"), "month": F.date_format("o_orderdate", "MM")})
+    kept = staging.written(sketches.sketched(rows, ["year", "month"], {"customers": "o_custkey"}, {"price": "o_totalprice"}), "sketches")
+    told = sketches.estimates(sketches.merged(kept, ["year"], ["customers"], ["price"]), ["customers"], {"price": [0.5]})
+    told = told.select(F.col("year").alias("_year"), F.col("customers").alias("_customers"), F.col("price")[0].alias("_price"))
+    exact = rows.join(F.broadcast(told), F.col("year") == F.col("_year")).groupBy("year").agg(  # a row for each year
+        F.count("*").alias("rows"), F.count_distinct("o_custkey").alias("customers"), F.first("_customers").alias("_customers"), F.avg((F.col("o_totalprice") <= F.col("_price")).cast("double")).alias("_rank")
+    )
+    near = F.abs(F.col("_customers") - F.col("customers")) <= sketches.distinct_error() * F.col("customers")
+    return exact.select("year", "rows", "customers", near.alias("distinct_within"), (F.abs(F.col("_rank") - 0.5) <= sketches.QUANTILE_ERROR + 1 / F.col("rows")).alias("median_within"))
+
+
+@query("""
+WITH t AS (SELECT DISTINCT substr(c_name, 10) AS term FROM customer WHERE c_acctbal < 5000), g AS (SELECT o_orderkey, 'x' || c_name || ';' || o_orderpriority AS named FROM orders JOIN customer ON o_custkey = c_custkey)
+SELECT o_orderkey, count(*) AS terms, min(term) AS first FROM g JOIN t ON contains(named, term) GROUP BY 1""")
+def many_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as knowledge-graph rows whose persons hold one of very many terms, parts of customers' names; a list of terms is for the driver."""
+    own = read(spark, sf_dir, "customer")
+    listed = [r[0] for r in own.where("c_acctbal < 5000").select(F.substring("c_name", 10, 99)).distinct().collect()]
+    rows = read(spark, sf_dir, "orders").join(own, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", F.concat(F.lit("x"), "c_name").alias("V2Persons"), F.col("o_orderpriority").alias("V2Organizations"))
+    found = terms.holding(rows, F.concat_ws(";", "V2Persons", "V2Organizations"), listed, "found")
+    return found.select("o_orderkey", F.size("found").cast("long").alias("terms"), F.col("found")[0].alias("first"))
