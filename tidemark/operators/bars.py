@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import numbers
-from tidemark.operators import ordered
+from tidemark.sources import staging
 
 MINUTE = 60
 #: What orders trades of one second.
@@ -26,8 +26,8 @@ def ohlcv(trades: DataFrame, width: int = MINUTE) -> DataFrame:
     )
 
 
-#: Buckets without trades that a task makes out of one row.
-RUN = 4_096
+#: Buckets without trades that a task makes out of one row, and buckets of a market that one window may hold.
+RUN, STRETCH = 4_096, 1 << 18
 
 
 def _lives(markets: DataFrame, width: int) -> DataFrame:
@@ -55,14 +55,19 @@ def resampled(trades: DataFrame, markets: DataFrame, width: int = MINUTE) -> Dat
     A bucket without trades repeats the last close, before the first bar the log odds of the market's first trade, be
     it before the open, and 0 in a market without trades. Trades outside the grid count for nothing else.
 
-    Only bars that have trades are ordered: each learns where the next one starts and stands for the empty buckets up to there. That is
-    a segmented scan, so neither a market's bars nor its grid have to fit into a task (``ordered.followed``, ``_buckets``).
+    Only bars that have trades are ordered: each learns where the next one starts and stands for the empty buckets up to there. Windows
+    hold a stretch of ``STRETCH`` buckets of a market, and a stretch learns of the next one by a row for each, so neither a market's bars nor its grid
+    have to fit into a task.
     """
-    own = ohlcv(trades, width)
+    own = staging.written(ohlcv(trades, width), "bars")
     firsts = own.groupBy("market_id").agg(F.min_by("open_lo", "ts_min").alias("_first"))
     lives = _lives(markets, width)
     inside = own.join(lives, "market_id").where("ts_min BETWEEN first AND last").drop("first")
-    bars = ordered.followed(inside, ["market_id"], ["ts_min"], "ts_min", "_next")
+    inside = inside.withColumn("_stretch", F.floor(F.col("ts_min") / (width * STRETCH)))
+    edges = inside.groupBy("market_id", "_stretch").agg(F.min("ts_min").alias("_start"))
+    edges = edges.withColumn("_later", F.lead("_start").over(Window.partitionBy("market_id").orderBy("_stretch")))
+    bars = inside.withColumn("_next", F.lead("ts_min").over(Window.partitionBy("market_id", "_stretch").orderBy("ts_min")))
+    bars = bars.join(edges.select("market_id", "_stretch", "_later"), ["market_id", "_stretch"]).withColumn("_next", F.coalesce("_next", "_later"))
     prices = ["open_lo", "high_lo", "low_lo", "close_lo"]
     kept = bars.select("market_id", "ts_min", *prices, "volume_usdc", "trade_count")
     gaps = bars.select("market_id", (F.col("ts_min") + width).alias("start"), F.coalesce("_next", F.col("last") + width).alias("end"), F.col("close_lo").alias("_price"))
