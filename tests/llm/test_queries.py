@@ -13,4 +13,4 @@ def test_query_equals_its_sql(spark, name):
 
 def test_names_are_in_order():
     numbers = [int(n.split("_")[0][2:]) for n in queries.queries() if n.startswith("op")]
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
