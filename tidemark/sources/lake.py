@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Mapping
+import re
+import uuid
+from collections.abc import Callable, Iterator, Mapping
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -12,6 +16,7 @@ from pyspark.sql.types import StructType
 from tidemark import schemas
 from tidemark.functions import times
 from tidemark.operators import news, vectors
+from tidemark.sources import staging
 
 #: Views, and the key that their path has in whatever section of the configuration.
 VIEWS = {"universe": "universe", "trades": "trades", "bars_1min": "bars_1min", "gdelt_gkg": "gdelt_gkg", "feed_articles": "feeds"}
@@ -53,15 +58,107 @@ def sql(spark: SparkSession, text: str) -> DataFrame:
     return spark.sql(text)
 
 
+#: Bytes of a row group; characters that a directory's name can't hold, and the name that stands for no value.
+_GROUP = 32 << 20
+_ODD, _NONE = re.compile("[\\x00-\\x1f\"#%'*/:=?\\\\\\x7f{\\[\\]^]"), "__HIVE_DEFAULT_PARTITION__"
+
+
+def _directory(names: tuple[str, ...], values: tuple[str | None, ...]) -> str:
+    """A partition's path, as Spark reads it."""
+    return "/".join(f"{n}={_ODD.sub(lambda m: f'%{ord(m[0]):02X}', v) if v else _NONE}" for n, v in zip(names, values))
+
+
+def _runs(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[tuple[tuple, pa.Table]]:
+    """``(values, rows)`` of stretches that share their partition's values."""
+    for batch in batches:
+        columns = [batch[n].to_pylist() for n in names]
+        keys, rows = list(zip(*columns)), pa.Table.from_batches([batch]).drop_columns(list(names))
+        at = 0
+        for end in range(1, len(keys) + 1):
+            if end == len(keys) or keys[end] != keys[at]:
+                yield keys[at], rows.slice(at, end - at)
+                at = end
+
+
+def _opened(path: str):
+    """pyarrow's file system of a path, and the path in it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if ":/" in path else (fs.LocalFileSystem(), path)
+
+
+def _write_directories(df: DataFrame, path: str, partitions: tuple[str, ...]) -> int:
+    """Write rows that lie in the order of their partitions, a file for each partition in a task; gives the number of files.
+
+    Files are opened by pyarrow, which must know the folder's scheme: Hadoop's local file system starts a process for each directory and each file
+    to set its mode. A task's files have fixed names and come by a rename, so a task that runs again writes the same ones.
+    """
+
+    def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import parquet
+
+        where, root = _opened(path)
+        context = TaskContext.get()
+        name, attempt = f"part-{context.partitionId():05d}.snappy.parquet", context.taskAttemptId()
+        values, held, writer, folder, made = None, [], None, "", 0
+
+        def flush() -> None:
+            nonlocal writer, held
+            rows = pa.concat_tables(held).combine_chunks()
+            writer = writer or parquet.ParquetWriter(f"{folder}/_{attempt}", rows.schema, filesystem=where)
+            writer.write_table(rows)
+            held = []
+
+        def close() -> None:
+            nonlocal writer, made
+            if held:
+                flush()
+            writer.close()
+            where.move(f"{folder}/_{attempt}", f"{folder}/{name}")
+            writer, made = None, made + 1
+
+        for own, rows in _runs(batches, partitions):
+            if own != values:
+                if values is not None:
+                    close()
+                values, folder = own, f"{root}/{_directory(partitions, own)}"
+                where.create_dir(folder, recursive=True)
+            held.append(rows)
+            if sum(t.nbytes for t in held) > _GROUP:
+                flush()
+        if values is not None:
+            close()
+        yield pa.RecordBatch.from_pydict({"files": pa.array([made], pa.int64())})
+
+    return df.mapInArrow(files, "files long").agg(F.sum("files")).first()[0] or 0
+
+
 def write(df: DataFrame, path: str, partitions: tuple[str, ...] = (), mode: str = "overwrite") -> None:
     """Write a table; rows of a partition meet in few tasks first, with a hot one spread by ``REBALANCE`` instead of gathered.
 
-    The committer leaves ``_SUCCESS`` once everything is there, and nothing that counts before.
+    A partitioned table that replaces what is there is written aside and comes by one rename, with ``_SUCCESS`` in it; where pyarrow doesn't know the folder's scheme,
+    and in other modes, Spark writes it. Its committer leaves ``_SUCCESS`` once everything is there, and nothing that counts before.
     """
-    if partitions:
-        df = df.hint("rebalance", *partitions)
-    writer = df.write.mode(mode)
-    (writer.partitionBy(*partitions) if partitions else writer).parquet(path)
+    spark, hadoop = df.sparkSession, df.sparkSession._jvm.org.apache.hadoop.fs
+    df = df.hint("rebalance", *partitions)
+    system = hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    aside = system.makeQualified(hadoop.Path(f"{path.rstrip('/')}-{uuid.uuid4().hex}"))
+    place = aside.toUri().getPath() if system.getUri().getScheme() == "file" else aside.toString()
+    try:
+        _opened(place)
+        direct = bool(partitions) and mode == "overwrite"
+    except (pa.ArrowException, OSError):
+        direct = False
+    if not direct:
+        writer = df.write.mode(mode)
+        (writer.partitionBy(*partitions) if partitions else writer).parquet(path)
+        return
+    system.mkdirs(aside)
+    _write_directories(df.withColumns({c: F.col(c).cast("string") for c in partitions}).sortWithinPartitions(*partitions), place, partitions)
+    system.create(hadoop.Path(aside, "_SUCCESS")).close()
+    staging.delete(spark, path)
+    if not system.rename(aside, hadoop.Path(path)):
+        raise OSError(f"{aside.toString()} couldn't be moved to {path}")
 
 
 def _by_end(df: DataFrame, markets: DataFrame) -> DataFrame:
