@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tidemark import schemas
 from tidemark.sources import lake
 
 ROWS = "id long, source string, year string, month string"
@@ -29,3 +30,15 @@ def test_odd_values_nulls_and_replacement(spark, tmp_path):
         assert sorted(map(tuple, back.collect()), key=repr) == sorted(given[at], key=repr)
     lake.write(rows.limit(0), path, ("source", "year", "month"))
     assert lake.table(spark, path, rows.schema, ("source", "year", "month")).count() == 0
+
+
+def test_the_universe_is_not_gathered_in_one_task(spark, tmp_path):
+    own = spark.range(0, 40_000, 1, 4).select(F.col("id").cast("string").alias("market_id"), F.array(F.sha2(F.col("id").cast("string"), 512)).alias("tags"))
+    before = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "256k")
+    try:
+        lake.write_universe(schemas.conform(own, schemas.MARKET), f"{tmp_path}/u")
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", before)
+    assert len(list((tmp_path / "u").glob("*.parquet"))) > 1
+    assert lake.read_universe(spark, f"{tmp_path}/u").count() == 40_000

@@ -169,7 +169,7 @@ def _by_end(df: DataFrame, markets: DataFrame) -> DataFrame:
 
 def write_universe(markets: DataFrame, path: str) -> None:
     """The universe, tags as JSON text; a typed empty table if there are no markets."""
-    write(schemas.conform(markets, schemas.MARKET).withColumn("tags", F.to_json("tags")).coalesce(1), path)
+    write(schemas.conform(markets, schemas.MARKET).withColumn("tags", F.to_json("tags")), path)
 
 
 def read_universe(spark: SparkSession, path: str) -> DataFrame:
