@@ -82,6 +82,13 @@ def rss_articles(feeds: DataFrame) -> DataFrame:
     return _article(items, url=F.col("link"), source=F.col("source"), published_at=when, timestamp_precision=precision, title=F.coalesce("title", "link"), lede=texts.lede(F.col("summary")), raw_metadata_json=about)
 
 
+def before_the_end(items: DataFrame) -> DataFrame:
+    """News items of several lanes of a sport up to where its news end: the first place without an item (``page, pos``) that a lane tells. Read twice."""
+    ends = items.where("item is null").groupBy("sport").agg(F.min(F.struct("page", "pos")).alias("_end"))
+    kept = items.where("item is not null").join(F.broadcast(ends), "sport", "left")  # a row for each sport
+    return kept.where(F.col("_end").isNull() | (F.struct("page", "pos") < F.col("_end"))).drop("_end")
+
+
 def espn_articles(items: DataFrame, start: str, end: str, end_inclusive: bool = False) -> DataFrame:
     """Articles from news items with ``sport``, within a window of dates; undated items pass.
 

@@ -260,19 +260,20 @@ SELECT 'https://www.nba.com/game/G' || g AS url, d || ' 23:59:00' AS published_a
 
 
 def _games(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as games of seasons, two log rows each, in either order."""
+    """Orders as games of seasons, two log rows each, in either order; the log is asked for day by day."""
     i, day, who = F.col("o_orderkey"), F.date_format("o_orderdate", "yyyy-MM-dd"), F.col("o_custkey").cast("string")
     row = lambda side, sign, won, points: F.to_json(F.array(F.concat(F.lit("G"), i.cast("string")), F.concat(F.lit(f"{side} "), who), F.lit(f"A {sign} B"), won, points.cast("string"), day))
     home, away = row("Home", "vs.", F.when(i % 3 != 0, "W").otherwise("L"), 80 + i % 40), row("Away", "@", F.when(i % 3 != 0, "L").otherwise("W"), F.lit(91))
     pair = F.when(i % 2 == 0, F.concat(home, F.lit(","), away)).otherwise(F.concat(away, F.lit(","), home))
     year = F.year("o_orderdate")
     kind = F.when(i % 4 == 0, remote.SEASON_TYPES[1]).otherwise(remote.SEASON_TYPES[0])
-    told = read(spark, sf_dir, "orders").select(F.format_string("%d-%02d", year, (year + 1) % 100).alias("season"), kind.alias("kind"), pair.alias("pair")).groupBy("season", "kind").agg(F.array_join(F.collect_list("pair"), ",").alias("rows"))
-    data = '{"Counter":0,"Direction":"ASC","LeagueID":"00","PlayerOrTeam":"T","Season":"%s","SeasonType":"%s","Sorter":"DATE"}'
+    asked = F.date_format("o_orderdate", "MM/dd/yyyy").alias("date")
+    told = read(spark, sf_dir, "orders").select(F.format_string("%d-%02d", year, (year + 1) % 100).alias("season"), kind.alias("kind"), asked, pair.alias("pair")).groupBy("season", "kind", "date").agg(F.array_join(F.collect_list("pair"), ",").alias("rows"))
+    data = '{"Counter":0,"DateFrom":"%s","DateTo":"%s","Direction":"ASC","LeagueID":"00","PlayerOrTeam":"T","Season":"%s","SeasonType":"%s","Sorter":"DATE"}'
     body = F.concat(F.lit('{"resultSets":[{"headers":["GAME_ID","TEAM_NAME","MATCHUP","WL","PTS","GAME_DATE"],"rowSet":['), "rows", F.lit("]}]}"))
-    path = _recorded(spark, "games", told.select(_key("GET", remote.GAMES_URL, data, F.col("season"), F.col("kind")).alias("key"), body.alias("body")))
+    path = _recorded(spark, "games", told.select(_key("GET", remote.GAMES_URL, data, F.col("date"), F.col("date"), F.col("season"), F.col("kind")).alias("key"), body.alias("body")))
     remote.register(spark, news=_client(path, {"resultSets": [{"headers": ["GAME_ID", "TEAM_NAME", "MATCHUP", "WL", "PTS", "GAME_DATE"], "rowSet": []}]}))
-    rows = spark.read.format("remote_games").options(seasons=",".join(f"{y}-{(y + 1) % 100:02d}" for y in YEARS)).load()
+    rows = spark.read.format("remote_games").options(seasons=",".join(f"{y}-{(y + 1) % 100:02d}" for y in YEARS), days="1").load()
     return news.game_articles(news.game_rows(rows.select(F.from_json("payload", "headers array<string>, rowSet array<array<string>>").alias("p")).select("p.*")))
 
 

@@ -6,6 +6,7 @@ that fails gives a row with ``error`` under ``failures=keep`` and fails the quer
 
 from __future__ import annotations
 
+import datetime as dt
 import json
 import uuid
 from collections.abc import Callable, Iterator
@@ -94,23 +95,43 @@ def fill_pages(client: Callable, url: str, token: str, side: str, start: int, en
         seen = {(f["transactionHash"], str(f["logIndex"])) for f in found if int(f["timestamp"]) == last}
 
 
-def news_pages(client: Callable, sport: str, start: str) -> Iterator[tuple[int, int, dict]]:
-    """``(page, place, item)`` of a sport's news, newest first, until an item older than the start date."""
-    page, pages = 1, 1
+def news_pages(client: Callable, sport: str, start: str, lane: int = 0, lanes: int = 1) -> Iterator[tuple[int, int, dict | None]]:
+    """``(page, place, item)`` of a sport's news, newest first, until an item older than the start date.
+
+    Of several lanes each reads every ``lanes``-th page and ends in ``(page, place, None)`` at the first such item that it meets; the first of these over all
+    lanes is where the news end.
+    """
+    ask = lambda page: client("GET", f"{NEWS_URL}/{sport}/news", {"limit": NEWS_PAGE, "page": page})
+    page = 1 + lane
+    pages = ask(1).get("pageCount", 1) if lane else 1  # there may be fewer pages than lanes
     while page <= pages:
-        data = client("GET", f"{NEWS_URL}/{sport}/news", {"limit": NEWS_PAGE, "page": page})
+        data = ask(page)
         pages = data.get("pageCount", 1)
         for place, item in enumerate(data.get("articles", [])):
             if (item.get("published") or start) < start:
+                if lanes > 1:
+                    yield page, place, None
                 return
             yield page, place, item
-        page += 1
+        page += lanes
+
 
+def game_log(client: Callable, season: str, season_type: str, start: str | None = None, end: str | None = None, days: int = 1) -> Iterator[dict]:
+    """The log of a season's games of one kind: column names and rows, as text.
 
-def game_log(client: Callable, season: str, season_type: str) -> Iterator[dict]:
-    """The log of a season's games of one kind: column names and rows, as text."""
-    found = client("GET", GAMES_URL, {"LeagueID": "00", "Season": season, "SeasonType": season_type, "PlayerOrTeam": "T", "Sorter": "DATE", "Direction": "ASC", "Counter": 0})["resultSets"][0]
-    yield {"headers": found["headers"], "rowSet": [[None if x is None else str(x) for x in row] for row in found["rowSet"]]}
+    With ``start`` and ``end`` (yyyy-mm-dd, both included) the log of these days is asked for, ``days`` at a time, so no more is held at once.
+    """
+    at, last = (dt.date.fromisoformat(x) if x else None for x in (start, end))
+    while True:
+        data = {"LeagueID": "00", "Season": season, "SeasonType": season_type, "PlayerOrTeam": "T", "Sorter": "DATE", "Direction": "ASC", "Counter": 0}
+        if at:
+            until = min(last, at + dt.timedelta(days - 1))
+            data |= {"DateFrom": f"{at:%m/%d/%Y}", "DateTo": f"{until:%m/%d/%Y}"}
+        found = client("GET", GAMES_URL, data)["resultSets"][0]
+        yield {"headers": found["headers"], "rowSet": [[None if x is None else str(x) for x in row] for row in found["rowSet"]]}
+        if not at or until >= last:
+            return
+        at = until + dt.timedelta(1)
 
 
 def slice_key(value: dict) -> str:
@@ -207,13 +228,33 @@ def _lookup_slices(options: dict) -> list[dict]:
     return [{"url": options["url"], "ids": ids[at : at + LOOKUPS]} for at in range(0, len(ids), LOOKUPS)]
 
 
+def _news_slices(options: dict) -> list[dict]:
+    """A slice for each sport, or for each sport's lane."""
+    lanes = int(options.get("lanes", 1))
+    told = [{}] if lanes == 1 else [{"lane": n, "lanes": lanes} for n in range(lanes)]
+    return [{"sport": x, "start": options["start"]} | lane for x in _listed(options, "sports") for lane in told]
+
+
+def _game_slices(options: dict) -> list[dict]:
+    """A slice for each season and kind; with ``days``, one for each month of the two years that a season lies in."""
+    whole = [{"season": x, "season_type": t} for x in _listed(options, "seasons") for t in SEASON_TYPES]
+    if "days" not in options:
+        return whole
+    found = []
+    for s in whole:
+        first = int(s["season"][:4])
+        months = [dt.date(first + n // 12, 1 + n % 12, 1) for n in range(25)]
+        found += [s | {"start": a.isoformat(), "end": (b - dt.timedelta(1)).isoformat(), "days": int(options["days"])} for a, b in zip(months, months[1:])]
+    return found
+
+
 #: Format to the slices of its options.
 _SLICES: dict[str, Callable[[dict], list[dict]]] = {
     "remote_markets": _market_slices,
     "remote_market": _lookup_slices,
     "remote_fills": _fill_slices,
-    "remote_news": lambda o: [{"sport": x, "start": o["start"]} for x in _listed(o, "sports")],
-    "remote_games": lambda o: [{"season": x, "season_type": t} for x in _listed(o, "seasons") for t in SEASON_TYPES],
+    "remote_news": _news_slices,
+    "remote_games": _game_slices,
     "remote_feeds": lambda o: json.loads(o["feeds"]),
 }
 
@@ -222,14 +263,14 @@ def register(spark: SparkSession, markets=markets_client, fills=fills_client, ne
     """Register the formats ``remote_markets``, ``remote_market``, ``remote_fills``, ``remote_news``, ``remote_games`` and ``remote_feeds``; each reads JSON payloads by slice.
 
     Options: ``url``, ``tags``, ``closed``, ``start_after``, ``end_before``; ``url``, ``ids``; ``url``, ``tokens``, ``start``, ``end``, ``slice_seconds``;
-    ``sports``, ``start``; ``seasons``; ``feeds`` as JSON list of url and name. ``failures=keep`` turns a failed slice into a row.
+    ``sports``, ``start``, ``lanes`` (tasks of a sport, whose rows ``news.before_the_end`` cuts); ``seasons``, ``days`` (of a request); ``feeds`` as JSON list of url and name. ``failures=keep`` turns a failed slice into a row.
     """
     sources = (
         ("remote_markets", lambda c, s: market_pages(c, s["url"], s["tag"], s["closed"], s["start"], s["end"]), markets),
         ("remote_market", lambda c, s: (market(c, s["url"], x) for x in s["ids"]), markets),
         ("remote_fills", lambda c, s: fill_pages(c, s["url"], s["token"], s["side"], s["start"], s["end"]), fills),
-        ("remote_news", lambda c, s: ({"page": p, "pos": n, "sport": s["sport"], "item": i} for p, n, i in news_pages(c, s["sport"], s["start"])), news),
-        ("remote_games", lambda c, s: game_log(c, s["season"], s["season_type"]), news),
+        ("remote_news", lambda c, s: ({"page": p, "pos": n, "sport": s["sport"], "item": i} for p, n, i in news_pages(c, s["sport"], s["start"], s.get("lane", 0), s.get("lanes", 1))), news),
+        ("remote_games", lambda c, s: game_log(c, s["season"], s["season_type"], s.get("start"), s.get("end"), s.get("days", 1)), news),
         ("remote_feeds", _feed_fetch, feeds),
     )
     for title, fetch, client_for in sources:
