@@ -20,8 +20,8 @@ CASCADE = (
     ("single_game", ("single-game", "single_game"), ()),
 )
 LEAST_VOLUME, LEAST_DAYS = 10_000.0, 30
-#: Intervals of up to 2^35 seconds are linked.
-_WIDEST = 35
+#: Intervals of up to 2^35 seconds are linked; markets of categories up to so many meet without buckets.
+_WIDEST, _FEW = 35, 64
 
 
 def market_type(tags: Column, cascade=CASCADE) -> Column:
@@ -111,28 +111,33 @@ def universe(markets: DataFrame, least_volume: float = LEAST_VOLUME, least_days:
 def linked(markets: DataFrame, order: Column | None = None) -> DataFrame:
     """Markets with ``parent_event_id``: the first longer market, in order, that they overlap for more than half their life.
 
-    Of equal lives the later is the child. An overlap of more than half a market's life holds its middle, so
-    markets meet by the middle's place: a market of a life in [2^k, 2^(k+1)) lies in three buckets of that width at most,
-    and a market asks one bucket of each width from its own up. That is an equi-join, with as few pairs as lives allow.
+    Of equal lives the later is the child. Markets of small categories meet by category alone, a row each. In larger ones an overlap of more than half a market's
+    life holds its middle, so markets meet by the middle's place: a market of a life in [2^k, 2^(k+1)) lies in three buckets of that width at most,
+    and a market asks one bucket of each width from its own up that some market has. Both are equi-joins, with few pairs or as few as lives allow.
     """
     rows = markets.drop("parent_event_id").select(
         "*",
         (order if order is not None else F.col("market_id")).alias("_order"),
         (F.unix_micros(F.col("created_at").cast("timestamp")) / 1e6).alias("_start"),
         (F.unix_micros(F.col("end_at").cast("timestamp")) / 1e6).alias("_end"),
-    ).withColumn("_life", F.col("_end") - F.col("_start"))
-    slim = rows.where("_life > 0").select("market_id", "category", "_order", "_start", "_end", "_life")
-    level = F.least(F.lit(_WIDEST), F.greatest(F.lit(0), F.floor(F.log2("_life")))).cast("int")
-    width = F.pow(F.lit(2.0), F.col("k"))
-    parents = slim.withColumn("k", level).withColumn("bucket", F.explode(F.sequence(F.floor(F.col("_start") / width), F.floor(F.col("_end") / width))))
-    parents = parents.select("category", "k", "bucket", *(F.col(c).alias(f"p{c}") for c in ("market_id", "_order", "_start", "_end", "_life")))
-    children = slim.withColumn("k", F.explode(F.sequence(level, F.lit(_WIDEST))))
-    children = children.withColumn("bucket", F.floor((F.col("_start") + F.col("_life") / 2) / width))
-    older = (F.col("_life") < F.col("p_life")) | ((F.col("_life") == F.col("p_life")) & (F.col("_order") > F.col("p_order")))
+    )
+    slim = rows.where("_end - _start > 0 AND category IS NOT NULL").select("market_id", "category", "_order", "_start", "_end")
+    large = slim.groupBy("category").agg(F.count("*").alias("_n")).where(F.col("_n") > _FEW).select("category")
+    small, crowded = slim.join(large, "category", "left_anti"), slim.join(large, "category", "left_semi")
+    life, p_life = F.col("_end") - F.col("_start"), F.col("p_end") - F.col("p_start")
+    level = F.least(F.lit(_WIDEST), F.greatest(F.lit(0), F.floor(F.log2(life)))).cast("int")
+    older = (life < p_life) | ((life == p_life) & (F.col("_order") > F.col("p_order")))
     shared = numbers.overlap(F.col("_start"), F.col("_end"), F.col("p_start"), F.col("p_end"))
-    pairs = children.join(parents, ["category", "k", "bucket"]).where(older & (shared > F.col("_life") / 2))
-    found = pairs.groupBy("market_id").agg(F.min_by("pmarket_id", "p_order").alias("parent_event_id"))
-    return rows.drop("_order", "_start", "_end", "_life").join(found, "market_id", "left")
+    as_parents = lambda df, *keys: df.select(*keys, *(F.col(c).alias(f"p{c}") for c in ("market_id", "_order", "_start", "_end")))
+    pairs = lambda children, parents, keys: children.join(parents, keys).where(older & (shared > life / 2)).select("market_id", "pmarket_id", "p_order")
+    width = F.pow(F.lit(2.0), F.col("k"))
+    parents = crowded.withColumn("k", level).withColumn("bucket", F.explode(F.sequence(F.floor(F.col("_start") / width), F.floor(F.col("_end") / width))))
+    levels = crowded.agg(F.array_sort(F.collect_set(level)).alias("_levels"))  # one row, three dozen numbers at most
+    children = crowded.withColumn("_k", level).crossJoin(F.broadcast(levels)).withColumn("k", F.explode(F.filter("_levels", lambda k: k >= F.col("_k"))))
+    children = children.withColumn("bucket", F.floor((F.col("_start") + life / 2) / width)).drop("_k", "_levels")
+    met = pairs(small, as_parents(small, "category"), ["category"]).unionByName(pairs(children, as_parents(parents, "category", "k", "bucket"), ["category", "k", "bucket"]))
+    found = met.groupBy("market_id").agg(F.min_by("pmarket_id", "p_order").alias("parent_event_id"))
+    return rows.drop("_order", "_start", "_end").join(found, "market_id", "left")
 
 
 def category_report(markets: DataFrame, by: str = "category") -> DataFrame:
