@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import json
 import time
 import urllib.error
@@ -102,34 +103,43 @@ class Client:
         return self.retry.call(once, self.sleep)
 
 
-#: Parts that recorded answers are dealt to.
-_PARTS = 64
+#: Parts that recorded answers are dealt to, and bytes of a row group in them: what a request reads.
+_PARTS, _GROUP = 64, 1 << 20
 
 
 def record(answers: DataFrame, path: str) -> None:
     """Write answers ``(key, body)``, keyed by ``cache_key`` of method, url and data, as ``Recorded`` reads them."""
     rows = answers.select("key", "body", (F.crc32(F.col("key").cast("binary")) % _PARTS).cast("int").alias("part"))
-    rows.repartition("part").sortWithinPartitions("key").write.partitionBy("part").parquet(path)
+    writer = rows.repartition("part").sortWithinPartitions("part", "key").write.partitionBy("part")
+    # a body may be large: a group's size is looked at after each row, not after the first hundred
+    writer.option("parquet.block.size", _GROUP).option("parquet.page.size.row.check.min", 1).option("parquet.page.size.row.check.max", 10).parquet(path)
+
+
+@functools.lru_cache(maxsize=_PARTS)
+def _part(path: str, part: int):
+    """A part of the recorded answers, with the footers of its files kept; null if there is none."""
+    from pyarrow import dataset, fs
+
+    where, root = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    place = f"{root}/part={part}"
+    return dataset.dataset(place, filesystem=where, format="parquet") if where.get_file_info(place).type == fs.FileType.Directory else None
 
 
 class Recorded:
     """A transport that answers from what was recorded under a path that all executors reach; nothing goes over the network.
 
-    Each request reads the rows of its key only. A request without an answer gets ``otherwise``: an error status, or a body.
+    Each request reads the row group of its key only. A request without an answer gets ``otherwise``: an error status, or a body.
     """
 
     def __init__(self, path: str, otherwise: object = 404) -> None:
         self.path, self.otherwise = path, otherwise
 
     def __call__(self, method: str, url: str, data: dict) -> object:
-        from pyarrow import dataset, fs
+        from pyarrow import dataset
 
         key = cache_key(method, url, data)
-        where, root = fs.FileSystem.from_uri(self.path) if "://" in self.path or self.path.startswith("file:") else (fs.LocalFileSystem(), self.path)
-        part = f"{root}/part={zlib.crc32(key.encode()) % _PARTS}"
-        found = []
-        if where.get_file_info(part).type == fs.FileType.Directory:
-            found = dataset.dataset(part, filesystem=where, format="parquet").to_table(columns=["body"], filter=dataset.field("key") == key)["body"].to_pylist()
+        part = _part(self.path, zlib.crc32(key.encode()) % _PARTS)
+        found = part.to_table(columns=["body"], filter=dataset.field("key") == key, use_threads=False)["body"].to_pylist() if part else []
         if not found:
             if isinstance(self.otherwise, int):
                 raise HttpError(self.otherwise)
