@@ -215,6 +215,8 @@ def feed_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ITEM = "page int, pos int, sport string, item struct<id:long,published:string,headline:string,description:string,links:struct<web:struct<href:string>>,categories:array<struct<description:string>>>"
+#: Tasks that read a sport's pages.
+LANES = 48
 _SPORTS = {"F": "nfl", "O": "nba", "P": "mlb"}
 _NEWS_SQL = """
 WITH n AS (SELECT CASE o_orderstatus WHEN 'F' THEN 'nfl' WHEN 'O' THEN 'nba' ELSE 'mlb' END AS sport, o_orderkey AS i, o_orderdate + INTERVAL 10 HOUR AS day, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderdate DESC, o_orderkey) AS n FROM orders),
@@ -240,8 +242,9 @@ def _news(spark: SparkSession, sf_dir: str) -> DataFrame:
     url = F.concat(F.lit(f"{remote.NEWS_URL}/"), F.col("sport"), F.lit("/news"))
     answers = told.join(last, "sport").select(_key("GET", url, f'{{"limit":{remote.NEWS_PAGE},"page":%d}}', F.col("page") + 1).alias("key"), F.concat(F.lit('{"pageCount":'), F.col("pages").cast("string"), F.lit(',"articles":'), "items", F.lit("}")).alias("body"))
     remote.register(spark, news=_client(_recorded(spark, "news", answers), 404))
-    rows = spark.read.format("remote_news").options(sports=",".join(_SPORTS.values()), start="1998-08-05").load()
-    items = rows.select(F.from_json("payload", _ITEM).alias("n")).select("n.page", "n.pos", "n.sport", "n.item.*")
+    rows = spark.read.format("remote_news").options(sports=",".join(_SPORTS.values()), start="1998-08-05", lanes=str(LANES)).load()
+    items = staging.written(rows.select(F.from_json("payload", _ITEM).alias("n")).select("n.*"), "news-items")
+    items = news.before_the_end(items).select("page", "pos", "sport", "item.*")
     return news.espn_articles(items, "1998-08-05", "2000-12-20")
 
 
