@@ -6,6 +6,7 @@ import json
 import re
 import uuid
 from collections.abc import Callable, Iterator, Mapping
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -38,10 +39,95 @@ def has_files(spark: SparkSession, path: str, ending: str = ".parquet") -> bool:
     return False
 
 
+def _place(spark: SparkSession, path: str) -> str | None:
+    """A path as pyarrow takes it; none if it doesn't know the scheme."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    full = system.makeQualified(where)
+    place = full.toUri().getPath() if system.getUri().getScheme() == "file" else full.toString()
+    try:
+        _opened(place)
+    except (pa.ArrowException, OSError):
+        return None
+    return place
+
+
+#: Directories of one level beyond which Spark's own listing, quadratic in them, isn't used.
+MANY = 4_000
+
+
+def _hidden(name: str) -> bool:
+    return name.startswith(".") or name.startswith("_") and "=" not in name
+
+
+def _many_directories(place: str, depth: int) -> list[str]:
+    """The directories of the first level that has very many; empty if none has."""
+    from pyarrow import fs
+
+    where, root = _opened(place)
+    level = [root] if where.get_file_info(root).type == fs.FileType.Directory else []
+    for _ in range(depth):
+        level = [x.path for folder in level for x in where.get_file_info(fs.FileSelector(folder)) if x.type == fs.FileType.Directory and not _hidden(x.base_name)]
+        if len(level) > MANY:
+            return level
+    return []
+
+
+def _from_directories(spark: SparkSession, place: str, folders: list[str], whole: StructType, partitions: tuple[str, ...]) -> DataFrame:
+    """The table below these directories, listed and read by tasks; partitions stand last in ``whole``, as text.
+
+    Spark's own way lists on the driver what tasks found, tells the values of each directory in quadratic time, and opens a file in milliseconds.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    want = to_arrow_schema(whole)
+    data = [f for f in want if f.name not in partitions]
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        where, root = _opened(place)
+        for batch in batches:
+            for folder in batch["path"].to_pylist():
+                found = (x.path for x in where.get_file_info(fs.FileSelector(folder, recursive=True)) if x.type == fs.FileType.File)
+                files = [f for f in found if not any(map(_hidden, f[len(folder) + 1 :].split("/")))]
+                yield pa.RecordBatch.from_pydict({"path": pa.array(files, pa.string())})
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import parquet
+
+        where, root = _opened(place)
+        held, count, size = [], 0, 0
+        for batch in batches:
+            for path in batch["path"].to_pylist():
+                told = dict(x.split("=", 1) for x in path[len(root) :].split("/")[:-1] if "=" in x)
+                values = [None if told.get(p, _NONE) == _NONE else unquote(told[p]) for p in partitions]
+                with where.open_input_file(path) as file:
+                    for part in parquet.ParquetFile(file).iter_batches(_ROWS, use_threads=False):
+                        n, have = part.num_rows, set(part.schema.names)
+                        own = [part[f.name].cast(f.type) if f.name in have else pa.nulls(n, f.type) for f in data]
+                        held.append(pa.RecordBatch.from_arrays(own + [pa.array([v] * n, pa.string()) for v in values], schema=want))
+                        count, size = count + n, size + held[-1].nbytes
+                        if count >= _ROWS or size > _GROUP:
+                            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                            held, count, size = [], 0, 0
+        if held:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+    tasks = max(4 * spark.sparkContext.defaultParallelism, len(folders) // 100)
+    given = spark.createDataFrame([(f,) for f in folders], "path string").repartition(tasks)
+    return given.mapInArrow(listed, "path string").repartition(tasks).mapInArrow(rows, whole)
+
+
 def table(spark: SparkSession, path: str, schema: StructType, partitions: tuple[str, ...] = ()) -> DataFrame:
-    """The Parquet table at a path, with a declared schema; without files an empty one."""
+    """The Parquet table at a path, with a declared schema; without files an empty one. Filters on partition columns prune directories, unless there are very many."""
     whole = StructType.fromDDL(", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in schema if f.name not in partitions] + [f"`{p}` string" for p in partitions]))
-    return spark.read.schema(whole).parquet(path) if has_files(spark, path) else spark.createDataFrame([], whole)
+    if not has_files(spark, path):
+        return spark.createDataFrame([], whole)
+    place = _place(spark, path) if partitions else None
+    if place and (folders := _many_directories(place, len(partitions))):
+        return _from_directories(spark, place, folders, whole, partitions)
+    return spark.read.schema(whole).parquet(path)
 
 
 def register_views(spark: SparkSession, paths: Mapping[str, Mapping[str, str]]) -> list[str]:
@@ -58,8 +144,9 @@ def sql(spark: SparkSession, text: str) -> DataFrame:
     return spark.sql(text)
 
 
-#: Bytes of a row group; characters that a directory's name can't hold, and the name that stands for no value.
-_GROUP = 32 << 20
+#: Bytes of a row group, and those under which a directory's rows are small; rows that small files are put together to.
+_GROUP, _SMALL, _ROWS = 32 << 20, 1 << 20, 4096
+#: Characters that a directory's name can't hold, and the name that stands for no value.
 _ODD, _NONE = re.compile("[\\x00-\\x1f\"#%'*/:=?\\\\\\x7f{\\[\\]^]"), "__HIVE_DEFAULT_PARTITION__"
 
 
@@ -72,7 +159,7 @@ def _runs(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator
     """``(values, rows)`` of stretches that share their partition's values."""
     for batch in batches:
         columns = [batch[n].to_pylist() for n in names]
-        keys, rows = list(zip(*columns)), pa.Table.from_batches([batch]).drop_columns(list(names))
+        keys, rows = list(zip(*columns)), pa.Table.from_batches([batch])
         at = 0
         for end in range(1, len(keys) + 1):
             if end == len(keys) or keys[end] != keys[at]:
@@ -87,50 +174,87 @@ def _opened(path: str):
     return fs.FileSystem.from_uri(path) if ":/" in path else (fs.LocalFileSystem(), path)
 
 
+def _nullable(schema: StructType) -> StructType:
+    """A schema that asks for no value anywhere."""
+    return StructType.fromDDL(", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema))
+
+
 def _write_directories(df: DataFrame, path: str, partitions: tuple[str, ...]) -> int:
-    """Write rows that lie in the order of their partitions, a file for each partition in a task; gives the number of files.
+    """Write rows that are dealt by their partitions, a file for each partition in a task; gives the number of files.
+
+    Tasks hold so many bytes, which says little of the work: a megabyte may go to one directory or to 20,000. So what is large is written where it is, and
+    small directories are dealt once more, to many tasks by their number.
 
     Files are opened by pyarrow, which must know the folder's scheme: Hadoop's local file system starts a process for each directory and each file
     to set its mode. A task's files have fixed names and come by a rename, so a task that runs again writes the same ones.
     """
 
-    def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import parquet
-
-        where, root = _opened(path)
-        context = TaskContext.get()
-        name, attempt = f"part-{context.partitionId():05d}.snappy.parquet", context.taskAttemptId()
-        values, held, writer, folder, made = None, [], None, "", 0
-
-        def flush() -> None:
-            nonlocal writer, held
-            rows = pa.concat_tables(held).combine_chunks()
-            writer = writer or parquet.ParquetWriter(f"{folder}/_{attempt}", rows.schema, filesystem=where)
-            writer.write_table(rows)
-            held = []
-
-        def close() -> None:
-            nonlocal writer, made
-            if held:
-                flush()
-            writer.close()
-            where.move(f"{folder}/_{attempt}", f"{folder}/{name}")
-            writer, made = None, made + 1
-
-        for own, rows in _runs(batches, partitions):
-            if own != values:
-                if values is not None:
-                    close()
-                values, folder = own, f"{root}/{_directory(partitions, own)}"
-                where.create_dir(folder, recursive=True)
-            held.append(rows)
-            if sum(t.nbytes for t in held) > _GROUP:
-                flush()
-        if values is not None:
-            close()
-        yield pa.RecordBatch.from_pydict({"files": pa.array([made], pa.int64())})
-
-    return df.mapInArrow(files, "files long").agg(F.sum("files")).first()[0] or 0
+    def writing(kind: str, least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        """Writes directories of ``least`` bytes or more. Gives the rows of others, or without a least the number of files."""
+
+        def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            from pyarrow import parquet
+
+            where, root = _opened(path)
+            context = TaskContext.get()
+            name, attempt = f"part-{kind}-{context.partitionId():05d}.snappy.parquet", context.taskAttemptId()
+            values, held, size, writer, folder, made, passed, passing = None, [], 0, None, "", 0, [], 0
+
+            def flush() -> None:
+                nonlocal writer, held, size, folder
+                rows = pa.concat_tables(held).drop_columns(list(partitions)).combine_chunks()
+                if writer is None:
+                    folder = f"{root}/{_directory(partitions, values)}"
+                    where.create_dir(folder, recursive=True)
+                    writer = parquet.ParquetWriter(f"{folder}/_{attempt}", rows.schema, filesystem=where)
+                writer.write_table(rows)
+                held, size = [], 0
+
+            def close() -> None:
+                nonlocal writer, made, held, size, passing
+                if writer is None and size < least:
+                    passed.extend(held)
+                    passing += size
+                    held, size = [], 0
+                    return
+                if held:
+                    flush()
+                writer.close()
+                where.move(f"{folder}/_{attempt}", f"{folder}/{name}")
+                writer, made = None, made + 1
+
+            def others() -> Iterator[pa.RecordBatch]:
+                nonlocal passing
+                rows = pa.concat_tables(passed).combine_chunks()
+                passed.clear()
+                passing = 0
+                yield from rows.to_batches()
+
+            for own, rows in _runs(batches, partitions):
+                if own != values:
+                    if values is not None:
+                        close()
+                    if len(passed) >= _ROWS or passing > _GROUP:
+                        yield from others()
+                    values = own
+                held.append(rows)
+                size += rows.nbytes
+                if size > _GROUP:
+                    flush()
+            if values is not None:
+                close()
+            if passed:
+                yield from others()
+            if not least:
+                yield pa.RecordBatch.from_pydict({"files": pa.array([made], pa.int64())})
+
+        return files
+
+    spark = df.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    small = df.sortWithinPartitions(*partitions).mapInArrow(writing("a", _SMALL), _nullable(df.schema))
+    dealt = small.repartition(tasks, *partitions).sortWithinPartitions(*partitions)
+    return dealt.mapInArrow(writing("b", 0), "files long").agg(F.sum("files")).first()[0] or 0
 
 
 def write(df: DataFrame, path: str, partitions: tuple[str, ...] = (), mode: str = "overwrite") -> None:
@@ -143,18 +267,13 @@ def write(df: DataFrame, path: str, partitions: tuple[str, ...] = (), mode: str
     df = df.hint("rebalance", *partitions)
     system = hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
     aside = system.makeQualified(hadoop.Path(f"{path.rstrip('/')}-{uuid.uuid4().hex}"))
-    place = aside.toUri().getPath() if system.getUri().getScheme() == "file" else aside.toString()
-    try:
-        _opened(place)
-        direct = bool(partitions) and mode == "overwrite"
-    except (pa.ArrowException, OSError):
-        direct = False
-    if not direct:
+    place = _place(spark, aside.toString())
+    if not (place and partitions and mode == "overwrite"):
         writer = df.write.mode(mode)
         (writer.partitionBy(*partitions) if partitions else writer).parquet(path)
         return
     system.mkdirs(aside)
-    _write_directories(df.withColumns({c: F.col(c).cast("string") for c in partitions}).sortWithinPartitions(*partitions), place, partitions)
+    _write_directories(df.withColumns({c: F.col(c).cast("string") for c in partitions}), place, partitions)
     system.create(hadoop.Path(aside, "_SUCCESS")).close()
     staging.delete(spark, path)
     if not system.rename(aside, hadoop.Path(path)):
