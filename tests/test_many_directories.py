@@ -50,3 +50,21 @@ def test_very_many_directories_are_read_by_tasks_with_the_same_rows(spark, feeds
     assert found.schema == plain.schema and len(want) == 121 and sorted(map(repr, found.collect())) == want
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "FileScan" not in plan
+
+
+def test_views_of_very_many_directories(spark, feeds, monkeypatch):
+    paths, asked = {"news": {"feeds": feeds}}, "SELECT article_id, source, year, month, entities FROM feed_articles"
+    lake.register_views(spark, paths)
+    want = sorted(map(repr, lake.sql(spark, asked).collect()))
+    monkeypatch.setattr(lake, "MANY", 2)
+    assert lake.register_views(spark, paths) == ["feed_articles"]
+    found = lake.sql(spark, asked)
+    assert sorted(map(repr, found.collect())) == want and len(want) == 121
+    assert "FileScan" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_files_beside_very_many_directories_are_left_to_spark(spark, feeds, monkeypatch):
+    monkeypatch.setattr(lake, "MANY", 2)
+    spark.range(3).select(F.col("id").cast("string").alias("article_id")).write.mode("append").parquet(feeds)
+    found = lake.table(spark, feeds, schemas.ARTICLE, lake.LAYOUT["feed_articles"])
+    assert "FileScan" in found._jdf.queryExecution().executedPlan().toString()

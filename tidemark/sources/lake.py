@@ -60,19 +60,30 @@ def _hidden(name: str) -> bool:
     return name.startswith(".") or name.startswith("_") and "=" not in name
 
 
-def _many_directories(place: str, depth: int) -> list[str]:
-    """The directories of the first level that has very many; empty if none has."""
+def _many_directories(place: str) -> list[str]:
+    """The partitions' directories of the first level that has very many; empty if none has, or if files lie beside or above them."""
     from pyarrow import fs
 
     where, root = _opened(place)
     level = [root] if where.get_file_info(root).type == fs.FileType.Directory else []
-    for _ in range(depth):
-        level = [x.path for folder in level for x in where.get_file_info(fs.FileSelector(folder)) if x.type == fs.FileType.Directory and not _hidden(x.base_name)]
+    while level:
+        found = [x for folder in level for x in where.get_file_info(fs.FileSelector(folder)) if not _hidden(x.base_name)]
+        level = [x.path for x in found if x.type == fs.FileType.Directory and "=" in x.base_name]
+        if len(level) < len(found):
+            return []
         if len(level) > MANY:
             return level
     return []
 
 
+def _files(where, folder: str) -> list[str]:
+    """The files below a directory that readers see."""
+    from pyarrow import fs
+
+    found = (x.path for x in where.get_file_info(fs.FileSelector(folder, recursive=True)) if x.type == fs.FileType.File)
+    return [f for f in found if not any(map(_hidden, f[len(folder) + 1 :].split("/")))]
+
+
 def _from_directories(spark: SparkSession, place: str, folders: list[str], whole: StructType, partitions: tuple[str, ...]) -> DataFrame:
     """The table below these directories, listed and read by tasks; partitions stand last in ``whole``, as text.
 
@@ -84,14 +95,10 @@ def _from_directories(spark: SparkSession, place: str, folders: list[str], whole
     data = [f for f in want if f.name not in partitions]
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
         where, root = _opened(place)
         for batch in batches:
             for folder in batch["path"].to_pylist():
-                found = (x.path for x in where.get_file_info(fs.FileSelector(folder, recursive=True)) if x.type == fs.FileType.File)
-                files = [f for f in found if not any(map(_hidden, f[len(folder) + 1 :].split("/")))]
-                yield pa.RecordBatch.from_pydict({"path": pa.array(files, pa.string())})
+                yield pa.RecordBatch.from_pydict({"path": pa.array(_files(where, folder), pa.string())})
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import parquet
@@ -119,23 +126,40 @@ def _from_directories(spark: SparkSession, place: str, folders: list[str], whole
     return given.mapInArrow(listed, "path string").repartition(tasks).mapInArrow(rows, whole)
 
 
+def _whole(schema: StructType, partitions: tuple[str, ...]) -> StructType:
+    """A table's columns, those of its directories last and as text."""
+    return StructType.fromDDL(", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in schema if f.name not in partitions] + [f"`{p}` string" for p in partitions]))
+
+
 def table(spark: SparkSession, path: str, schema: StructType, partitions: tuple[str, ...] = ()) -> DataFrame:
     """The Parquet table at a path, with a declared schema; without files an empty one. Filters on partition columns prune directories, unless there are very many."""
-    whole = StructType.fromDDL(", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in schema if f.name not in partitions] + [f"`{p}` string" for p in partitions]))
+    whole = _whole(schema, partitions)
     if not has_files(spark, path):
         return spark.createDataFrame([], whole)
     place = _place(spark, path) if partitions else None
-    if place and (folders := _many_directories(place, len(partitions))):
+    if place and (folders := _many_directories(place)):
         return _from_directories(spark, place, folders, whole, partitions)
     return spark.read.schema(whole).parquet(path)
 
 
+def _viewed(spark: SparkSession, path: str) -> DataFrame:
+    """The Parquet table at a path, with the schema of a file; partition columns of very many directories are text."""
+    place = _place(spark, path)
+    folders = _many_directories(place) if place else []
+    where, root = _opened(place) if folders else (None, "")
+    first = next((f for folder in folders for f in _files(where, folder)), None)
+    if first is None:
+        return spark.read.parquet(path)
+    names = tuple(x.split("=", 1)[0] for x in first[len(root) :].split("/")[:-1] if "=" in x)
+    return _from_directories(spark, place, folders, _whole(spark.read.parquet(path.rstrip("/") + first[len(root) :]).schema, names), names)
+
+
 def register_views(spark: SparkSession, paths: Mapping[str, Mapping[str, str]]) -> list[str]:
     """Register a view for every configured path that has files; gives their names."""
     flat = {key: path for section in paths.values() if isinstance(section, Mapping) for key, path in section.items()}
     made = [view for view, key in VIEWS.items() if flat.get(key) and has_files(spark, flat[key])]
     for view in made:
-        spark.read.parquet(flat[VIEWS[view]]).createOrReplaceTempView(view)
+        _viewed(spark, flat[VIEWS[view]]).createOrReplaceTempView(view)
     return made
 
 
@@ -174,11 +198,6 @@ def _opened(path: str):
     return fs.FileSystem.from_uri(path) if ":/" in path else (fs.LocalFileSystem(), path)
 
 
-def _nullable(schema: StructType) -> StructType:
-    """A schema that asks for no value anywhere."""
-    return StructType.fromDDL(", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema))
-
-
 def _write_directories(df: DataFrame, path: str, partitions: tuple[str, ...]) -> int:
     """Write rows that are dealt by their partitions, a file for each partition in a task; gives the number of files.
 
@@ -252,7 +271,7 @@ def _write_directories(df: DataFrame, path: str, partitions: tuple[str, ...]) ->
 
     spark = df.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
-    small = df.sortWithinPartitions(*partitions).mapInArrow(writing("a", _SMALL), _nullable(df.schema))
+    small = df.sortWithinPartitions(*partitions).mapInArrow(writing("a", _SMALL), _whole(df.schema, ()))
     dealt = small.repartition(tasks, *partitions).sortWithinPartitions(*partitions)
     return dealt.mapInArrow(writing("b", 0), "files long").agg(F.sum("files")).first()[0] or 0
 
