@@ -26,6 +26,13 @@ def test_a_large_directory_is_written_where_its_rows_are(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/t").count() == 40_000
 
 
+def test_many_short_rows_of_a_directory_are_not_dealt_once_more(spark, tmp_path):
+    rows = spark.range(0, 4000, 1, 2).select("id", F.lit("hot").alias("source"), F.lit("y").alias("year"), F.lit("m").alias("month"))
+    lake.write(rows, f"{tmp_path}/t", KEYS)
+    assert {f.name[:6] for f in (tmp_path / "t/source=hot").glob("*/*/*.parquet")} == {"part-a"}
+    assert spark.read.parquet(f"{tmp_path}/t").count() == 4000
+
+
 @pytest.fixture
 def feeds(spark, tmp_path):
     """Articles under odd names, with a file of another writer that lacks columns, and files that readers don't see."""

@@ -168,8 +168,8 @@ def sql(spark: SparkSession, text: str) -> DataFrame:
     return spark.sql(text)
 
 
-#: Bytes of a row group, and those under which a directory's rows are small; rows that small files are put together to.
-_GROUP, _SMALL, _ROWS = 32 << 20, 1 << 20, 4096
+#: Bytes of a row group; bytes and rows under which a directory is small; rows that small files are put together to.
+_GROUP, _SMALL, _FEW, _ROWS = 32 << 20, 1 << 20, 256, 4096
 #: Characters that a directory's name can't hold, and the name that stands for no value.
 _ODD, _NONE = re.compile("[\\x00-\\x1f\"#%'*/:=?\\\\\\x7f{\\[\\]^]"), "__HIVE_DEFAULT_PARTITION__"
 
@@ -209,7 +209,7 @@ def _write_directories(df: DataFrame, path: str, partitions: tuple[str, ...]) ->
     """
 
     def writing(kind: str, least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-        """Writes directories of ``least`` bytes or more. Gives the rows of others, or without a least the number of files."""
+        """Writes directories of ``least`` bytes or more, or of more than few rows. Gives the rows of others, or without a least the number of files."""
 
         def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             from pyarrow import parquet
@@ -231,7 +231,7 @@ def _write_directories(df: DataFrame, path: str, partitions: tuple[str, ...]) ->
 
             def close() -> None:
                 nonlocal writer, made, held, size, passing
-                if writer is None and size < least:
+                if writer is None and size < least and sum(t.num_rows for t in held) < _FEW:
                     passed.extend(held)
                     passing += size
                     held, size = [], 0
